@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+import public_tokenizers
+
+from . import packing, quality_rules, url_cascade
 from .common import table
 
 
+def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_cascade.PRODUCTION_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
-ORACLE_SQL = {"op10_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_url_cascade, op6_packing, op10_quality_rules)}
+ORACLE_SQL = {"op2_url_cascade": url_cascade.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
