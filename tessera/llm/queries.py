@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, url_cascade
+from . import decontaminate, ngram_join, packing, quality_rules, url_cascade
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_cascade.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_cascade.PRODUCTION_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -30,5 +34,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_cascade, op6_packing, op8_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op6_packing, op8_decontamination, op10_quality_rules)}
 ORACLE_SQL = {"op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
