@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality_rules, url_cascade
+from . import chunk_dedup, decontaminate, ngram_join, packing, quality_rules, url_cascade
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeats: the document lost a passage that another one has first; text is what is left of it."""
+    left = chunk_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", (F.col("removed_words") > 0).alias("repeats"), "n_words", "removed_words", "spans", "text")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -34,5 +40,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op6_packing, op8_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op6_packing, op7_chunk_dedup, op8_decontamination, op10_quality_rules)}
 ORACLE_SQL = {"op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
