@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, ngram_join, packing, quality_rules, url_cascade
+from . import chunk_dedup, decontaminate, ngram_join, packing, quality_rules, quotes, url_cascade
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked", "unlinked")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op6_packing, op7_chunk_dedup, op8_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op10_quality_rules)}
 ORACLE_SQL = {"op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
