@@ -170,7 +170,7 @@ def judge(df: DataFrame, rules: list[UrlRule], url: str = "url", unlisted: str =
         best = [max((k for k in row if k in action), key=lambda k: (len(k), k.find("/")), default=None) for row in keys]
         return pd.Series([None if b is None else f"{action[b]} {b}" for b in best], dtype=object)
 
-    return keyed.withColumn("__j", decide("__keys")).withColumns({"rule": F.regexp_extract("__j", "(?s)^[^ ]+ (.*)$", 1), "verdict": F.coalesce(F.substring_index("__j", " ", 1), F.lit(unlisted))}).drop("__keys", "__j")
+    return keyed.withColumn("__j", decide.asNondeterministic()("__keys")).withColumns({"rule": F.regexp_extract("__j", "(?s)^[^ ]+ (.*)$", 1), "verdict": F.coalesce(F.substring_index("__j", " ", 1), F.lit(unlisted))}).drop("__keys", "__j")
 
 
 #: The rules of the registered query, by (action, host, path).
