@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, language_model, ngram_join, packing, quality_rules, quotes, url_cascade
+from . import chunk_dedup, decontaminate, fm_quality, language_model, ngram_join, packing, quality_rules, quotes, url_cascade
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
     return linked.select("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked", "unlinked")
@@ -49,5 +53,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op3_gru_lm, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op3_gru_lm, op4_fm_quality, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op10_quality_rules)}
 ORACLE_SQL = {"op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
