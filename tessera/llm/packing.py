@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 END_ID = 1
-#: Words whose ids a worker keeps; the memory of a Python worker is bounded by it.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker keeps, twice: those since the last change and those before. Bounds the memory of a Python worker.
+MEMO_WORDS = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -38,7 +38,8 @@ class Limits:
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers, word by word through a bounded memo.
 
-    The vocabulary's pre-tokenizer never joins across ASCII white space, so a text's ids are its words' ids in order.
+    The vocabulary's pre-tokenizer never joins across ASCII white space, so a text's ids are its words' ids in order. Words
+    of letters only are encoded many at a time: the last token of each one carries the word-end suffix and parts them again.
     """
 
     def __init__(self, path: str):
@@ -46,34 +47,65 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
 
-    @staticmethod
-    def _stem(word: bytes) -> tuple[bytes, bytes]:
-        """Pure ASCII words lower-cased; closing marks after a letter are tokens of their own."""
-        if not word.isascii() or b"<|" in word:
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(b".,;:!?")
-        return (stem, word[len(stem) :]) if stem.isalpha() else (word, b"")
+    def _letters(self, words: list[bytes]) -> None:
+        """Words that are one pre-token each."""
+        parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) != len(part):  # lower-casing has split a word
+                self._one_by_one(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, to in zip(part, stops.tolist(), strict=True):
+                self.memo[w] = raw[at:to]
+                at = to
+
+    def _learn(self, words: set[bytes]) -> None:
+        memo, old, letters, others, marked = self.memo, self.old, set(), set(), []
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                memo[w] = ids
+                continue
+            # marks after a letter are a token of their own
+            stem = w.rstrip(b".,;:!?")
+            if stem.isalpha() or (not stem.isascii() and stem.decode().isalpha()):
+                low, mark = stem.lower(), w[len(stem) :]
+                if low not in memo:
+                    if (ids := old.get(low)) is not None:
+                        memo[low] = ids
+                    else:
+                        letters.add(low)
+                if mark and mark not in memo:
+                    others.add(mark)
+                if low != w:
+                    marked.append((w, low, mark))
+            else:
+                others.add(w)
+        self._letters(list(letters))
+        self._one_by_one(list(others))
+        for w, low, mark in marked:
+            memo[w] = memo[low] + memo[mark] if mark else memo[low]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo, split = self.memo, [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for ws in split for w in set(ws) if w not in memo}
+            self.old, self.memo = self.memo, {}
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        new = set().union(*split).difference(self.memo)
         if new:
-            parts = {w: self._stem(w) for w in new}
-            todo = {x for p in parts.values() for x in p if x and x not in memo}
-            self._encode(sorted(todo))
-            for w, (stem, mark) in parts.items():
-                memo[w] = memo[stem] + memo[mark] if mark else memo[stem]
-        end = END_ID.to_bytes(4, "little")
-        return [b"".join(map(memo.__getitem__, ws)) + end for ws in split]
+            self._learn(new)
+        get, end = self.memo.__getitem__, END_ID.to_bytes(4, "little")
+        return [b"".join(map(get, ws)) + end for ws in split]
 
 
 @dataclass
