@@ -1,12 +1,18 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline of five stages over `documents`: rules, near copies, repeated passages, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has kept. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import chunk_dedup, decontaminate, ngram_join, packing, quality_rules
 from tessera.llm.common import scratch_root, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,7 +23,37 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", keep_good)]
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a Jaccard similarity of 0.8 over 5-word shingles, the one with the smallest id."""
+    groups = ngram_join.jaccard_components(docs, k=5, percent=80)
+    return docs.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that another one has first; those of which nothing is left go."""
+    left = chunk_dedup.dedup(docs).filter((F.col("removed_words") == 0) | (F.col("removed_words") < F.col("n_words")))
+    return left.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which at most a twentieth lies in 13-word windows of the benchmark."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+#: Not expressible: tokens and places of pieces come from a tokenizer and a packer.
 ORACLE_SQL = None
 
 

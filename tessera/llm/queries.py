@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, fm_quality, language_model, ngram_join, packing, quality_rules, quotes, url_cascade
+from . import chunk_dedup, decontaminate, fm_quality, language_model, licenses, ngram_join, packing, quality_rules, quotes, url_cascade
 from .common import table
 
 
@@ -48,10 +48,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op3_gru_lm, op4_fm_quality, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op3_gru_lm, op4_fm_quality, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op9_license_scan, op10_quality_rules)}
 ORACLE_SQL = {"op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
