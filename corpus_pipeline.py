@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunk_dedup, decontaminate, ngram_join, packing, quality_rules
-from tessera.llm.common import scratch_root, table
+from tessera.llm.common import broadcast_if_small, materialize, scratch_root, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,7 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 over 5-word shingles, the one with the smallest id."""
     groups = ngram_join.jaccard_components(docs, k=5, percent=80)
-    return docs.join(groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    others = materialize(groups.filter("component_id <> doc_id").select("doc_id"), "others")
+    return docs.join(broadcast_if_small(others), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at most a twentieth lies in 13-word windows of the benchmark."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    bad = materialize(found.filter("contaminated").select("doc_id"), "contaminated")
+    return docs.join(broadcast_if_small(bad), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def broadcast_if_small(written: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast where its counted rows are at most `rows` (some 100 MB); larger ones
+    are left to Spark's shuffled joins."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only: lower() on pure ASCII, a character map where other letters occur (lower() would change them too)."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import broadcast_if_small, materialize, small_batches
 from .components import components
 from .shingles import Shingler, mix, set_id
 
@@ -238,7 +238,7 @@ def _verified(docs: DataFrame, members: DataFrame, k: int, percent: int, key: st
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "links"])
 
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(members, "id")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(broadcast_if_small(members), "id")
     sets = texts.mapInPandas(spread, "part long, i int, j int, side boolean, sid long, copies long, s binary")
     return sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(meet, "a long, b long, links long")
 
