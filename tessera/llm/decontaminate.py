@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, materialize
+from .common import LOWER, UPPER, ascii_lower, broadcast_if_small, materialize
 
 #: Words of both sides; bytes of other alphabets belong to words. Capitals are folded word by word afterwards.
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of a term table that is broadcast: some 100 MB at most.
+#: Rows of a term table that is broadcast: some 30 MB at most.
 BROADCAST_ROWS = 300_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,18 +28,13 @@ def folded_words(text: Column) -> Column:
     return F.transform(raw_words(text), ascii_lower)
 
 
-def small(df: DataFrame) -> bool:
-    """Whether a written table is small enough to be broadcast; beyond, joins are left to Spark."""
-    return df.count() <= BROADCAST_ROWS
-
-
 def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index of docs for terms: (key, position, term), with the other columns of terms along.
 
     terms is a written table with one or more rows per `term`; it is broadcast where its counted rows are few.
     """
     each = docs.select(F.col(key), F.posexplode(raw_words(F.col(text))).alias("position", "w"))
-    return each.select(key, "position", ascii_lower(F.col("w")).alias("term")).join(F.broadcast(terms) if small(terms) else terms, "term")
+    return each.select(key, "position", ascii_lower(F.col("w")).alias("term")).join(broadcast_if_small(terms, BROADCAST_ROWS), "term")
 
 
 def windows(items: DataFrame, length: int = 13, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -58,41 +53,31 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", tex
 
 
 def anchors(wins: DataFrame, counts: DataFrame, per_window: int = 2) -> DataFrame:
-    """(term, window_id, size, shift, r, needed, words): the rarest places of each window, r from 0; needed has a bit for each.
+    """(term, window_id, size, shift, r, needed): the rarest places of each window, r from 0; needed has a bit for each.
 
     Windows with a term that never occurs in the corpus are gone.
     """
-    placed = wins.select("window_id", "words", F.size("words").alias("size"), F.posexplode("words").alias("shift", "term")).join(counts, "term", "left")
+    placed = wins.select("window_id", F.size("words").alias("size"), F.posexplode("words").alias("shift", "term")).join(counts, "term", "left")
     by_window = Window.partitionBy("window_id")
     ranked = placed.withColumn("absent", F.max(F.col("n").isNull()).over(by_window)).withColumn("r", F.row_number().over(by_window.orderBy("n", "shift")) - 1)
     kept = ranked.filter(~F.col("absent") & (F.col("r") < per_window))
     needed = F.expr(f"shiftleft(1, least(size, {per_window})) - 1")
-    return kept.select("term", "window_id", "size", "shift", "r", needed.alias("needed"), "words")
+    return kept.select("term", "window_id", "size", "shift", "r", needed.alias("needed"))
 
 
 def phrase_matches(docs: DataFrame, wins: DataFrame, key: str = "doc_id", text: str = "text", per_window: int = 2) -> DataFrame:
     """(key, window_id, start, size): every occurrence of a window in docs, by word number from 0.
 
-    key must identify a document; repeated keys give the occurrences of each row merged. Where the anchors are few enough to be
-    broadcast, a posting is compared with its window while the document's words are at hand, inside one generated loop; else
-    the documents of what the intersection leaves are read again.
+    key must identify a document; repeated keys give the occurrences of each row merged. The words of the few documents that
+    are left by the intersection are read again and compared; texts are not shuffled unless those documents are many.
     """
     vocabulary = materialize(wins.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     rare = materialize(anchors(wins, materialize(term_counts(docs, vocabulary, key, text), "counts"), per_window), "anchors")
-    at_hand = small(rare)
-    bit = F.expr("shiftleft(1, r)")
-    if at_hand:
-        each = docs.select(F.col(key), raw_words(F.col(text)).alias("ws")).select(key, "ws", F.posexplode("ws").alias("position", "w"))
-        found = each.withColumn("term", ascii_lower(F.col("w"))).join(F.broadcast(rare), "term").withColumn("start", F.col("position") - F.col("shift"))
-        here = F.transform(F.slice("ws", F.col("start") + 1, F.col("size")), ascii_lower) == F.col("words")
-        found = found.filter("start >= 0").select(key, "window_id", "start", "size", "needed", bit.alias("bit"), here.alias("same"))
-    else:
-        found = postings(docs, rare.drop("words"), key, text).withColumn("start", F.col("position") - F.col("shift")).filter("start >= 0").select(key, "window_id", "start", "size", "needed", bit.alias("bit"), F.lit(True).alias("same"))
-    both = found.groupBy(key, "window_id", "start", "size", "needed").agg(F.bit_or("bit").alias("got"), F.bool_and("same").alias("same"))
-    likely = materialize(both.filter("got = needed and same").select(key, "window_id", "start", "size"), "likely")
-    if at_hand:
-        return likely
-    texts = docs.select(key, text).join(likely.select(key).distinct(), key, "left_semi").select(key, F.posexplode(raw_words(F.col(text))).alias("position", "w"))
+    found = postings(docs, rare, key, text).withColumn("start", F.col("position") - F.col("shift")).filter("start >= 0")
+    both = found.groupBy(key, "window_id", "start", "size", "needed").agg(F.bit_or(F.expr("shiftleft(1, r)")).alias("got"))
+    likely = materialize(both.filter("got = needed").select(key, "window_id", "start", "size"), "likely")
+    keys = broadcast_if_small(materialize(likely.select(key).distinct(), "keys"))
+    texts = docs.select(key, text).join(keys, key, "left_semi").select(key, F.posexplode(raw_words(F.col(text))).alias("position", "w"))
     expected = likely.join(wins.select("window_id", "words"), "window_id").select(key, "window_id", "start", "size", F.posexplode("words").alias("i", "word"))
     expected = expected.withColumn("position", F.col("start") + F.col("i"))
     actual = texts.select(key, "position", ascii_lower(F.col("w")).alias("word"))

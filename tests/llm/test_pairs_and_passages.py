@@ -179,7 +179,7 @@ def windows_of(t, n=13):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_contamination(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "small", lambda df: broadcast)
+    monkeypatch.setattr(decontaminate, "broadcast_if_small", lambda df, *_: F.broadcast(df) if broadcast else df)
     rng = random.Random(8)
     items = [(1, prose(rng, 40)), (2, prose(rng, 13)), (10, "Short Item-text"), (3, None), (4, "?!"), (5, "never seen wordsxyz")]
     docs = [(0, f"{prose(rng, 30)} {items[0][1].upper()} end"), (1, f"a {items[1][1]}, b {items[1][1]}"), (2, "so SHORT item text it is"), (3, None), (4, ""), (5, prose(rng, 500)), (6, f"{prose(rng, 900)} {items[1][1]}"), (7, " ".join(items[0][1].split()[5:18]))]
