@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, ascii_lower
 
@@ -160,17 +162,21 @@ def judge(df: DataFrame, rules: list[UrlRule], url: str = "url", unlisted: str =
     cascades = [(a, build(universe, [r.key for r in rules if r.action == a])) for a in sorted({r.action for r in rules})]
     shared = df.sparkSession.sparkContext.broadcast(cascades)
 
-    @F.pandas_udf("string")
-    def decide(keys: pd.Series) -> pd.Series:
-        """Action, a blank and the rule's key."""
-        flat = list({k for row in keys for k in row})
-        action = {}
-        for name, cascade in shared.value:
-            action.update({k: name for k, y in zip(flat, cascade.listed(flat), strict=True) if y})
-        best = [max((k for k in row if k in action), key=lambda k: (len(k), k.find("/")), default=None) for row in keys]
-        return pd.Series([None if b is None else f"{action[b]} {b}" for b in best], dtype=object)
-
-    return keyed.withColumn("__j", decide.asNondeterministic()("__keys")).withColumns({"rule": F.regexp_extract("__j", "(?s)^[^ ]+ (.*)$", 1), "verdict": F.coalesce(F.substring_index("__j", " ", 1), F.lit(unlisted))}).drop("__keys", "__j")
+    rest = [f for f in keyed.schema.fields if f.name not in ("__keys", "rule", "verdict")]
+    schema = T.StructType([*rest, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("__keys").to_pylist()
+            flat = list({k for row in rows for k in row})
+            action = {}
+            for name, cascade in shared.value:
+                action.update({k: name for k, y in zip(flat, cascade.listed(flat), strict=True) if y})
+            best = [max((k for k in row if k in action), key=lambda k: (len(k), k.find("/")), default=None) for row in rows]
+            added = [pa.array(best, pa.string()), pa.array([unlisted if k is None else action[k] for k in best], pa.string())]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in rest], *added], schema.names)
+
+    return keyed.mapInArrow(decide, schema)
 
 
 #: The rules of the registered query, by (action, host, path).
