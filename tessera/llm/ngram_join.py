@@ -248,7 +248,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
 
     component_id is the smallest key reachable by links; n_links counts the other documents linked directly, exact copies
     included. Null, empty and blank texts have no shingle and link with nothing, also not with each other. key: unique,
-    of a type that can be compared; rows of a null key are kept and link like others. Other columns are not read.
+    of a type that can be compared; a row of a null key is kept and linked only through an exact copy that has a key. Other
+    columns are not read.
     """
     small_batches(docs.sparkSession)
     profile = materialize(_profile(docs, k, key, text), "profile")
