@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -49,6 +50,9 @@ def remove(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:
+        if path.startswith(f"file://{tempfile.gettempdir()}/tessera-"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            continue
         try:
             remove(spark, path)
         except Exception:  # the session may have ended before

@@ -24,7 +24,7 @@ from .common import small_batches
 
 END_ID = 1
 #: Words whose ids a worker keeps, twice: those since the last change and those before. Bounds the memory of a Python worker.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
