@@ -64,7 +64,7 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 def lanes(docs: list[np.ndarray], n: int, bos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,21 +140,20 @@ def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray],
 def _step(p: dict, shape: Shape, x: np.ndarray, y: np.ndarray, keep: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients over one window and the state after it; the gradient stops at the window's start."""
     size, steps, tape = shape.hidden, len(x), []
+    inputs = x.ravel()
+    e = p["E"][inputs]
+    table = (e @ p["Wx"] + p["b"]).reshape(steps, -1, 3 * size)
+    states = np.empty((steps, *h.shape), h.dtype)
     for t in range(steps):
         h = h * keep[t, :, None]
-        e = p["E"][x[t]]
-        g, u = e @ p["Wx"] + p["b"], h @ p["Wh"]
-        z, r = _sigmoid(g[:, :size] + u[:, :size]), _sigmoid(g[:, size : 2 * size] + u[:, size : 2 * size])
-        n = np.tanh(g[:, 2 * size :] + r * u[:, 2 * size :])
-        tape.append((h, e, z, r, n, u[:, 2 * size :]))
-        h = n + z * (h - n)
-    after = [*[s[0] for s in tape[1:]], h]
-    # what the next step saw was h times its keep; the output reads h itself
-    outs = []
-    for t in range(steps):
-        ht, _, z, _, n, _ = tape[t]
-        outs.append(n + z * (ht - n))
-    s = np.concatenate(outs)
+        g, u = table[t], h @ p["Wh"]
+        zr = _sigmoid(g[:, : 2 * size] + u[:, : 2 * size])
+        z, r, un = zr[:, :size], zr[:, size:], u[:, 2 * size :]
+        n = np.tanh(g[:, 2 * size :] + r * un)
+        tape.append((h, z, r, n, un))
+        # what the next step sees is h times its keep; the output reads h itself
+        h = states[t] = n + z * (h - n)
+    s = states.reshape(-1, size)
     target, mask = y.ravel(), live.ravel()
     c = shape.class_of(target)
     rows = np.arange(len(c))
@@ -164,49 +163,70 @@ def _step(p: dict, shape: Shape, x: np.ndarray, y: np.ndarray, keep: np.ndarray,
     q /= q.sum(axis=1, keepdims=True)
     q[rows, c] -= 1
     q *= mask[:, None] / total
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    grad = {k: np.zeros_like(p[k]) for k in ("E", "Ww", "bw")}
     grad["Wc"], grad["bc"] = s.T @ q, q.sum(axis=0)
     ds = q @ p["Wc"].T
-    for k in np.unique(c[(c < shape.classes) & (mask > 0)]):
-        own = rows[(c == k) & (mask > 0)]
-        inner = s[own] @ p["Ww"][k] + p["bw"][k]
-        q = np.exp(inner - inner.max(axis=1, keepdims=True))
+    # words of one class stand together, so that a class is one product
+    own = np.flatnonzero((c < shape.classes) & (mask > 0))
+    if len(own):
+        own = own[np.argsort(c[own], kind="stable")]
+        ks, first = np.unique(c[own], return_index=True)
+        groups = list(zip(ks.tolist(), first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
+        so = s[own]
+        q = np.concatenate([so[a:z] @ p["Ww"][k] for k, a, z in groups]) + p["bw"][c[own]]
+        q = np.exp(q - q.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(own)), target[own] - k * shape.per_class] -= 1
+        q[np.arange(len(own)), target[own] - c[own] * shape.per_class] -= 1
         q /= total
-        grad["Ww"][k], grad["bw"][k] = s[own].T @ q, q.sum(axis=0)
-        ds[own] += q @ p["Ww"][k].T
+        grad["bw"][ks] = np.add.reduceat(q, first)
+        for k, a, z in groups:
+            grad["Ww"][k] = so[a:z].T @ q[a:z]
+        ds[own] += np.concatenate([q[a:z] @ p["Ww"][k].T for k, a, z in groups])
     ds = ds.reshape(steps, -1, size)
     back = np.zeros_like(h)
+    du, dg = np.empty_like(table), np.empty_like(table)
     for t in range(steps - 1, -1, -1):
-        ht, e, z, r, n, un = tape[t]
+        ht, z, r, n, un = tape[t]
         dh = ds[t] + back
-        dz, dn = dh * (ht - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-        dr = dn * un * r * (1 - r)
-        du, dg = np.concatenate([dz, dr, dn * r], axis=1), np.concatenate([dz, dr, dn], axis=1)
-        grad["Wh"] += ht.T @ du
-        grad["Wx"] += e.T @ dg
-        grad["b"] += dg.sum(axis=0)
-        np.add.at(grad["E"], x[t], dg @ p["Wx"].T)
-        back = (dh * z + du @ p["Wh"].T) * keep[t, :, None]
-    return grad, after[-1]
+        out = dh * (1 - z)
+        dn = out * (1 - n * n)
+        d = dg[t]
+        d[:, :size], d[:, size : 2 * size], d[:, 2 * size :] = out * (ht - n) * z, dn * un * r * (1 - r), dn
+        du[t] = d
+        du[t, :, 2 * size :] *= r
+        back = (dh * z + du[t] @ p["Wh"].T) * keep[t, :, None]
+    dg, du = dg.reshape(-1, 3 * size), du.reshape(-1, 3 * size)
+    grad["Wh"], grad["Wx"], grad["b"] = np.concatenate([x[0] for x in tape]).T @ du, e.T @ dg, dg.sum(axis=0)
+    order = np.argsort(inputs, kind="stable")
+    used, first = np.unique(inputs[order], return_index=True)
+    grad["E"][used] = np.add.reduceat((dg @ p["Wx"].T)[order], first)
+    return grad, h
 
 
 def train(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray], bos: int, width: int = 16, window: int = 16, rate: float = 0.004) -> dict[str, np.ndarray]:
     """One pass over docs by truncated backpropagation with Adam; the state is carried across windows of a document."""
-    p = {k: v.copy() for k, v in p.items()}
     if not docs:
-        return p
+        return {k: v.copy() for k, v in p.items()}
     x, y, keep, place = lanes(docs, min(width, len(docs)), bos)
-    m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
+    # all parameters are one vector, of which those by name are views
+    flat = pack(p)
+    views, at = {}, 0
+    for k in sorted(p):
+        views[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((x.shape[1], shape.hidden), np.float32)
     for n, lo in enumerate(range(0, len(x), window), 1):
         cut = slice(lo, lo + window)
-        grad, h = _step(p, shape, x[cut], y[cut], keep[cut], (place[cut] >= 0).astype(np.float32), h)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
-            g = g * min(1.0, 1.0 / (norm + 1e-9))
-            m[k] += 0.1 * (g - m[k])
-            v[k] += 0.01 * (g * g - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)
-    return p
+        grad, h = _step(views, shape, x[cut], y[cut], keep[cut], (place[cut] >= 0).astype(np.float32), h)
+        g = pack(grad)
+        g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+        m += 0.1 * (g - m)
+        g *= g
+        v += 0.01 * (g - v)
+        step = np.sqrt(v * (1 / (1 - 0.99**n)))
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= rate / (1 - 0.9**n)
+        flat -= step
+    return views

@@ -5,9 +5,9 @@ and output classes of their own; every other word belongs to a tail class by its
 smoothed share of the class. Counts of the most frequent words are held by every worker (KNOWN of them, whatever the
 input); those of rarer words are joined to the documents by word hash, so each count is exact.
 
-The recurrent part learns from every 16th training document, so what it gathers grows with the input: each partition
-trains a copy by truncated backpropagation, and copies are averaged by their tokens after each of three rounds. A
-document's state starts at zero and is carried across windows to its end.
+The recurrent part learns from all training documents, each in one of three rounds by its hash: each partition trains a
+copy by truncated backpropagation, and copies are averaged by their tokens after each round. A document's state starts at
+zero and is carried across windows to its end.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .common import crc_bucket, materialize, small_batches
 
 #: Words whose counts every worker holds; the rest is joined. Words with vectors; output classes of such words; tail classes.
 KNOWN, HEAD, CLASSES, TAILS = 120_000, 960, 32, 16
-#: One in so many training documents trains the recurrent part; rounds of averaging; tokens pooled for scoring.
-EVERY, ROUNDS, POOL = 16, 3, 2_000_000
+#: One in so many training documents trains the recurrent part (all); rounds of averaging; tokens pooled for training and scoring.
+EVERY, ROUNDS, POOL = 1, 3, 2_000_000
 END = b""
 
 

@@ -154,6 +154,21 @@ def test_language_model(spark, monkeypatch, known):
         assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_every_training_document_trains_the_recurrent_part_once(spark, monkeypatch):
+    seen, average = [], language_model._average
+
+    def spy(blobs):
+        seen.append(blobs.agg({"weight": "sum"}).first()[0] or 0)
+        return average(blobs)
+
+    monkeypatch.setattr(language_model, "_average", spy)
+    rows = [(i, f"bix cet {i}") for i in range(60)] + [(None, "null key"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = language_model.fit(docs, language_model.count_words(docs))
+    assert len(seen) == language_model.ROUNDS
+    assert sum(seen) == model.tokens == 60 * 4 + 3 + 1
+
+
 def test_language_model_of_nothing(spark):
     assert language_model.held_out_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
