@@ -1,9 +1,9 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A text is cut before words where the gear hash of the 16 bytes before falls below a bound, so an insertion moves the cuts
-near it only and a passage has the same chunks wherever it stands. A chunk that an earlier document has (or that stands
-earlier in its own document) is a repeat; runs of repeats of at least min_words words are removed. Shorter runs stay: in
-ordinary prose a few words return by chance.
+near it only and a passage has the same chunks wherever it stands. A run is the shortest row of chunks from or up to a chunk
+that has min_words words; one that an earlier document has as a whole (or that stands earlier in its own document) is a
+repeat and is removed. Shorter repeats stay: in ordinary prose a few words return by chance.
 """
 
 from __future__ import annotations
@@ -65,19 +65,44 @@ def digests(raw: bytes, at: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(raw[a:z].rstrip()) for a, z in zip(ends, ends[1:], strict=False)], np.uint64).view(np.int64)
 
 
+#: Odd, so that it has an inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def runs(raw: bytes, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from chunk, to chunk, signed digest) of the runs of a text, by place: from each chunk on and up to each chunk.
+
+    A long stretch without blanks counts by its bytes. The digest is of the chunks' digests in order.
+    """
+    b, d = np.frombuffer(raw, np.uint8), digests(raw, at).view(np.uint64)
+    m = len(d)
+    space = _SPACE[b]
+    begins = ~space & np.r_[True, space[:-1]]
+    words = np.r_[0, np.cumsum(begins)][at]
+    k = np.arange(m + 1)
+    stop = np.minimum(np.searchsorted(words, words + min_words), np.searchsorted(at, at + 16 * min_words))
+    start = np.maximum(np.searchsorted(words, words - min_words, "right"), np.searchsorted(at, at - 16 * min_words, "right")) - 1
+    on, back = stop <= m, start >= 0
+    lo, hi = np.divmod(np.unique(np.r_[k[on] * (m + 1) + stop[on], start[back] * (m + 1) + k[back]]), m + 1)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(m, _BASE, np.uint64)])
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(m, pow(_BASE, -1, 1 << 64), np.uint64)])
+    total = np.r_[np.uint64(0), np.cumsum(d * power[:m])]
+    return lo, hi, mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, id, n): each different chunk of a document and how often it has it."""
+def _runs(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """(digest, id, n): each different run of a document and how often it has it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found, ids, counts = [], [], []
             for i, t in zip(b["id"], b["t"], strict=True):
                 raw = _bytes(t)
-                d, n = np.unique(digests(raw, cuts(raw)), return_counts=True) if raw.strip() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                d, n = np.unique(runs(raw, cuts(raw), min_words)[2], return_counts=True) if raw.strip() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 found.append(d)
                 counts.append(n)
                 ids += [i] * len(d)
@@ -88,11 +113,11 @@ def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInPandas(run, f"digest long, id {kind}, n int")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, later, own): digests of a document's chunks that an earlier document has, and of those it is the first to have but has twice."""
-    chunks = _chunks(docs, key, text)
-    many = materialize(chunks.groupBy("digest").agg(F.min("id").alias("first"), F.sum("n").alias("c")).filter("c > 1").select("digest", "first"), "repeated")
-    marked = chunks.join(many, "digest").filter("id <> first or n > 1")
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 16) -> DataFrame:
+    """(id, later, own): digests of a document's runs that an earlier document has, and of those it is the first to have but has twice."""
+    found = _runs(docs, key, text, min_words)
+    many = materialize(found.groupBy("digest").agg(F.min("id").alias("first"), F.sum("n").alias("c")).filter("c > 1").select("digest", "first"), "repeated")
+    marked = found.join(many, "digest").filter("id <> first or n > 1")
     return marked.groupBy("id").agg(F.collect_list(F.when(F.col("id") != F.col("first"), F.col("digest"))).alias("later"), F.collect_list(F.when(F.col("id") == F.col("first"), F.col("digest"))).alias("own"))
 
 
@@ -105,7 +130,7 @@ def dedup(docs: DataFrame, min_words: int = 16, key: str = "doc_id", text: str =
     nothing. Columns of the added names are replaced; all others pass through.
     """
     small_batches(docs.sparkSession)
-    marks = materialize(repeats(docs, key, text), "marks")
+    marks = materialize(repeats(docs, key, text, min_words), "marks")
     rest = [c for c in docs.columns if c not in (text, "n_words", "removed_words", "spans")]
     put = {"__t": F.col(text), "__later": F.col("later"), "__own": F.col("own")}
     joined = docs.join(marks.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left").select(*rest, *[c.alias(n) for n, c in put.items()])
@@ -116,21 +141,19 @@ def dedup(docs: DataFrame, min_words: int = 16, key: str = "doc_id", text: str =
         if later is None or not total:
             return t, total, 0, []
         at = cuts(raw)
-        d = digests(raw, at)
+        lo, hi, d = runs(raw, at, min_words)
         hit = np.isin(d, later)
         if len(own):
             first = np.zeros(len(d), bool)
             first[np.unique(d, return_index=True)[1]] = True
             hit |= np.isin(d, own) & ~first
-        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+        depth = np.bincount(lo[hit], minlength=len(at)) - np.bincount(hi[hit], minlength=len(at))
+        edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(depth)[:-1] > 0, False].astype(np.int8)))
         spans, kept, gone, end = [], [], 0, 0
         for a, z in zip(at[edge[::2]].tolist(), at[edge[1::2]].tolist(), strict=True):
-            n = len(raw[a:z].split())
-            # a long stretch without blanks counts by its bytes
-            if n >= min_words or z - a >= 16 * min_words:
-                spans.append((a, z))
-                kept.append(raw[end:a])
-                gone, end = gone + n, z
+            spans.append((a, z))
+            kept.append(raw[end:a])
+            gone, end = gone + len(raw[a:z].split()), z
         if not spans:
             return t, total, 0, []
         places = [(len(raw[:a].decode()), len(raw[:z].decode())) for a, z in spans]
