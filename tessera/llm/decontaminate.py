@@ -89,7 +89,8 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, key: str =
     """(key, phrase_id, start, end): places where all words of a phrase stand in order with at most slop words between neighbours.
 
     phrases: (phrase_id, words). The search starts from each phrase's rarest word; each further word is looked up next to
-    the span found so far, outward from the rarest, nearest place first.
+    the span found so far, outward from the rarest. Every place within reach is kept, as a farther one may be the only one
+    that the next word is in reach of.
     """
     vocabulary = materialize(phrases.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     placed = phrases.select("phrase_id", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
@@ -109,9 +110,7 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, key: str =
             want = here.filter((F.col("i") >= 0) & (F.col("i") < F.col("size"))).join(placed.select("phrase_id", "i", "term"), ["phrase_id", "i"])
             edge = F.col("end") if side > 0 else F.col("start")
             near = want.join(lists.select(key, "term", "position"), [key, "term"]).filter(((F.col("position") - edge) * side).between(1, slop + 1))
-            to = (F.min if side > 0 else F.max)("position").alias("to")
-            grown = near.groupBy(key, "phrase_id", "size", "from_i", "start", "end").agg(to)
-            grown = grown.withColumn("end" if side > 0 else "start", F.col("to")).drop("to")
+            grown = near.withColumn("end" if side > 0 else "start", F.col("position")).select(key, "phrase_id", "size", "from_i", "start", "end").distinct()
             spans = done.unionByName(grown)
     return spans.select(key, "phrase_id", "start", "end").distinct()
 
