@@ -55,7 +55,7 @@ def _units(messages: DataFrame, quoted: bool, least_chars: int) -> DataFrame:
     kind = (lambda x: x["level"] > 0) if quoted else (lambda x: x["level"] == 0)
     whole = F.transform("passages", lambda x, i: F.struct(x["level"].alias("level"), i.alias("place"), x["passage"].alias("passage")))
     single = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), (-1 - i).alias("place"), normalised(x["line"]).alias("passage")))
-    both = F.filter(F.concat(whole, single), lambda x: kind(x) & (F.length(x["passage"]) >= least_chars))
+    both = F.filter(F.concat(whole, single), lambda x: kind(x) & (F.length(x["passage"]) >= F.when(x["place"] < 0, least_chars).otherwise(1)))
     return messages.select("conv", "turn", F.explode(both).alias("u")).select("conv", "turn", "u.level", "u.place", F.xxhash64("u.passage").alias("hash"), "u.passage")
 
 
@@ -73,7 +73,7 @@ def _chains(links: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", least_chars: int = 2) -> DataFrame:
     """messages with text rid of its quotes, and reply_to (turn of the message answered, null: none), thread (turn its chain of
     replies starts from), depth (replies between), n_quotes (quoted passages), n_linked (of them, found in an earlier message)
-    and unlinked (the passages that were not found, so nothing is lost).
+    and unlinked (the passages that were not found, so nothing is lost). Single lines of a passage are looked up from least_chars on.
 
     In a conversation, order by thread, turn gives the reply order. Null texts stay null, texts of quotes only become empty.
     Messages of a null conversation or turn are not linked. Repeated rows are kept and linked alike; of several messages with
