@@ -259,7 +259,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: C
     """(key, families, n_units, spans) per row of docs: the sorted families found, the number of units that name one, and
     (family, start, stop, probability, confirmation) of each, in characters of the whole text.
 
-    A block that names a family counts only where none of its lines does. Null, empty and blank texts have none. Repeated rows
+    A block that names a family counts only where none of its lines does; a long block is covered by overlapping windows of its
+    lines. SPDX identifiers are confirmed by how they start, and each names a family whatever the classifier says. Null, empty and blank texts have none. Repeated rows
     give equal results. Only key and text are read.
     """
     small_batches(docs.sparkSession)
@@ -283,6 +284,36 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: C
     return found.select(F.col("k").alias(key), "families", F.col("n").alias("n_units"), "spans")
 
 
+_SPDX = re.compile(rb"spdx-license-identifier\s*:\s*([^\r\n]*)", re.I)
+#: Families by the start of an SPDX identifier; the longest start counts.
+_STARTS = {
+    "apache-2.0": "Apache-2.0", "mit": "MIT", "bsd": "BSD", "0bsd": "BSD", "gpl-3.0": "GPL-3.0", "gpl-2.0": "GPL-2.0", "lgpl": "LGPL", "agpl": "AGPL", "mpl-2.0": "MPL-2.0", "isc": "ISC", "unlicense": "Unlicense",
+    "cc0": "CC0", "cc-by": "CC-BY", "cc-by-sa": "CC-BY-SA", "cc-by-nc": "CC-BY-NC",
+}
+
+
+def spdx_families(line: bytes) -> list[str]:
+    """Families of the identifiers of an SPDX line; what follows WITH is an exception and none of them."""
+    m = _SPDX.search(line)
+    ids = re.findall(r"(?:\bwith\s+)?[a-z0-9.+-]+", m[1].decode("utf-8", "replace").lower()) if m else []
+    # an identifier ends its start: mit, mit-0, but not mitre
+    fits = [[s for s in _STARTS if re.match(re.escape(s) + r"(?:[-+]|$)", i)] for i in ids]
+    return sorted({_STARTS[max(f, key=len)] for f in fits if f})
+
+
+def _windows(at: np.ndarray, i: int, j: int) -> Iterator[tuple[int, int, int, int]]:
+    """Windows of lines that cover the block of lines i to j, of several sizes in words, each half over the one before."""
+    for words in (BLOCK_WORDS // 8, BLOCK_WORDS // 4, BLOCK_WORDS // 2, BLOCK_WORDS):
+        lo = i
+        while lo < j:
+            hi = min(j, max(lo + 1, int(np.searchsorted(at, at[lo] + words, "right")) - 1))
+            if hi - lo > 1 and at[hi] > at[lo]:
+                yield at[lo], at[hi], lo, hi
+            if hi == j:
+                break
+            lo = min(hi, max(lo + 1, int(np.searchsorted(at, at[lo] + words // 2, "right")) - 1))
+
+
 def _scan_one(raw: bytes, c: Classifier, lead: tuple[np.ndarray, float], memo: _Memo, templates: dict[str, list[set[int]]]) -> list[dict]:
     lines = raw.split(b"\n")
     hashed = [_hashes(memo, x.lower().split()) if x else np.zeros(0, np.uint64) for x in lines]
@@ -293,7 +324,12 @@ def _scan_one(raw: bytes, c: Classifier, lead: tuple[np.ndarray, float], memo: _
     at = np.r_[0, np.cumsum(size)]
     units = [(at[i], at[i + 1], i, i + 1) for i in np.flatnonzero(size)]
     full = np.flatnonzero(np.diff(np.r_[0, [bool(re.search(rb"\S", x)) for x in lines], 0]))
-    units += [(at[i], at[j], i, j) for i, j in zip(full[::2], full[1::2], strict=True) if j - i > 1 and 0 < at[j] - at[i] <= BLOCK_WORDS]
+    for i, j in zip(full[::2].tolist(), full[1::2].tolist(), strict=True):
+        if at[j] - at[i] > BLOCK_WORDS:
+            units += dict.fromkeys(_windows(at, i, j))
+        elif j - i > 1 and at[j] > at[i]:
+            units.append((at[i], at[j], i, j))
+    named = {i: f for i, x in enumerate(lines) if b":" in x and (f := spdx_families(x))}
     # units that cannot be anything but unknown go by a bound, which needs one running sum instead of one for each family
     one, two = _features(words)
     gain, bias = np.r_[0, np.cumsum(lead[0][one])], lead[1]
@@ -301,14 +337,18 @@ def _scan_one(raw: bytes, c: Classifier, lead: tuple[np.ndarray, float], memo: _
     spans = np.array([u[:2] for u in units])
     a, z = spans.T
     most = (gain[z] - gain[a] + pair[z - 1] - pair[a]) / np.sqrt(2 * (z - a) - 1) + bias
-    units = [units[k] for k in np.flatnonzero(most > -1e-6)]
+    units = [u for u, m in zip(units, most.tolist(), strict=True) if m > -1e-6 or (u[3] - u[2] == 1 and u[2] in named)]
     if not units:
         return []
     p = c.probabilities(words, np.array([u[:2] for u in units]))
     best = p[:, :-1].argmax(axis=1)
     sure = p[np.arange(len(p)), best]
     out: list[dict] = []
-    taken: set[int] = set()
+    taken: set[int] = set(named)
+    for k, (_, _, i, j) in enumerate(units):
+        if j - i == 1 and i in named:
+            start = len(raw[: sum(len(x) + 1 for x in lines[:i])].decode())
+            out += [{"family": f, "start": start, "stop": start + len(lines[i].decode()), "probability": float(p[k, c.families.index(f)]), "confirmation": 1.0} for f in named[i]]
     for k in np.flatnonzero((sure >= c.bound) & (p.argmax(axis=1) != p.shape[1] - 1)):
         a, z, i, j = units[k]
         family = c.families[best[k]]
