@@ -122,6 +122,12 @@ def j16_detail_versions(spark, d):
     return mine.groupBy("resource_id").agg(F.sort_array(F.collect_list("version"), asc=False).alias("versions"), F.count("*").alias("n"))
 
 
+@register("j16_detail_versions_all", ORACLES["j16_detail_versions"].replace(" WHERE resource_id < 100", ""))
+def j16_detail_versions_all(spark, d):
+    mine = V.versions(spark, d)
+    return mine.groupBy("resource_id").agg(F.sort_array(F.collect_list("version"), asc=False).alias("versions"), F.count("*").alias("n"))
+
+
 @register("a18_totals", f"WITH {RESOURCES} SELECT count(*) FILTER (WHERE {SNAP} AND status = 'active') AS total, count(*) FILTER (WHERE {SNAP}) AS snapshot_total FROM resources")
 def a18_totals(spark, d):
     return C.totals(V.resources(spark, d), F.col("status") == "active", C.in_snapshot(30))
@@ -161,6 +167,12 @@ def w8_next_version(spark, d):
     return C.next_versions(V.versions(spark, d).filter("resource_id % 2 = 0"), new, "resource_id", "s").select("resource_id", "s", "version")
 
 
+@register("w8_next_version_all", ORACLES["w8_next_version"].replace(" WHERE l_partkey < 60", "").replace(" WHERE resource_id % 2 = 0", ""))
+def w8_next_version_all(spark, d):
+    new = V.read(spark, d, "lineitem").select(F.col("l_partkey").alias("resource_id"), F.col("l_suppkey").alias("s")).distinct()
+    return C.next_versions(V.versions(spark, d), new, "resource_id", "s").select("resource_id", "s", "version")
+
+
 @register("w9_round_robin", "WITH r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY sha256('s' || chr(0) || p_partkey), p_partkey) AS t FROM part) SELECT p_partkey, p_type FROM r ORDER BY t, sha256('s' || chr(0) || p_type), p_type LIMIT 37")
 def w9_round_robin(spark, d):
     return E.stratified(V.read(spark, d, "part").select("p_partkey", "p_type"), ["p_type"], "p_partkey", 37, "s")
@@ -171,12 +183,23 @@ def o5_nulls_first(spark, d):
     return V.resources(spark, d).select("id", "retired_version").orderBy(F.asc_nulls_first("retired_version"), "id").limit(1900)
 
 
+@register("o5_nulls_first_all", ORACLES["o5_nulls_first"].replace(" LIMIT 1900", ""))
+def o5_nulls_first_all(spark, d):
+    return V.resources(spark, d).select("id", "retired_version").orderBy(F.asc_nulls_first("retired_version"), "id")
+
+
 @register("o8_seeded_order", "SELECT c_custkey, sha256('seed-1' || chr(0) || c_custkey) AS k FROM customer ORDER BY k, c_custkey LIMIT 100")
 def o8_seeded_order(spark, d):
     rows = V.read(spark, d, "customer").select("c_custkey", T.seeded("seed-1", F.col("c_custkey")).alias("k"))
     return rows.orderBy("k", "c_custkey").limit(100)
 
 
+@register("o8_seeded_order_all", ORACLES["o8_seeded_order"].replace(" LIMIT 100", ""))
+def o8_seeded_order_all(spark, d):
+    rows = V.read(spark, d, "customer").select("c_custkey", T.seeded("seed-1", F.col("c_custkey")).alias("k"))
+    return rows.orderBy("k", "c_custkey")
+
+
 @register("u2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u2_set_difference(spark, d):
     return V.read(spark, d, "documents").select("doc_id").subtract(V.read(spark, d, "labels").select("doc_id"))

@@ -77,6 +77,12 @@ def u6_array_append(spark, d):
     return rows.agg(F.concat(F.sort_array(F.collect_set("l_suppkey")), F.array(F.count("*"))).alias("ids"))
 
 
+@register("u6_array_append_all", ORACLES["u6_array_append"].replace(" WHERE l_partkey < 200", ""))
+def u6_array_append_all(spark, d):
+    rows = V.read(spark, d, "lineitem").groupBy("l_partkey")
+    return rows.agg(F.concat(F.sort_array(F.collect_set("l_suppkey")), F.array(F.count("*"))).alias("ids"))
+
+
 @register("r1_normalized_queries", "SELECT item_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 512) AS q FROM benchmark")
 def r1_normalized_queries(spark, d):
     return V.read(spark, d, "benchmark").select("item_id", T.normalize_query(F.col("text")).alias("q"))
@@ -107,6 +113,14 @@ def r20_overlap_score(spark, d):
     return both.select("item_id", "n_nationkey", score.cast("bigint").alias("score"))
 
 
+@register("r20_overlap_score_all", ORACLES["r20_overlap_score"].replace(" WHERE item_id < 5", ""))
+def r20_overlap_score_all(spark, d):
+    q = V.read(spark, d, "benchmark").select("item_id", "text")
+    both = V.read(spark, d, "nation").select("n_nationkey", "n_name").join(F.broadcast(q), F.lit(True))
+    score = R.overlap_score(F.col("text"), F.col("n_name"), F.col("n_name"), F.col("n_nationkey") % 2 == 0)
+    return both.select("item_id", "n_nationkey", score.cast("bigint").alias("score"))
+
+
 @register("r21_judgment_pool", """WITH c AS (SELECT l_partkey AS q, l_orderkey * 8 + l_linenumber AS k, l_returnflag AS source, l_quantity AS score FROM (SELECT l_partkey, l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem WHERE l_partkey < 50 GROUP BY 1, 2, 3)),
  s AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, k) AS s FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s > 1, score DESC, k) AS f FROM s)
  SELECT q, k, source, score, row_number() OVER (PARTITION BY q ORDER BY sha256('p' || chr(0) || q || '|' || k), k) AS place FROM f WHERE f <= 6""")
@@ -116,6 +130,13 @@ def r21_judgment_pool(spark, d):
     return R.judgment_pool(c, "q", "k", 6, "p")
 
 
+@register("r21_judgment_pool_all", ORACLES["r21_judgment_pool"].replace(" WHERE l_partkey < 50", ""))
+def r21_judgment_pool_all(spark, d):
+    rows = V.read(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("source"), F.max("l_quantity").alias("score"))
+    c = rows.select(F.col("l_partkey").alias("q"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "source", "score")
+    return R.judgment_pool(c, "q", "k", 6, "p")
+
+
 @register("r22_fetch_positions", "WITH s AS (SELECT event_id % 500 AS session_id, list(user_id ORDER BY ts, event_id) AS shown FROM events WHERE event_type = 'view' GROUP BY 1) SELECT event_id, CASE WHEN list_position(shown, user_id) > 0 THEN list_position(shown, user_id)::BIGINT END AS position FROM (SELECT *, event_id % 500 AS session_id FROM events WHERE event_type = 'click') LEFT JOIN s USING (session_id)")
 def r22_fetch_positions(spark, d):
     events = V.read(spark, d, "events").withColumn("session_id", F.col("event_id") % 500)
@@ -157,6 +178,11 @@ def d5_flattened(spark, d):
     return V.read(spark, d, "events").filter("event_id < 500").select("event_id", R.flattened(F.col("props")).alias("lines"))
 
 
+@register("d5_flattened_all", ORACLES["d5_flattened"].replace(" WHERE event_id < 500", ""))
+def d5_flattened_all(spark, d):
+    return V.read(spark, d, "events").select("event_id", R.flattened(F.col("props")).alias("lines"))
+
+
 @register("d8_probes", "SELECT l.doc_id, CASE WHEN l.toxic = 1 OR e.label = 0 THEN 'unsafe' WHEN e.label IS NULL THEN 'active' ELSE 'probed' END AS status FROM labels l LEFT JOIN embeddings e ON vec_id = doc_id")
 def d8_probes(spark, d):
     recs = V.read(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "unsafe").otherwise("active").alias("status"))
@@ -206,6 +232,14 @@ def e23_seed_selection(spark, d):
     return R.seeded_selection(c, "q", "k", 7, 2, "z").select("q", "k", "place")
 
 
+@register("e23_seed_selection_all", ORACLES["e23_seed_selection"].replace(" WHERE p_partkey < 150", ""))
+def e23_seed_selection_all(spark, d):
+    parts = V.read(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    c = parts.join(F.broadcast(V.read(spark, d, "region").select(F.col("r_regionkey").alias("q"))), F.lit(True))
+    c = c.withColumn("is_anchor", F.col("k") % 97 == F.col("q")).withColumn("same_family", ~F.col("is_anchor") & (F.col("p_size") == F.col("q") + 1))
+    return R.seeded_selection(c, "q", "k", 7, 2, "z").select("q", "k", "place")
+
+
 @register("e24_review_decisions", "WITH r AS (SELECT quality AS g, toxic AS f, CASE doc_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'corrected' ELSE 'rejected' END AS decision FROM labels) SELECT decision, count(*) AS n, count(*) FILTER (WHERE (decision = 'approved' AND g <> f) OR (decision = 'corrected' AND g = f)) AS broken, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM r GROUP BY 1")
 def e24_review_decisions(spark, d):
     kind = F.when(F.col("doc_id") % 3 == 0, "approved").when(F.col("doc_id") % 3 == 1, "corrected").otherwise("rejected")

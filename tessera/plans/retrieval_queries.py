@@ -142,6 +142,13 @@ def r17_jaccard(spark, d):
     return F.broadcast(a).join(b, F.col("a") < F.col("b")).select("a", "b", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
 
 
+@register("r17_jaccard_all", ORACLES["r17_jaccard"].replace(" WHERE a.item_id < 10", ""))
+def r17_jaccard_all(spark, d):
+    t = V.read(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"), T.ASCII_TOKEN)).alias("s"))
+    a, b = t.select(F.col("item_id").alias("a"), F.col("s").alias("x")), t.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
+
+
 @register("r24_vector_check", "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
 def r24_vector_check(spark, d):
     return V.read(spark, d, "embeddings").select("vec_id", R.valid_vector(F.col("embedding"), 64).alias("valid"))
