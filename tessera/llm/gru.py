@@ -1,26 +1,35 @@
-"""A gated recurrent unit with a class-factored output softmax, in numpy: training by truncated backpropagation and scoring."""
+"""A gated recurrent language model with a class-factored output softmax, in numpy: training by truncated backpropagation
+and scoring.
+
+The unit has an update gate and a candidate, both of the input and of the state before; the state's weights are one per
+element, so that a step has no matrix product and the products of a window are done at once.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 
 @dataclass(frozen=True)
 class Shape:
-    """head: words with vectors of their own, by rank; they fill `classes` output classes of equal size. Each tail class is an
-    input and an output class without words of its own."""
+    """bounds: first rank of each output class of the words with vectors, and their number. Each tail class is an input and
+    an output class without words of its own."""
 
-    head: int
-    classes: int
+    bounds: tuple[int, ...]
     tails: int
     embed: int = 16
     hidden: int = 32
 
     @property
-    def per_class(self) -> int:
-        return -(-self.head // self.classes)
+    def head(self) -> int:
+        return self.bounds[-1]
+
+    @property
+    def classes(self) -> int:
+        return len(self.bounds) - 1
 
     @property
     def inputs(self) -> int:
@@ -30,23 +39,36 @@ class Shape:
     def outputs(self) -> int:
         return self.classes + self.tails
 
-    def class_of(self, token: np.ndarray) -> np.ndarray:
-        return np.where(token < self.head, token // self.per_class, token - self.head + self.classes)
+    @cached_property
+    def class_of(self) -> np.ndarray:
+        """Output class of each input number."""
+        return np.r_[np.repeat(np.arange(self.classes), np.diff(self.bounds)), self.classes + np.arange(self.tails)].astype(np.int32)
+
+
+def bounds_of(counts: np.ndarray, classes: int) -> tuple[int, ...]:
+    """Cuts words in order of count into classes of about equal sums of the counts' square roots, which keeps both the
+    number of classes and the words in an average token's class small."""
+    root = np.cumsum(np.sqrt(counts + 1.0))
+    cut = np.searchsorted(root, root[-1] * np.arange(1, classes) / classes) + 1
+    return (0, *sorted({int(c) for c in cut if c < len(counts)}), len(counts))
 
 
 def start(shape: Shape, counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Parameters whose output biases are the smoothed frequencies of classes and of words in their classes; counts by input."""
+    """Parameters whose output biases are the smoothed frequencies of classes and of words in their classes; counts by input.
+
+    W, b and u hold the gate and then the candidate.
+    """
     rng = np.random.default_rng(seed)
     e, h = shape.embed, shape.hidden
-    normal = lambda *n: (rng.standard_normal(n) * 0.1).astype(np.float32)
+    normal = lambda scale, *n: (rng.standard_normal(n) * scale).astype(np.float32)
     smooth = counts.astype(float) + 0.5
-    classes = np.bincount(shape.class_of(np.arange(shape.inputs)), smooth, shape.outputs) + 1e-9
-    words = np.full((shape.classes, shape.per_class), -1e9, np.float32)
-    words.ravel()[: shape.head] = np.log(smooth[: shape.head])
+    classes = np.bincount(shape.class_of, smooth, shape.outputs) + 1e-9
     return {
-        "E": normal(shape.inputs, e), "Wx": normal(e, 3 * h), "Wh": normal(h, 3 * h), "b": np.zeros(3 * h, np.float32),
+        "E": normal(0.3, shape.inputs, e), "W": np.concatenate([normal(0.2, e, h), normal(0.4, e, h)], axis=1), "u": np.zeros((2, h), np.float32),
+        # gates open at different rates, from the last word only to a long memory
+        "b": np.r_[np.linspace(-3, 3, h), np.zeros(h)].astype(np.float32),
         "Wc": np.zeros((h, shape.outputs), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32),
-        "Ww": np.zeros((shape.classes, h, shape.per_class), np.float32), "bw": words,
+        "Ww": np.zeros((shape.head, h), np.float32), "bw": np.log(smooth[: shape.head]).astype(np.float32),
     }
 
 
@@ -63,10 +85,6 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 def lanes(docs: list[np.ndarray], n: int, bos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Deals documents to n lanes, longest first to the shortest lane: (inputs, targets, keep, place), each (steps, n).
 
@@ -95,6 +113,47 @@ def lanes(docs: list[np.ndarray], n: int, bos: int) -> tuple[np.ndarray, np.ndar
     return x[:, order], y[:, order], keep[:, order], place[:, order]
 
 
+def _run(p: dict[str, np.ndarray], x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A window of inputs from state h on: their embeddings, the state before each step, gate and candidate (stacked), and
+    the state after it."""
+    steps, n = x.shape
+    size = h.shape[1]
+    e = np.take(p["E"], x.ravel(), axis=0)
+    # the candidate's tanh(v) is 2 s(2 v) - 1, so that one logistic function serves both
+    scale = np.repeat(np.array([-1, -2], np.float32), size)
+    gates = (e @ (p["W"] * scale)).reshape(steps, n, 2, size)
+    gates += (p["b"] * scale).reshape(2, size)
+    u = p["u"] * scale.reshape(2, size)
+    before, after, add = np.empty((steps, n, size), h.dtype), np.empty((steps, n, size), h.dtype), np.empty((n, 2, size), h.dtype)
+    for t in range(steps):
+        g, b, s = gates[t], before[t], after[t]
+        np.multiply(h, keep[t, :, None], out=b)
+        np.multiply(b[:, None], u, out=add)
+        g += add
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        c = g[:, 1]
+        c *= 2
+        c -= 1
+        np.subtract(b, c, out=s)
+        s *= g[:, 0]
+        s += c
+        h = s
+    return e, before, gates, after
+
+
+def _by_class(c: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
+    """Rows of each output class that has words."""
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    ends = np.searchsorted(c[order], np.arange(classes + 1)).tolist()
+    return [(k, order[ends[k] : ends[k + 1]]) for k in range(classes) if ends[k + 1] > ends[k]]
+
+
+def _sums(q: np.ndarray) -> np.ndarray:
+    return q @ np.ones(q.shape[1], q.dtype)
+
+
 def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray], bos: int, width: int = 256, window: int = 64) -> np.ndarray:
     """log10 of the model's probability of each token (tail tokens: of their class), for the concatenated documents.
 
@@ -102,131 +161,138 @@ def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray],
     """
     out = np.zeros(sum(map(len, docs)))
     x, y, keep, place = lanes(docs, min(width, max(1, len(docs))), bos)
-    table = p["E"] @ p["Wx"] + p["b"]
-    size = shape.hidden
-    h = np.zeros((x.shape[1], size), np.float32)
+    h = np.zeros((x.shape[1], shape.hidden), np.float32)
     for lo in range(0, len(x), window):
         live = int((place[lo] >= 0).sum())
-        states = []
-        h = h[:live]
-        for t in range(lo, min(lo + window, len(x))):
-            g = table[x[t, :live]]
-            h = h * keep[t, :live, None]
-            u = h @ p["Wh"]
-            zr = _sigmoid(g[:, : 2 * size] + u[:, : 2 * size])
-            z = zr[:, :size]
-            n = np.tanh(g[:, 2 * size :] + zr[:, size:] * u[:, 2 * size :])
-            h = n + z * (h - n)
-            states.append(h)
-        s = np.concatenate(states)
-        where, target = place[lo : lo + window, :live].ravel(), y[lo : lo + window, :live].ravel()
-        ok = where >= 0
-        s, where, target = s[ok], where[ok], target[ok]
-        c = shape.class_of(target)
-        logits = s @ p["Wc"] + p["bc"]
-        got = logits[np.arange(len(c)), c] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(shape.classes + 1))
-        for k in range(shape.classes):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                inner = s[rows] @ p["Ww"][k] + p["bw"][k]
-                top = inner.max(axis=1)
-                got[rows] += inner[np.arange(len(rows)), target[rows] - k * shape.per_class] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        cut = np.s_[lo : lo + window, :live]
+        states = _run(p, x[cut], keep[cut], h[:live])[3]
+        h = states[-1]
+        where, target = place[cut].ravel(), y[cut].ravel()
+        s = states.reshape(-1, shape.hidden)
+        if where.min() < 0:
+            ok = where >= 0
+            s, where, target = s[ok], where[ok], target[ok]
+        c = shape.class_of[target]
+        logits = s @ p["Wc"]
+        logits += p["bc"]
+        got = logits[np.arange(len(c)), c].astype(float)
+        np.exp(logits, out=logits)
+        got -= np.log(_sums(logits))
+        for k, rows in _by_class(c, shape.classes):
+            a, b = shape.bounds[k], shape.bounds[k + 1]
+            if b - a < 2:
+                continue
+            inner = np.take(s, rows, axis=0) @ p["Ww"][a:b].T
+            inner += p["bw"][a:b] - p["bw"][a]
+            own = inner[np.arange(len(rows)), target[rows] - a]
+            np.exp(inner, out=inner)
+            got[rows] += own - np.log(_sums(inner))
         out[where] = got / np.log(10)
     return out
 
 
-def _step(p: dict, shape: Shape, x: np.ndarray, y: np.ndarray, keep: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradients over one window and the state after it; the gradient stops at the window's start."""
-    size, steps, tape = shape.hidden, len(x), []
-    inputs = x.ravel()
-    e = p["E"][inputs]
-    table = (e @ p["Wx"] + p["b"]).reshape(steps, -1, 3 * size)
-    states = np.empty((steps, *h.shape), h.dtype)
-    for t in range(steps):
-        h = h * keep[t, :, None]
-        g, u = table[t], h @ p["Wh"]
-        zr = _sigmoid(g[:, : 2 * size] + u[:, : 2 * size])
-        z, r, un = zr[:, :size], zr[:, size:], u[:, 2 * size :]
-        n = np.tanh(g[:, 2 * size :] + r * un)
-        tape.append((h, z, r, n, un))
-        # what the next step sees is h times its keep; the output reads h itself
-        h = states[t] = n + z * (h - n)
-    s = states.reshape(-1, size)
-    target, mask = y.ravel(), live.ravel()
-    c = shape.class_of(target)
-    rows = np.arange(len(c))
-    total = max(1.0, float(mask.sum()))
-    logits = s @ p["Wc"] + p["bc"]
-    q = np.exp(logits - logits.max(axis=1, keepdims=True))
-    q /= q.sum(axis=1, keepdims=True)
-    q[rows, c] -= 1
-    q *= mask[:, None] / total
-    grad = {k: np.zeros_like(p[k]) for k in ("E", "Ww", "bw")}
-    grad["Wc"], grad["bc"] = s.T @ q, q.sum(axis=0)
-    ds = q @ p["Wc"].T
-    # words of one class stand together, so that a class is one product
-    own = np.flatnonzero((c < shape.classes) & (mask > 0))
-    if len(own):
-        own = own[np.argsort(c[own], kind="stable")]
-        ks, first = np.unique(c[own], return_index=True)
-        groups = list(zip(ks.tolist(), first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
-        so = s[own]
-        q = np.concatenate([so[a:z] @ p["Ww"][k] for k, a, z in groups]) + p["bw"][c[own]]
-        q = np.exp(q - q.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[np.arange(len(own)), target[own] - c[own] * shape.per_class] -= 1
-        q /= total
-        grad["bw"][ks] = np.add.reduceat(q, first)
-        for k, a, z in groups:
-            grad["Ww"][k] = so[a:z].T @ q[a:z]
-        ds[own] += np.concatenate([q[a:z] @ p["Ww"][k].T for k, a, z in groups])
-    ds = ds.reshape(steps, -1, size)
-    back = np.zeros_like(h)
-    du, dg = np.empty_like(table), np.empty_like(table)
-    for t in range(steps - 1, -1, -1):
-        ht, z, r, n, un = tape[t]
-        dh = ds[t] + back
-        out = dh * (1 - z)
-        dn = out * (1 - n * n)
-        d = dg[t]
-        d[:, :size], d[:, size : 2 * size], d[:, 2 * size :] = out * (ht - n) * z, dn * un * r * (1 - r), dn
-        du[t] = d
-        du[t, :, 2 * size :] *= r
-        back = (dh * z + du[t] @ p["Wh"].T) * keep[t, :, None]
-    dg, du = dg.reshape(-1, 3 * size), du.reshape(-1, 3 * size)
-    grad["Wh"], grad["Wx"], grad["b"] = np.concatenate([x[0] for x in tape]).T @ du, e.T @ dg, dg.sum(axis=0)
-    order = np.argsort(inputs, kind="stable")
-    used, first = np.unique(inputs[order], return_index=True)
-    grad["E"][used] = np.add.reduceat((dg @ p["Wx"].T)[order], first)
-    return grad, h
-
-
-def train(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray], bos: int, width: int = 16, window: int = 16, rate: float = 0.004) -> dict[str, np.ndarray]:
-    """One pass over docs by truncated backpropagation with Adam; the state is carried across windows of a document."""
-    if not docs:
-        return {k: v.copy() for k, v in p.items()}
-    x, y, keep, place = lanes(docs, min(width, len(docs)), bos)
-    # all parameters are one vector, of which those by name are views
-    flat = pack(p)
-    views, at = {}, 0
-    for k in sorted(p):
-        views[k] = flat[at : at + p[k].size].reshape(p[k].shape)
-        at += p[k].size
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((x.shape[1], shape.hidden), np.float32)
-    for n, lo in enumerate(range(0, len(x), window), 1):
-        cut = slice(lo, lo + window)
-        grad, h = _step(views, shape, x[cut], y[cut], keep[cut], (place[cut] >= 0).astype(np.float32), h)
-        g = pack(grad)
-        g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
-        m += 0.1 * (g - m)
-        g *= g
-        v += 0.01 * (g - v)
-        step = np.sqrt(v * (1 / (1 - 0.99**n)))
-        step += 1e-8
-        np.divide(m, step, out=step)
-        step *= rate / (1 - 0.9**n)
-        flat -= step
-    return views
+class Trainer:
+    """Parameters under training: Adam for the unit and the class layer, Adagrad by row for words, whose rows most steps
+    do not touch. Without train() the parameters stay as given."""
+
+    DENSE = ("W", "b", "u", "Wc", "bc")
+
+    def __init__(self, p: dict[str, np.ndarray], shape: Shape, rate: float = 0.004, word_rate: float = 0.1):
+        self.p, self.shape, self.rate, self.word_rate = {k: v.copy() for k, v in p.items()}, shape, rate, word_rate
+        self.m = {k: np.zeros_like(p[k]) for k in self.DENSE}
+        self.v = {k: np.zeros_like(p[k]) for k in self.DENSE}
+        self.seen_in, self.seen_out = np.full(shape.inputs, 1e-8, np.float32), np.full(shape.head, 1e-8, np.float32)
+        self.steps = 0
+
+    def _adam(self, grad: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        for k in self.DENSE:
+            g, m, v = grad[k], self.m[k], self.v[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.p[k] -= rate * m / (np.sqrt(v) + 1e-8)
+
+    def _classes(self, s: np.ndarray, c: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of the class layer: by state, and by its parameters."""
+        q = s @ self.p["Wc"]
+        q += self.p["bc"]
+        np.exp(q, out=q)
+        q *= (weight / _sums(q))[:, None]
+        q[np.arange(len(c)), c] -= weight
+        return q @ self.p["Wc"].T, {"Wc": s.T @ q, "bc": np.ones(len(q), q.dtype) @ q}
+
+    def _words(self, s: np.ndarray, c: np.ndarray, target: np.ndarray, ds: np.ndarray, weight: float) -> None:
+        """Adds the gradient by state of words in their classes to ds and moves the words' rows. Words of one class stand
+        together, so that a class is one product."""
+        for k, rows in _by_class(c, self.shape.classes):
+            a, b = self.shape.bounds[k], self.shape.bounds[k + 1]
+            if b - a < 2:
+                continue
+            so, w, bias, seen = np.take(s, rows, axis=0), self.p["Ww"][a:b], self.p["bw"][a:b], self.seen_out[a:b]
+            q = so @ w.T
+            q += bias - bias[0]
+            np.exp(q, out=q)
+            q *= (weight / _sums(q))[:, None]
+            q[np.arange(len(rows)), target[rows] - a] -= weight
+            ds[rows] += q @ w
+            g = q.T @ so
+            seen += np.einsum("ij,ij->i", g, g) / self.shape.hidden
+            step = self.word_rate / np.sqrt(np.maximum(seen, seen.sum() / (b - a)))
+            g *= step[:, None]
+            w -= g
+            bias -= step * (np.ones(len(q), q.dtype) @ q)
+
+    def _backward(self, x: np.ndarray, keep: np.ndarray, e: np.ndarray, before: np.ndarray, gates: np.ndarray, ds: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the unit, and a step of the inputs' rows; the gradient stops at the window's start."""
+        p, size = self.p, self.shape.hidden
+        back, d = np.zeros_like(before[0]), np.empty_like(gates)
+        u = p["u"]
+        for t in range(len(x) - 1, -1, -1):
+            dh = ds[t]
+            dh += back
+            z, c, dz, dc = gates[t, :, 0], gates[t, :, 1], d[t, :, 0], d[t, :, 1]
+            back = dh * z
+            np.subtract(dh, back, out=dc)
+            np.subtract(before[t], c, out=dz)
+            dz *= back
+            slope = 1 - z
+            dz *= slope
+            np.multiply(c, c, out=slope)
+            np.subtract(1, slope, out=slope)
+            dc *= slope
+            np.multiply(dz, u[0], out=slope)
+            back += slope
+            np.multiply(dc, u[1], out=slope)
+            back += slope
+            back *= keep[t, :, None]
+        flat = d.reshape(-1, 2 * size)
+        grad = {"W": e.T @ flat, "b": np.ones(len(flat), flat.dtype) @ flat}
+        inputs = x.ravel()
+        order = np.argsort(inputs, kind="stable")
+        used, first = np.unique(inputs[order], return_index=True)
+        g = np.add.reduceat(np.take(flat @ p["W"].T, order, axis=0), first)
+        self.seen_in[used] += np.einsum("ij,ij->i", g, g) / self.shape.embed
+        p["E"][used] -= (self.word_rate / np.sqrt(self.seen_in[used]))[:, None] * g
+        d *= before[:, :, None]
+        return grad | {"u": (np.ones(len(flat), flat.dtype) @ flat).reshape(2, size)}
+
+    def train(self, docs: list[np.ndarray], bos: int, width: int = 256, window: int = 32) -> None:
+        """One pass over docs, a step for each window; the state is carried across windows of a document."""
+        if not docs:
+            return
+        x, y, keep, place = lanes(docs, min(width, len(docs)), bos)
+        size = self.shape.hidden
+        h = np.zeros((x.shape[1], size), np.float32)
+        for lo in range(0, len(x), window):
+            live = int((place[lo] >= 0).sum())
+            cut = np.s_[lo : lo + window, :live]
+            e, before, gates, after = _run(self.p, x[cut], keep[cut], h[:live])
+            h = after[-1].copy()
+            s, target, there = after.reshape(-1, size), y[cut].ravel(), place[cut].ravel() >= 0
+            share = 1 / int(there.sum())
+            c = self.shape.class_of[target]
+            ds, grad = self._classes(s, c, there.astype(np.float32) * np.float32(share))
+            self._words(s, np.where(there, c, self.shape.classes), target, ds, np.float32(share))
+            grad |= self._backward(x[cut], keep[cut], e, before, gates, ds.reshape(before.shape))
+            self._adam(grad)

@@ -1,18 +1,20 @@
-"""Language-model scores of whole documents: a recurrent model trained in parts on the cluster, over exact word counts.
+"""Language-model scores of whole documents: a recurrent model trained in shards on the cluster, over exact word counts.
 
-Tokens are words, A-Z lower-cased, and an end. All training documents are counted. The most frequent words have vectors
-and output classes of their own; every other word belongs to a tail class by its ending, where its probability is its
-smoothed share of the class. Counts of the most frequent words are held by every worker (KNOWN of them, whatever the
-input); those of rarer words are joined to the documents by word hash, so each count is exact.
+Tokens are words, A-Z lower-cased, and an end. All training documents are counted. The most frequent words, whose number
+grows with the cube root of the counted tokens, have vectors and output classes of their own; every other word belongs to a
+tail class by its ending, where its probability is its smoothed share of the class. Counts of the most frequent words are
+held by every worker; those of rarer words are joined to the documents by word hash, so each count is exact.
 
-The recurrent part learns from all training documents, each in one of three rounds by its hash: each partition trains a
-copy by truncated backpropagation, and copies are averaged by their tokens after each round. A document's state starts at
-zero and is carried across windows to its end.
+Every training document trains the recurrent part, in one of ROUNDS rounds and in one of the round's shards, both by its
+hash: how the table is partitioned has no say in it. Each shard trains a copy by truncated backpropagation; copies are
+averaged by their tokens after each round. A document's state starts at zero and is carried across windows to its end.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,16 +22,20 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import crc_bucket, materialize, small_batches
 
-#: Words whose counts every worker holds; the rest is joined. Words with vectors; output classes of such words; tail classes.
-KNOWN, HEAD, CLASSES, TAILS = 120_000, 960, 32, 16
-#: One in so many training documents trains the recurrent part (all); rounds of averaging; tokens pooled for training and scoring.
-EVERY, ROUNDS, POOL = 1, 3, 2_000_000
+#: Words whose counts every worker holds at least; the rest is joined. Words with vectors by cube root of tokens; tail classes.
+KNOWN, WORDS, TAILS = 120_000, 16, 16
+#: Rounds of averaging; tokens of a shard at least, by itself and by parameter (so that copies stay small against the input).
+ROUNDS, SHARD, SHARD_BY_PARAMETER = 3, 1_000_000, 4
+#: Tokens pooled for training and scoring; a longer document trains in parts of so many tokens, each from the zero state.
+POOL, PART = 1_000_000, 4096
+#: Floats in a segment of a copy's parameters; segments are averaged apart.
+SEGMENT = 1 << 16
 END = b""
 
 
@@ -49,7 +55,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(hash, word, c) over all tokens of docs; the end's word is empty. Null texts have an end only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def rows() -> pd.DataFrame:
             out = pd.DataFrame({"hash": [word_hash(w) for w in counts], "word": list(counts), "c": list(counts.values())})
@@ -58,9 +64,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for b in batches:
             for t in b["t"]:
-                for w in words_of(t):
-                    counts[w] = counts.get(w, 0) + 1
-            counts[END] = counts.get(END, 0) + len(b)
+                counts.update(words_of(t))
+            counts[END] += len(b)
             if len(counts) > 400_000:
                 yield rows()
         yield rows()
@@ -70,33 +75,44 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 @dataclass
-class Model:
-    """rank: the most frequent words by rank; counts: theirs. tail_n and tail_v: tokens and words of the tail classes."""
+class Vocabulary:
+    """rank: the most frequent words by rank; counts: theirs; head: how many of them have vectors. tail_n and tail_v: tokens
+    and words of the tail classes."""
 
     rank: dict[bytes, int]
     counts: np.ndarray
+    head: int
     tokens: int
     distinct: int
     tail_n: np.ndarray
     tail_v: np.ndarray
-    shape: gru.Shape
-    params: dict[str, np.ndarray]
 
     @property
-    def bos(self) -> int:
-        """The input before the first word: the end, whatever its rank."""
-        r = self.rank.get(END, HEAD)
-        return r if r < self.shape.head else self.shape.head + tail_of(END)
+    def end(self) -> int:
+        """Input number of the end, also the input before the first word."""
+        r = self.rank.get(END, self.head)
+        return r if r < self.head else self.head + tail_of(END)
+
+    @property
+    def kind(self) -> str:
+        return "<u2" if self.head + TAILS < 1 << 16 else "<u4"
 
     def inputs_of(self) -> np.ndarray:
         """Input number of each rank."""
         out = np.arange(len(self.counts))
         for w, r in self.rank.items():
-            if r >= self.shape.head:
-                out[r] = self.shape.head + tail_of(w)
+            if r >= self.head:
+                out[r] = self.head + tail_of(w)
         return out
 
 
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    shape: gru.Shape
+    params: dict[str, np.ndarray]
+
+
 class _Ranks(dict):
     """Rank of a known word; -1 - tail class of any other."""
 
@@ -104,14 +120,13 @@ class _Ranks(dict):
         return -1 - tail_of(word)
 
 
-def _encode(model: Model, ranks: _Ranks, inputs: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    r = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
-    return r, np.where(r >= 0, inputs[np.maximum(r, 0)] if len(inputs) else 0, model.shape.head - 1 - r).astype(np.int32)
-
-
-def _statistics(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, int, int, np.ndarray, np.ndarray]:
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    """counts: count_words of the training documents."""
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    tokens, distinct = total["n"] or 0, total["v"]
+    head = min(distinct, math.ceil(WORDS * tokens ** (1 / 3)))
     # how often each count occurs says from which count on all words fit; ties at the bound are left to the join
-    least, room = 1, KNOWN
+    least, room = 1, max(KNOWN, head)
     for r in counts.groupBy("c").agg(F.count("*").alias("words")).orderBy(F.desc("c")).toLocalIterator():
         if r["words"] > room:
             least = r["c"] + 1
@@ -120,11 +135,11 @@ def _statistics(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, int, i
     held = counts.filter(F.col("c") >= least).select("word", "c").toArrow()
     top = sorted(zip(held["word"].to_pylist(), held["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     del held
-    rank = {w: k for k, (w, _) in enumerate(top)}
-    head = [w for w, _ in top[:HEAD]]
+    head = min(head, len(top))
+    first = [w for w, _ in top[:head]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, v, skip = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64), set(head)
+        n, v, skip = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64), set(first)
         for b in batches:
             for w, c in zip(b["word"], b["c"], strict=True):
                 if bytes(w) not in skip:
@@ -132,121 +147,170 @@ def _statistics(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray, int, i
                     v[tail_of(bytes(w))] += 1
         yield pd.DataFrame({"k": np.arange(TAILS), "n": n, "v": v})
 
-    tails = counts.select("word", "c").mapInPandas(run, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     tail_n, tail_v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
-    for r in tails:
+    for r in counts.select("word", "c").mapInPandas(run, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         tail_n[r["k"]], tail_v[r["k"]] = r["n"], r["v"]
-    held = np.array([c for _, c in top], np.int64)
-    return rank, held, int(held[:HEAD].sum() + tail_n.sum()), int(len(head) + tail_v.sum()), tail_n, tail_v
+    return Vocabulary({w: k for k, (w, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), head, tokens, distinct, tail_n, tail_v)
+
+
+def untrained(vocabulary: Vocabulary) -> Model:
+    """A model that gives each word its smoothed share of the counts."""
+    v = vocabulary
+    words = v.counts[: v.head] if v.head else np.zeros(1, np.int64)
+    shape = gru.Shape(gru.bounds_of(words, max(1, round(0.6 * math.sqrt(len(words))))), TAILS)
+    return Model(v, shape, gru.start(shape, np.r_[words, v.tail_n]))
 
 
-def _average(blobs: DataFrame) -> np.ndarray | None:
-    """Mean of parameter vectors by weight: in 16 parts on the cluster, then of these."""
+def shards_of(model: Model) -> int:
+    """Shards of a round, by the counted tokens and the model's size only."""
+    return max(1, round(model.vocabulary.tokens / ROUNDS / max(SHARD, SHARD_BY_PARAMETER * sum(x.size for x in model.params.values()))))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str, trains: Column, shards: int = 1) -> DataFrame:
+    """Documents as input numbers, written: (row, key, n_tokens, n_known, base, inner, round, shard, place, ids), and beside each row
+    (row, hash, n) for words whose counts are joined. round is null where trains is not true. Known counts are in base
+    and, as shares of their tail classes, in inner."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = docs.schema[key].dataType.simpleString()
+    columns = ["row", "key", "n_tokens", "n_known", "base", "inner", "round", "shard", "place", "ids", "hash", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, weight = None, 0.0
+        v = shared.value
+        ranks, inputs = _Ranks(v.rank), v.inputs_of()
+        log_c = np.log10(v.counts + 0.1) if len(v.counts) else np.zeros(1)
+        log_all = np.log10(v.tokens + 0.1 * (v.distinct + 1))
+        log_tail = np.log10(v.tail_n + 0.1 * (v.tail_v + 1))
+        row, met = TaskContext.get().partitionId() << 36, {}
         for b in batches:
-            for w, blob in zip(b["weight"], b["blob"], strict=True):
-                x = np.frombuffer(blob, np.float32).astype(float) * w
-                total, weight = x if total is None else total + x, weight + w
-        if total is not None:
-            yield pd.DataFrame({"weight": [weight], "blob": [total.tobytes()]}).astype({"blob": object})
+            main, rare = [], []
+            for k, name, t, train in zip(b["k"], b["name"], b["t"], b["train"], strict=True):
+                words = [*words_of(t), END]
+                r = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
+                known = r >= 0
+                x = np.where(known, inputs[np.maximum(r, 0)] if len(inputs) else 0, v.head - 1 - r)
+                tail = known & (x >= v.head)
+                inner = float(log_c[r[tail]].sum()) - float(log_tail[x[x >= v.head] - v.head].sum())
+                base = float(log_c[r[known]].sum()) - len(words) * float(log_all)
+                n, shard, h = None, None, None
+                if train:
+                    # a repeated row is a document of its own: its repeats are dealt out too
+                    h = xxhash.xxh3_64_intdigest(f"{name}\0{t}".encode("utf-8", "replace"))
+                    met[h] = again = met.get(h, 0) + 1
+                    h = xxhash.xxh3_64_intdigest(again.to_bytes(8, "little"), h) if again > 1 else h
+                    n, shard, h = h % ROUNDS, h // ROUNDS % shards, h >> 1
+                main.append((row, k, len(words), int(known.sum()), base, inner, n, shard, h, x.astype(v.kind).tobytes(), None, None))
+                for w, c in Counter(words[i] for i in np.flatnonzero(~known)).items():
+                    rare.append((row, None, None, None, None, None, None, None, None, None, word_hash(w), c))
+                row += 1
+            if len(met) > 1_000_000:
+                met.clear()
+            yield pd.DataFrame(main, columns=columns, dtype=object)
+            for at in range(0, len(rare), 50_000):
+                yield pd.DataFrame(rare[at : at + 50_000], columns=columns, dtype=object)
 
-    parts = blobs.repartition(16).mapInPandas(run, "weight double, blob binary").collect()
-    weight = sum(r["weight"] for r in parts)
-    return sum(np.frombuffer(r["blob"], float) for r in parts) / weight if weight else None
+    each = docs.select(F.col(key).alias("k"), F.col(key).cast("string").alias("name"), F.col(text).alias("t"), F.coalesce(trains, F.lit(False)).alias("train"))
+    schema = f"row long, key {kind}, n_tokens long, n_known long, base double, inner double, round int, shard int, place long, ids binary, hash long, n long"
+    return materialize(each.mapInPandas(run, schema), "encoded")
 
 
-def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of the training documents docs; counts: count_words of the same."""
-    rank, held, tokens, distinct, tail_n, tail_v = _statistics(counts)
-    head = max(1, min(HEAD, len(held)))
-    shape = gru.Shape(head, max(1, min(CLASSES, head)), TAILS)
-    initial = np.r_[held[:head] if len(held) else [0], tail_n]
-    model = Model(rank, held, tokens, distinct, tail_n, tail_v, shape, gru.start(shape, initial))
-    share = docs.withColumn("__r", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(EVERY * ROUNDS)))
+def _averaged(copies: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Mean of copies (seg, weight, blob) by weight, summed by segment on the cluster; like where there are no copies."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        weight: dict[int, float] = {}
+        for b in batches:
+            for seg, w, blob in zip(b["seg"], b["weight"], b["blob"], strict=True):
+                x = np.frombuffer(blob, np.float32) * np.float64(w)
+                total[seg] = total[seg] + x if seg in total else x
+                weight[seg] = weight.get(seg, 0.0) + w
+        yield pd.DataFrame({"seg": list(total), "blob": [(x / weight[s]).astype(np.float32).tobytes() for s, x in total.items()]}, dtype=object)
+
+    flat = gru.pack(like)
+    for r in copies.repartition("seg").mapInPandas(run, "seg int, blob binary").toLocalIterator():
+        x = np.frombuffer(r["blob"], np.float32)
+        flat[r["seg"] * SEGMENT : r["seg"] * SEGMENT + len(x)] = x
+    return gru.unpack(flat, like)
+
+
+def train(model: Model, encoded: DataFrame, shards: int) -> Model:
+    """model after ROUNDS rounds over the encoded training documents."""
+    spark, v, shape, params = encoded.sparkSession, model.vocabulary, model.shape, model.params
     for n in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            model = shared.value
-            ranks, inputs, params = _Ranks(model.rank), model.inputs_of(), model.params
-            pool, seen = [], 0
+            now, trainer, pool, held, seen = None, None, [], 0, 0
+
+            def copy() -> Iterator[pd.DataFrame]:
+                trainer.train(pool, v_end)
+                flat = gru.pack(trainer.p)
+                for seg in range(-(-len(flat) // SEGMENT)):
+                    yield pd.DataFrame({"seg": [seg], "weight": [float(seen)], "blob": [flat[seg * SEGMENT : (seg + 1) * SEGMENT].tobytes()]}).astype({"blob": object})
+
             for b in batches:
-                for t in b["t"]:
-                    pool.append(_encode(model, ranks, inputs, [*words_of(t), END])[1])
-                    seen += len(pool[-1])
-                if sum(map(len, pool)) > POOL:
-                    params, pool = gru.train(params, model.shape, pool, model.bos), []
-            params = gru.train(params, model.shape, pool, model.bos)
-            if seen:
-                yield pd.DataFrame({"weight": [float(seen)], "blob": [gru.pack(params).astype(np.float32).tobytes()]}).astype({"blob": object})
-
-        mean = _average(share.filter(F.col("__r") == n).select(F.col(text).alias("t")).mapInPandas(run, "weight double, blob binary"))
-        if mean is not None:
-            model.params = gru.unpack(mean, model.params)
+                for shard, ids in zip(b["shard"], b["ids"], strict=True):
+                    if shard != now:
+                        if trainer is not None:
+                            yield from copy()
+                        now, trainer, pool, held, seen = shard, gru.Trainer(shared.value, shape), [], 0, 0
+                    x = np.frombuffer(ids, v_kind).astype(np.int32)
+                    pool += [x[at : at + PART] for at in range(0, len(x), PART)]
+                    held, seen = held + len(x), seen + len(x)
+                    if held > POOL:
+                        trainer.train(pool, v_end)
+                        pool, held = [], 0
+            if trainer is not None:
+                yield from copy()
+
+        v_end, v_kind = v.end, v.kind
+        mine = encoded.filter(F.col("round") == n).select("shard", "place", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
+        params = _averaged(mine.mapInPandas(run, "seg int, weight double, blob binary"), params)
         shared.unpersist()
-    return model
+    return Model(v, shape, params)
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score): log10 probabilities of whole texts by the counts alone and by the model."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+def fit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """A model of the training documents docs; counts: count_words of the same."""
+    model = untrained(vocabulary_of(counts))
+    shards = shards_of(model)
+    return train(model, encode(docs, model.vocabulary, key, text, F.lit(True), shards), shards)
+
+
+def _scored(encoded: DataFrame, model: Model, counts: DataFrame, key: str) -> DataFrame:
+    shape = model.shape
+    end, kind = model.vocabulary.end, model.vocabulary.kind
+    shared = encoded.sparkSession.sparkContext.broadcast(model.params)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        ranks, inputs = _Ranks(model.rank), model.inputs_of()
-        log_c = np.log10(model.counts + 0.1) if len(model.counts) else np.zeros(1)
-        log_all = np.log10(model.tokens + 0.1 * (model.distinct + 1))
-        log_tail = np.log10(model.tail_n + 0.1 * (model.tail_v + 1))
-        row, pool = TaskContext.get().partitionId() << 36, []
-
-        def done() -> Iterator[pd.DataFrame]:
-            if not pool:
-                return
-            docs_ = [p[1] for p in pool]
-            per_token = gru.token_log10(model.params, model.shape, docs_, model.bos)
+        pool, held = [], 0
+
+        def done() -> pd.DataFrame:
+            rows = pd.concat(pool, ignore_index=True)
+            docs_ = [np.frombuffer(x, kind).astype(np.int32) for x in rows["ids"]]
+            per_token = gru.token_log10(shared.value, shape, docs_, end)
             sums = np.add.reduceat(per_token, np.r_[0, np.cumsum([len(d) for d in docs_])[:-1]])
-            main = [(*p[2], s + p[3]) for p, s in zip(pool, sums, strict=True)]
-            out = pd.DataFrame(main, columns=["row", "key", "n_tokens", "n_known", "base", "score"])
-            yield out.assign(hash=None, n=None).astype({"hash": object, "n": object, "key": object})
-            rare = [(p[2][0], h, n) for p in pool for h, n in p[4].items()]
-            for at in range(0, len(rare), 50_000):
-                part = pd.DataFrame(rare[at : at + 50_000], columns=["row", "hash", "n"])
-                yield part.assign(key=None, n_tokens=None, n_known=None, base=None, score=None)[["row", "key", "n_tokens", "n_known", "base", "score", "hash", "n"]].astype(object)
             pool.clear()
+            return rows.drop(columns="ids").assign(score=sums + rows["inner"].to_numpy(float)).drop(columns="inner")
 
-        held = 0
         for b in batches:
-            for k, t in zip(b["k"], b["t"], strict=True):
-                words = [*words_of(t), END]
-                r, x = _encode(model, ranks, inputs, words)
-                known = r >= 0
-                own = float(log_c[r[known]].sum())
-                tail = x >= model.shape.head
-                # words of the tail: known counts here, the others' come with the join
-                inner = float(log_c[r[known & tail]].sum()) - float(log_tail[x[tail] - model.shape.head].sum())
-                rare: dict[int, int] = {}
-                for i in np.flatnonzero(~known):
-                    h = word_hash(words[i])
-                    rare[h] = rare.get(h, 0) + 1
-                pool.append((None, x, (row, k, len(words), int(known.sum()), own - len(words) * log_all), inner, rare))
-                row, held = row + 1, held + len(words)
+            if len(b):
+                pool.append(b)
+                held += int(b["n_tokens"].sum())
             if held > POOL:
-                yield from done()
+                yield done()
                 held = 0
-        yield from done()
+        if pool:
+            yield done()
 
-    schema = f"row long, key {kind}, n_tokens long, n_known long, base double, score double, hash long, n long"
-    parts = materialize(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema), "scores")
-    rare = parts.filter("hash is not null").select("row", "hash", "n").join(counts.select("hash", "c"), "hash", "left")
+    main = encoded.filter("ids is not null").select("row", "key", "n_tokens", "n_known", "base", "inner", "ids")
+    scored = main.mapInPandas(run, f"row long, key {encoded.schema['key'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double")
+    rare = encoded.filter("hash is not null").select("row", "hash", "n").join(counts.select("hash", "c"), "hash", "left")
     c = F.coalesce("c", F.lit(0))
     more = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + F.lit(0.1).cast("double"))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    main = parts.filter("hash is null").drop("hash", "n").join(more, "row", "left")
     zero = F.lit(0.0).cast("double")
-    return main.select(
+    return scored.join(more, "row", "left").select(
         F.col("key").alias(key),
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
@@ -255,18 +319,27 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
     )
 
 
+def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score): log10 probabilities of whole texts by the counts alone and by the model."""
+    return _scored(encode(docs, model.vocabulary, key, text, F.lit(False)), model, counts, key)
+
+
 def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out_of: int = 10) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Rows whose crc32(key as text) is divisible by held_out_of are scored only, all others train too (a null key trains).
-    Null and empty texts have an end and no word. Repeated rows are counted and scored each. Without training rows every
-    token is unknown. Only key and text are read.
+    Null and empty texts have an end and no word. Repeated rows are counted, train and are scored each. Without training rows
+    every token is unknown. Only key and text are read. Scores depend on rows, not on partitions: copies of one row may
+    be dealt to other shards when they lie in other partitions, and floats are summed in another order.
     """
     small_batches(docs.sparkSession)
     mine = docs.select(key, text)
-    training = mine.filter(F.coalesce(crc_bucket(F.col(key), held_out_of) != 0, F.lit(True)))
-    counts = materialize(count_words(training, text), "words")
-    model = fit(training, counts, key, text)
-    out = score(mine, model, counts, key, text)
+    trains = F.coalesce(crc_bucket(F.col(key), held_out_of) != 0, F.lit(True))
+    counts = materialize(count_words(mine.filter(trains), text), "words")
+    model = untrained(vocabulary_of(counts))
+    shards = shards_of(model)
+    encoded = encode(mine, model.vocabulary, key, text, trains, shards)
+    model = train(model, encoded, shards)
+    out = _scored(encoded, model, counts, key)
     held_out = F.coalesce(crc_bucket(F.col(key), held_out_of) == 0, F.lit(False))
-    return out.select(key, held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(key, held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")

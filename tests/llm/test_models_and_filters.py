@@ -43,32 +43,39 @@ def test_url_rules(spark):
         url_cascade.judge(df, [url_cascade.UrlRule("allow", "a"), url_cascade.UrlRule("block", "a")])
 
 
-def brute_probability(p, shape, tokens, bos):
-    """log10 probability of one document, token by token."""
-    h, x, total = np.zeros(shape.hidden, np.float64), bos, 0.0
+def brute_state(p, h, x):
+    n = len(h)
     sig = lambda v: 1 / (1 + np.exp(-v))
-    q = {k: v.astype(float) for k, v in p.items()}
-    n = shape.hidden
-    for t in tokens:
-        g, u = q["E"][x] @ q["Wx"] + q["b"], h @ q["Wh"]
-        z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
-        c = np.tanh(g[2 * n :] + r * u[2 * n :])
-        h = (1 - z) * c + z * h
-        k = int(shape.class_of(np.array([t]))[0])
-        logits = h @ q["Wc"] + q["bc"]
-        total += logits[k] - np.log(np.exp(logits).sum())
-        if k < shape.classes:
-            inner = h @ q["Ww"][k] + q["bw"][k]
-            total += inner[t - k * shape.per_class] - np.log(np.exp(inner - inner.max()).sum()) - inner.max()
+    a = p["E"][x] @ p["W"] + p["b"]
+    z, c = sig(a[:n] + p["u"][0] * h), np.tanh(a[n:] + p["u"][1] * h)
+    return z * h + (1 - z) * c
+
+
+def brute_log(p, shape, h, t):
+    logits = h @ p["Wc"] + p["bc"]
+    k = int(shape.class_of[t])
+    total = logits[k] - np.log(np.exp(logits).sum())
+    if k < shape.classes:
+        a, b = shape.bounds[k], shape.bounds[k + 1]
+        inner = p["Ww"][a:b] @ h + p["bw"][a:b]
+        total += inner[t - a] - np.log(np.exp(inner - inner.max()).sum()) - inner.max()
+    return total
+
+
+def brute_probability(p, shape, doc, bos):
+    h, x, total = np.zeros(shape.hidden), bos, 0.0
+    for t in doc:
+        h = brute_state(p, h, x)
+        total += brute_log(p, shape, h, t)
         x = t
     return total / math.log(10)
 
 
 def small_model():
-    shape = gru.Shape(head=10, classes=4, tails=2, embed=3, hidden=5)
-    p = gru.start(shape, np.arange(1, 13))
+    shape = gru.Shape((0, 1, 4, 6, 10), tails=2, embed=3, hidden=5)
+    p = gru.start(shape, np.arange(12, 0, -1))
     rng = np.random.default_rng(0)
-    for k in ("Wc", "Ww", "E", "Wx", "Wh"):
+    for k in ("Wc", "Ww", "E", "W", "u"):
         p[k] = (rng.standard_normal(p[k].shape) * 0.7).astype(np.float32)
     return shape, p
 
@@ -88,53 +95,62 @@ def test_probabilities_sum_to_one():
     assert sum(10 ** gru.token_log10(p, shape, [np.array([5, t])], 0)[1] for t in range(12)) == pytest.approx(1, abs=1e-5)
 
 
+def test_classes_cover_all_words():
+    for n, classes in ((1, 1), (1, 4), (5, 3), (1000, 20)):
+        bounds = gru.bounds_of(np.sort(np.random.default_rng(n).zipf(1.5, n))[::-1].astype(float), classes)
+        assert bounds[0] == 0 and bounds[-1] == n and len(bounds) <= classes + 1
+        assert all(a < b for a, b in zip(bounds, bounds[1:], strict=False))
+
+
 def test_gradient():
     shape, p = small_model()
     p = {k: v.astype(np.float64) for k, v in p.items()}
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, 12, (6, 2)), rng.integers(0, 12, (6, 2))
-    keep, live = np.ones((6, 2)), np.ones((6, 2))
+    keep = np.ones((6, 2))
     keep[0], keep[3, 1] = 0, 0
-    start = np.zeros((2, shape.hidden))
 
     def loss():
         total = 0.0
         for lane in range(2):
-            for part in ([list(range(6))] if lane == 0 else [[0, 1, 2], [3, 4, 5]]):
-                # inputs are given, so a lane is scored step by step
-                h = np.zeros(shape.hidden)
-                n = shape.hidden
-                sig = lambda v: 1 / (1 + np.exp(-v))
-                for t in part:
-                    g, u = p["E"][x[t, lane]] @ p["Wx"] + p["b"], h @ p["Wh"]
-                    z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
-                    c = np.tanh(g[2 * n :] + r * u[2 * n :])
-                    h = (1 - z) * c + z * h
-                    target = y[t, lane]
-                    k = int(shape.class_of(np.array([target]))[0])
-                    logits = h @ p["Wc"] + p["bc"]
-                    total -= logits[k] - np.log(np.exp(logits).sum())
-                    if k < shape.classes:
-                        inner = h @ p["Ww"][k] + p["bw"][k]
-                        total -= inner[target - k * shape.per_class] - np.log(np.exp(inner - inner.max()).sum()) - inner.max()
+            h = np.zeros(shape.hidden)
+            for t in range(6):
+                h = brute_state(p, h * keep[t, lane], x[t, lane])
+                total -= brute_log(p, shape, h, y[t, lane])
         return total / 12
 
-    grad, _ = gru._step(p, shape, x, y, keep, live, start)
-    for name in ("E", "Wx", "Wh", "b", "Wc", "bc", "Ww"):
-        at = tuple(rng.integers(0, n) for n in p[name].shape)
+    def slope(name, at):
         old, eps = p[name][at], 1e-5
         p[name][at] = old + eps
         up = loss()
         p[name][at] = old - eps
         down = loss()
         p[name][at] = old
-        assert grad[name][at] == pytest.approx((up - down) / (2 * eps), abs=1e-5), name
+        return (up - down) / (2 * eps)
+
+    trainer = gru.Trainer(p, shape, word_rate=1.0)
+    e, before, gates, after = gru._run(p, x, keep, np.zeros((2, shape.hidden)))
+    s, target = after.reshape(-1, shape.hidden), y.ravel()
+    ds, grad = trainer._classes(s, shape.class_of[target], np.full(12, 1 / 12))
+    trainer._words(s, shape.class_of[target], target, ds, 1 / 12)
+    grad |= trainer._backward(x, keep, e, before, gates, ds.reshape(before.shape))
+    for name in trainer.DENSE:
+        for _ in range(3):
+            at = tuple(rng.integers(0, n) for n in p[name].shape)
+            assert grad[name][at] == pytest.approx(slope(name, at), abs=1e-5), name
+    # rows of words move against their gradient, by its root mean square
+    for k in np.unique(x):
+        g = np.array([slope("E", (k, j)) for j in range(shape.embed)])
+        assert trainer.p["E"][k] - p["E"][k] == pytest.approx(-g / np.sqrt(1e-8 + np.mean(g * g)), abs=1e-3)
+    g = np.array([[slope("Ww", (w, j)) for j in range(shape.hidden)] for w in range(1, 4)])
+    seen = 1e-8 + np.mean(g * g, axis=1)
+    step = 1 / np.sqrt(np.maximum(seen, seen.mean()))
+    assert trainer.p["Ww"][1:4] - p["Ww"][1:4] == pytest.approx(-step[:, None] * g, abs=1e-3)
 
 
 @pytest.mark.parametrize("known", [5, 120_000])
 def test_language_model(spark, monkeypatch, known):
     monkeypatch.setattr(language_model, "KNOWN", known)
-    monkeypatch.setattr(language_model, "EVERY", 1)
     rng = random.Random(4)
     halves = [WORDS[:40], WORDS[40:]]
     texts = [prose(rng, rng.randint(20, 80), halves[i % 2]) for i in range(240)] + [None, "", "Unseen" + "x" * 3000, "two\twords"] + ["same text"] * 2
@@ -149,24 +165,46 @@ def test_language_model(spark, monkeypatch, known):
         want[(i, h, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6))] += 1
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
-    test = [r for r in got if r.held_out and r.n_known == r.n_tokens]
-    if known > 100:  # each text keeps to one half of the words, which counts alone do not see
-        assert sum(r.score for r in test) > sum(r.base_score for r in test)
+
+
+@pytest.mark.parametrize(("sf", "margin"), [("sf0.001", 0.005), ("sf0.01", 0.03)])
+def test_language_model_beats_counts_whatever_the_partitions(spark, sf, margin):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    seen = []
+    for n in (1, 7, 64) if sf == "sf0.001" else (7,):
+        r = language_model.held_out_scores(docs.repartition(n)).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+        seen.append(r["sum(score)"])
+        assert r["sum(score)"] > (1 - margin) * r["sum(base_score)"]
+    assert max(seen) == pytest.approx(min(seen), rel=1e-6)
+
+
+def test_shards_and_vocabulary_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD", 100)
+    monkeypatch.setattr(language_model, "SHARD_BY_PARAMETER", 0)
+    rng = random.Random(5)
+    heads = []
+    for n in (10, 80):
+        docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(n)], "doc_id long, text string")
+        model = language_model.untrained(language_model.vocabulary_of(language_model.count_words(docs)))
+        assert language_model.shards_of(model) == max(1, round(n * 31 / 300))
+        heads.append(math.ceil(language_model.WORDS * model.vocabulary.tokens ** (1 / 3)))
+    assert heads[1] == pytest.approx(2 * heads[0], rel=0.02)
 
 
 def test_every_training_document_trains_the_recurrent_part_once(spark, monkeypatch):
-    seen, average = [], language_model._average
+    seen, average = [], language_model._averaged
 
-    def spy(blobs):
-        seen.append(blobs.agg({"weight": "sum"}).first()[0] or 0)
-        return average(blobs)
+    def spy(copies, like):
+        seen.append(copies.filter("seg = 0").agg({"weight": "sum"}).first()[0] or 0)
+        return average(copies, like)
 
-    monkeypatch.setattr(language_model, "_average", spy)
-    rows = [(i, f"bix cet {i}") for i in range(60)] + [(None, "null key"), (None, None)]
+    monkeypatch.setattr(language_model, "_averaged", spy)
+    rows = [(i, f"bix cet {i}") for i in range(60)] + [(None, "null key"), (None, None)] + [(7, "again")] * 9
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = language_model.fit(docs, language_model.count_words(docs))
     assert len(seen) == language_model.ROUNDS
-    assert sum(seen) == model.tokens == 60 * 4 + 3 + 1
+    assert sum(seen) == model.vocabulary.tokens == 60 * 4 + 3 + 1 + 18
+    assert min(seen) > 0
 
 
 def test_language_model_of_nothing(spark):
