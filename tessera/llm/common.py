@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def single_threaded(spark: SparkSession) -> Iterator[None]:
+    """Python functions made inside run with one BLAS thread a task: tasks fill the cores, and small products only lose by more."""
+    env, name = spark.sparkContext.environment, "OPENBLAS_NUM_THREADS"
+    before = env.get(name)
+    env[name] = "1"
+    try:
+        yield
+    finally:
+        env.pop(name)
+        if before is not None:
+            env[name] = before
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_bucket, materialize, small_batches
+from .common import crc_bucket, materialize, single_threaded, small_batches
 
 #: Words whose counts every worker holds at least; the rest is joined. Words with vectors by cube root of tokens; tail classes.
 KNOWN, WORDS, TAILS = 120_000, 16, 16
@@ -167,50 +167,48 @@ def shards_of(model: Model) -> int:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str, trains: Column, shards: int = 1) -> DataFrame:
-    """Documents as input numbers, written: (row, key, n_tokens, n_known, base, inner, round, shard, place, ids), and beside each row
-    (row, hash, n) for words whose counts are joined. round is null where trains is not true. Known counts are in base
-    and, as shares of their tail classes, in inner."""
+    """Documents as input numbers, written: (row, key, n_tokens, n_known, base, inner, round, shard, place, ids, hashes, ns). round is
+    null where trains is not true. Known counts are in base and, as shares of their tail classes, in inner; hashes and ns are the
+    words whose counts are joined, and how often each occurs."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema[key].dataType.simpleString()
-    columns = ["row", "key", "n_tokens", "n_known", "base", "inner", "round", "shard", "place", "ids", "hash", "n"]
+    columns = ["row", "key", "n_tokens", "n_known", "base", "inner", "round", "shard", "place", "ids", "hashes", "ns"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
-        ranks, inputs = _Ranks(v.rank), v.inputs_of()
-        log_c = np.log10(v.counts + 0.1) if len(v.counts) else np.zeros(1)
-        log_all = np.log10(v.tokens + 0.1 * (v.distinct + 1))
+        ranks, inputs = _Ranks(v.rank), np.r_[v.inputs_of(), v.head + np.arange(TAILS)[::-1]].astype(v.kind)
+        # an unknown word's rank -1 - k looks up tail class k from the end of inputs
+        log_c = np.r_[np.log10(v.counts + 0.1), np.zeros(TAILS)]
+        log_all = math.log10(v.tokens + 0.1 * (v.distinct + 1))
+        # what a token adds to inner: its count, where it is known, and its class in any case; words with vectors add nothing
         log_tail = np.log10(v.tail_n + 0.1 * (v.tail_v + 1))
-        row, met = TaskContext.get().partitionId() << 36, {}
+        within = np.where(inputs >= v.head, log_c - log_tail[np.maximum(inputs.astype(np.int64) - v.head, 0)], 0.0)
+        row, met, end = TaskContext.get().partitionId() << 36, {}, [END]
         for b in batches:
-            main, rare = [], []
+            main = []
             for k, name, t, train in zip(b["k"], b["name"], b["t"], b["train"], strict=True):
-                words = [*words_of(t), END]
-                r = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
-                known = r >= 0
-                x = np.where(known, inputs[np.maximum(r, 0)] if len(inputs) else 0, v.head - 1 - r)
-                tail = known & (x >= v.head)
-                inner = float(log_c[r[tail]].sum()) - float(log_tail[x[x >= v.head] - v.head].sum())
-                base = float(log_c[r[known]].sum()) - len(words) * float(log_all)
+                raw = (t or "").encode("utf-8", "replace")
+                words = raw.lower().split() + end
+                r = np.fromiter(map(ranks.__getitem__, words), np.int32, len(words))
+                unknown = np.flatnonzero(r < 0)
+                base = float(log_c[r].sum()) - len(words) * log_all
+                rare = Counter([words[i] for i in unknown.tolist()])
                 n, shard, h = None, None, None
                 if train:
                     # a repeated row is a document of its own: its repeats are dealt out too
-                    h = xxhash.xxh3_64_intdigest(f"{name}\0{t}".encode("utf-8", "replace"))
+                    h = xxhash.xxh3_64_intdigest(raw, xxhash.xxh3_64_intdigest(str(name).encode()))
                     met[h] = again = met.get(h, 0) + 1
                     h = xxhash.xxh3_64_intdigest(again.to_bytes(8, "little"), h) if again > 1 else h
                     n, shard, h = h % ROUNDS, h // ROUNDS % shards, h >> 1
-                main.append((row, k, len(words), int(known.sum()), base, inner, n, shard, h, x.astype(v.kind).tobytes(), None, None))
-                for w, c in Counter(words[i] for i in np.flatnonzero(~known)).items():
-                    rare.append((row, None, None, None, None, None, None, None, None, None, word_hash(w), c))
+                main.append((row, k, len(words), len(words) - len(unknown), base, float(within[r].sum()), n, shard, h, inputs[r].tobytes(), [word_hash(w) for w in rare], list(rare.values())))
                 row += 1
             if len(met) > 1_000_000:
                 met.clear()
             yield pd.DataFrame(main, columns=columns, dtype=object)
-            for at in range(0, len(rare), 50_000):
-                yield pd.DataFrame(rare[at : at + 50_000], columns=columns, dtype=object)
 
     each = docs.select(F.col(key).alias("k"), F.col(key).cast("string").alias("name"), F.col(text).alias("t"), F.coalesce(trains, F.lit(False)).alias("train"))
-    schema = f"row long, key {kind}, n_tokens long, n_known long, base double, inner double, round int, shard int, place long, ids binary, hash long, n long"
+    schema = f"row long, key {kind}, n_tokens long, n_known long, base double, inner double, round int, shard int, place long, ids binary, hashes array<long>, ns array<int>"
     return materialize(each.mapInPandas(run, schema), "encoded")
 
 
@@ -304,9 +302,10 @@ def _scored(encoded: DataFrame, model: Model, counts: DataFrame, key: str) -> Da
         if pool:
             yield done()
 
-    main = encoded.filter("ids is not null").select("row", "key", "n_tokens", "n_known", "base", "inner", "ids")
+    main = encoded.select("row", "key", "n_tokens", "n_known", "base", "inner", "ids")
     scored = main.mapInPandas(run, f"row long, key {encoded.schema['key'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double")
-    rare = encoded.filter("hash is not null").select("row", "hash", "n").join(counts.select("hash", "c"), "hash", "left")
+    rare = encoded.select("row", F.explode(F.arrays_zip("hashes", "ns")).alias("w")).select("row", F.col("w.hashes").alias("hash"), F.col("w.ns").alias("n"))
+    rare = rare.join(counts.select("hash", "c"), "hash", "left")
     c = F.coalesce("c", F.lit(0))
     more = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + F.lit(0.1).cast("double"))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
     zero = F.lit(0.0).cast("double")
@@ -335,11 +334,12 @@ def held_out_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", he
     small_batches(docs.sparkSession)
     mine = docs.select(key, text)
     trains = F.coalesce(crc_bucket(F.col(key), held_out_of) != 0, F.lit(True))
-    counts = materialize(count_words(mine.filter(trains), text), "words")
-    model = untrained(vocabulary_of(counts))
-    shards = shards_of(model)
-    encoded = encode(mine, model.vocabulary, key, text, trains, shards)
-    model = train(model, encoded, shards)
-    out = _scored(encoded, model, counts, key)
+    with single_threaded(docs.sparkSession):
+        counts = materialize(count_words(mine.filter(trains), text), "words")
+        model = untrained(vocabulary_of(counts))
+        shards = shards_of(model)
+        encoded = encode(mine, model.vocabulary, key, text, trains, shards)
+        model = train(model, encoded, shards)
+        out = _scored(encoded, model, counts, key)
     held_out = F.coalesce(crc_bucket(F.col(key), held_out_of) == 0, F.lit(False))
     return out.select(key, held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
