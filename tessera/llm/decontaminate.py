@@ -19,6 +19,13 @@ BROADCAST_ROWS = 300_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+Key = str | list[str]
+
+
+def _names(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def raw_words(text: Column) -> Column:
     """Words of a text before A-Z is lower-cased; folding a word later gives the same words."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_ANY_CASE), F.lit(0))
@@ -28,13 +35,13 @@ def folded_words(text: Column) -> Column:
     return F.transform(raw_words(text), ascii_lower)
 
 
-def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, key: Key = "doc_id", text: str = "text") -> DataFrame:
     """The index of docs for terms: (key, position, term), with the other columns of terms along.
 
     terms is a written table with one or more rows per `term`; it is broadcast where its counted rows are few.
     """
-    each = docs.select(F.col(key), F.posexplode(raw_words(F.col(text))).alias("position", "w"))
-    return each.select(key, "position", ascii_lower(F.col("w")).alias("term")).join(broadcast_if_small(terms, BROADCAST_ROWS), "term")
+    each = docs.select(*_names(key), F.posexplode(raw_words(F.col(text))).alias("position", "w"))
+    return each.select(*_names(key), "position", ascii_lower(F.col("w")).alias("term")).join(broadcast_if_small(terms, BROADCAST_ROWS), "term")
 
 
 def windows(items: DataFrame, length: int = 13, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -47,7 +54,7 @@ def windows(items: DataFrame, length: int = 13, item: str = "item_id", text: str
     return each.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("window_id", F.xxhash64("words"))
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, vocabulary: DataFrame, key: Key = "doc_id", text: str = "text") -> DataFrame:
     """(term, n): occurrences in docs of each term of vocabulary that occurs at all."""
     return postings(docs, vocabulary, key, text).groupBy("term").agg(F.count("*").alias("n"))
 
@@ -65,24 +72,25 @@ def anchors(wins: DataFrame, counts: DataFrame, per_window: int = 2) -> DataFram
     return kept.select("term", "window_id", "size", "shift", "r", needed.alias("needed"))
 
 
-def phrase_matches(docs: DataFrame, wins: DataFrame, key: str = "doc_id", text: str = "text", per_window: int = 2) -> DataFrame:
+def phrase_matches(docs: DataFrame, wins: DataFrame, key: Key = "doc_id", text: str = "text", per_window: int = 2) -> DataFrame:
     """(key, window_id, start, size): every occurrence of a window in docs, by word number from 0.
 
-    key must identify a document; repeated keys give the occurrences of each row merged. The words of the few documents that
-    are left by the intersection are read again and compared; texts are not shuffled unless those documents are many.
+    key, one column or several, must identify a text and must not be null. The words of the few documents that are left by
+    the intersection are read again and compared; texts are not shuffled unless those documents are many.
     """
+    k = _names(key)
     vocabulary = materialize(wins.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    rare = materialize(anchors(wins, materialize(term_counts(docs, vocabulary, key, text), "counts"), per_window), "anchors")
-    found = postings(docs, rare, key, text).withColumn("start", F.col("position") - F.col("shift")).filter("start >= 0")
-    both = found.groupBy(key, "window_id", "start", "size", "needed").agg(F.bit_or(F.expr("shiftleft(1, r)")).alias("got"))
-    likely = materialize(both.filter("got = needed").select(key, "window_id", "start", "size"), "likely")
-    keys = broadcast_if_small(materialize(likely.select(key).distinct(), "keys"))
-    texts = docs.select(key, text).join(keys, key, "left_semi").select(key, F.posexplode(raw_words(F.col(text))).alias("position", "w"))
-    expected = likely.join(wins.select("window_id", "words"), "window_id").select(key, "window_id", "start", "size", F.posexplode("words").alias("i", "word"))
+    rare = materialize(anchors(wins, materialize(term_counts(docs, vocabulary, k, text), "counts"), per_window), "anchors")
+    found = postings(docs, rare, k, text).withColumn("start", F.col("position") - F.col("shift")).filter("start >= 0")
+    both = found.groupBy(*k, "window_id", "start", "size", "needed").agg(F.bit_or(F.expr("shiftleft(1, r)")).alias("got"))
+    likely = materialize(both.filter("got = needed").select(*k, "window_id", "start", "size"), "likely")
+    keys = broadcast_if_small(materialize(likely.select(*k).distinct(), "keys"))
+    texts = docs.select(*k, text).join(keys, k, "left_semi").select(*k, F.posexplode(raw_words(F.col(text))).alias("position", "w"))
+    expected = likely.join(wins.select("window_id", "words"), "window_id").select(*k, "window_id", "start", "size", F.posexplode("words").alias("i", "word"))
     expected = expected.withColumn("position", F.col("start") + F.col("i"))
-    actual = texts.select(key, "position", ascii_lower(F.col("w")).alias("word"))
-    same = expected.join(actual, [key, "position", "word"], "left_semi")
-    return same.groupBy(key, "window_id", "start", "size").agg(F.count("*").alias("got")).filter("got = size").drop("got")
+    actual = texts.select(*k, "position", ascii_lower(F.col("w")).alias("word"))
+    same = expected.join(actual, [*k, "position", "word"], "left_semi")
+    return same.groupBy(*k, "window_id", "start", "size").agg(F.count("*").alias("got")).filter("got = size").drop("got")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,7 +98,8 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, key: str =
 
     phrases: (phrase_id, words). The search starts from each phrase's rarest word; each further word is looked up next to
     the span found so far, outward from the rarest. Every place within reach is kept, as a farther one may be the only one
-    that the next word is in reach of.
+    that the next word is in reach of. Rows of a null key and phrases with a word that occurs nowhere give no match; empty phrases
+    and empty texts neither. Rows with one key are taken as one text.
     """
     vocabulary = materialize(phrases.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     placed = phrases.select("phrase_id", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
@@ -115,32 +124,37 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, slop: int, key: str =
     return spans.select(key, "phrase_id", "start", "end").distinct()
 
 
-def hits(matches: DataFrame, wins: DataFrame, key: str = "doc_id") -> DataFrame:
+def hits(matches: DataFrame, wins: DataFrame, key: Key = "doc_id") -> DataFrame:
     """(key, n_hit, items): words inside any match, spans [from, to) of such words, and the sorted ids of the items that occur."""
-    spans = matches.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("s"))
+    k = _names(key)
+    spans = matches.groupBy(*k).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop")))).alias("s"))
     # a span counts from where the spans before it end
     walk = F.aggregate(
         "s",
         F.struct(F.lit(0).alias("stop"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["stop"], x["stop"]).alias("stop"), (a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["stop"], x["start"]))).alias("n")),
     )
-    items = matches.select(key, "window_id").distinct().join(wins.select("window_id", "items"), "window_id")
-    listed = items.select(key, F.explode("items").alias("item")).groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return spans.select(key, walk["n"].alias("n_hit"), F.col("s").alias("spans")).join(listed, key)
+    items = matches.select(*k, "window_id").distinct().join(wins.select("window_id", "items"), "window_id")
+    listed = items.select(*k, F.explode("items").alias("item")).groupBy(*k).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spans.select(*k, walk["n"].alias("n_hit"), F.col("s").alias("spans")).join(listed, k)
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: key, n_words, n_hit, n_items, items (sorted), spans, contaminated (n_hit > 0 and 20 n_hit >= n_words).
+    """One row per row of docs: key, n_words, n_hit, n_items, items (sorted), spans, contaminated (n_hit > 0 and 20 n_hit >= n_words).
 
-    Null and empty texts have no words and are clean; null or empty items have no window. Rows with one key share their
-    hits. Without documents or without items nothing is hit. Other columns of docs are not read.
+    Null and empty texts have no words and are clean; null or empty items have no window. Each row is judged by its own
+    text, whatever its key: repeated and null keys are allowed. Without documents or without items nothing is hit. Other
+    columns of docs are not read.
     """
     wins = materialize(windows(items, length, item, item_text), "windows")
-    found = materialize(hits(phrase_matches(docs, wins, key, text), wins, key), "hits")
-    sized = docs.select(key, F.size(raw_words(F.col(text))).cast("long").alias("n_words"))
-    out = sized.join(found, key, "left")
+    # what a row gives depends on its text alone; two digests of key and text stand for it, and spread copies by their keys
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(key).alias("key"), t.alias("text"), F.xxhash64(F.col(key), t).alias("a"), F.xxhash64(t).alias("b"))
+    found = materialize(hits(phrase_matches(own, wins, ["a", "b"], "text"), wins, ["a", "b"]), "hits")
+    sized = own.select("key", "a", "b", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
+    out = sized.join(found, ["a", "b"], "left")
     n_hit, items_ = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(key, "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), "spans", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), "spans", ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 _FOLD = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
