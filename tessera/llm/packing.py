@@ -114,6 +114,7 @@ class Piece:
     start: int
     ids: bytes
     doc_tokens: int
+    prompt: int = 0
 
     @property
     def length(self) -> int:
@@ -121,11 +122,18 @@ class Piece:
 
     @property
     def loss(self) -> int:
-        """Every id but the closing one bears loss."""
-        return self.length - (self.start + self.length == self.doc_tokens)
+        """Every id bears loss but those of the prompt and the closing one."""
+        return max(0, min(self.start + self.length, self.doc_tokens - 1) - max(self.start, self.prompt))
+
+    def prefix(self, tokens: int, loss: int) -> int:
+        """The longest prefix within both limits."""
+        free = max(0, self.prompt - self.start)
+        n = min(tokens, free + loss, self.length)
+        # the closing id is free as well
+        return n + (n < tokens and n + 1 == self.length and self.start + self.length == self.doc_tokens)
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        return Piece(self.doc, self.start, self.ids[: 4 * n], self.doc_tokens), Piece(self.doc, self.start + n, self.ids[4 * n :], self.doc_tokens)
+        return Piece(self.doc, self.start, self.ids[: 4 * n], self.doc_tokens, self.prompt), Piece(self.doc, self.start + n, self.ids[4 * n :], self.doc_tokens, self.prompt)
 
 
 class Packer:
@@ -150,9 +158,9 @@ class Packer:
         self.room = np.delete(self.room, k, axis=0)
 
     def add(self, piece: Piece) -> None:
-        most = min(self.limits.tokens, self.limits.loss_tokens)
-        while piece.length >= most:
-            whole, piece = piece.cut(most)
+        limits = self.limits
+        while piece.length >= limits.tokens or piece.loss > limits.loss_tokens:
+            whole, piece = piece.cut(piece.prefix(limits.tokens, limits.loss_tokens))
             self._emit([whole])
         while piece.length:
             need = np.array([piece.length, 1, piece.loss], float)
@@ -168,14 +176,15 @@ class Packer:
                 self._place(len(self.bins) - 1, piece, need)
                 return
             k = int(np.argmin(self.room[:, 0]))
-            head, piece = piece.cut(max(1, int(min(self.room[k, 0], self.room[k, 2], piece.length))))
-            self.bins[k].append(head)
+            head, piece = piece.cut(piece.prefix(int(self.room[k, 0]), int(self.room[k, 2])))
+            if head.length:
+                self.bins[k].append(head)
             self._close(k)
 
     def _place(self, k: int, piece: Piece, need: np.ndarray) -> None:
         self.bins[k].append(piece)
         self.room[k] -= need
-        if self.room[k, 0] == 0 or self.room[k, 1] == 0 or self.room[k, 2] == 0:
+        if self.room[k, 0] == 0 or self.room[k, 1] == 0:
             self._close(k)
 
     def rows(self) -> pd.DataFrame:
@@ -184,13 +193,15 @@ class Packer:
 
     def finish(self) -> None:
         rest = [p for b in self.bins for p in b][::-1]
-        left = sum(p.length for p in rest)
         self.bins, self.room = [], np.zeros((0, 3))
         while rest:
-            reach = sum(p.length for p in rest[-self.limits.segments :])
-            want = min(left, reach, self.limits.tokens, self.limits.loss_tokens)
+            want, loss = 0, self.limits.loss_tokens
+            for p in rest[: -self.limits.segments - 1 : -1]:
+                n = p.prefix(self.limits.tokens - want, loss)
+                want, loss = want + n, loss - p.cut(n)[0].loss
+                if n < p.length:
+                    break
             want = want if want == self.limits.tokens else 1 << (want.bit_length() - 1)
-            left -= want
             chosen = []
             while want:
                 p = rest.pop()
@@ -205,22 +216,27 @@ class Packer:
 _ids: dict[str, WordIds] = {}
 
 
-def pack(df: DataFrame, tokenizer: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: key, start and length in its document's ids, their crc32, the document's ids, sequence and offset.
+def pack(df: DataFrame, tokenizer: str, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", prompt: str | None = None) -> DataFrame:
+    """One row per piece: key, start and length in its document's ids, their crc32, the document's ids, sequence, offset and loss-bearing ids.
 
-    tokenizer: path of the vocabulary file on every machine. Null and empty texts have the closing id only; repeated rows
-    are packed each; a null key stays null; an empty table gives no row. Only key and text are read.
+    prompt: a column of text that comes before text and bears no loss, as in instruction data; the limit on loss-bearing
+    ids then closes sequences that the limit on tokens would leave open. tokenizer: path of the vocabulary file on every
+    machine. Null and empty texts have the closing id only; repeated rows are packed each; a null key stays null; an empty
+    table gives no row. Only key, text and prompt are read.
     """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _ids.setdefault(tokenizer, None) or _ids.update({tokenizer: WordIds(tokenizer)}) or _ids[tokenizer]
         packer = Packer(limits, TaskContext.get().partitionId() << 36)
+        encode = lambda column: ids.texts(["" if t is None else t for t in column])
         for b in batches:
-            for doc, raw in zip(b["k"], ids.texts(["" if t is None else t for t in b["t"]]), strict=True):
-                packer.add(Piece(None if pd.isna(doc) else int(doc), 0, raw, len(raw) // 4))
+            before = [x[:-4] for x in encode(b["p"])] if prompt else [b""] * len(b)
+            for doc, first, raw in zip(b["k"], before, encode(b["t"]), strict=True):
+                packer.add(Piece(None if pd.isna(doc) else int(doc), 0, first + raw, (len(first) + len(raw)) // 4, len(first) // 4))
             yield packer.rows()
         packer.finish()
         yield packer.rows()
 
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, PIECES)
+    columns = [F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *([F.col(prompt).alias("p")] if prompt else [])]
+    return df.select(*columns).mapInPandas(run, PIECES)
