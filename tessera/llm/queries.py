@@ -28,8 +28,8 @@ def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = quotes.link_quotes(table(spark, sf_dir, "conversations"))
-    return linked.select("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked", "unlinked")
+    chats = quotes.conversations(quotes.link_quotes(table(spark, sf_dir, "conversations")))
+    return chats.select("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked", "unlinked", "opens", "chat")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Chat formatting by quotation linking, in built-in functions only.
 
-Lines that begin with > marks are quotes; the number of marks is the level. Runs of lines of one level, parted at blank
+Lines that begin with > marks, outside fenced code, are quotes; the number of marks is the level. Runs of lines of one level, parted at blank
 lines, are passages. Passages and single lines are normalised (A-Z and other capitals lower-cased, white space folded)
 and hashed, and quoted hashes are joined to the first message of the same conversation that has them as its own words.
 A message replies to the earlier message that most of its shallowest linked quotes come from. Replies are ordered by the
@@ -19,15 +19,28 @@ _MARKS = r"^(?:[ \t]*>)+"
 _ANNOUNCES = r"^(?:On|Am|Le|El)\b.*(?:wrote|schrieb.*|a écrit|escribió)\s*:\s*$"
 
 
+#: Put before a line of fenced code, so that it is no quote.
+_CODE = "\x02"
+
+
+def guarded(text: Column) -> Column:
+    """The text with _CODE before each line of a closed block of fenced code that would be taken for a quote."""
+    parts = F.split(F.concat(F.lit("\n"), text), r"(?m)(?=^[ \t]*```)", -1)
+    inside = lambda i, v: (i % 2 == 1) & (i < F.size(v) - 1)
+    marked = let(parts, lambda v: F.transform(v, lambda x, i: F.when(inside(i, v), F.regexp_replace(x, r"(?m)^(?=[ \t]*>)", _CODE)).otherwise(x)))
+    return F.when(F.contains(text, F.lit("```")), F.substr(F.array_join(marked, ""), F.lit(2))).otherwise(text)
+
+
 def normalised(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
 def lines_of(text: Column) -> Column:
     """array<struct<level, line>> of a text; level 0 is the author's own."""
-    raw = F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1)
+    raw = F.split(guarded(F.coalesce(text, F.lit(""))), r"\r?\n", -1)
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", ""))
-    return F.transform(raw, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS + r"[ \t]?", "").alias("line")))
+    line = lambda x: F.regexp_replace(F.regexp_replace(x, _MARKS + r"[ \t]?", ""), "^" + _CODE + r"(?=[ \t]*>)", "")
+    return F.transform(raw, lambda x: F.struct(level(x).alias("level"), line(x).alias("line")))
 
 
 def passages_of(lines: Column) -> Column:
@@ -111,6 +124,16 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return out.withColumns(added).select(*messages.columns, *[c for c in added if c not in messages.columns])
 
 
+def conversations(linked: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """linked (of link_quotes) in reply order, with chat: the message as its role's turn, and opens: it begins a thread.
+
+    Rows are sorted by conversation, thread and turn over all partitions by range, so a conversation's rows stand together in
+    reply order and one of any length is never collected. Null roles are "user", null texts are empty turns.
+    """
+    mark = F.concat(F.lit("<|"), F.coalesce(F.col(role), F.lit("user")), F.lit("|>\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    return linked.withColumns({"chat": mark, "opens": F.col("thread").eqNullSafe(F.col(turn))}).orderBy(conv, "thread", turn)
+
+
 def _own(text: Column) -> Column:
     """The text without quoted lines and the lines that announce them; white space at its ends goes where a quote was."""
 
@@ -119,4 +142,4 @@ def _own(text: Column) -> Column:
         stays = F.filter(v, lambda x, i: (x["level"] == 0) & ~(F.regexp_like(x["line"], F.lit(_ANNOUNCES)) & follows(i)))
         return F.regexp_replace(F.array_join(F.transform(stays, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
 
-    return F.when(F.regexp_like(text, F.lit(r"(?m)^[ \t]*>")), let(lines_of(text), kept)).otherwise(text)
+    return F.when(F.regexp_like(guarded(text), F.lit(r"(?m)^[ \t]*>")), let(lines_of(text), kept)).otherwise(text)
