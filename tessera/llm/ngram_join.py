@@ -31,8 +31,9 @@ from .shingles import Shingler, mix, set_id
 WIDTH, SEGMENT = 1 << 22, 1 << 16
 #: Choices of l, and the largest number of documents of a shingle whose pairs are listed.
 MATCHES, PAIRED = (1, 2, 4, 8, 16), 64
-#: Shingles in a block of whole sets (16 MB); two blocks meet in a task.
-BLOCK = 2_000_000
+#: Shingles in a block of whole sets (16 MB); two blocks meet in a task. Sets in a block, up to SPLIT blocks: a set is sent as often
+#: as its part has blocks, so beyond SPLIT a part is cut by its shingles only.
+BLOCK, SETS, SPLIT = 2_000_000, 256, 12
 
 
 def _profile(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -259,7 +260,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     parts = components(edges).join(classes, F.col("node") == F.col("sid")).select("id", "sid", "n", "copies", F.col("component").alias("part"))
     parts = materialize(parts, "parts")
     sizes = parts.groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
-    members = parts.join(sizes, "part").select("id", "sid", "copies", "part", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    members = parts.join(sizes, "part").select("id", "sid", "copies", "part", F.greatest(F.ceil(F.col("total") / BLOCK), F.least(F.ceil(F.col("m") / SETS), F.lit(SPLIT))).cast("int").alias("blocks"))
     links = materialize(_verified(docs, materialize(members, "members"), k, percent, key, text), "links")
     counts = links.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     group = classes.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").join(counts, "sid", "left")
