@@ -56,19 +56,21 @@ def bounds_of(counts: np.ndarray, classes: int) -> tuple[int, ...]:
 def start(shape: Shape, counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters whose output biases are the smoothed frequencies of classes and of words in their classes; counts by input.
 
-    W, b and u hold the gate and then the candidate.
+    Wz, bz and uz are the gate's, Wn, bn and un the candidate's; a word's output row has its bias at the end.
     """
     rng = np.random.default_rng(seed)
     e, h = shape.embed, shape.hidden
     normal = lambda scale, *n: (rng.standard_normal(n) * scale).astype(np.float32)
     smooth = counts.astype(float) + 0.5
     classes = np.bincount(shape.class_of, smooth, shape.outputs) + 1e-9
+    words = np.zeros((shape.head, h + 1), np.float32)
+    # a word's bias is its logarithm less that of the first of its class, the most frequent one
+    words[:, h] = np.log(smooth[: shape.head] / smooth[np.repeat(shape.bounds[:-1], np.diff(shape.bounds))])
     return {
-        "E": normal(0.3, shape.inputs, e), "W": np.concatenate([normal(0.2, e, h), normal(0.4, e, h)], axis=1), "u": np.zeros((2, h), np.float32),
+        "E": normal(0.3, shape.inputs, e), "Wz": normal(0.2, e, h), "Wn": normal(0.4, e, h), "uz": np.zeros(h, np.float32), "un": np.zeros(h, np.float32),
         # gates open at different rates, from the last word only to a long memory
-        "b": np.r_[np.linspace(-3, 3, h), np.zeros(h)].astype(np.float32),
-        "Wc": np.zeros((h, shape.outputs), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32),
-        "Ww": np.zeros((shape.head, h), np.float32), "bw": np.log(smooth[: shape.head]).astype(np.float32),
+        "bz": np.linspace(-3, 3, h).astype(np.float32), "bn": np.zeros(h, np.float32),
+        "Wc": np.zeros((h, shape.outputs), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32), "Ww": words,
     }
 
 
@@ -113,59 +115,77 @@ def lanes(docs: list[np.ndarray], n: int, bos: int) -> tuple[np.ndarray, np.ndar
     return x[:, order], y[:, order], keep[:, order], place[:, order]
 
 
-def _run(p: dict[str, np.ndarray], x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A window of inputs from state h on: their embeddings, the state before each step, gate and candidate (stacked), and
-    the state after it."""
+def _tiled(row: np.ndarray, n: int) -> np.ndarray:
+    """A row n times over: whole arrays meet in one loop, which broadcasting would cut into short ones."""
+    return np.tile(row, (n, 1))
+
+
+def _run(p: dict[str, np.ndarray], x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A window of inputs from state h on: their embeddings, the states before each step, gates, candidates and the states after."""
     steps, n = x.shape
     size = h.shape[1]
     e = np.take(p["E"], x.ravel(), axis=0)
-    # the candidate's tanh(v) is 2 s(2 v) - 1, so that one logistic function serves both
-    scale = np.repeat(np.array([-1, -2], np.float32), size)
-    gates = (e @ (p["W"] * scale)).reshape(steps, n, 2, size)
-    gates += (p["b"] * scale).reshape(2, size)
-    u = p["u"] * scale.reshape(2, size)
-    before, after, add = np.empty((steps, n, size), h.dtype), np.empty((steps, n, size), h.dtype), np.empty((n, 2, size), h.dtype)
+    # the candidate's tanh(v) is 1 - 2 s(-2 v), so that one function serves both; signs are turned beforehand
+    z = (e @ -p["Wz"] - p["bz"]).reshape(steps, n, size)
+    c = (e @ (2 * p["Wn"]) + 2 * p["bn"]).reshape(steps, n, size)
+    uz, un = _tiled(-p["uz"], n), _tiled(2 * p["un"], n)
+    before, after, add = np.empty_like(z), np.empty_like(z), np.empty_like(z[0])
+    step, lane = np.nonzero(keep == 0)
+    cuts = np.searchsorted(step, np.arange(steps + 1))
     for t in range(steps):
-        g, b, s = gates[t], before[t], after[t]
-        np.multiply(h, keep[t, :, None], out=b)
-        np.multiply(b[:, None], u, out=add)
+        b, s, g, v = before[t], after[t], z[t], c[t]
+        b[:] = h
+        if cuts[t + 1] > cuts[t]:
+            b[lane[cuts[t] : cuts[t + 1]]] = 0
+        np.multiply(b, uz, out=add)
         g += add
         np.exp(g, out=g)
         g += 1
         np.reciprocal(g, out=g)
-        c = g[:, 1]
-        c *= 2
-        c -= 1
-        np.subtract(b, c, out=s)
-        s *= g[:, 0]
-        s += c
+        np.multiply(b, un, out=add)
+        v += add
+        np.exp(v, out=v)
+        v += 1
+        np.divide(-2, v, out=v)
+        v += 1
+        np.subtract(b, v, out=s)
+        s *= g
+        s += v
         h = s
-    return e, before, gates, after
-
-
-def _by_class(c: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
-    """Rows of each output class that has words."""
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    ends = np.searchsorted(c[order], np.arange(classes + 1)).tolist()
-    return [(k, order[ends[k] : ends[k + 1]]) for k in range(classes) if ends[k + 1] > ends[k]]
+    return e, before, z, c, after
 
 
 def _sums(q: np.ndarray) -> np.ndarray:
     return q @ np.ones(q.shape[1], q.dtype)
 
 
-def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray], bos: int, width: int = 256, window: int = 64) -> np.ndarray:
+def _sorted_by_class(shape: Shape, s: np.ndarray, c: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Tokens of classes with two words or more, class by class: (their places, states with a one behind, places of the targets in
+    their classes, and (from, to, first word, last word) of each class)."""
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    ends = np.searchsorted(c[order], np.arange(shape.classes + 1)).tolist()
+    order = order[: ends[-1]]
+    so = np.ones((len(order), s.shape[1] + 1), s.dtype)
+    so[:, :-1] = s[order]
+    parts = [(ends[k], ends[k + 1], shape.bounds[k], shape.bounds[k + 1]) for k in range(shape.classes) if ends[k + 1] > ends[k] and shape.bounds[k + 1] - shape.bounds[k] > 1]
+    local = target[order] - np.asarray(shape.bounds)[c[order]]
+    return order, so, local, parts
+
+
+def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray], bos: int, width: int = 256, window: int = 8192) -> np.ndarray:
     """log10 of the model's probability of each token (tail tokens: of their class), for the concatenated documents.
 
-    Windows are a matter of memory only: the state is carried from each to the next, so whole documents are scored.
+    Windows, of about so many tokens, are a matter of memory only: the state is carried from each to the next, so whole
+    documents are scored.
     """
     out = np.zeros(sum(map(len, docs)))
     x, y, keep, place = lanes(docs, min(width, max(1, len(docs))), bos)
-    h = np.zeros((x.shape[1], shape.hidden), np.float32)
-    for lo in range(0, len(x), window):
-        live = int((place[lo] >= 0).sum())
-        cut = np.s_[lo : lo + window, :live]
-        states = _run(p, x[cut], keep[cut], h[:live])[3]
+    h, hi = np.zeros((x.shape[1], shape.hidden), np.float32), 0
+    while hi < len(x):
+        live = int((place[hi] >= 0).sum())
+        lo, hi = hi, hi + max(1, window // live)
+        cut = np.s_[lo:hi, :live]
+        states = _run(p, x[cut], keep[cut], h[:live])[-1]
         h = states[-1]
         where, target = place[cut].ravel(), y[cut].ravel()
         s = states.reshape(-1, shape.hidden)
@@ -178,15 +198,14 @@ def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray],
         got = logits[np.arange(len(c)), c].astype(float)
         np.exp(logits, out=logits)
         got -= np.log(_sums(logits))
-        for k, rows in _by_class(c, shape.classes):
-            a, b = shape.bounds[k], shape.bounds[k + 1]
-            if b - a < 2:
-                continue
-            inner = np.take(s, rows, axis=0) @ p["Ww"][a:b].T
-            inner += p["bw"][a:b] - p["bw"][a]
-            own = inner[np.arange(len(rows)), target[rows] - a]
-            np.exp(inner, out=inner)
-            got[rows] += own - np.log(_sums(inner))
+        order, so, local, parts = _sorted_by_class(shape, s, c, target)
+        inner = np.zeros(len(order))
+        for i, j, a, b in parts:
+            q = so[i:j] @ p["Ww"][a:b].T
+            own = q[np.arange(j - i), local[i:j]]
+            np.exp(q, out=q)
+            inner[i:j] = own - np.log(_sums(q))
+        got[order] += inner
         out[where] = got / np.log(10)
     return out
 
@@ -195,13 +214,15 @@ class Trainer:
     """Parameters under training: Adam for the unit and the class layer, Adagrad by row for words, whose rows most steps
     do not touch. Without train() the parameters stay as given."""
 
-    DENSE = ("W", "b", "u", "Wc", "bc")
+    DENSE = ("Wz", "Wn", "bz", "bn", "uz", "un", "Wc", "bc")
 
     def __init__(self, p: dict[str, np.ndarray], shape: Shape, rate: float = 0.004, word_rate: float = 0.1):
         self.p, self.shape, self.rate, self.word_rate = {k: v.copy() for k, v in p.items()}, shape, rate, word_rate
         self.m = {k: np.zeros_like(p[k]) for k in self.DENSE}
         self.v = {k: np.zeros_like(p[k]) for k in self.DENSE}
         self.seen_in, self.seen_out = np.full(shape.inputs, 1e-8, np.float32), np.full(shape.head, 1e-8, np.float32)
+        self.grad_out = np.zeros_like(p["Ww"])
+        self.sizes = np.diff(shape.bounds)
         self.steps = 0
 
     def _adam(self, grad: dict[str, np.ndarray]) -> None:
@@ -225,57 +246,66 @@ class Trainer:
     def _words(self, s: np.ndarray, c: np.ndarray, target: np.ndarray, ds: np.ndarray, weight: float) -> None:
         """Adds the gradient by state of words in their classes to ds and moves the words' rows. Words of one class stand
         together, so that a class is one product."""
-        for k, rows in _by_class(c, self.shape.classes):
-            a, b = self.shape.bounds[k], self.shape.bounds[k + 1]
-            if b - a < 2:
-                continue
-            so, w, bias, seen = np.take(s, rows, axis=0), self.p["Ww"][a:b], self.p["bw"][a:b], self.seen_out[a:b]
-            q = so @ w.T
-            q += bias - bias[0]
+        order, so, local, parts = _sorted_by_class(self.shape, s, c, target)
+        words, grad = self.p["Ww"], self.grad_out
+        grad[:] = 0
+        back = np.zeros_like(so)
+        for i, j, a, b in parts:
+            q = so[i:j] @ words[a:b].T
             np.exp(q, out=q)
             q *= (weight / _sums(q))[:, None]
-            q[np.arange(len(rows)), target[rows] - a] -= weight
-            ds[rows] += q @ w
-            g = q.T @ so
-            seen += np.einsum("ij,ij->i", g, g) / self.shape.hidden
-            step = self.word_rate / np.sqrt(np.maximum(seen, seen.sum() / (b - a)))
-            g *= step[:, None]
-            w -= g
-            bias -= step * (np.ones(len(q), q.dtype) @ q)
-
-    def _backward(self, x: np.ndarray, keep: np.ndarray, e: np.ndarray, before: np.ndarray, gates: np.ndarray, ds: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the unit, and a step of the inputs' rows; the gradient stops at the window's start."""
-        p, size = self.p, self.shape.hidden
-        back, d = np.zeros_like(before[0]), np.empty_like(gates)
-        u = p["u"]
+            q[np.arange(j - i), local[i:j]] -= weight
+            np.matmul(q, words[a:b], out=back[i:j])
+            np.matmul(q.T, so[i:j], out=grad[a:b])
+        ds[order] += back[:, :-1]
+        seen = self.seen_out
+        seen += np.einsum("ij,ij->i", grad[:, :-1], grad[:, :-1]) / self.shape.hidden
+        mean = np.add.reduceat(seen, self.shape.bounds[:-1]) / self.sizes
+        grad *= (self.word_rate / np.sqrt(np.maximum(seen, np.repeat(mean, self.sizes))))[:, None]
+        words -= grad
+
+    def _backward(self, x: np.ndarray, keep: np.ndarray, e: np.ndarray, before: np.ndarray, z: np.ndarray, c: np.ndarray, ds: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the unit, and a step of the inputs' rows; the gradient stops at the window's start. z and c become the
+        gradients of the gate and of the candidate before their functions."""
+        p, size, n = self.p, self.shape.hidden, x.shape[1]
+        uz, un = _tiled(p["uz"], n), _tiled(p["un"], n)
+        through, slope, back = np.empty_like(before[0]), np.empty_like(before[0]), np.zeros_like(before[0])
+        step, lane = np.nonzero(keep == 0)
+        cuts = np.searchsorted(step, np.arange(len(x) + 1))
         for t in range(len(x) - 1, -1, -1):
-            dh = ds[t]
+            dh, g, v, b = ds[t], z[t], c[t], before[t]
             dh += back
-            z, c, dz, dc = gates[t, :, 0], gates[t, :, 1], d[t, :, 0], d[t, :, 1]
-            back = dh * z
-            np.subtract(dh, back, out=dc)
-            np.subtract(before[t], c, out=dz)
-            dz *= back
-            slope = 1 - z
-            dz *= slope
-            np.multiply(c, c, out=slope)
-            np.subtract(1, slope, out=slope)
-            dc *= slope
-            np.multiply(dz, u[0], out=slope)
-            back += slope
-            np.multiply(dc, u[1], out=slope)
+            np.multiply(dh, g, out=through)
+            np.subtract(b, v, out=back)
+            # of the candidate: (dh - through) (1 - v v)
+            dh -= through
+            np.multiply(v, v, out=v)
+            np.subtract(1, v, out=v)
+            v *= dh
+            # of the gate: through (b - candidate) (1 - g)
+            np.subtract(1, g, out=g)
+            g *= back
+            g *= through
+            np.multiply(g, uz, out=back)
+            back += through
+            np.multiply(v, un, out=slope)
             back += slope
-            back *= keep[t, :, None]
-        flat = d.reshape(-1, 2 * size)
-        grad = {"W": e.T @ flat, "b": np.ones(len(flat), flat.dtype) @ flat}
+            if cuts[t + 1] > cuts[t]:
+                back[lane[cuts[t] : cuts[t + 1]]] = 0
+        dz, dn, states = z.reshape(-1, size), c.reshape(-1, size), before.reshape(-1, size)
+        one = np.ones(len(dz), dz.dtype)
+        grad = {"Wz": e.T @ dz, "Wn": e.T @ dn, "bz": one @ dz, "bn": one @ dn}
+        de = dz @ p["Wz"].T
+        de += dn @ p["Wn"].T
         inputs = x.ravel()
         order = np.argsort(inputs, kind="stable")
         used, first = np.unique(inputs[order], return_index=True)
-        g = np.add.reduceat(np.take(flat @ p["W"].T, order, axis=0), first)
+        g = np.add.reduceat(np.take(de, order, axis=0), first)
         self.seen_in[used] += np.einsum("ij,ij->i", g, g) / self.shape.embed
         p["E"][used] -= (self.word_rate / np.sqrt(self.seen_in[used]))[:, None] * g
-        d *= before[:, :, None]
-        return grad | {"u": (np.ones(len(flat), flat.dtype) @ flat).reshape(2, size)}
+        dz *= states
+        dn *= states
+        return grad | {"uz": one @ dz, "un": one @ dn}
 
     def train(self, docs: list[np.ndarray], bos: int, width: int = 256, window: int = 32) -> None:
         """One pass over docs, a step for each window; the state is carried across windows of a document."""
@@ -287,12 +317,12 @@ class Trainer:
         for lo in range(0, len(x), window):
             live = int((place[lo] >= 0).sum())
             cut = np.s_[lo : lo + window, :live]
-            e, before, gates, after = _run(self.p, x[cut], keep[cut], h[:live])
+            e, before, z, c, after = _run(self.p, x[cut], keep[cut], h[:live])
             h = after[-1].copy()
             s, target, there = after.reshape(-1, size), y[cut].ravel(), place[cut].ravel() >= 0
             share = 1 / int(there.sum())
-            c = self.shape.class_of[target]
-            ds, grad = self._classes(s, c, there.astype(np.float32) * np.float32(share))
-            self._words(s, np.where(there, c, self.shape.classes), target, ds, np.float32(share))
-            grad |= self._backward(x[cut], keep[cut], e, before, gates, ds.reshape(before.shape))
+            k = self.shape.class_of[target]
+            ds, grad = self._classes(s, k, there.astype(np.float32) * np.float32(share))
+            self._words(s, np.where(there, k, self.shape.classes), target, ds, np.float32(share))
+            grad |= self._backward(x[cut], keep[cut], e, before, z, c, ds.reshape(before.shape))
             self._adam(grad)

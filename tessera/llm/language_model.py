@@ -29,11 +29,11 @@ from . import gru
 from .common import crc_bucket, materialize, single_threaded, small_batches
 
 #: Words whose counts every worker holds at least; the rest is joined. Words with vectors by cube root of tokens; tail classes.
-KNOWN, WORDS, TAILS = 120_000, 16, 16
+KNOWN, WORDS, TAILS = 120_000, 8, 16
 #: Rounds of averaging; tokens of a shard at least, by itself and by parameter (so that copies stay small against the input).
 ROUNDS, SHARD, SHARD_BY_PARAMETER = 3, 1_000_000, 4
-#: Tokens pooled for training and scoring; a longer document trains in parts of so many tokens, each from the zero state.
-POOL, PART = 1_000_000, 4096
+#: Tokens pooled for training and for scoring; a longer document trains in parts of so many tokens, each from the zero state.
+POOL, SCORED, PART = 1_000_000, 4_000_000, 4096
 #: Floats in a segment of a copy's parameters; segments are averaged apart.
 SEGMENT = 1 << 16
 END = b""
@@ -296,7 +296,7 @@ def _scored(encoded: DataFrame, model: Model, counts: DataFrame, key: str) -> Da
             if len(b):
                 pool.append(b)
                 held += int(b["n_tokens"].sum())
-            if held > POOL:
+            if held > SCORED:
                 yield done()
                 held = 0
         if pool:

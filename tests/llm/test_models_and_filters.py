@@ -44,10 +44,8 @@ def test_url_rules(spark):
 
 
 def brute_state(p, h, x):
-    n = len(h)
     sig = lambda v: 1 / (1 + np.exp(-v))
-    a = p["E"][x] @ p["W"] + p["b"]
-    z, c = sig(a[:n] + p["u"][0] * h), np.tanh(a[n:] + p["u"][1] * h)
+    z, c = sig(p["E"][x] @ p["Wz"] + p["bz"] + p["uz"] * h), np.tanh(p["E"][x] @ p["Wn"] + p["bn"] + p["un"] * h)
     return z * h + (1 - z) * c
 
 
@@ -57,7 +55,7 @@ def brute_log(p, shape, h, t):
     total = logits[k] - np.log(np.exp(logits).sum())
     if k < shape.classes:
         a, b = shape.bounds[k], shape.bounds[k + 1]
-        inner = p["Ww"][a:b] @ h + p["bw"][a:b]
+        inner = p["Ww"][a:b, :-1] @ h + p["Ww"][a:b, -1]
         total += inner[t - a] - np.log(np.exp(inner - inner.max()).sum()) - inner.max()
     return total
 
@@ -75,7 +73,7 @@ def small_model():
     shape = gru.Shape((0, 1, 4, 6, 10), tails=2, embed=3, hidden=5)
     p = gru.start(shape, np.arange(12, 0, -1))
     rng = np.random.default_rng(0)
-    for k in ("Wc", "Ww", "E", "W", "u"):
+    for k in ("Wc", "Ww", "E", "Wz", "Wn", "uz", "un"):
         p[k] = (rng.standard_normal(p[k].shape) * 0.7).astype(np.float32)
     return shape, p
 
@@ -129,11 +127,11 @@ def test_gradient():
         return (up - down) / (2 * eps)
 
     trainer = gru.Trainer(p, shape, word_rate=1.0)
-    e, before, gates, after = gru._run(p, x, keep, np.zeros((2, shape.hidden)))
+    e, before, z, c, after = gru._run(p, x, keep, np.zeros((2, shape.hidden)))
     s, target = after.reshape(-1, shape.hidden), y.ravel()
     ds, grad = trainer._classes(s, shape.class_of[target], np.full(12, 1 / 12))
     trainer._words(s, shape.class_of[target], target, ds, 1 / 12)
-    grad |= trainer._backward(x, keep, e, before, gates, ds.reshape(before.shape))
+    grad |= trainer._backward(x, keep, e, before, z, c, ds.reshape(before.shape))
     for name in trainer.DENSE:
         for _ in range(3):
             at = tuple(rng.integers(0, n) for n in p[name].shape)
@@ -142,8 +140,8 @@ def test_gradient():
     for k in np.unique(x):
         g = np.array([slope("E", (k, j)) for j in range(shape.embed)])
         assert trainer.p["E"][k] - p["E"][k] == pytest.approx(-g / np.sqrt(1e-8 + np.mean(g * g)), abs=1e-3)
-    g = np.array([[slope("Ww", (w, j)) for j in range(shape.hidden)] for w in range(1, 4)])
-    seen = 1e-8 + np.mean(g * g, axis=1)
+    g = np.array([[slope("Ww", (w, j)) for j in range(shape.hidden + 1)] for w in range(1, 4)])
+    seen = 1e-8 + np.mean(g[:, :-1] ** 2, axis=1)
     step = 1 / np.sqrt(np.maximum(seen, seen.mean()))
     assert trainer.p["Ww"][1:4] - p["Ww"][1:4] == pytest.approx(-step[:, None] * g, abs=1e-3)
 
