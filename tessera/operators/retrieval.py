@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +20,120 @@ def postings(docs: DataFrame, key: str, text: str, pattern: str = BM25_TOKEN) ->
     return docs.select(key, F.posexplode(tokens(F.col(text), pattern)).alias("pos", "term"))
 
 
+#: Query terms, and numbers of query vectors, that a task holds at once; larger query sets are taken in blocks, a pass each.
+HELD_TERMS, HELD_NUMBERS = 50_000, 4_000_000
+
+
+def _query_blocks(rows: DataFrame, query_key: str, size: int, most: int) -> Iterator[pd.DataFrame]:
+    """Rows of a query set as local frames, whole queries together; size: counted, and frames have about `most` each."""
+    blocks = max(1, math.ceil(size / most))
+    for n in range(blocks):
+        yield rows.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).toPandas()
+
+
+def _term_scores(sized: DataFrame, asked: pd.DataFrame, weights: dict[str, float], gain, k: int, doc_key: str, query_key: str, query_type: str) -> DataFrame:
+    """(query, doc, score): sums over a query's terms of weight times gain(tf, dl), where a document's terms still stand
+    together: nothing is shuffled, and each block of documents gives about its k best per query only.
+
+    sized: (doc_key, dl, __t: tokens); asked: (query, term), distinct.
+    """
+    terms = sorted(set(asked["term"]) & set(weights))
+    place = {t: i for i, t in enumerate(terms)}
+    queries = list(dict.fromkeys(asked[query_key]))
+    number = {q: i for i, q in enumerate(queries)}
+    matrix = np.zeros((len(terms), len(queries)))
+    for q, t in zip(asked[query_key], asked["term"], strict=True):
+        if t in place:
+            matrix[place[t], number[q]] = weights[t]
+    spark = sized.sparkSession
+    shared = spark.sparkContext.broadcast((matrix, queries))
+    known = spark.createDataFrame(pd.DataFrame({"term": terms, "i": range(len(terms))}), "term string, i int")
+    numbered = sized.select(F.monotonically_increasing_id().alias("row"), F.col(doc_key).alias("key"), "dl", "__t")
+    each = numbered.select("row", "key", "dl", F.explode("__t").alias("term"))
+    each = each.join(F.broadcast(known), "term").select("row", "key", "dl", "i")
+    kind = sized.schema[doc_key].dataType.simpleString()
+
+    def best(rows: np.ndarray, keys: pa.Array, dl: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
+        matrix, queries = shared.value
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+        cell, tf = np.unique(doc * len(matrix) + i, return_counts=True)
+        d, t = np.divmod(cell, len(matrix))
+        x = np.zeros((len(starts), len(matrix)))
+        x[d, t] = gain(tf, dl[starts][d])
+        score = x @ matrix
+        least = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.zeros(score.shape[1])
+        # slack, as scores are rounded and ties broken later
+        q, at = np.nonzero(((score > 0) & (score >= least - 1e-5)).T)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([queries[n] for n in q.tolist()], asked_type), keys.take(pa.array(starts[at])), pa.array(score[at, q])], ["q", "key", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            rows = now["row"].to_numpy()
+            cut = int(np.searchsorted(rows, rows[-1]))  # the last document may go on in the next batch
+            for at in _document_cuts(rows[:cut], 512):
+                part = now.slice(at[0], at[1] - at[0]).combine_chunks()
+                yield from best(part["row"].to_numpy(), part["key"].combine_chunks(), part["dl"].to_numpy(), part["i"].to_numpy())
+            held = now.slice(cut)
+        if held is not None:
+            held = held.combine_chunks()
+            yield from best(held["row"].to_numpy(), held["key"].combine_chunks(), held["dl"].to_numpy(), held["i"].to_numpy())
+
+    asked_type = pa.array(queries[:1]).type
+    return each.mapInArrow(run, f"q {query_type}, key {kind}, score double").toDF(query_key, doc_key, "score")
+
+
+def _document_cuts(rows: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Spans of at most `most` whole documents in sorted row numbers."""
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    edges = [*starts[::most].tolist(), len(rows)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _best_documents(docs: DataFrame, asked: DataFrame, weigh, gain, k: int, digits: int, doc_key: str, query_key: str, text: str) -> DataFrame:
+    sized = docs.select(doc_key, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
+    query_type = asked.schema[query_key].dataType.simpleString()
+    parts = []
+    for block in _query_blocks(asked, query_key, asked.count(), HELD_TERMS):
+        if len(block):
+            weights, with_corpus = weigh(sized, sorted(set(block["term"])))
+            parts.append(_term_scores(sized, block, weights, gain(*with_corpus), k, doc_key, query_key, query_type))
+    if not parts:
+        return asked.join(docs.select(doc_key), F.lit(False)).select(query_key, doc_key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    scored = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", digits)).filter("score > 0")
+    return top_k(scored, query_key, k, F.desc("score"), F.asc(doc_key))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(query, doc, score, rank) of the k best documents per query; equal scores go to the smaller document key.
 
-    Query terms are distinct. The corpus is narrowed to the queries' terms before term counts are shuffled.
+    Query terms are distinct. queries is a stated query set; its terms are held by the tasks in blocks of counted size.
     """
-    sized = docs.select(doc_key, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    def weigh(sized: DataFrame, terms: list[str]) -> tuple[dict[str, float], tuple[float]]:
+        # one pass: the empty term stands for the document itself, as no token is empty
+        known = sized.sparkSession.createDataFrame(pd.DataFrame({"term": [*terms, ""]}), "term string")
+        each = sized.select("dl", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "__t"))).alias("term")).join(F.broadcast(known), "term")
+        counts = {r["term"]: (r["df"], r["dl"]) for r in each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()}
+        n, total = counts.pop("", (0, 0))
+        return {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, (df, _) in counts.items()}, (total / n if n else 1.0,)
+
+    def gain(avgdl: float):
+        return lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    terms = asked.select("term").distinct()
-    tf = sized.select(doc_key, "dl", F.explode("__t").alias("term")).join(terms, "term", "left_semi").groupBy(doc_key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weighed, "term").join(tf, "term").groupBy(query_key, doc_key).agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0")
-    return top_k(scored, query_key, k, F.desc("score"), F.asc(doc_key))
+    return _best_documents(docs, asked, weigh, gain, k, digits, doc_key, query_key, text)
+
+
+def shared_terms(docs: DataFrame, queries: DataFrame, k: int = 20, least_chars: int = 1, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(query, doc, score, rank) of the k documents per query with most of its distinct terms of least_chars or more characters."""
+    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).filter(F.length("term") >= least_chars)
+    return _best_documents(docs, asked, lambda sized, terms: (dict.fromkeys(terms, 1.0), ()), lambda: lambda tf, dl: np.minimum(tf, 1), k, 0, doc_key, query_key, text)
 
 
 def top_k(scored: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
@@ -110,11 +216,39 @@ def norm(a: Column) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", vector: str = "embedding", digits: int = 6, max_distance: float | None = None) -> DataFrame:
     """(query, key, distance, rank): exact cosine distance of a stated set of queries to every vector, nearest first, larger key first on ties.
 
-    The queries are few against the corpus, so they are held by every task; each task's candidates are cut to k per query before they are shuffled.
+    Queries are taken in blocks of counted size, a pass over the vectors each; a block of vectors meets a block of queries in
+    one matrix product and gives about its k nearest per query. Vectors that are null or of length 0 have no distance.
     """
-    pairs = vectors.select(key, vector).join(F.broadcast(queries.select(query, F.col(vector).alias("__q"))), F.lit(True))
-    distance = F.round(1 - dot(F.col(vector), F.col("__q")) / (norm(F.col(vector)) * norm(F.col("__q"))), digits) + 0.0
-    scored = pairs.select(query, key, distance.alias("distance"))
+    asked = queries.select(query, vector).filter(F.col(vector).isNotNull())
+    kinds = f"q {asked.schema[query].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, distance double"
+    width = asked.select(F.max(F.size(vector))).first()[0] or 1
+    parts = []
+    for block in _query_blocks(asked, query, asked.count(), max(1, HELD_NUMBERS // width)):
+        if not len(block):
+            continue
+        matrix = np.stack([np.asarray(v, float) for v in block[vector]])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            shared = vectors.sparkSession.sparkContext.broadcast((block[query].to_numpy(), matrix / np.linalg.norm(matrix, axis=1)[:, None]))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, unit = shared.value
+            for b in batches:
+                for at in range(0, len(b), 1024):
+                    part = b.iloc[at : at + 1024]
+                    m = np.stack([np.asarray(v, float) for v in part["v"]])
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        distance = 1 - (m @ unit.T) / np.linalg.norm(m, axis=1)[:, None]
+                    ok = np.isfinite(distance)
+                    distance[~ok] = np.inf
+                    # slack, as distances are rounded and ties broken later
+                    most = np.partition(distance, k - 1, axis=0)[k - 1] + 1e-5 if len(part) > k else np.full(len(names), np.inf)
+                    q, row = np.nonzero((ok & (distance <= most)).T)
+                    yield pd.DataFrame({"q": names[q], "key": part["key"].to_numpy()[row], "distance": distance[row, q]})
+
+        parts.append(vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(run, kinds).toDF(query, key, "distance"))
+    if not parts:
+        parts = [vectors.sparkSession.createDataFrame([], kinds).toDF(query, key, "distance")]
+    scored = reduce(DataFrame.unionByName, parts).withColumn("distance", F.round("distance", digits) + 0.0)
     if max_distance is not None:
         scored = scored.filter(F.col("distance") <= max_distance)
     return top_k(scored, query, k, F.asc("distance"), F.desc(key))
@@ -125,9 +259,10 @@ def valid_vector(vector: Column, dimension: int) -> Column:
     return F.coalesce((F.size(vector) == dimension) & ~bad, F.lit(False))
 
 
-def fuse(branches: list[tuple[DataFrame, float]], query: str, key: str, k: int = 60, digits: int = 9) -> DataFrame:
+def fuse(branches: list[tuple[DataFrame, float]], query: str, key: str, k: int = 60, digits: int = 9, smaller_first: bool = False) -> DataFrame:
     """(query, key, score, rank): weighted reciprocal ranks. Branches are (query, key, rank); repeats count by their best rank
-    and ranks close up after them; a branch of weight 0 or less is left out; equal scores go to the larger key."""
+    and ranks close up after them; a branch of weight 0 or less is left out; equal scores go to the larger key, or to the
+    smaller."""
     used = [(b, w) for b, w in branches if w > 0]
     parts = []
     for b, w in used:
@@ -138,7 +273,8 @@ def fuse(branches: list[tuple[DataFrame, float]], query: str, key: str, k: int =
     for p in parts[1:]:
         whole = whole.unionByName(p)
     scored = whole.groupBy(query, key).agg(F.round(F.sum("s"), digits).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.desc(key))))
+    tie = F.asc(key) if smaller_first else F.desc(key)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), tie)))
 
 
 def guarded(semantic: DataFrame, lexical: DataFrame, query: str, max_distance: float) -> DataFrame:
@@ -156,10 +292,11 @@ def rerank(fused: DataFrame, scores: DataFrame, query: str, key: str, head: int)
 
 
 def diversify(ranked: DataFrame, query: str, origin: str, limit: int) -> DataFrame:
-    """Results beyond `limit` of one origin move behind all others; none is dropped."""
+    """Results beyond `limit` of one origin move behind all others; none is dropped. A result of a null origin is its own origin."""
     if limit <= 0:
         return ranked
-    place = F.row_number().over(Window.partitionBy(query, origin).orderBy("rank"))
+    own = F.coalesce(F.concat(F.lit("o"), F.col(origin).cast("string")), F.concat(F.lit("r"), F.col("rank").cast("string")))
+    place = F.row_number().over(Window.partitionBy(query, own).orderBy("rank"))
     late = ranked.withColumn("__late", place > limit)
     return late.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("__late", "rank"))).drop("__late")
 
@@ -169,6 +306,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def thresholded(ranked: DataFrame, scores: DataFrame, query: str, key: str, head: int, least: float) -> DataFrame:
+    """Results of at least `least`, reranked; head results that fall below it by their new score go as well, and ranks close up."""
+    kept = ranked.filter(F.col("score") >= least)
+    ordered = rerank(kept, scores, query, key, head).join(scores.select(query, key, F.col("score").alias("__new")), [query, key], "left")
+    new = F.when(F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("score"))
+    passed = ordered.withColumn("score", new).filter(F.col("score") >= least).drop("__new")
+    return passed.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("rank")))
+
+
 def effective_mode(wanted: str, lexical_ok: bool, semantic_ok: bool) -> str:
     """What is left of a mode when a branch is down; none where nothing is."""
     if wanted == "hybrid":
@@ -176,3 +322,21 @@ def effective_mode(wanted: str, lexical_ok: bool, semantic_ok: bool) -> str:
     if wanted == "semantic":
         return "semantic" if semantic_ok else "lexical" if lexical_ok else "none"
     return "lexical" if lexical_ok else "none"
+
+
+def effective_modes(wanted: Column, lexical_ok: Column, semantic_ok: Column) -> Column:
+    """effective_mode() of columns; any other mode than hybrid and semantic is lexical."""
+    states = [(a, b) for a in (True, False) for b in (True, False)]
+    by_state = lambda mode: F.coalesce(*[F.when((lexical_ok == a) & (semantic_ok == b), effective_mode(mode, a, b)) for a, b in states])
+    return F.when(wanted == "hybrid", by_state("hybrid")).when(wanted == "semantic", by_state("semantic")).otherwise(by_state("lexical"))
+
+
+def degraded(branch_states: dict[str, Column]) -> Column:
+    """Names and states of the branches that did not answer (timeout, error, unavailable), as a map in the given order."""
+    failed = F.array_compact(F.array(*[F.when(c.isin("timeout", "error", "unavailable"), F.struct(F.lit(n).alias("key"), c.alias("value"))) for n, c in branch_states.items()]))
+    return F.map_from_entries(failed)
+
+
+def partial_results(shown: Column, matched: Column, offset: Column, vanished: Column, degraded_branches: Column) -> Column:
+    """Whether a page is only a part: more pages follow, rows vanished between the ranking and the read, or a branch was down."""
+    return (offset + shown + vanished < matched) | (vanished > 0) | degraded_branches

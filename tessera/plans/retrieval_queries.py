@@ -89,11 +89,8 @@ _BRANCHES = f"""{_BM25}, a AS (SELECT item_id AS query_id, doc_id, rank FROM lex
 
 def branches(spark, d):
     a = lexical(spark, d).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
-    docs, items = V.read(spark, d, "documents"), V.read(spark, d, "benchmark")
-    q = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).filter("length(term) >= 4")
-    tf = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    shared = q.join(tf, "term").groupBy(F.col("item_id").alias("query_id"), "doc_id").agg(F.count("*").alias("n"))
-    return a, R.top_k(shared, "query_id", 20, F.desc("n"), F.asc("doc_id")).select("query_id", "doc_id", "rank")
+    b = R.shared_terms(V.read(spark, d, "documents"), V.read(spark, d, "benchmark"), 20, 4)
+    return a, b.select(F.col("item_id").alias("query_id"), "doc_id", "rank")
 
 
 def fused(spark, d):
@@ -135,15 +132,8 @@ def r10_guard(spark, d):
     return R.guarded(nearest(spark, d), hits, "query_id", 0.6).select("query_id", "vec_id", "distance")
 
 
-@register("r17_jaccard", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS j FROM t a JOIN t b ON a.item_id < b.item_id WHERE a.item_id < 10")
+@register("r17_jaccard", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS j FROM t a JOIN t b ON a.item_id < b.item_id")
 def r17_jaccard(spark, d):
-    t = V.read(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"), T.ASCII_TOKEN)).alias("s"))
-    a, b = t.filter("item_id < 10").select(F.col("item_id").alias("a"), F.col("s").alias("x")), t.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
-    return F.broadcast(a).join(b, F.col("a") < F.col("b")).select("a", "b", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
-
-
-@register("r17_jaccard_all", ORACLES["r17_jaccard"].replace(" WHERE a.item_id < 10", ""))
-def r17_jaccard_all(spark, d):
     t = V.read(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"), T.ASCII_TOKEN)).alias("s"))
     a, b = t.select(F.col("item_id").alias("a"), F.col("s").alias("x")), t.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
@@ -161,7 +151,7 @@ _QRELS = "qr AS (SELECT item_id AS query_id, doc_id, (doc_id * 7 + item_id * 3)
 def qrels(spark, d):
     labels = V.read(spark, d, "labels").select("doc_id", (F.col("doc_id") % 11).alias("m"))
     items = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 11).alias("m"))
-    return labels.join(F.broadcast(items), "m").select("query_id", "doc_id", ((F.col("doc_id") * 7 + F.col("query_id") * 3) % 4).cast("int").alias("grade"))
+    return labels.join(items, "m").select("query_id", "doc_id", ((F.col("doc_id") * 7 + F.col("query_id") * 3) % 4).cast("int").alias("grade"))
 
 
 _KS = (1, 3, 5, 10)
@@ -254,10 +244,10 @@ def e11_cramers_v(spark, d):
     return E.cramers_v(V.read(spark, d, "lineitem"), "l_returnflag", "l_linestatus").select(F.round("v", 4).alias("v"), "n")
 
 
-@register("e7_exact_permutation", "WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, round(c_acctbal) AS x FROM customer WHERE c_custkey < 10), m AS (SELECT range AS mask FROM range(1024)), s AS (SELECT mask, sum(CASE WHEN (mask >> i) & 1 = 0 THEN x ELSE -x END) AS t FROM m, v GROUP BY 1), o AS (SELECT abs(sum(x)) AS o, count(*) AS n FROM v) SELECT n::INT AS n, round(o / n, 6) AS observed, round(avg((abs(t) >= o - 1e-12)::INT), 9) AS p FROM s, o GROUP BY n, o")
+@register("e7_exact_permutation", "WITH v AS (SELECT c_nationkey % 18 AS i, round(avg(c_acctbal) - 4400) AS x FROM customer GROUP BY 1), m AS (SELECT range AS mask FROM range(262144)), s AS (SELECT mask, sum(CASE WHEN (mask >> i) & 1 = 0 THEN x ELSE -x END) AS t FROM m, v GROUP BY 1), o AS (SELECT abs(sum(x)) AS o, count(*) AS n FROM v) SELECT n::INT AS n, round(o / n, 6) AS observed, round(avg((abs(t) >= o - 1e-12)::INT), 9) AS p FROM s, o GROUP BY n, o")
 def e7_exact_permutation(spark, d):
-    x = V.read(spark, d, "customer").filter("c_custkey < 10").select(F.round("c_acctbal").alias("d"))
-    return E.exact_permutation(x).select("n", F.round("observed", 6).alias("observed"), F.round("p", 9).alias("p"))
+    x = V.read(spark, d, "customer").groupBy(F.col("c_nationkey") % 18).agg(F.round(F.avg("c_acctbal") - 4400).alias("d"))
+    return E.exact_permutation(x.select("d")).select("n", F.round("observed", 6).alias("observed"), F.round("p", 9).alias("p"))
 
 
 @register("e10_compare_runs")
@@ -268,11 +258,14 @@ def e10_compare_runs(spark, d):
     return E.compare_runs(one.join(two, "query_id").withColumn("comparison", F.lit("a-b")), "ndcg", iterations=2000)
 
 
-@register("e16_staged_sample", f"""WITH {_BRANCHES}, {_QRELS}, x AS (SELECT a.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS r FROM a ANTI JOIN qr USING (query_id, doc_id)), s0 AS (SELECT query_id, doc_id, 0 AS stage FROM x WHERE r <= 2),
- y AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS r FROM b ANTI JOIN qr USING (query_id, doc_id) ANTI JOIN s0 USING (query_id, doc_id)) SELECT * FROM s0 UNION ALL SELECT query_id, doc_id, 1 FROM y WHERE r <= 2""")
+@register("e16_staged_sample", f"""WITH {_BRANCHES}, {_QRELS}, x AS (SELECT query_id, doc_id, 0 AS stage, lpad(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id)::VARCHAR, 12, '0') AS o FROM a ANTI JOIN qr USING (query_id, doc_id)), y AS (SELECT query_id, doc_id, 1 AS stage, lpad(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id)::VARCHAR, 12, '0') AS o FROM b ANTI JOIN qr USING (query_id, doc_id)),
+ z AS (SELECT item_id AS query_id, doc_id, 2 AS stage, sha256('s' || chr(0) || item_id || '|' || doc_id) AS o FROM benchmark JOIN labels ON doc_id % 3 = item_id % 3 ANTI JOIN qr ON qr.query_id = item_id AND qr.doc_id = labels.doc_id), w AS (SELECT * FROM x WHERE o <= '000000000003' UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z),
+ f AS (SELECT query_id, doc_id, stage, o FROM w QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY stage, o) = 1), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, o, doc_id) AS p FROM f) SELECT query_id, doc_id, stage, count(*) OVER (PARTITION BY query_id) < 40 AS exhausted FROM p WHERE p <= 40""")
 def e16_staged_sample(spark, d):
-    a, b = branches(spark, d)
-    return E.staged_sample([x.withColumnRenamed("rank", "priority") for x in (a, b)], qrels(spark, d), "query_id", "doc_id", 2)
+    a, b = (x.withColumnRenamed("rank", "priority") for x in branches(spark, d))
+    labels = V.read(spark, d, "labels").select("doc_id", (F.col("doc_id") % 3).alias("m"))
+    rest = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("m")).join(labels, "m").select("query_id", "doc_id")
+    return E.staged_sample([(a, 3), (b, None)], rest, qrels(spark, d), "query_id", "doc_id", 40, "s")
 
 
 @register("e17_adjudicated", "SELECT doc_id, quality AS a, toxic AS b, quality = toxic AS agreed, CASE WHEN quality = toxic THEN quality WHEN doc_id % 2 = 0 THEN 1 END AS grade FROM labels")
