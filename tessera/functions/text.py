@@ -14,6 +14,7 @@ IDENTIFIER_TOKEN = r"[\p{L}\p{N}]+(?:[_-][\p{L}\p{N}]+)*"
 BM25_TOKEN = r"[\p{L}\p{N}_]+"
 ASCII_TOKEN = r"[a-z0-9]+"
 LONG_TOKEN = r"[a-z0-9]{2,}"
+WORD_TOKEN = r"[\p{L}\p{N}]{2,}"
 #: Words that alone never match, in natural order.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with")
 METHODS = ("CONNECT", "DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT", "TRACE")

@@ -204,6 +204,11 @@ def conversion_flags(impressions: DataFrame, events: DataFrame, hours: int) -> D
     return nexts.select("row.*", soon("v").alias("verified"), soon("s").alias("settled"))
 
 
+def recent_impressions(impressions: DataFrame, as_of: str, hours: int, days: int = 30) -> DataFrame:
+    """Impressions that a conversion report takes in: of the last `days`, and of the attribution window before them."""
+    return impressions.filter(F.col("created_at") >= at(as_of) - F.expr(f"interval {int(hours)} hours") - F.expr(f"interval {int(days)} days"))
+
+
 def conversion(flags: DataFrame) -> DataFrame:
     top = lambda n: F.count_if(F.col("settled") & (F.col("position") <= n))
     return flags.agg(

@@ -133,13 +133,28 @@ def share_drift(p: DataFrame, q: DataFrame, key: str) -> DataFrame:
     return both.agg(F.max(F.abs(F.coalesce("s0", F.lit(0.0)) - F.coalesce("s1", F.lit(0.0)))).alias("drift"))
 
 
+#: Differences up to which every sign pattern is tried; beyond, patterns are drawn.
+EXACT = 20
+
+
 def exact_permutation(differences: DataFrame, value: str = "d") -> DataFrame:
-    """(n, observed, p): two-sided sign permutation over all 2^n patterns, for at most 20 differences."""
+    """(n, observed, p): two-sided sign permutation over all 2^n patterns, for at most EXACT differences; p is null beyond, and 1
+    without any. Patterns are dealt over the cluster."""
     listed = differences.agg(F.collect_list(F.col(value).cast("double")).alias("ds")).withColumn("n", F.size("ds"))
-    masks = listed.select("ds", "n", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 20).cast("int") - 1)).alias("mask")).filter("mask < shiftleft(1, n)")
-    signed = F.aggregate(F.transform("ds", lambda d, i: F.when(F.expr("shiftright(mask, 0)").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) == 0, d).otherwise(-d)), F.lit(0.0), lambda s, x: s + x)
-    observed = F.abs(F.aggregate("ds", F.lit(0.0), lambda s, x: s + x))
-    return masks.agg(F.first("n").alias("n"), (F.first(observed) / F.first("n")).alias("observed"), F.avg((F.abs(signed) >= observed - 1e-12).cast("double")).alias("p"))
+    few = listed.filter(F.col("n") <= EXACT)
+    masks = few.select("ds", "n", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, n) - 1"))).alias("mask"))
+    signed = F.aggregate(F.transform("ds", lambda d, i: F.when(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) == 0, d).otherwise(-d)), F.lit(0.0), lambda s, x: s + x)
+    total = F.abs(F.aggregate("ds", F.lit(0.0), lambda s, x: s + x))
+    p = masks.agg(F.avg((F.abs(signed) >= total - 1e-12).cast("double")).alias("p"))
+    return listed.crossJoin(p).select("n", F.when(F.col("n") > 0, total / F.col("n")).otherwise(0.0).alias("observed"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("p")).alias("p"))
+
+
+def exact_sign_test(d: np.ndarray) -> float:
+    """The same for one short vector."""
+    sums = np.zeros(1)
+    for x in d:
+        sums = np.r_[sums + x, sums - x]
+    return float(np.mean(np.abs(sums) / len(d) >= abs(d.sum() / len(d)) - 1e-12))
 
 
 def mulberry32(seed: int, n: int) -> np.ndarray:
@@ -152,8 +167,12 @@ def mulberry32(seed: int, n: int) -> np.ndarray:
     return ((t ^ (t >> np.uint64(14))) & mask) / 4294967296.0
 
 
-def monte_carlo_permutation(d: np.ndarray, iterations: int = 100_000, seed: int = 0x5EED) -> float:
-    """Two-sided p of a sign permutation by resampling: (extreme + 1) / (iterations + 1). All-zero differences give 1."""
+#: Seeds of a permutation test alone, and of intervals and whole comparisons.
+PERMUTATION_SEED, COMPARISON_SEED = 0x5EED, 0xB007
+
+
+def monte_carlo_permutation(d: np.ndarray, iterations: int = 100_000, seed: int = PERMUTATION_SEED) -> float:
+    """Two-sided p of a sign permutation by resampling: (extreme + 1) / (iterations + 1). No and all-zero differences give 1."""
     d = np.asarray(d, float)
     if not len(d) or not d.any():
         return 1.0
@@ -167,26 +186,44 @@ def monte_carlo_permutation(d: np.ndarray, iterations: int = 100_000, seed: int
     return (extreme + 1) / (iterations + 1)
 
 
-def bootstrap_interval(d: np.ndarray, iterations: int = 10_000, seed: int = 0x5EED, level: float = 0.95) -> dict[str, float]:
-    """Percentile interval of the mean difference, with bias and standard error of the resampled means."""
+def permutation_p(d: np.ndarray, iterations: int = 100_000, seed: int = PERMUTATION_SEED) -> float:
+    """Exact up to EXACT differences, by resampling beyond."""
     d = np.asarray(d, float)
-    picks = (mulberry32(seed, iterations * len(d)) * len(d)).astype(int).reshape(iterations, len(d))
+    return exact_sign_test(d) if 0 < len(d) <= EXACT and d.any() else monte_carlo_permutation(d, iterations, seed)
+
+
+def lcg(seed: int, n: int) -> np.ndarray:
+    """n numbers in [0, 1) of the linear congruential generator of release reports."""
+    out, state = np.empty(n), seed & 0xFFFFFFFF
+    for i in range(n):
+        state = (1664525 * state + 1013904223) & 0xFFFFFFFF
+        out[i] = state / 4294967296.0
+    return out
+
+
+def bootstrap_interval(d: np.ndarray, iterations: int = 10_000, seed: int = COMPARISON_SEED, level: float = 0.95, generator=mulberry32) -> dict[str, float]:
+    """Percentile interval of the mean, with bias and standard error of the resampled means; NaN bounds for no values."""
+    d = np.asarray(d, float)
+    if not len(d):
+        return {"low": math.nan, "high": math.nan, "bias": 0.0, "se": 0.0}
+    picks = (generator(seed, iterations * len(d)) * len(d)).astype(int).reshape(iterations, len(d))
     means = np.sort(d[picks].mean(axis=1))
+    alpha = (1 - level) / 2
     rank = lambda p: float(means[min(iterations - 1, max(0, math.ceil(p * iterations) - 1))])
-    return {"low": rank((1 - level) / 2), "high": rank((1 + level) / 2), "bias": float(means.mean() - d.mean()), "se": float(means.std(ddof=1)) if iterations > 1 else 0.0}
+    return {"low": rank(alpha), "high": rank(1 - alpha), "bias": float(means.mean() - d.mean()), "se": float(means.std(ddof=1)) if iterations > 1 else 0.0}
 
 
-def compare_runs(metrics: DataFrame, metric: str, alpha: float = 0.05, iterations: int = 10_000, query: str = "query_id") -> DataFrame:
-    """(baseline, candidate, n, diff, p, low, high, significant) for pairs of systems in one column pair of paired values.
+def compare_runs(metrics: DataFrame, metric: str, alpha: float = 0.05, iterations: int | None = None, query: str = "query_id", seed: int = COMPARISON_SEED) -> DataFrame:
+    """(comparison, n, diff, p, low, high, significant): significant where p is below alpha and the interval excludes 0.
 
-    metrics: (comparison, query, base, cand). Pairs with an undefined side are left out. A comparison has one value per query,
-    which is small, so each one is resampled in one task.
+    metrics: (comparison, query, base, cand). Pairs with an undefined side are left out. The values of a comparison are one per
+    query, in order of the query, and are resampled in one task; comparisons are dealt out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(query)
         d = (pdf["cand"] - pdf["base"]).to_numpy(float)
-        p, ci = monte_carlo_permutation(d, iterations), bootstrap_interval(d, iterations)
+        p, ci = permutation_p(d, iterations or 100_000, seed), bootstrap_interval(d, iterations or 10_000, seed)
         significant = bool(p < alpha and (ci["low"] > 0 or ci["high"] < 0))
         return pd.DataFrame([{"comparison": pdf["comparison"].iloc[0], "n": len(d), "diff": d.mean(), "p": p, "low": ci["low"], "high": ci["high"], "significant": significant}])
 
@@ -202,19 +239,27 @@ def stratified(rows: DataFrame, strata: list[str], key: str, n: int, seed: str)
     return numbered.orderBy("__turn", seeded(seed, F.col("__name")), "__name", seeded(seed, F.col(key))).limit(n).drop("__turn", "__name")
 
 
-def staged_sample(stages: list[DataFrame], taken: DataFrame, by: str, key: str, per_stage: int) -> DataFrame:
-    """(by, key, stage): up to per_stage new keys of each stage in turn; keys taken before are not taken again.
+def staged_sample(stages: list[tuple[DataFrame, int | None]], rest: DataFrame, taken: DataFrame, by: str, key: str, quota: int, seed: str) -> DataFrame:
+    """(by, key, stage, exhausted): quota new keys of each `by`, filled from stage to stage and at last from rest in seeded
+    order; keys taken before are not taken again. exhausted: there were not enough.
 
-    stages: (by, key, priority), smaller priority first.
+    stages: ((by, key, priority), window): smaller priority first, and only the first `window` fresh keys of a stage count
+    (None: all). rest: (by, key) of all keys that may be taken.
     """
-    out, used = None, taken.select(by, key)
-    for n, stage in enumerate(stages):
-        fresh = stage.join(used, [by, key], "left_anti")
-        picked = fresh.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("priority", key))).filter(F.col("__r") <= per_stage)
-        picked = picked.select(by, key, F.lit(n).alias("stage"))
-        out = picked if out is None else out.unionByName(picked)
-        used = used.unionByName(picked.select(by, key))
-    return out
+    used = taken.select(by, key)
+    whole = None
+    for n, (stage, window) in enumerate(stages):
+        fresh = stage.select(by, key, "priority").join(used, [by, key], "left_anti")
+        fresh = fresh.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("priority", key)).cast("string"))
+        fresh = fresh.filter(F.col("__r").cast("int") <= window) if window else fresh
+        part = fresh.select(by, key, F.lit(n).alias("stage"), F.lpad("__r", 12, "0").alias("__o"))
+        whole = part if whole is None else whole.unionByName(part)
+    drawn = rest.select(by, key).distinct().join(used, [by, key], "left_anti")
+    last = drawn.select(by, key, F.lit(len(stages)).alias("stage"), seeded(seed, F.concat_ws("|", F.col(by), F.col(key))).alias("__o"))
+    whole = last if whole is None else whole.unionByName(last)
+    once = whole.groupBy(by, key).agg(F.min(F.struct("stage", "__o")).alias("m")).select(by, key, "m.*")
+    placed = once.withColumn("__p", F.row_number().over(Window.partitionBy(by).orderBy("stage", "__o", key))).filter(F.col("__p") <= quota)
+    return placed.withColumn("exhausted", F.count("*").over(Window.partitionBy(by)) < quota).select(by, key, "stage", "exhausted")
 
 
 def adjudicated(a: DataFrame, b: DataFrame, choice: DataFrame, on: list[str]) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ATOMIC_TOKEN, LONG_TOKEN, seeded, tokens
+from tessera.functions.text import ATOMIC_TOKEN, WORD_TOKEN, seeded, tokens
 
 
 def flatten_json(value, depth: int = 8, most: int = 50) -> list[str]:
@@ -51,7 +52,7 @@ def flattened(text: Column) -> Column:
 
 
 def forbidden_keys(text: Column, names: set[str]) -> Column:
-    """Keys of a JSON text, at any depth, that are among names; sorted."""
+    """Keys of a JSON text, at any depth, that are among names; sorted. Null and malformed texts have none."""
 
     @F.pandas_udf("array<string>")
     def found(s: pd.Series) -> pd.Series:
@@ -60,7 +61,13 @@ def forbidden_keys(text: Column, names: set[str]) -> Column:
                 return set(x) | set().union(*map(keys, x.values())) if x else set()
             return set().union(*map(keys, x)) if isinstance(x, list) and x else set()
 
-        return pd.Series([sorted(keys(json.loads(t)) & names) if t else [] for t in s], dtype=object)
+        def one(t) -> list[str]:
+            try:
+                return sorted(keys(json.loads(t)) & names) if t else []
+            except ValueError:
+                return []
+
+        return pd.Series([one(t) for t in s], dtype=object)
 
     return found(text)
 
@@ -99,11 +106,19 @@ def first_category(text: Column, keywords: dict[str, list[str]], default: str =
     return chain.otherwise(default)
 
 
-def overlap_score(query: Column, name: Column, text: Column, category_hit: Column) -> Column:
-    """Query tokens (repeats count) that the text has, 2 for the category and 1 for a name that is part of the query."""
-    q = tokens(query, LONG_TOKEN)
-    have = tokens(text, LONG_TOKEN)
-    return F.size(F.filter(q, lambda w: F.array_contains(have, w))) + F.when(category_hit, 2).otherwise(0) + F.when(F.contains(F.lower(query), F.lower(name)), 1).otherwise(0)
+def overlap_score(query: Column, name: Column, text: Column, categories: Column) -> Column:
+    """Query tokens (repeats count) that the text has, 2 where a category is a query token, 1 where a query token is part of the name."""
+    q = tokens(query, WORD_TOKEN)
+    have = tokens(text, WORD_TOKEN)
+    in_category = F.exists(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.array_contains(q, F.lower(c)))
+    in_name = F.exists(q, lambda w: F.contains(F.lower(F.coalesce(name, F.lit(""))), w))
+    return F.size(F.filter(q, lambda w: F.array_contains(have, w))) + F.when(in_category, 2).otherwise(0) + F.when(in_name, 1).otherwise(0)
+
+
+def filters_met(filters: Column, option: Column, fields: dict[str, str]) -> Column:
+    """Whether an option has every value that the filters (a map) ask for; fields: filter name to option field."""
+    tests = [~F.map_contains_key(filters, n) | F.coalesce(option[f] == filters[n], F.lit(False)) for n, f in fields.items()]
+    return reduce(Column.__and__, tests)
 
 
 def judgment_pool(candidates: DataFrame, query: str, key: str, size: int, seed: str) -> DataFrame:
@@ -134,15 +149,16 @@ def one_active(generations: DataFrame, activate: int) -> DataFrame:
     return generations.withColumn("status", status)
 
 
-def hash_embedding(text: str, dimension: int = 64) -> list[float]:
-    """A deterministic vector: every token adds a signed 1 at two places taken from its sha256; scaled to length 1."""
-    import re
-
-    out = [0.0] * dimension
+def hash_embedding(text: str, dimension: int = 64, memo: dict | None = None) -> list[float]:
+    """A deterministic vector: every token adds a signed 1 at the place its sha256 gives, and a signed half at that of the token
+    with #2 behind it; scaled to length 1."""
+    out, memo = [0.0] * dimension, {} if memo is None else memo
     for w in re.findall("[a-z0-9]+", (text or "").lower()):
-        h = hashlib.sha256(w.encode()).digest()
-        for at, sign in ((0, 4), (8, 12)):
-            out[int.from_bytes(h[at : at + 4], "big") % dimension] += 1.0 if h[sign] % 2 == 0 else -1.0
+        if w not in memo:
+            digests = [hashlib.sha256(x.encode()).digest() for x in (w, f"{w}#2")]
+            memo[w] = [(int.from_bytes(h[:4], "big") % dimension, a if h[4] % 2 == 0 else -a) for h, a in zip(digests, (1.0, 0.5), strict=True)]
+        for at, x in memo[w]:
+            out[at] += x
     length = math.sqrt(sum(x * x for x in out))
     return [x / length for x in out] if length else out
 
@@ -150,27 +166,35 @@ def hash_embedding(text: str, dimension: int = 64) -> list[float]:
 def embedded(text: Column, dimension: int = 64) -> Column:
     @F.pandas_udf("array<double>")
     def vectors(s: pd.Series) -> pd.Series:
-        return pd.Series([hash_embedding(t, dimension) for t in s], dtype=object)
+        memo: dict = {}
+        return pd.Series([hash_embedding(t, dimension, memo) for t in s], dtype=object)
 
     return vectors(text)
 
 
-def envelope(rows: DataFrame, assets: DataFrame, versions: tuple[int, ...] = (1, 2), schemes: tuple[str, ...] = ("exact", "upto"), max_timeout: int = 300) -> DataFrame:
-    """rows with `reason`, the first broken rule of an envelope: version, scheme, asset, pay_to, timeout, amount; null: none.
+def envelope(rows: DataFrame, assets: DataFrame, scheme: str, network: str, max_timeout: int, settling: bool = False) -> DataFrame:
+    """rows with `reason`, the first broken rule of an envelope, null: none. In order: version, scheme, network, requirements
+    (asset or receiver, then timeout, then amount), timeout, asset, amount, sponsorship.
 
-    assets: (asset, network, ceiling) that are allowed.
+    rows: request_version, payload_version and structs accepted and required of (scheme, network, asset, pay_to, timeout, amount:
+    text, sponsored). assets: (asset, max_payment), one row each, that are allowed. Only version 2 is taken. Amounts need
+    not agree when an open-ended scheme settles. Nulls break the rule they belong to.
     """
-    allowed = assets.select("asset", "network", "ceiling", F.lit(True).alias("__ok"))
-    j = rows.join(F.broadcast(allowed), ["asset", "network"], "left")
-    reason = (
-        F.when(~F.col("version").isin(*versions), "version")
-        .when(~F.col("scheme").isin(*schemes), "scheme")
-        .when(F.col("__ok").isNull(), "asset")
-        .when(F.col("pay_to") != F.col("expected_pay_to"), "pay_to")
-        .when(F.col("timeout") > max_timeout, "timeout")
-        .when((F.col("amount") <= 0) | (F.col("amount") > F.col("ceiling")), "amount")
-    )
-    return j.withColumn("reason", reason).drop("__ok", "ceiling")
+    a, r = F.col("accepted"), F.col("required")
+    both = lambda name, value: a[name].eqNullSafe(F.lit(value)) & r[name].eqNullSafe(F.lit(value))
+    same = lambda name: a[name].eqNullSafe(r[name])
+    amount = F.when(F.regexp_like(a["amount"], F.lit(r"^[+-]?\d{1,38}$")), a["amount"].try_cast("decimal(38,0)"))
+    j = rows.join(assets.select(F.col("asset").alias("__asset"), F.col("max_payment").alias("__most")), r["asset"] == F.col("__asset"), "left")
+    amounts_agree = same("amount") if scheme == "exact" or not settling else F.lit(True)
+    rules = [
+        ("version", F.col("request_version").eqNullSafe(F.lit(2)) & F.col("payload_version").eqNullSafe(F.lit(2))),
+        ("scheme", both("scheme", scheme)), ("network", both("network", network)),
+        ("requirements", same("asset") & same("pay_to") & same("timeout") & amounts_agree),
+        ("timeout", F.coalesce((r["timeout"] > 0) & (r["timeout"] <= max_timeout), F.lit(False))), ("asset", F.col("__asset").isNotNull()),
+        ("amount", F.coalesce((amount > 0) & (amount <= F.col("__most")), F.lit(False))), ("sponsorship", both("sponsored", True)),
+    ]
+    first = F.coalesce(*[F.when(~ok, F.lit(n)) for n, ok in rules])
+    return j.withColumn("reason", first).drop("__asset", "__most")
 
 
 def fee_class(resource: Column, inclusion: Column, ceilings: tuple[int, int, int]) -> Column:
@@ -183,8 +207,17 @@ def settlement_broken(max_amount: Column, actual: Column, after: Column, deadlin
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
 
 
-def valid_site_event(path: Column, visitor: Column, kind: Column) -> Column:
-    return F.regexp_like(path, F.lit(r"^/[^\s]{0,511}$")) & F.regexp_like(visitor, F.lit("^[0-9a-f]{64}$")) & kind.isin("page_view", "impression")
+def valid_site_event(path: Column, visitor: Column, kind: Column, element: Column | None = None) -> Column:
+    """Whether a raw site event is taken: known kind, well-formed visitor id and path, and an element key that is well formed where given."""
+    ok = kind.isin("page_view", "impression") & F.regexp_like(visitor, F.lit("^[a-zA-Z0-9_-]{16,128}$")) & F.regexp_like(path, F.lit(r"^/[\w./-]{0,511}$"))
+    if element is not None:
+        ok &= element.isNull() | F.regexp_like(element, F.lit("^[a-z0-9_-]{1,96}$"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def visitor_hash(visitor: Column) -> Column:
+    """What is stored in place of a visitor id."""
+    return F.sha2(visitor, 256)
 
 
 def decisions(rows: DataFrame, original: str = "grade", final: str = "final", decision: str = "decision") -> DataFrame:

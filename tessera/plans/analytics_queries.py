@@ -114,14 +114,14 @@ def j6_interval_existence(spark, d):
     return A.conversion_flags(V.impressions(spark, d), V.conversions(spark, d), 24).select("id", "verified", "settled")
 
 
-@register("a12_conversion", f"WITH {IMPRESSIONS}, {_FLAGS} SELECT count(*) AS impressions, count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE verified) AS verified_impressions, count(*) FILTER (WHERE settled) AS settled_impressions, count(*) FILTER (WHERE settled AND position <= 1) AS settled_at_position_1, count(*) FILTER (WHERE settled AND position <= 3) AS settled_within_top_3, count(*) FILTER (WHERE settled AND position <= 5) AS settled_within_top_5 FROM f")
+@register("a12_conversion", f"WITH {IMPRESSIONS}, {_FLAGS} SELECT count(*) AS impressions, count(DISTINCT session_id) AS sessions, count(*) FILTER (WHERE verified) AS verified_impressions, count(*) FILTER (WHERE settled) AS settled_impressions, count(*) FILTER (WHERE settled AND position <= 1) AS settled_at_position_1, count(*) FILTER (WHERE settled AND position <= 3) AS settled_within_top_3, count(*) FILTER (WHERE settled AND position <= 5) AS settled_within_top_5 FROM f WHERE created_at >= TIMESTAMP '{V.EVENTS_AS_OF}' - INTERVAL 24 HOUR - INTERVAL 30 DAY")
 def a12_conversion(spark, d):
-    return A.conversion(A.conversion_flags(V.impressions(spark, d), V.conversions(spark, d), 24))
+    return A.conversion(A.conversion_flags(A.recent_impressions(V.impressions(spark, d), V.EVENTS_AS_OF, 24), V.conversions(spark, d), 24))
 
 
-@register("a13_conversion_by_mode", f"WITH {IMPRESSIONS} SELECT mode, reranked, count(*) AS impressions, count(DISTINCT session_id) AS sessions, CAST(round(avg(latency_ms)) AS INTEGER) AS avg_latency_ms, count(*) FILTER (WHERE json_extract_string(degraded, '$.semantic') IN ('timeout','error','unavailable')) AS semantic_fallbacks, count(*) FILTER (WHERE json_extract_string(degraded, '$.reranking') IN ('timeout','error','unavailable')) AS rerank_fallbacks FROM impressions GROUP BY 1, 2")
+@register("a13_conversion_by_mode", f"WITH {IMPRESSIONS} SELECT mode, reranked, count(*) AS impressions, count(DISTINCT session_id) AS sessions, CAST(round(avg(latency_ms)) AS INTEGER) AS avg_latency_ms, count(*) FILTER (WHERE json_extract_string(degraded, '$.semantic') IN ('timeout','error','unavailable')) AS semantic_fallbacks, count(*) FILTER (WHERE json_extract_string(degraded, '$.reranking') IN ('timeout','error','unavailable')) AS rerank_fallbacks FROM impressions WHERE created_at >= TIMESTAMP '{V.EVENTS_AS_OF}' - INTERVAL 24 HOUR - INTERVAL 30 DAY GROUP BY 1, 2")
 def a13_conversion_by_mode(spark, d):
-    return A.conversion_by_mode(V.impressions(spark, d))
+    return A.conversion_by_mode(A.recent_impressions(V.impressions(spark, d), V.EVENTS_AS_OF, 24))
 
 
 @register("a14_origins", f"WITH {PAYMENTS}, {V.RESOURCES}, e AS (SELECT resource_id, count(*) AS n, coalesce(sum(amount) FILTER (WHERE {OK}), 0) AS a FROM payments WHERE {SET} GROUP BY 1) SELECT origin, count(*) AS resources, count(*) FILTER (WHERE status = 'active') AS active_resources, CAST(coalesce(sum(n), 0) AS BIGINT) AS tx_count, CAST(coalesce(sum(a), 0) AS DECIMAL(38,0)) AS total_amount FROM resources LEFT JOIN e ON resource_id = id GROUP BY 1")

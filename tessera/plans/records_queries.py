@@ -11,6 +11,7 @@ from tessera.operators import catalog as C
 from tessera.operators import evaluation as E
 from tessera.operators import records as R
 from tessera.operators import retrieval
+from tessera.plans.retrieval_queries import _BM25
 from tessera.sources import views as V
 from tessera.streaming import folds as S
 
@@ -71,14 +72,8 @@ def j17_overlay(spark, d):
     return R.overlay(V.read(spark, d, "labels"), patch, ["doc_id"], ["quality"])
 
 
-@register("u6_array_append", "SELECT l_partkey, list_concat(list_sort(list(DISTINCT l_suppkey)), [count(*)]) AS ids FROM lineitem WHERE l_partkey < 200 GROUP BY 1")
+@register("u6_array_append", "SELECT l_partkey, list_concat(list_sort(list(DISTINCT l_suppkey)), [count(*)]) AS ids FROM lineitem GROUP BY 1")
 def u6_array_append(spark, d):
-    rows = V.read(spark, d, "lineitem").filter("l_partkey < 200").groupBy("l_partkey")
-    return rows.agg(F.concat(F.sort_array(F.collect_set("l_suppkey")), F.array(F.count("*"))).alias("ids"))
-
-
-@register("u6_array_append_all", ORACLES["u6_array_append"].replace(" WHERE l_partkey < 200", ""))
-def u6_array_append_all(spark, d):
     rows = V.read(spark, d, "lineitem").groupBy("l_partkey")
     return rows.agg(F.concat(F.sort_array(F.collect_set("l_suppkey")), F.array(F.count("*"))).alias("ids"))
 
@@ -88,50 +83,49 @@ def r1_normalized_queries(spark, d):
     return V.read(spark, d, "benchmark").select("item_id", T.normalize_query(F.col("text")).alias("q"))
 
 
-@register("r16_hash_embedding")
+def _vectors_sql(name: str, table: str, key: str) -> str:
+    """Hash vectors of a table's texts: name (key, vector), as rows of one place each, and of all places in a list."""
+    return f"""{name}_t AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {table}), {name}_p AS (SELECT {key}, sha256(w) AS h, 1.0::DOUBLE AS a FROM {name}_t UNION ALL SELECT {key}, sha256(w || '#2'), 0.5 FROM {name}_t),
+ {name}_s AS (SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN a ELSE -a END) AS v FROM {name}_p GROUP BY 1, 2), {name}_n AS (SELECT {key}, sqrt(sum(v * v)) AS n FROM {name}_s GROUP BY 1),
+ {name} AS (SELECT x.{key}, list(CASE WHEN n > 0 THEN coalesce(v, 0) / n ELSE 0 END ORDER BY range) AS vector FROM (SELECT {key}, range FROM {table}, range(64)) x LEFT JOIN {name}_s s ON s.{key} = x.{key} AND s.slot = x.range LEFT JOIN {name}_n m ON m.{key} = x.{key} GROUP BY 1)"""
+
+
+@register("r16_hash_embedding", f"WITH {_vectors_sql('e', 'benchmark', 'item_id')} SELECT item_id, list_transform(vector, lambda x: round(x, 9) + 0.0) AS vector FROM e")
 def r16_hash_embedding(spark, d):
-    return V.read(spark, d, "benchmark").select("item_id", F.transform(R.embedded(F.col("text")), lambda x: F.round(x, 9)).alias("vector"))
+    return V.read(spark, d, "benchmark").select("item_id", F.transform(R.embedded(F.col("text")), lambda x: F.round(x, 9) + 0.0).alias("vector"))
 
 
-@register("r19_dense_and_lexical")
+@register("r19_dense_and_lexical", f"""WITH {_BM25}, {_vectors_sql('dv', '(SELECT DISTINCT doc_id, text FROM documents)', 'doc_id')}, {_vectors_sql('qv', 'benchmark', 'item_id')},
+ ds AS (SELECT item_id AS query_id, doc_id, round(1 - list_dot_product(dv.vector, qv.vector) / (sqrt(list_dot_product(dv.vector, dv.vector)) * sqrt(list_dot_product(qv.vector, qv.vector))), 6) + 0.0 AS distance FROM dv, qv WHERE list_dot_product(dv.vector, dv.vector) > 0),
+ dn AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id DESC) AS rank FROM ds), b AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM dn WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM lex),
+ f AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM b GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f""")
 def r19_dense_and_lexical(spark, d):
-    """Equal-weight fusion of an exact dense run over hash vectors with BM25, for all benchmark items."""
+    """Equal-weight fusion of an exact dense run over hash vectors with BM25, for all benchmark items; equal scores by smaller id."""
     docs, items = V.read(spark, d, "documents"), V.read(spark, d, "benchmark")
     vectors = docs.select("doc_id", R.embedded(F.col("text")).alias("embedding"))
     asked = items.select(F.col("item_id").alias("query_id"), R.embedded(F.col("text")).alias("embedding"))
     dense = retrieval.knn(vectors, asked, 20, "doc_id").select("query_id", "doc_id", "rank")
     lexical = retrieval.bm25(docs, items).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
-    return retrieval.fuse([(dense, 1.0), (lexical, 1.0)], "query_id", "doc_id")
+    return retrieval.fuse([(dense, 1.0), (lexical, 1.0)], "query_id", "doc_id", smaller_first=True)
 
 
-@register("r20_overlap_score", r"""WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS qt FROM benchmark WHERE item_id < 5), n AS (SELECT n_nationkey, lower(n_name) AS nm, regexp_extract_all(lower(n_name), '[a-z0-9]{2,}') AS ht FROM nation)
- SELECT item_id, n_nationkey, CAST(len(list_filter(qt, lambda w: list_contains(ht, w))) + CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS score FROM q, n""")
-def r20_overlap_score(spark, d):
-    q = V.read(spark, d, "benchmark").filter("item_id < 5").select("item_id", "text")
-    both = V.read(spark, d, "nation").select("n_nationkey", "n_name").join(F.broadcast(q), F.lit(True))
-    score = R.overlap_score(F.col("text"), F.col("n_name"), F.col("n_name"), F.col("n_nationkey") % 2 == 0)
-    return both.select("item_id", "n_nationkey", score.cast("bigint").alias("score"))
+#: A stated query set of fixed size for the overlap scorer.
+_ASKED = ((1, "Blue ring, red RING"), (2, "economy gear for me"), (3, "st and ard"), (4, "Brand 17 gizmo promo"), (5, "ünseen"))
 
 
-@register("r20_overlap_score_all", ORACLES["r20_overlap_score"].replace(" WHERE item_id < 5", ""))
-def r20_overlap_score_all(spark, d):
-    q = V.read(spark, d, "benchmark").select("item_id", "text")
-    both = V.read(spark, d, "nation").select("n_nationkey", "n_name").join(F.broadcast(q), F.lit(True))
-    score = R.overlap_score(F.col("text"), F.col("n_name"), F.col("n_name"), F.col("n_nationkey") % 2 == 0)
-    return both.select("item_id", "n_nationkey", score.cast("bigint").alias("score"))
+@register("r20_overlap_score", """WITH q(q, text) AS (VALUES """ + ", ".join(f"({i}, '{t}')" for i, t in _ASKED) + r"""), w AS (SELECT q, regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}') AS qt FROM q), h AS (SELECT p_partkey, lower(p_name) AS nm, lower(p_type) AS c, regexp_extract_all(lower(p_name || ' ' || p_brand), '[\p{L}\p{N}]{2,}') AS ht FROM part)
+ SELECT q, p_partkey, CAST(len(list_filter(qt, lambda w: list_contains(ht, w))) + CASE WHEN list_contains(qt, c) THEN 2 ELSE 0 END + CASE WHEN len(list_filter(qt, lambda w: contains(nm, w))) > 0 THEN 1 ELSE 0 END AS BIGINT) AS score FROM w, h""")
+def r20_overlap_score(spark, d):
+    q = spark.createDataFrame(list(_ASKED), "q int, text string")
+    both = V.read(spark, d, "part").join(F.broadcast(q), F.lit(True))
+    score = R.overlap_score(F.col("text"), F.col("p_name"), F.concat_ws(" ", "p_name", "p_brand"), F.array("p_type"))
+    return both.select("q", "p_partkey", score.cast("bigint").alias("score"))
 
 
-@register("r21_judgment_pool", """WITH c AS (SELECT l_partkey AS q, l_orderkey * 8 + l_linenumber AS k, l_returnflag AS source, l_quantity AS score FROM (SELECT l_partkey, l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem WHERE l_partkey < 50 GROUP BY 1, 2, 3)),
+@register("r21_judgment_pool", """WITH c AS (SELECT l_partkey AS q, l_orderkey * 8 + l_linenumber AS k, l_returnflag AS source, l_quantity AS score FROM (SELECT l_partkey, l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3)),
  s AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, k) AS s FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s > 1, score DESC, k) AS f FROM s)
  SELECT q, k, source, score, row_number() OVER (PARTITION BY q ORDER BY sha256('p' || chr(0) || q || '|' || k), k) AS place FROM f WHERE f <= 6""")
 def r21_judgment_pool(spark, d):
-    rows = V.read(spark, d, "lineitem").filter("l_partkey < 50").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("source"), F.max("l_quantity").alias("score"))
-    c = rows.select(F.col("l_partkey").alias("q"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "source", "score")
-    return R.judgment_pool(c, "q", "k", 6, "p")
-
-
-@register("r21_judgment_pool_all", ORACLES["r21_judgment_pool"].replace(" WHERE l_partkey < 50", ""))
-def r21_judgment_pool_all(spark, d):
     rows = V.read(spark, d, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("source"), F.max("l_quantity").alias("score"))
     c = rows.select(F.col("l_partkey").alias("q"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "source", "score")
     return R.judgment_pool(c, "q", "k", 6, "p")
@@ -151,20 +145,22 @@ def r23_pruned(spark, d):
     return R.prune(V.read(spark, d, "events"), "ts", V.at(V.EVENTS_AS_OF), 10).select("event_id")
 
 
-@register("r25_one_active", "SELECT r_regionkey AS id, CASE WHEN r_regionkey = 3 THEN 'active' WHEN r_regionkey = 1 THEN 'retired' ELSE 'ready' END AS status FROM region")
+@register("r25_one_active", "SELECT p_partkey AS id, CASE WHEN p_partkey = 3 THEN 'active' WHEN p_size = 1 THEN 'retired' ELSE 'ready' END AS status FROM part")
 def r25_one_active(spark, d):
-    k = F.col("r_regionkey")
-    return R.one_active(V.read(spark, d, "region").select(k.alias("id"), F.when(k == 1, "active").otherwise("ready").alias("status")), 3)
+    rows = V.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") == 1, "active").otherwise("ready").alias("status"))
+    return R.one_active(rows, 3)
 
 
-@register("d1_reject_codes", r"SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^(https?|mcp)://') THEN 'scheme' END AS reason FROM pages")
+@register("d1_reject_codes", r"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'malformed' WHEN 1 THEN 'scheme' WHEN 2 THEN 'credentials' WHEN 3 THEN 'private_host' ELSE CASE WHEN NOT regexp_matches(lower(url), '^(https?|mcp)://') THEN 'scheme' END END AS reason FROM pages""")
 def d1_reject_codes(spark, d):
-    return V.read(spark, d, "pages").select("page_id", U.rejection(F.col("url")).alias("reason"))
+    k, rest = F.col("page_id"), F.regexp_replace("url", "^[^:]*://", "")
+    broken = F.when(k % 6 == 0, "no url").when(k % 6 == 1, F.concat(F.lit("ftp://"), rest)).when(k % 6 == 2, F.concat(F.lit("https://u:p@"), rest)).when(k % 6 == 3, F.concat(F.lit("http://10.0.0."), k % 250)).otherwise(F.col("url"))
+    return V.read(spark, d, "pages").select("page_id", U.rejection(broken).alias("reason"))
 
 
-@register("d3_declaration_hash", """SELECT r_regionkey, sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS h FROM region""")
+@register("d3_declaration_hash", """SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_partkey":' || p_partkey || '}') AS h FROM part""")
 def d3_declaration_hash(spark, d):
-    return V.read(spark, d, "region").select("r_regionkey", U.declaration_hash("r_regionkey", "r_name").alias("h"))
+    return V.read(spark, d, "part").select("p_partkey", U.declaration_hash("p_partkey", "p_name", "p_brand").alias("h"))
 
 
 @register("d4_documents", "SELECT p_partkey, 'name: ' || p_name || chr(10) || 'type: ' || p_type || chr(10) || 'origin: ' || p_brand AS document FROM part")
@@ -173,13 +169,8 @@ def d4_documents(spark, d):
     return R.compile_document(V.read(spark, d, "part"), fields).select("p_partkey", "document")
 
 
-@register("d5_flattened", "SELECT event_id, ['k: ' || CAST(json_extract_string(props, '$.k') AS VARCHAR)] AS lines FROM events WHERE event_id < 500")
+@register("d5_flattened", "SELECT event_id, ['k: ' || CAST(json_extract_string(props, '$.k') AS VARCHAR)] AS lines FROM events")
 def d5_flattened(spark, d):
-    return V.read(spark, d, "events").filter("event_id < 500").select("event_id", R.flattened(F.col("props")).alias("lines"))
-
-
-@register("d5_flattened_all", ORACLES["d5_flattened"].replace(" WHERE event_id < 500", ""))
-def d5_flattened_all(spark, d):
     return V.read(spark, d, "events").select("event_id", R.flattened(F.col("props")).alias("lines"))
 
 
@@ -195,15 +186,21 @@ def d10_categories(spark, d):
     return V.read(spark, d, "part").select("p_partkey", R.first_category(F.col("p_name"), {"jewel": ["ring"], "tool": ["widget"]}).alias("category"))
 
 
-@register("d20_envelope", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'version' WHEN o_orderstatus = 'P' THEN 'scheme' WHEN o_orderkey % 7 > 4 THEN 'asset' WHEN o_custkey % 5 = 0 THEN 'pay_to' WHEN o_orderkey % 400 > 300 THEN 'timeout' WHEN o_totalprice > 400000 THEN 'amount' END AS reason FROM orders")
+@register("d20_envelope", """SELECT o_orderkey, CASE WHEN k % 13 = 0 THEN 'version' WHEN o_orderstatus = 'P' THEN 'scheme' WHEN k % 17 = 0 THEN 'network' WHEN k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 OR k % 31 = 0 THEN 'requirements' WHEN k % 400 - 20 <= 0 OR k % 400 - 20 > 300 THEN 'timeout'
+ WHEN k % 7 > 4 THEN 'asset' WHEN k % 37 = 0 OR round(o_totalprice) <= 0 OR round(o_totalprice) > 400000 THEN 'amount' WHEN k % 41 = 0 THEN 'sponsorship' END AS reason FROM (SELECT *, o_orderkey AS k FROM orders)""")
 def d20_envelope(spark, d):
     k = F.col("o_orderkey")
-    rows = V.read(spark, d, "orders").select(
-        k, (k % 3).alias("version"), F.when(F.col("o_orderstatus") == "P", "other").otherwise("exact").alias("scheme"), F.lit("n").alias("network"), (k % 7).cast("int").alias("asset"),
-        (F.col("o_custkey") % 5 == 0).cast("int").alias("pay_to"), F.lit(0).alias("expected_pay_to"), (k % 400).alias("timeout"), F.col("o_totalprice").alias("amount"),
+    differs = lambda n, c: F.when(k % n == 0, F.concat(c.cast("string"), F.lit("x"))).otherwise(c.cast("string"))
+    amount = F.when(k % 37 == 0, "abc").otherwise(F.round("o_totalprice").cast("bigint").cast("string"))
+    asset, to = (k % 7).cast("string"), F.col("o_custkey")
+    required = F.struct(F.lit("exact").alias("scheme"), F.lit("n").alias("network"), asset.alias("asset"), to.cast("string").alias("pay_to"), (k % 400 - 20).alias("timeout"), amount.alias("amount"), F.lit(True).alias("sponsored"))
+    accepted = F.struct(
+        F.when(F.col("o_orderstatus") == "P", "upto").otherwise("exact").alias("scheme"), differs(17, F.lit("n")).alias("network"), differs(19, asset).alias("asset"), differs(23, to).alias("pay_to"),
+        (k % 400 - 20 + F.when(k % 29 == 0, 1).otherwise(0)).alias("timeout"), differs(31, amount).alias("amount"), (k % 41 != 0).alias("sponsored"),
     )
-    assets = spark.createDataFrame([(i, "n", 400000.0) for i in range(5)], "asset int, network string, ceiling double")
-    return R.envelope(rows, assets).select("o_orderkey", "reason")
+    rows = V.read(spark, d, "orders").select(k, F.lit(2).alias("payload_version"), F.when(k % 13 == 0, 1).otherwise(2).alias("request_version"), accepted.alias("accepted"), required.alias("required"))
+    assets = spark.createDataFrame([(str(i), 400000) for i in range(5)], "asset string, max_payment long")
+    return R.envelope(rows, assets, "exact", "n", 300).select("o_orderkey", "reason")
 
 
 @register("d21_fee_class", "SELECT o_orderkey, CASE WHEN o_orderkey % 100 > 90 THEN 'resource' WHEN o_custkey % 100 > 80 THEN 'inclusion' WHEN o_orderkey % 100 + o_custkey % 100 > 120 THEN 'total' ELSE 'ok' END AS class FROM orders")
@@ -222,18 +219,10 @@ def e19_calibration_sample(spark, d):
     return E.stratified(V.read(spark, d, "labels"), ["quality", "toxic"], "doc_id", 30, "c").select("doc_id", "quality", "toxic")
 
 
-@register("e23_seed_selection", """WITH c AS (SELECT r_regionkey AS q, p_partkey AS k, p_partkey % 97 = r_regionkey AS is_anchor, p_partkey % 97 <> r_regionkey AND p_size = r_regionkey + 1 AS same_family FROM region, part WHERE p_partkey < 150),
+@register("e23_seed_selection", """WITH c AS (SELECT r_regionkey AS q, p_partkey AS k, p_partkey % 97 = r_regionkey AS is_anchor, p_partkey % 97 <> r_regionkey AND p_size = r_regionkey + 1 AS same_family FROM region, part),
  k AS (SELECT *, sha256('z' || chr(0) || q || '|' || k) AS h FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY q, is_anchor, same_family ORDER BY h, k) AS n FROM k),
  u AS (SELECT *, CASE WHEN is_anchor THEN 0 WHEN same_family AND n <= 2 THEN 1 WHEN NOT same_family THEN 2 ELSE 3 END AS tier FROM t), p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, h, k) AS place FROM u WHERE tier < 3) SELECT q, k, place FROM p WHERE place <= 7""")
 def e23_seed_selection(spark, d):
-    parts = V.read(spark, d, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("k"), "p_size")
-    c = parts.join(F.broadcast(V.read(spark, d, "region").select(F.col("r_regionkey").alias("q"))), F.lit(True))
-    c = c.withColumn("is_anchor", F.col("k") % 97 == F.col("q")).withColumn("same_family", ~F.col("is_anchor") & (F.col("p_size") == F.col("q") + 1))
-    return R.seeded_selection(c, "q", "k", 7, 2, "z").select("q", "k", "place")
-
-
-@register("e23_seed_selection_all", ORACLES["e23_seed_selection"].replace(" WHERE p_partkey < 150", ""))
-def e23_seed_selection_all(spark, d):
     parts = V.read(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
     c = parts.join(F.broadcast(V.read(spark, d, "region").select(F.col("r_regionkey").alias("q"))), F.lit(True))
     c = c.withColumn("is_anchor", F.col("k") % 97 == F.col("q")).withColumn("same_family", ~F.col("is_anchor") & (F.col("p_size") == F.col("q") + 1))
@@ -291,3 +280,14 @@ def x13_reservations(spark, d):
     numbered = rows.withColumn("id", F.row_number().over(Window.partitionBy("agent").orderBy(*order)).cast("long") * 50 + F.col("agent"))
     folded = S.fold_batch(numbered, "agent", order, S.reservations(), "id long, reserved long, settled long")
     return folded.groupBy((F.col("id") % 50).alias("agent")).agg(F.max_by("reserved", "id").alias("reserved"), F.max_by("settled", "id").alias("settled"))
+
+
+@register("d12_site_events", """WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'impression' ELSE event_type END AS kind, 'visitor-' || repeat('0', (event_id % 20)::INT) || user_id AS visitor, CASE WHEN event_id % 7 = 0 THEN 'x/' || event_type WHEN event_id % 7 = 1 THEN '/a b' ELSE '/' || event_type || '/' || user_id END AS path, CASE event_id % 5 WHEN 0 THEN 'Bad Key' WHEN 1 THEN 'key-1' END AS element FROM events)
+ SELECT event_id, sha256(visitor) AS visitor FROM e WHERE kind IN ('page_view', 'impression') AND length(visitor) BETWEEN 16 AND 128 AND event_id % 7 > 1 AND event_id % 5 > 0""")
+def d12_site_events(spark, d):
+    k = F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "page_view").when(F.col("event_type") == "click", "impression").otherwise(F.col("event_type"))
+    visitor = F.concat(F.lit("visitor-"), F.expr("repeat('0', cast(event_id % 20 as int))"), F.col("user_id"))
+    path = F.when(k % 7 == 0, F.concat(F.lit("x/"), "event_type")).when(k % 7 == 1, "/a b").otherwise(F.concat(F.lit("/"), "event_type", F.lit("/"), "user_id"))
+    element = F.when(k % 5 == 0, "Bad Key").when(k % 5 == 1, "key-1")
+    return V.read(spark, d, "events").filter(R.valid_site_event(path, visitor, kind, element)).select("event_id", R.visitor_hash(visitor).alias("visitor"))

@@ -7,7 +7,7 @@ import hashlib
 import hmac
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,19 +15,33 @@ BAD = "_corrupt_record"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, rules: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): rows that parse and meet every rule; errors (file, line, issues) for the others.
+    """(rows, errors): rows that parse and meet every rule; errors (file, line_number, line, issues) for the others.
 
-    rules: name to a boolean Column that is true where a row breaks it. Lines are whole texts read once; a malformed line is
-    an issue of its own and does not stop the rest.
+    rules: name to a boolean Column that is true where a row breaks it. A malformed line is an issue of its own and does not
+    stop the rest. Line numbers are counted for files with errors only, by a second read of these: the text source splits
+    large files, so a line's number is that of the lines before its split and its place in it, both in the order of the file.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).filter(F.length(F.trim("line")) > 0)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
     typed = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    parsed = lines.withColumn("row", F.from_json("line", typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})).select("file", "line", "row.*")
+    parsed = lines.filter(F.length(F.trim("line")) > 0).withColumn("row", F.from_json("line", typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})).select("file", "block", "at", "line", "row.*")
     issues = [F.when(F.col(BAD).isNotNull(), F.lit("malformed"))]
     issues += [F.when(F.col(BAD).isNull() & F.col(f.name).isNull(), F.lit(f"missing {f.name}")) for f in schema.fields if not f.nullable]
     issues += [F.when(F.col(BAD).isNull() & F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in (rules or {}).items()]
     checked = parsed.withColumn("issues", F.array_compact(F.array(*issues)))
-    return checked.filter(F.size("issues") == 0).select(*[f.name for f in schema.fields]), checked.filter(F.size("issues") > 0).select("file", "line", "issues")
+    bad = checked.filter(F.size("issues") > 0).select("file", "block", "at", "line", "issues")
+    marked = lines.join(bad.select("file").distinct(), "file", "left_semi")
+    blocks = marked.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = bad.join(blocks.withColumn("before", before).drop("n"), ["file", "block"])
+    errors = numbered.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("long").alias("line_number"), "line", "issues")
+    return checked.filter(F.size("issues") == 0).select(*[f.name for f in schema.fields]), errors
+
+
+def is_partial(errors: DataFrame) -> bool:
+    """Whether a tolerant read has left lines out."""
+    return not errors.isEmpty()
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -56,10 +70,14 @@ CONTAINERS = ("items", "resources", "services", "results", "data")
 
 
 def payload_items(payloads: DataFrame, source: str = "source", body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(items, failures): records of each landed JSON payload, found under the first container key that is an array, or the
-    payload itself where it is one; a source that cannot be read is a failure and does not stop the others."""
+    """(items, failures): records of each landed JSON payload: those under the first container key that is an array, those of
+    the payload itself where it is an array, and an object without a container is one record. A source that cannot be read is
+    a failure and does not stop the others."""
     arrays = [F.from_json(F.get_json_object(body, f"$.{k}"), "array<string>") for k in CONTAINERS]
-    listed = F.coalesce(*arrays, F.when(F.substring(F.ltrim(F.col(body)), 1, 1) == "[", F.from_json(body, "array<string>")))
+    starts = F.substring(F.ltrim(F.col(body)), 1, 1)
+    # an object that parses has keys, if none at all an empty array of them
+    alone = F.when((starts == "{") & F.json_object_keys(body).isNotNull(), F.array(F.col(body)))
+    listed = F.coalesce(*arrays, F.when(starts == "[", F.from_json(body, "array<string>")), alone)
     found = payloads.select(source, listed.alias("items"))
     return found.select(source, F.explode("items").alias("item")), found.filter("items is null").select(source)
 

@@ -10,30 +10,34 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Fold = Callable[[dict | None, dict], tuple[dict, dict]]
 
 
 def fold_batch(events: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
     """The outputs of a fold over each key's events in order. A key's events stream through one task one by one: they are
-    sorted on disk where needed and only the state is held."""
+    sorted on disk where needed and only the state is held. Events of a null key are one key's; integers stay whole."""
     spread = events.repartition(key).sortWithinPartitions(key, *order)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for b in batches:
             out = []
-            for event in b.to_dict("records"):
+            for event in b.to_pylist():
                 if event[key] != now:
                     now, state = event[key], None
                 state, row = fold(state, event)
                 out.append(row)
             if out:
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return spread.mapInPandas(run, schema)
+    return spread.mapInArrow(run, schema)
 
 
 def fold_stream(events: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
@@ -63,6 +67,23 @@ def budget(limit: int) -> Fold:
     return step
 
 
+def two_scope_budget(per_scope: int, everyone: int) -> Fold:
+    """Admits an amount only while both the sum of its scope and the sum of all scopes stay within their limits; the key is the
+    period, such as a day, as the common limit ties all its events together. spent is the sum of all scopes."""
+
+    def step(state: dict | None, e: dict) -> tuple[dict, dict]:
+        s = state or {"own": {}, "all": 0}
+        scope, amount = str(e["scope"]), int(e["amount"])
+        own = s["own"].get(scope, 0)
+        ok = own + amount <= per_scope and s["all"] + amount <= everyone
+        if ok:
+            s["own"][scope] = own + amount
+            s["all"] += amount
+        return s, {"id": int(e["id"]), "admitted": ok, "spent": s["all"]}
+
+    return step
+
+
 def period_budget(limit: int, period: int) -> Fold:
     """As budget(), but the sum starts anew with the first event `period` or more after the one that opened the window."""
 
@@ -151,6 +172,12 @@ def settle_attempt(jobs: DataFrame, base: float, most: float, max_attempts: int)
     return jobs.select("id", n.alias("attempts"), F.when(n >= max_attempts, "dead").otherwise("pending").alias("state"), F.when(n < max_attempts, wait).alias("wait"))
 
 
+def revive(jobs: DataFrame, as_of) -> DataFrame:
+    """Dead jobs start again: pending, due now, without attempts."""
+    dead = F.col("state") == "dead"
+    return jobs.withColumns({"attempts": F.when(dead, 0).otherwise(F.col("attempts")), "due": F.when(dead, as_of).otherwise(F.col("due")), "state": F.when(dead, "pending").otherwise(F.col("state"))})
+
+
 def enqueue(documents: DataFrame, vectors: DataFrame, jobs: DataFrame) -> DataFrame:
     """Documents that need a vector: none of their source hash and no open job."""
     need = documents.join(vectors.select("id", "hash"), ["id", "hash"], "left_anti")

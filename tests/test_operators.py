@@ -229,9 +229,18 @@ def test_pools_and_selection(spark):
 
 
 def test_envelope_and_fees(spark):
-    rows = spark.createDataFrame([(1, "exact", "n", "a", "p", "p", 10, 5), (3, "exact", "n", "a", "p", "p", 10, 5), (1, "exact", "n", "z", "p", "p", 10, 5), (1, "exact", "n", "a", "q", "p", 10, 5), (1, "exact", "n", "a", "p", "p", 999, 5), (1, "upto", "n", "a", "p", "p", 10, 500)], "version int, scheme string, network string, asset string, pay_to string, expected_pay_to string, timeout int, amount int")
-    assets = spark.createDataFrame([("a", "n", 100)], "asset string, network string, ceiling int")
-    assert sorted(str(r.reason) for r in records.envelope(rows, assets).collect()) == sorted(["None", "version", "asset", "pay_to", "timeout", "amount"])
+    good = {"scheme": "exact", "network": "n", "asset": "a", "pay_to": "p", "timeout": 10, "amount": "5", "sponsored": True}
+    both = lambda **x: ({**good, **x}, {**good, **x})
+    cases = [
+        (2, both(), None), (1, both(), "version"), (2, both(scheme="upto"), "scheme"), (2, both(network="m"), "network"), (2, ({**good, "asset": "b"}, good), "requirements"), (2, ({**good, "pay_to": "q"}, good), "requirements"),
+        (2, ({**good, "timeout": 9}, good), "requirements"), (2, ({**good, "amount": "6"}, good), "requirements"), (2, both(timeout=999, asset="z"), "timeout"), (2, both(timeout=0), "timeout"), (2, both(asset="z", amount="500"), "asset"),
+        (2, both(amount="500"), "amount"), (2, both(amount="0"), "amount"), (2, both(amount="1.5"), "amount"), (2, ({**good, "sponsored": False}, good), "sponsorship"), (2, both(sponsored=None), "sponsorship"),
+    ]
+    shape = "scheme string, network string, asset string, pay_to string, timeout int, amount string, sponsored boolean".replace(" ", ":").replace(",:", ",")
+    rows = spark.createDataFrame([(i, v, 2, a, r) for i, (v, (a, r), _) in enumerate(cases)], f"i int, request_version int, payload_version int, accepted struct<{shape}>, required struct<{shape}>")
+    assets = spark.createDataFrame([("a", 100)], "asset string, max_payment int")
+    got = {r.i: r.reason for r in records.envelope(rows, assets, "exact", "n", 300).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
     broken = spark.createDataFrame([(10, 4, 5, 9, 6), (0, -1, 10, 9, 1)], "m int, a int, t int, d int, r int").select(records.settlement_broken(*map(F.col, "matdr"))).collect()
     assert [r[0] for r in broken] == [[], ["max", "actual", "deadline"]]
 
@@ -247,7 +256,8 @@ def test_jsonl(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("g", T.LongType())])
     rows, errors = files.read_jsonl(spark, str(tmp_path / "x.jsonl"), schema, {"grade": F.col("g") > 3})
     assert [tuple(r) for r in rows.collect()] == [(1, 2)]
-    assert sorted(r.issues[0] for r in errors.collect()) == ["grade", "malformed", "missing id"]
+    assert sorted((r.line_number, r.issues[0]) for r in errors.collect()) == [(2, "grade"), (3, "malformed"), (4, "missing id")]
+    assert files.is_partial(errors) and not files.is_partial(errors.limit(0))
     files.write_jsonl(spark.createDataFrame([(1, None, "b")], "z int, y int, a string").coalesce(1), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":"b","z":1}']
     files.append(rows, str(tmp_path / "t"))
@@ -266,9 +276,10 @@ def test_manifest_drift(spark, tmp_path):
 
 
 def test_payload_containers(spark):
-    df = spark.createDataFrame([("a", '{"items":[{"x":1},{"x":2}]}'), ("b", '[{"x":3}]'), ("c", "{}")], "source string, body string")
+    df = spark.createDataFrame([("a", '{"items":[{"x":1},{"x":2}]}'), ("b", '[{"x":3}]'), ("c", '{"name":"alone"}'), ("d", "no json"), ("e", None)], "source string, body string")
     items, failures = files.payload_items(df)
-    assert items.count() == 3 and [r.source for r in failures.collect()] == ["c"]
+    assert sorted((r.source, r.item) for r in items.collect()) == [("a", '{"x":1}'), ("a", '{"x":2}'), ("b", '{"x":3}'), ("c", '{"name":"alone"}')]
+    assert sorted(r.source for r in failures.collect()) == ["d", "e"]
 
 
 def test_cursor():
