@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import analytics_queries, catalog_queries, records_queries, retrieval_queries
+from tessera.plans import analytics_queries, catalog_queries, lifecycle_queries, records_queries, report_queries, retrieval_queries
 
 SF = "/root/testdata/sf0.001"
-MODULES = (analytics_queries, catalog_queries, records_queries, retrieval_queries)
+MODULES = (analytics_queries, catalog_queries, lifecycle_queries, records_queries, report_queries, retrieval_queries)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
