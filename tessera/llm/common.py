@@ -46,9 +46,12 @@ def single_threaded(spark: SparkSession) -> Iterator[None]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; where none is set, a temporary one on a single machine, and an
+    error on a cluster, whose machines would each write to a folder of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
         _made.append((spark, root))
@@ -63,6 +66,22 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written in the shared folder meanwhile; results that read it must have been written before."""
+    scratch_root(spark)
+    mark = len(_made)
+    yield
+    for owner, path in _made[mark:]:
+        remove(owner, path)
+    del _made[mark:]
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the process ends."""
+    _made.append((spark, path))
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:

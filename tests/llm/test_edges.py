@@ -200,3 +200,25 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "b/benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path / "b")).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == {1, None}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.scratch_root(session)
+
+
+def test_swept_removes_what_was_written_meanwhile(spark):
+    import glob
+
+    from tessera.llm import common
+
+    kept = common.materialize(spark.range(3), "kept")
+    before = set(glob.glob(common.scratch_root(spark).removeprefix("file://") + "/*"))
+    with common.swept(spark):
+        n = common.materialize(spark.range(5), "gone").count()
+    assert n == 5 and set(glob.glob(common.scratch_root(spark).removeprefix("file://") + "/*")) == before and kept.count() == 3
