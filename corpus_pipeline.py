@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunk_dedup, decontaminate, ngram_join, packing, quality_rules
-from tessera.llm.common import broadcast_if_small, materialize, scratch_root, table
+from tessera.llm.common import broadcast_if_small, keep_until_exit, materialize, remove, scratch_root, swept, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,10 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each one's result is written to the shared folder and read again as the next one's input."""
+    """All stages in turn; each one's result is written to the shared folder and read again as the next one's input. What a stage
+    has written on the way goes when it is done, its input then too; the last result stays until the process ends."""
     docs = table(spark, sf_dir, "documents")
     where = f"{scratch_root(spark)}/corpus-{uuid.uuid4().hex}"
+    keep_until_exit(spark, where)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
         docs = spark.read.parquet(f"{where}/{k}")
+        if k:
+            remove(spark, f"{where}/{k - 1}")
     return docs
