@@ -90,6 +90,23 @@ def detail(resources: DataFrame, versions: DataFrame, options: DataFrame, observ
     return base.crossJoin(F.broadcast(opts)).crossJoin(F.broadcast(vers)).crossJoin(F.broadcast(obs))
 
 
+def details(resources: DataFrame, versions: DataFrame, options: DataFrame, observations: DataFrame, last: int = 50) -> DataFrame:
+    """Every resource with its active version, its options, its versions (newest first) and its last observations as arrays."""
+    per = lambda d, order, value, most=None: _newest(d, order, value, most)
+    active = versions.filter("status = 'active'").groupBy("resource_id").agg(F.max("version").alias("active_version"))
+    opts = options.groupBy("resource_id").agg(F.sort_array(F.collect_set("option")).alias("options"))
+    out = resources
+    for d in (active, opts, per(versions, "version", "versions"), per(observations, "observed_at", "observations", last)):
+        out = out.join(d, F.col("id") == F.col("resource_id"), "left").drop("resource_id")
+    return out
+
+
+def _newest(rows: DataFrame, order: str, name: str, most: int | None) -> DataFrame:
+    if most:
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("resource_id").orderBy(F.desc(order)))).filter(F.col("__n") <= most)
+    return rows.groupBy("resource_id").agg(F.sort_array(F.collect_list(order), asc=False).alias(name))
+
+
 def eligibility(rules: dict[str, Column]) -> Column:
     """Names of the rules that fail (are true), in order; the first is the reason. An empty array: eligible."""
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))

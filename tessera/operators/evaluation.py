@@ -269,6 +269,16 @@ def adjudicated(a: DataFrame, b: DataFrame, choice: DataFrame, on: list[str]) ->
     return both.select(*on, "a", "b", agreed.alias("agreed"), F.when(agreed, F.col("a")).otherwise(F.col("c")).alias("grade"))
 
 
+def blinded(rows: DataFrame, group: str, key: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(pack, mapping): rows under opaque ids, groups and rows within them in seeded orders (group_place, place), and the owner's table of
+    (blind, group, key). The ids depend on the seed and the row only; the pack has neither group nor key."""
+    name = F.concat_ws("|", F.col(group), F.col(key))
+    ids = rows.select(F.concat(F.lit("b-"), F.substring(seeded(f"{seed}-id", name), 1, 16)).alias("blind"), group, key)
+    groups = ids.select(group).distinct().withColumn("group_place", F.row_number().over(Window.orderBy(seeded(f"{seed}-group", F.col(group)), group)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(seeded(f"{seed}-row", name), key))
+    return ids.withColumn("place", place).join(groups, group).select("blind", "group_place", "place"), ids
+
+
 def checks(named: dict[str, DataFrame]) -> DataFrame:
     """(name, observed, passed): each frame counts what breaks a rule; 0 passes."""
     out = None

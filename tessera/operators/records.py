@@ -81,6 +81,37 @@ def compile_document(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return rows.withColumns({"document": F.concat_ws("\n", *lines), "high": once(values[:1]), "medium": once(values[1:2]), "low": once(values[2:]) if values[2:] else F.lit("")})
 
 
+def search_document(rows: DataFrame) -> DataFrame:
+    """rows with `document`, the lines of a resource in a fixed order, and the lexical fields high, medium and low, in which each token
+    stands once. Fields that are null or empty have no line.
+
+    rows: name, description, type, method, tool, route, url, parameters (array of name, required, description; the first 50 by name count), output,
+    tags, mime, transport, examples (array of text) and options (array of network, scheme, amount, symbol, asset, pay_to).
+    """
+    c, none = F.col, F.array().cast("array<string>")
+    given = lambda x: F.nullif(x, F.lit(""))
+    line = lambda label, x: F.when(given(x).isNotNull(), F.array(F.concat(F.lit(f"{label}: "), x))).otherwise(none)
+    listed = lambda label, xs: F.when(F.size(xs) > 0, F.concat(F.array(F.lit(f"{label}:")), F.transform(xs, lambda x: F.concat(F.lit("- "), x)))).otherwise(none)
+    empty = lambda x, kind: F.coalesce(x, F.array().cast(kind))
+    tags, examples = empty(c("tags"), "array<string>"), empty(c("examples"), "array<string>")
+    parameters = F.slice(F.array_sort(empty(c("parameters"), rows.schema["parameters"].dataType.simpleString())), 1, 50)
+    told = F.transform(parameters, lambda p: F.concat(p["name"], F.when(p["required"], " (required)").otherwise(""), F.coalesce(F.concat(F.lit(": "), given(p["description"])), F.lit(""))))
+    options = empty(c("options"), rows.schema["options"].dataType.simpleString())
+    payments = F.transform(options, lambda o: F.concat(F.lit("Payment: "), F.concat_ws(", ", o["network"], o["scheme"], F.concat_ws(" ", o["amount"], F.coalesce(o["symbol"], o["asset"])))))
+    kind = F.when(c("type") == "mcp", F.concat_ws(" ", F.lit("MCP tool"), c("tool"))).otherwise(F.concat_ws(" ", F.lit("HTTP"), c("method")))
+    lines = F.concat(
+        line("Service", c("name")), line("Description", c("description")), line("Type", kind), line("Route", c("route")), line("Resource", c("url")), listed("Parameters", told), line("Output", c("output")),
+        line("Tags", F.array_join(tags, ", ")), line("MIME", c("mime")), line("Transport", c("transport")), listed("Examples", examples), payments,
+    )
+    once = lambda *xs: F.array_join(F.array_distinct(tokens(F.concat_ws(" ", *xs), ATOMIC_TOKEN)), " ")
+    low = F.flatten(F.transform(options, lambda o: F.array(o["network"], o["scheme"], o["amount"], o["symbol"], o["asset"], o["pay_to"])))
+    return rows.withColumns({
+        "document": F.array_join(lines, "\n"), "high": once(c("name"), c("type"), c("method"), c("tool"), c("route"), c("url")),
+        "medium": once(c("description"), F.array_join(F.flatten(F.transform(parameters, lambda p: F.array(p["name"], p["description"]))), " "), c("output")),
+        "low": once(F.array_join(tags, " "), c("mime"), c("transport"), F.array_join(examples, " "), F.array_join(low, " ")),
+    })
+
+
 def by_priority(body: str, names: list[str]) -> Column:
     """The first of the JSON fields that is there and not blank."""
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(body, f"$.{n}")), F.lit("")) for n in names])
@@ -99,6 +130,11 @@ def overlay(rows: DataFrame, patch: DataFrame, on: list[str], columns: list[str]
     return rows.join(p, on, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
+def overlay_rejects(rows: DataFrame, patch: DataFrame, on: list[str]) -> DataFrame:
+    """Patch rows outside the sample; an import with any of them is refused."""
+    return patch.join(rows.select(*on), on, "left_anti")
+
+
 def first_category(text: Column, keywords: dict[str, list[str]], default: str = "other") -> Column:
     """The first category, in the given order, of which a keyword occurs as a token."""
     words = tokens(text, ATOMIC_TOKEN)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.operators import catalog as C
 from tessera.operators import evaluation as E
+from tessera.operators import records as R
 from tessera.operators import reports as P
 from tessera.plans import retrieval_queries as Q
 from tessera.sources import views as V
@@ -355,3 +358,91 @@ def r12_both_thresholds(spark, d):
     rows = Q.fused(spark, d)
     new = rows.filter("rank <= 10").select("query_id", "doc_id", ((F.col("doc_id") * 7 + F.col("query_id")) % 13 / 200).alias("score"))
     return R.thresholded(rows, new, "query_id", "doc_id", 10, 0.02).select("query_id", "doc_id", "rank")
+
+
+@register("j17_overlay_rejects", "SELECT vec_id AS doc_id, label AS quality FROM embeddings WHERE vec_id % 3 = 0 AND vec_id NOT IN (SELECT doc_id FROM labels)")
+def j17_overlay_rejects(spark, d):
+    patch = V.read(spark, d, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("quality"))
+    return R.overlay_rejects(V.read(spark, d, "labels"), patch, ["doc_id"])
+
+
+@register("j16_details", f"""WITH {V.VERSIONS}, a AS (SELECT resource_id, max(version) AS active_version FROM versions WHERE status = 'active' GROUP BY 1), v AS (SELECT resource_id, list(version ORDER BY version DESC) AS versions FROM versions GROUP BY 1), o AS (SELECT l_partkey AS resource_id, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS options FROM lineitem GROUP BY 1),
+ b AS (SELECT l_partkey AS resource_id, list(l_orderkey ORDER BY l_orderkey DESC) AS observations FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS n FROM lineitem) WHERE n <= 5 GROUP BY 1)
+ SELECT p_partkey AS id, active_version, options, versions, observations FROM part LEFT JOIN a ON a.resource_id = p_partkey LEFT JOIN v ON v.resource_id = p_partkey LEFT JOIN o ON o.resource_id = p_partkey LEFT JOIN b ON b.resource_id = p_partkey""")
+def j16_details(spark, d):
+    lines = V.read(spark, d, "lineitem")
+    options = lines.select(F.col("l_partkey").alias("resource_id"), F.concat("l_returnflag", "l_linestatus").alias("option"))
+    seen = lines.select(F.col("l_partkey").alias("resource_id"), F.col("l_orderkey").alias("observed_at"))
+    return C.details(V.read(spark, d, "part").select(F.col("p_partkey").alias("id")), V.versions(spark, d), options, seen, 5)
+
+
+@register("e27_artifact_hash_rows", """WITH h AS (SELECT sha256('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') AS h FROM labels), p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(p || h, '' ORDER BY p || h)) AS sha256 FROM p""")
+def e27_artifact_hash_rows(spark, d):
+    return E.artifact_hash(V.read(spark, d, "labels"), ["doc_id"])
+
+
+@register("e22_blinded_pack", "WITH g AS (SELECT source, row_number() OVER (ORDER BY sha256('z-group' || chr(0) || source), source) AS group_place FROM (SELECT DISTINCT source FROM documents)) SELECT 'b-' || substr(sha256('z-id' || chr(0) || source || '|' || doc_id), 1, 16) AS blind, group_place, row_number() OVER (PARTITION BY source ORDER BY sha256('z-row' || chr(0) || source || '|' || doc_id), doc_id) AS place FROM documents JOIN g USING (source)")
+def e22_blinded_pack(spark, d):
+    return E.blinded(V.read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "z")[0]
+
+
+@register("e22_owner_mapping", "SELECT 'b-' || substr(sha256('z-id' || chr(0) || source || '|' || doc_id), 1, 16) AS blind, source, doc_id FROM documents")
+def e22_owner_mapping(spark, d):
+    return E.blinded(V.read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "z")[1]
+
+
+@register("r1_odd_queries", r"SELECT item_id, substr(trim(regexp_replace('AB ' || text || ' fi', '\s+', ' ', 'g')), 1, 512) AS q FROM benchmark")
+def r1_odd_queries(spark, d):
+    odd = F.concat(F.lit("ＡＢ\x07‎ ‪"), "text", F.lit(" ﬁ"))
+    return V.read(spark, d, "benchmark").select("item_id", T.normalize_query(odd).alias("q"))
+
+
+_WORDS = r"list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), lambda w: NOT list_contains(" + str(list(T.STOPWORDS)) + ", w))"
+_ASKED = "SELECT item_id, CASE item_id % 5 WHEN 0 THEN text WHEN 1 THEN 'get_user-profile of the https://api.example/v1' WHEN 2 THEN 'the of and' WHEN 3 THEN 'POST v2 invoice' ELSE 'weather' END AS t FROM benchmark"
+
+
+def asked(spark, d):
+    k = F.col("item_id")
+    t = F.when(k % 5 == 0, F.col("text")).when(k % 5 == 1, "get_user-profile of the https://api.example/v1").when(k % 5 == 2, "the of and").when(k % 5 == 3, "POST v2 invoice").otherwise("weather")
+    return V.read(spark, d, "benchmark").select("item_id", t.alias("t"))
+
+
+@register("r4_all_features", rf"""WITH q AS ({_ASKED}), w AS (SELECT *, {_WORDS} AS w FROM q) SELECT item_id, CAST(length(t) AS INTEGER) AS normalized_length, len(w)::INT AS token_count, len(list_distinct(w))::INT AS unique_token_count, len(w)::INT AS phrase_token_count, len(w) > 1 AND regexp_matches(t, '\s') AS has_phrase, regexp_matches(t, '[_:/\\.@#%~-]') AS has_identifier,
+ regexp_matches(t, '(?i)\b(https?|mcp)://') AS has_url, len(list_filter(w, lambda x: list_contains({list(T.METHODS)}, upper(x)))) > 0 AS has_http_method, len(list_filter(w, lambda x: regexp_matches(x, '[0-9]'))) > 0 AS has_numeric_token, regexp_matches(t, '[^\p{{L}}\p{{N}}\s]') AS has_punctuation, length(t) > 0 AND len(w) = 0 AS stopword_only FROM w""")
+def r4_all_features(spark, d):
+    return asked(spark, d).select("item_id", T.query_shape(F.col("t")).alias("s")).select("item_id", "s.*")
+
+
+@register("r3_any_of", rf"""WITH q AS ({_ASKED}), w AS (SELECT item_id, {_WORDS} AS p, list_filter(flatten(list_transform(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+(?:[_-][\p{{L}}\p{{N}}]+)*'), lambda x: list_concat([x], regexp_split_to_array(x, '[_-]+')))), lambda x: NOT list_contains({list(T.STOPWORDS)}, x)) AS i FROM q)
+ SELECT item_id, CASE WHEN len(p) > 0 THEN p ELSE [] END AS phrase, CASE WHEN len(p) > 0 THEN list_sort(list_distinct(i)) ELSE [] END AS any_of FROM w""")
+def r3_any_of(spark, d):
+    return asked(spark, d).select("item_id", T.compile_query(F.col("t")).alias("q")).select("item_id", "q.phrase", F.sort_array("q.any_of").alias("any_of"))
+
+
+_RULES = """list_filter([CASE WHEN p_size % 2 = 0 THEN 'type' END, CASE WHEN p_partkey % 3 = 0 THEN 'extensions' END, CASE WHEN p_partkey % 5 > 0 THEN 'payment_option' END, CASE WHEN p_retailprice > 1000 THEN 'price' END, CASE WHEN p_type <> 'ECONOMY' THEN 'category' END, CASE WHEN p_partkey % 7 <> 1 THEN 'freshness' END, CASE WHEN p_brand = 'Brand#2' THEN 'resource_type' END], lambda x: x IS NOT NULL)"""
+
+
+@register("p12_seven_rules", f"SELECT p_partkey, {_RULES} AS reasons, {_RULES}[1] AS first_reason FROM part")
+def p12_seven_rules(spark, d):
+    c, k = F.col, F.col("p_partkey")
+    filters = F.create_map(F.lit("network"), F.lit("net-0"), F.lit("scheme"), F.lit("exact"))
+    # one single option must meet all payment filters: here its network is right for one in five, its scheme always
+    option = F.struct(F.concat(F.lit("net-"), (k % 5).cast("string")).alias("network"), F.lit("exact").alias("scheme"), F.lit("p").alias("pay_to"), F.lit("a").alias("asset"))
+    met = R.filters_met(filters, option, {"network": "network", "scheme": "scheme", "payTo": "pay_to", "asset": "asset"})
+    rules = {"type": c("p_size") % 2 == 0, "extensions": k % 3 == 0, "payment_option": ~met, "price": c("p_retailprice") > 1000, "category": c("p_type") != "ECONOMY", "freshness": k % 7 != 1, "resource_type": c("p_brand") == "Brand#2"}
+    return V.read(spark, d, "part").select("p_partkey", C.eligibility(rules).alias("reasons")).withColumn("first_reason", F.get("reasons", F.lit(0)))
+
+
+@register("d4_search_documents", """SELECT p_partkey, array_to_string(list_filter(['Service: ' || p_name, CASE WHEN p_size % 2 = 0 THEN 'Description: ' || p_type END, CASE WHEN p_size % 3 = 0 THEN 'Type: MCP tool t' || p_size ELSE 'Type: HTTP GET' END, CASE WHEN p_size % 5 = 0 THEN 'Route: /a/:id' END, 'Resource: https://h/' || p_partkey, CASE WHEN p_size % 4 = 0 THEN 'Parameters:' || chr(10) || '- a (required): first' || chr(10) || '- b' END, CASE WHEN p_size % 7 = 0 THEN 'Output: json' END,
+ 'Tags: ' || p_brand || ', ' || p_type, 'MIME: a/b', CASE WHEN p_size % 6 = 0 THEN 'Examples:' || chr(10) || '- Input: x: 1' END, 'Payment: net, exact, 5 ' || CASE WHEN p_size % 2 = 0 THEN 'USD' ELSE 'a-1' END], lambda x: x IS NOT NULL), chr(10)) AS document, p_name || CASE WHEN p_size % 3 = 0 THEN ' mcp t' || p_size ELSE ' http get' END || CASE WHEN p_size % 5 = 0 THEN ' a id' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' https h ' ELSE ' https h ' END || p_partkey AS high FROM part""")
+def d4_search_documents(spark, d):
+    z, lit = F.col("p_size"), F.lit
+    mcp = z % 3 == 0
+    parameters = F.when(z % 4 == 0, F.array(F.struct(lit("b").alias("name"), lit(False).alias("required"), lit("").alias("description")), F.struct(lit("a").alias("name"), lit(True).alias("required"), lit("first").alias("description"))))
+    option = F.struct(lit("net").alias("network"), lit("exact").alias("scheme"), lit("5").alias("amount"), F.when(z % 2 == 0, "USD").alias("symbol"), lit("a-1").alias("asset"), lit("p").alias("pay_to"))
+    rows = V.read(spark, d, "part").select(
+        "p_partkey", F.col("p_name").alias("name"), F.when(z % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.when(mcp, "mcp").otherwise("http").alias("type"), F.when(~mcp, "GET").alias("method"), F.when(mcp, F.concat(lit("t"), z)).alias("tool"),
+        F.when(z % 5 == 0, "/a/:id").alias("route"), F.concat(lit("https://h/"), F.col("p_partkey").cast("string")).alias("url"), parameters.alias("parameters"), F.when(z % 7 == 0, "json").alias("output"), F.array("p_brand", "p_type").alias("tags"), lit("a/b").alias("mime"),
+        lit(None).cast("string").alias("transport"), F.when(z % 6 == 0, F.array(lit("Input: x: 1"))).alias("examples"), F.array(option).alias("options"),
+    )
+    return R.search_document(rows).select("p_partkey", "document", "high")
