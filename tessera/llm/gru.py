@@ -7,6 +7,7 @@ element, so that a step has no matrix product and the products of a window are d
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -88,31 +89,37 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 def lanes(docs: list[np.ndarray], n: int, bos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Deals documents to n lanes, longest first to the shortest lane: (inputs, targets, keep, place), each (steps, n).
+    """Deals documents to n lanes, longest first to the shortest lane: (inputs, targets, keep, place), each (n, steps), the longest
+    lane first.
 
     The input before a document's first token is bos; keep is 0 there, so that its state starts from zero, and 1 elsewhere;
     place is the token's number in the concatenated documents, -1 where a lane has run out.
     """
-    starts = np.r_[0, np.cumsum([len(d) for d in docs])]
-    load, dealt = np.zeros(n, np.int64), [[] for _ in range(n)]
-    for d in sorted(range(len(docs)), key=lambda k: -len(docs[k])):
-        k = int(np.argmin(load))
+    sizes = np.array([len(d) for d in docs])
+    starts = np.r_[0, np.cumsum(sizes)]
+    heap, dealt = [(0, k) for k in range(n)], [[] for _ in range(n)]
+    for d in np.argsort(-sizes, kind="stable").tolist():
+        load, k = heap[0]
+        heapq.heapreplace(heap, (load + int(sizes[d]), k))
         dealt[k].append(d)
-        load[k] += len(docs[d])
-    steps = int(load.max()) if n else 0
-    x, y, keep, place = np.full((steps, n), bos, np.int32), np.full((steps, n), bos, np.int32), np.zeros((steps, n), np.float32), np.full((steps, n), -1, np.int32)
-    for k, own in enumerate(dealt):
-        at = 0
-        for d in own:
-            t = docs[d]
-            y[at : at + len(t), k] = t
-            x[at + 1 : at + len(t), k] = t[:-1]
-            keep[at + 1 : at + len(t), k] = 1
-            place[at : at + len(t), k] = np.arange(starts[d], starts[d] + len(t))
-            at += len(t)
-    # lanes that end early go to the right, so that steps can be narrowed
-    order = np.argsort(-load, kind="stable")
-    return x[:, order], y[:, order], keep[:, order], place[:, order]
+    loads = np.zeros(n, np.int64)
+    for load, k in heap:
+        loads[k] = load
+    steps = int(loads.max()) if n else 0
+    x, y, keep, place = np.full((n, steps), bos, np.int32), np.full((n, steps), bos, np.int32), np.ones((n, steps), np.float32), np.full((n, steps), -1, np.int32)
+    # lanes that end early go last, so that steps can be narrowed
+    for row, k in enumerate(np.argsort(-loads, kind="stable").tolist()):
+        own = dealt[k]
+        if not own:
+            continue
+        whole = np.concatenate([docs[d] for d in own])
+        first = np.r_[0, np.cumsum(sizes[own])[:-1]]
+        y[row, : len(whole)] = whole
+        x[row, 1 : len(whole)] = whole[:-1]
+        x[row, first] = bos
+        keep[row, first] = 0
+        place[row, : len(whole)] = np.arange(len(whole)) + np.repeat(starts[own] - first, sizes[own])
+    return x, y, keep, place
 
 
 def _tiled(row: np.ndarray, n: int) -> np.ndarray:
@@ -180,14 +187,14 @@ def token_log10(p: dict[str, np.ndarray], shape: Shape, docs: list[np.ndarray],
     """
     out = np.zeros(sum(map(len, docs)))
     x, y, keep, place = lanes(docs, min(width, max(1, len(docs))), bos)
-    h, hi = np.zeros((x.shape[1], shape.hidden), np.float32), 0
-    while hi < len(x):
-        live = int((place[hi] >= 0).sum())
+    h, hi = np.zeros((len(x), shape.hidden), np.float32), 0
+    while hi < x.shape[1]:
+        live = int((place[:, hi] >= 0).sum())
         lo, hi = hi, hi + max(1, window // live)
-        cut = np.s_[lo:hi, :live]
-        states = _run(p, x[cut], keep[cut], h[:live])[-1]
+        cut = np.s_[:live, lo:hi]
+        states = _run(p, x[cut].T, keep[cut].T, h[:live])[-1]
         h = states[-1]
-        where, target = place[cut].ravel(), y[cut].ravel()
+        where, target = place[cut].T.ravel(), y[cut].T.ravel()
         s = states.reshape(-1, shape.hidden)
         if where.min() < 0:
             ok = where >= 0
@@ -313,16 +320,17 @@ class Trainer:
             return
         x, y, keep, place = lanes(docs, min(width, len(docs)), bos)
         size = self.shape.hidden
-        h = np.zeros((x.shape[1], size), np.float32)
-        for lo in range(0, len(x), window):
-            live = int((place[lo] >= 0).sum())
-            cut = np.s_[lo : lo + window, :live]
-            e, before, z, c, after = _run(self.p, x[cut], keep[cut], h[:live])
+        h = np.zeros((len(x), size), np.float32)
+        for lo in range(0, x.shape[1], window):
+            live = int((place[:, lo] >= 0).sum())
+            cut = np.s_[:live, lo : lo + window]
+            inputs, kept = x[cut].T, keep[cut].T
+            e, before, z, c, after = _run(self.p, inputs, kept, h[:live])
             h = after[-1].copy()
-            s, target, there = after.reshape(-1, size), y[cut].ravel(), place[cut].ravel() >= 0
+            s, target, there = after.reshape(-1, size), y[cut].T.ravel(), place[cut].T.ravel() >= 0
             share = 1 / int(there.sum())
             k = self.shape.class_of[target]
             ds, grad = self._classes(s, k, there.astype(np.float32) * np.float32(share))
             self._words(s, np.where(there, k, self.shape.classes), target, ds, np.float32(share))
-            grad |= self._backward(x[cut], keep[cut], e, before, z, c, ds.reshape(before.shape))
+            grad |= self._backward(inputs, kept, e, before, z, c, ds.reshape(before.shape))
             self._adam(grad)
