@@ -155,3 +155,69 @@ def siblings_alike(members: DataFrame, family: str, member: str, axes: list[str]
         pairs = a.join(b, [family, *same]).filter("a < b").select(family, "a", "b")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
+
+
+def with_default(keys: DataFrame, lists: DataFrame, on: str, column: str) -> DataFrame:
+    """Every key with its list, an empty one where it has none."""
+    empty = F.array().cast(lists.schema[column].dataType)
+    return keys.join(lists, on, "left").select(*keys.columns, F.coalesce(column, empty).alias(column))
+
+
+def both_defined(a: DataFrame, b: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Rows of two tables that belong together and have all of the columns defined."""
+    return a.join(b, on).dropna(subset=columns)
+
+
+def dashboard(entries: DataFrame, facts: list[DataFrame], key: str, most: int = 8) -> DataFrame:
+    """The first `most` different keys with what each of the tables of facts (one row per key) says of them."""
+    out = entries.select(key).distinct().orderBy(key).limit(most)
+    for f in facts:
+        out = out.join(f, key, "left")
+    return out
+
+
+def group_limits(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, members, largest): different members of each group and the rows of the largest one."""
+    per = rows.groupBy(group, member).agg(F.count("*").alias("n"))
+    return per.groupBy(group).agg(F.count_distinct(member).alias("members"), F.max("n").alias("largest"))
+
+
+def name_lists(rows: DataFrame, group: str, name: str, out: str = "names") -> DataFrame:
+    """Each group's different names in order; groups without a name are left out."""
+    return rows.groupBy(group).agg(F.sort_array(F.collect_set(name)).alias(out)).filter(F.size(out) > 0)
+
+
+def phrases_found(padded: Column, phrases: list[str]) -> Column:
+    """Those of the phrases that occur as contiguous tokens; padded: tokens with a blank around each."""
+    return F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(p)) for p in phrases]))
+
+
+def joint_status(good: Column) -> Column:
+    """Aggregate of several results: empty without any, success where all that are known are good, partial where some are, else invalid. Null: no result."""
+    return F.when(F.bool_and(good.isNull()), "empty").when(F.bool_and(good), "success").when(F.bool_or(good), "partial").otherwise("invalid")
+
+
+def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def id_gaps(have: DataFrame, key: str) -> DataFrame:
+    """Numbers from 0 to the largest key that no row has."""
+    top = have.agg(F.max(key)).first()[0]
+    return missing(have.sparkSession.range((top if top is not None else -1) + 1).select(F.col("id").alias(key)), have, key)
+
+
+def stale_by_hash(current: DataFrame, held: DataFrame, on: str, now: str, then: str) -> DataFrame:
+    """Keys whose present hash is another than the one that was held."""
+    return current.join(held, on).filter(F.col(now) != F.col(then)).select(on)
+
+
+def omit_empty(columns: list[str]) -> Column:
+    """JSON of the columns that are not null."""
+    return F.to_json(F.struct(*columns))
+
+
+def audit(rows: DataFrame, by: str, relevant: str, limit: float) -> DataFrame:
+    """(by, audited, relevant, rate, material): share of relevant rows, and whether it is above the limit."""
+    rate = F.avg(relevant)
+    return rows.groupBy(by).agg(F.count("*").alias("audited"), F.count_if(F.col(relevant) == 1).alias("relevant"), rate.alias("rate"), (rate > limit).alias("material"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tessera.functions.text import BM25_TOKEN, tokens
 
@@ -301,6 +302,30 @@ def diversify(ranked: DataFrame, query: str, origin: str, limit: int) -> DataFra
     return late.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("__late", "rank"))).drop("__late")
 
 
+def embed_with(rows: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], dimension: int, out: str = "embedding") -> DataFrame:
+    """rows with vectors of a provider, asked in Arrow batches where the rows are; null texts are asked as empty ones. Vectors that are not
+    `dimension` finite numbers are null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = provider(["" if t is None else t for t in b[text]])
+            good = [list(map(float, v)) if len(v) == dimension and np.isfinite(np.asarray(v, float)).all() else None for v in got]
+            yield b.assign(**{out: pd.Series(good, index=b.index, dtype=object)})
+
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, ArrayType(DoubleType()))]))
+
+
+def rerank_with(pairs: DataFrame, query: str, document: str, provider: Callable[[list[tuple[str, str]]], list[float]], out: str = "score") -> DataFrame:
+    """pairs of texts with a provider's scores, asked in Arrow batches where the pairs are; null texts are asked as empty ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text = lambda c: ["" if t is None else t for t in b[c]]  # noqa: B023, E731
+            yield b.assign(**{out: pd.Series(provider(list(zip(text(query), text(document), strict=True))), index=b.index, dtype=float)})
+
+    return pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField(out, DoubleType())]))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)

@@ -146,13 +146,12 @@ def a23_frequency(spark, d):
 
 @register("a25_group_limits", "SELECT p_brand, count(DISTINCT p_type) AS types, max(n) AS largest FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1")
 def a25_group_limits(spark, d):
-    per = V.read(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    return per.groupBy("p_brand").agg(F.count_distinct("p_type").alias("types"), F.max("n").alias("largest"))
+    return C.group_limits(V.read(spark, d, "part"), "p_brand", "p_type").withColumnRenamed("members", "types")
 
 
 @register("a26_name_lists", "SELECT p_brand, list_sort(list(DISTINCT p_name)) AS names FROM part GROUP BY 1")
 def a26_name_lists(spark, d):
-    return V.read(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("names")).filter(F.size("names") > 0)
+    return C.name_lists(V.read(spark, d, "part"), "p_brand", "p_name")
 
 
 @register("w8_next_version", f"WITH {VERSIONS}, n AS (SELECT DISTINCT l_partkey AS resource_id, l_suppkey AS s FROM lineitem), m AS (SELECT resource_id, max(version) AS v FROM versions GROUP BY 1) SELECT n.resource_id, s, coalesce(v, 0) + row_number() OVER (PARTITION BY n.resource_id ORDER BY s) AS version FROM n LEFT JOIN m ON n.resource_id = m.resource_id")
@@ -184,7 +183,7 @@ def u2_set_difference(spark, d):
 
 @register("u3_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def u3_duplicates(spark, d):
-    return V.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+    return C.duplicates(V.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @register("u4_ordered_union", "SELECT conv_id, list_slice(list_distinct(list(role ORDER BY turn)), 1, 2) IS NOT NULL AS ok, len(list_distinct(list(role))) AS n FROM conversations GROUP BY 1")
@@ -196,9 +195,7 @@ def u4_ordered_union(spark, d):
 
 @register("u7_id_gaps", "SELECT g.range AS doc_id FROM range(0, (SELECT max(doc_id) + 1 FROM labels)) g WHERE g.range NOT IN (SELECT doc_id FROM labels)")
 def u7_id_gaps(spark, d):
-    have = V.read(spark, d, "labels").select("doc_id")
-    top = have.agg(F.max("doc_id")).first()[0]
-    return C.missing(spark.range((top if top is not None else -1) + 1).select(F.col("id").alias("doc_id")), have, "doc_id")
+    return C.id_gaps(V.read(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 @register("r2_token_counts", r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS long_tokens FROM documents")
@@ -229,10 +226,8 @@ def r8_unique_lexemes(spark, d):
 
 @register("d9_forbidden_phrases", "WITH n AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents), s(phrase) AS (VALUES ('apache license'), ('mit license'), ('cc by'), ('general public')) SELECT doc_id, phrase FROM n JOIN s ON contains(t, ' ' || phrase || ' ')")
 def d9_forbidden_phrases(spark, d):
-    phrases = ["apache license", "mit license", "cc by", "general public"]
     padded = V.read(spark, d, "documents").select("doc_id", T.phrase_token_text(F.col("text")).alias("t"))
-    hits = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(f" {p} ")), F.lit(p)) for p in phrases]))
-    return padded.select("doc_id", F.explode(hits).alias("phrase"))
+    return padded.select("doc_id", F.explode(C.phrases_found(F.col("t"), ["apache license", "mit license", "cc by", "general public"])).alias("phrase"))
 
 
 @register("d2_identity_keys", "SELECT page_id, 'http|' || lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) || '|' || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) || '|GET' AS k, 'eco-' || substr(sha256(url), 1, 16) AS cid FROM pages")
@@ -254,9 +249,7 @@ def d7_merge_duplicates(spark, d):
 @register("d17_status_lattice", "SELECT source, CASE WHEN bool_and(quality IS NULL) THEN 'empty' WHEN bool_and(quality = 1) THEN 'success' WHEN bool_or(quality = 1) THEN 'partial' ELSE 'invalid' END AS status FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def d17_status_lattice(spark, d):
     rows = V.read(spark, d, "documents").select("doc_id", "source").join(V.read(spark, d, "labels"), "doc_id", "left")
-    q = F.col("quality")
-    state = F.when(F.bool_and(q.isNull()), "empty").when(F.bool_and(q == 1), "success").when(F.bool_or(q == 1), "partial").otherwise("invalid")
-    return rows.groupBy("source").agg(state.alias("status"))
+    return rows.groupBy("source").agg(C.joint_status(F.col("quality") == 1).alias("status"))
 
 
 @register("d18_integrity", "SELECT 'duplicate_ids' AS name, count(*) AS observed, count(*) = 0 AS passed FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'orphan_labels', count(*), count(*) = 0 FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'unlabelled', count(*), count(*) = 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

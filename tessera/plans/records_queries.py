@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
 @register("p7_omit_empty", "SELECT doc_id, (quality IS NOT NULL)::INT AS fields FROM documents LEFT JOIN labels USING (doc_id)")
 def p7_omit_empty(spark, d):
     rows = V.read(spark, d, "documents").select("doc_id").join(V.read(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.size(F.json_object_keys(F.to_json(F.struct("quality")))).alias("fields"))
+    return rows.select("doc_id", F.size(F.json_object_keys(C.omit_empty(["quality"]))).alias("fields"))
 
 
 @register("p8_greatest", "SELECT o_custkey, greatest(max(o_orderdate), min(o_orderdate) + INTERVAL '900' DAY) AS seen FROM orders GROUP BY 1")
@@ -49,21 +49,20 @@ def s4_multi_key(spark, d):
 @register("j10_default_ranking", "SELECT item_id, coalesce(list_sort(list(doc_id) FILTER (WHERE doc_id IS NOT NULL)), []) AS ranking FROM benchmark LEFT JOIN labels ON doc_id % 60 = item_id AND quality = 0 GROUP BY 1")
 def j10_default_ranking(spark, d):
     run = V.read(spark, d, "labels").filter("quality = 0").groupBy((F.col("doc_id") % 60).alias("item_id")).agg(F.sort_array(F.collect_list("doc_id")).alias("ranking"))
-    return V.read(spark, d, "benchmark").select("item_id").join(run, "item_id", "left").select("item_id", F.coalesce("ranking", F.array().cast("array<bigint>")).alias("ranking"))
+    return C.with_default(V.read(spark, d, "benchmark").select("item_id"), run, "item_id", "ranking")
 
 
 @register("j11_paired", "SELECT doc_id, quality, toxic FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL")
 def j11_paired(spark, d):
-    return V.read(spark, d, "labels").join(V.read(spark, d, "documents").select("doc_id"), "doc_id").filter("quality is not null and toxic is not null")
+    return C.both_defined(V.read(spark, d, "labels"), V.read(spark, d, "documents").select("doc_id"), "doc_id", ["quality", "toxic"])
 
 
 @register("j14_dashboard", "WITH u AS (SELECT DISTINCT url FROM pages ORDER BY url LIMIT 8), s AS (SELECT url, count(*) AS n FROM pages GROUP BY 1), o AS (SELECT url, max(length(html)) AS largest FROM pages WHERE page_id % 2 = 0 GROUP BY 1) SELECT u.url, n, largest FROM u LEFT JOIN s USING (url) LEFT JOIN o USING (url)")
 def j14_dashboard(spark, d):
     pages = V.read(spark, d, "pages")
-    first = pages.select("url").distinct().orderBy("url").limit(8)
     counts = pages.groupBy("url").agg(F.count("*").alias("n"))
     sizes = pages.filter("page_id % 2 = 0").groupBy("url").agg(F.max(F.length("html")).cast("bigint").alias("largest"))
-    return first.join(counts, "url", "left").join(sizes, "url", "left")
+    return C.dashboard(pages, [counts, sizes], "url")
 
 
 @register("j17_overlay", "SELECT l.doc_id, coalesce(e.label, l.quality) AS quality, toxic FROM labels l LEFT JOIN embeddings e ON vec_id = doc_id AND vec_id % 3 = 0")
@@ -239,7 +238,7 @@ def e24_review_decisions(spark, d):
 @register("e25_audit", "SELECT source, count(*) AS audited, count(*) FILTER (WHERE quality = 1) AS relevant, round(avg(quality), 6) AS rate, avg(quality) > 0.8 AS material FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def e25_audit(spark, d):
     rows = V.read(spark, d, "labels").join(V.read(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("audited"), F.count_if(F.col("quality") == 1).alias("relevant"), F.round(F.avg("quality"), 6).alias("rate"), (F.avg("quality") > 0.8).alias("material"))
+    return C.audit(rows, "source", "quality", 0.8).withColumn("rate", F.round("rate", 6))
 
 
 @register("x6_claim", "SELECT o_orderkey AS id, o_custkey + 1 AS fence FROM orders WHERE (o_orderstatus = 'F' AND o_orderdate <= TIMESTAMP '1997-01-01') OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01') ORDER BY o_orderdate, o_orderkey LIMIT 200")
@@ -257,7 +256,7 @@ def x7_backoff(spark, d):
 @register("x10_stale_by_hash", "SELECT l.doc_id FROM labels l JOIN embeddings e ON e.vec_id = l.doc_id WHERE l.quality <> e.label")
 def x10_stale_by_hash(spark, d):
     held = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return V.read(spark, d, "labels").join(held, "doc_id").filter("quality <> label").select("doc_id")
+    return C.stale_by_hash(V.read(spark, d, "labels"), held, "doc_id", "quality", "label")
 
 
 @register("x14_period_budget", """WITH RECURSIVE o AS (SELECT o_custkey AS key, o_orderkey AS id, datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS ledger, CAST(round(o_totalprice) AS BIGINT) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),

@@ -132,11 +132,15 @@ def r10_guard(spark, d):
     return R.guarded(nearest(spark, d), hits, "query_id", 0.6).select("query_id", "vec_id", "distance")
 
 
-@register("r17_jaccard", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS j FROM t a JOIN t b ON a.item_id < b.item_id")
+@register("r17_jaccard", f"""WITH {_BM25}, qt AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM benchmark), xt AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM documents)
+ SELECT item_id, doc_id, round(len(list_intersect(qt.s, xt.s)) / len(list_distinct(list_concat(qt.s, xt.s))), 6) AS j FROM lex JOIN qt USING (item_id) JOIN xt USING (doc_id)""")
 def r17_jaccard(spark, d):
-    t = V.read(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"), T.ASCII_TOKEN)).alias("s"))
-    a, b = t.select(F.col("item_id").alias("a"), F.col("s").alias("x")), t.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
+    """The reranker's score of each query with each of its lexical candidates."""
+    words = lambda c: F.array_distinct(T.tokens(F.col(c), T.ASCII_TOKEN))
+    docs = V.read(spark, d, "documents").select("doc_id", words("text").alias("y"))
+    items = V.read(spark, d, "benchmark").select("item_id", words("text").alias("x"))
+    pairs = lexical(spark, d).select("item_id", "doc_id").join(items, "item_id").join(docs, "doc_id")
+    return pairs.select("item_id", "doc_id", F.round(R.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
 
 
 @register("r24_vector_check", "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")

@@ -166,3 +166,11 @@ def test_bm25_in_blocks_of_query_terms(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "HELD_TERMS", 1)
     assert sorted(map(tuple, retrieval.bm25(docs, asked, 9).collect()), key=str) == want
     assert retrieval.bm25(docs, asked.filter("item_id = 4"), 9).collect() == []
+
+
+def test_providers_are_asked_in_batches(spark):
+    df = spark.createDataFrame([(1, "ab", "x"), (2, None, "abc"), (3, "bad", "bad")], "id int, q string, d string")
+    vectors = retrieval.embed_with(df, "q", lambda texts: [[float(len(t)), 1.0] if t != "bad" else [1.0] for t in texts], 2)
+    assert {r.id: r.embedding for r in vectors.collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: None}
+    scored = retrieval.rerank_with(df, "q", "d", lambda pairs: [float(len(a) - len(b)) for a, b in pairs])
+    assert {r.id: r.score for r in scored.collect()} == {1: 1.0, 2: -3.0, 3: 0.0}
