@@ -10,7 +10,7 @@ import pytest
 
 from tessera.plans import analytics_queries, catalog_queries, lifecycle_queries, records_queries, report_queries, retrieval_queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 MODULES = (analytics_queries, catalog_queries, lifecycle_queries, records_queries, report_queries, retrieval_queries)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
