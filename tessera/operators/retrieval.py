@@ -21,13 +21,13 @@ def postings(docs: DataFrame, key: str, text: str, pattern: str = BM25_TOKEN) ->
     return docs.select(key, F.posexplode(tokens(F.col(text), pattern)).alias("pos", "term"))
 
 
-#: Query terms, and numbers of query vectors, that a task holds at once; larger query sets are taken in blocks, a pass each.
-HELD_TERMS, HELD_NUMBERS = 50_000, 4_000_000
+#: Query terms, places of a matrix of terms and queries, and numbers of query vectors that a task holds at once; larger query sets
+#: are taken in blocks, a pass each.
+HELD_TERMS, HELD_PLACES, HELD_NUMBERS = 50_000, 20_000_000, 4_000_000
 
 
-def _query_blocks(rows: DataFrame, query_key: str, size: int, most: int) -> Iterator[pd.DataFrame]:
-    """Rows of a query set as local frames, whole queries together; size: counted, and frames have about `most` each."""
-    blocks = max(1, math.ceil(size / most))
+def _query_blocks(rows: DataFrame, query_key: str, blocks: int) -> Iterator[pd.DataFrame]:
+    """Rows of a query set as so many local frames of about equal size, whole queries together."""
     for n in range(blocks):
         yield rows.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).toPandas()
 
@@ -100,7 +100,10 @@ def _best_documents(docs: DataFrame, asked: DataFrame, weigh, gain, k: int, digi
     sized = docs.select(doc_key, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
     query_type = asked.schema[query_key].dataType.simpleString()
     parts = []
-    for block in _query_blocks(asked, query_key, asked.count(), HELD_TERMS):
+    size = asked.agg(F.count("*").alias("rows"), F.count_distinct(query_key).alias("queries")).first()
+    # a block's terms and its queries both shrink with the number of blocks
+    blocks = max(1, math.ceil(size["rows"] / HELD_TERMS), math.ceil(math.sqrt(size["rows"] * size["queries"] / HELD_PLACES)))
+    for block in _query_blocks(asked, query_key, blocks):
         if len(block):
             weights, with_corpus = weigh(sized, sorted(set(block["term"])))
             parts.append(_term_scores(sized, block, weights, gain(*with_corpus), k, doc_key, query_key, query_type))
@@ -224,7 +227,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", que
     kinds = f"q {asked.schema[query].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, distance double"
     width = asked.select(F.max(F.size(vector))).first()[0] or 1
     parts = []
-    for block in _query_blocks(asked, query, asked.count(), max(1, HELD_NUMBERS // width)):
+    for block in _query_blocks(asked, query, max(1, math.ceil(asked.count() * width / HELD_NUMBERS))):
         if not len(block):
             continue
         matrix = np.stack([np.asarray(v, float) for v in block[vector]])
