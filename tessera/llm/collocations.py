@@ -70,7 +70,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(hot: dict[tuple[str, bytes], int], max_n: int):
-    """Function of a task: (lang, first, place, rest, n) with all different suffixes of one first word, `rest` without it. Each
+    """Function of a task: (lang, first, place, rest, n) with all different suffixes of one first word, `rest` without it; place is 0
+    for a word that is not dealt out. Each
     word of rest is followed by a blank, so that a prefix in words is a prefix in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +99,7 @@ def _suffixes(hot: dict[tuple[str, bytes], int], max_n: int):
             for (of, w), places in hot.items():
                 if of == lang and w in number:
                     i, j = np.searchsorted(first, [number[w], number[w] + 1])
-                    place[i:j] = [zlib.crc32(words[d]) % places for d in digits[1][i:j]] if max_n > 1 else 0
+                    place[i:j] = [1 + zlib.crc32(words[d]) % places for d in digits[1][i:j]] if max_n > 1 else 1
             order = np.lexsort((place, first))
             first, place, rest, n = first[order], place[order], rest[order], n[order]
             cut = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (place[1:] != place[:-1])])) if len(n) else np.zeros(0, np.int64)

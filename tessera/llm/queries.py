@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, collocations, decontaminate, fm_quality, language_model, licenses, ngram_join, packing, quality_rules, quotes, url_cascade, variants
+from . import chunk_dedup, collocations, decontaminate, fm_quality, language_model, licenses, ngram_join, packing, quality_rules, quotes, secret_ledger, url_cascade, variants
 from .common import table
 
 
@@ -65,7 +65,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op3_gru_lm, op4_fm_quality, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op9_license_scan, op10_quality_rules, op11_collocations, op12_spelling_variants)}
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_cascade, op3_gru_lm, op4_fm_quality, op5_quote_links, op6_packing, op7_chunk_dedup, op8_decontamination, op9_license_scan, op10_quality_rules, op11_collocations, op12_spelling_variants, op13_secret_ledger)}
 #: All pairs that share a shingle, then what is reachable by links.
 NGRAM_JOIN_ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -78,4 +82,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.b AS component_id, coalesce(k
 JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) c ON c.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY 1) k ON k.a = d.doc_id
 """
 
-ORACLE_SQL = {"op1_ngram_join": NGRAM_JOIN_ORACLE, "op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op11_collocations": collocations.ORACLE, "op12_spelling_variants": variants.ORACLE}
+ORACLE_SQL = {"op1_ngram_join": NGRAM_JOIN_ORACLE, "op2_url_cascade": url_cascade.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op11_collocations": collocations.ORACLE, "op12_spelling_variants": variants.ORACLE, "op13_secret_ledger": secret_ledger.ORACLE}
