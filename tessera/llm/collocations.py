@@ -70,82 +70,93 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(hot: dict[tuple[str, bytes], int], max_n: int):
-    """Function of a task: (lang, first, place, rest, n) with all different suffixes of one first word, `rest` without it; place is 0
-    for a word that is not dealt out. Each
-    word of rest is followed by a blank, so that a prefix in words is a prefix in bytes."""
+    """Function of a task: (lang, first, place, rest, n) with all different suffixes of one first word; place is 0 for a word that is
+    not dealt out. rest has the suffixes without it in reverse order, a line each, and n their counts. Each word of a suffix is
+    followed by a blank, so that a prefix in words is a prefix in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, number, ids, own in _slices(batches, max_n - 1):
-            names = np.array([b"", *(w + b" " for w in list(number)[1:])], dtype=object)
+            # numbers in reverse order of the words; 0 stays the end of a piece
+            known = sorted((w + b" " for w in number if w != _END), reverse=True)
+            size = len(known) + 1
+            place_of = dict(zip(known, range(1, size), strict=True))
+            ids = np.fromiter((place_of.get(w + b" ", 0) for w in number), np.int64, size)[ids]
+            names = np.array([b"", *known], dtype=object)
             starts = np.flatnonzero(ids[:own])
-            padded = np.concatenate([ids, np.zeros(max_n, np.int64)])
-            # columns of the suffixes: a word after an end is none; equal suffixes get one number, digit by digit
-            key, alive, digits = ids[starts], np.ones(len(starts), bool), [ids[starts]]
+            padded = np.concatenate([ids, np.full(max_n, 0)])
+            # a word after an end is none, and comes last in reverse order; equal suffixes get one number, word by word
+            alive, digits = np.ones(len(starts), bool), [ids[starts]]
             for k in range(1, max_n):
-                digits.append(np.where(alive, padded[starts + k], 0))
-                alive = digits[-1] > 0
-                key = key * len(number) + digits[-1]
-                if k < max_n - 1 or len(number) ** max_n >= 2**63:
+                alive = alive & (padded[starts + k] > 0)
+                digits.append(np.where(alive, padded[starts + k], size))
+            key = digits[0]
+            for k in range(1, max_n):
+                if k > 1 and (size + 1) ** (k + 1) >= 2**63:
                     _, key = np.unique(key, return_inverse=True)
+                key = key * (size + 1) + digits[k]
             _, at, n = np.unique(key, return_index=True, return_counts=True)
-            digits = [d[at] for d in digits]
-            order = np.argsort(digits[0], kind="stable")
-            digits, n = [d[order] for d in digits], n[order]
-            rest = names[digits[1]] if max_n > 1 else np.full(len(n), b"", dtype=object)
-            for d in digits[2:]:
+            digits = [np.where(d[at] == size, 0, d[at]) for d in digits]
+            rest = np.full(len(n), b"", dtype=object)
+            for d in digits[1:]:
                 rest = rest + names[d]
             first, place = digits[0], np.zeros(len(n), np.int64)
-            words = list(number)
             for (of, w), places in hot.items():
-                if of == lang and w in number:
-                    i, j = np.searchsorted(first, [number[w], number[w] + 1])
-                    place[i:j] = [1 + zlib.crc32(words[d]) % places for d in digits[1][i:j]] if max_n > 1 else 1
-            order = np.lexsort((place, first))
-            first, place, rest, n = first[order], place[order], rest[order], n[order]
+                if of == lang and (f := place_of.get(w + b" ")):
+                    i, j = np.searchsorted(first, [f, f + 1])
+                    place[i:j] = [1 + zlib.crc32(names[d]) % places for d in digits[1][i:j]] if max_n > 1 else 1
+            if place.any():
+                order = np.lexsort((place, first))
+                first, place, rest, n = first[order], place[order], rest[order], n[order]
             cut = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (place[1:] != place[:-1])])) if len(n) else np.zeros(0, np.int64)
+            ends, n = [*cut[1:].tolist(), len(n)], n.astype("<i8")
             for i in range(0, len(cut), 20_000):
-                own_cut = cut[i : i + 20_000]
-                a, z = own_cut[0], cut[i + 20_000] if i + 20_000 < len(cut) else len(n)
-                offsets = pa.array(np.append(own_cut, z) - a, pa.int32())
+                spans = list(zip(cut[i : i + 20_000].tolist(), ends[i : i + 20_000], strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(own_cut), pa.string()),
-                    pa.array([words[f] for f in first[own_cut]], pa.binary()),
-                    pa.array(place[own_cut], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(rest[a:z], pa.binary())),
-                    pa.ListArray.from_arrays(offsets, pa.array(n[a:z], pa.int64())),
+                    pa.array([lang] * len(spans), pa.string()),
+                    pa.array([names[f][:-1] for f in first[cut[i : i + 20_000]]], pa.binary()),
+                    pa.array(place[cut[i : i + 20_000]], pa.int32()),
+                    pa.array([b"\n".join(rest[x:y]) for x, y in spans], pa.binary()),
+                    pa.array([n[x:y].tobytes() for x, y in spans], pa.binary()),
                 ], ["lang", "first", "place", "rest", "n"])
 
     return run
 
 
-def prefix_counts(suffixes: Iterable[tuple[bytes, int]]) -> Iterator[tuple[int, bytes, int]]:
-    """(words, prefix, count) of every prefix of suffixes in reverse order, each word followed by a blank.
+def prefix_counts(suffixes: Iterable[tuple[bytes, int]], longest: int, least: int) -> Iterator[tuple[bytes, int]]:
+    """(prefix, count) of the prefixes, with at least `least` occurrences, of different suffixes in reverse order, and of the empty
+    prefix, which has all; each word is followed by a blank.
 
     The stack holds the open prefixes, the shorter below the longer; what no longer fits is popped, and its count goes to the
-    one below it.
+    one below it. A suffix of `longest` words has nothing above it and is counted without being pushed.
     """
-    stack: list[list] = []
+    open_, counts = [b""], [0]
     for suffix, n in suffixes:
-        while stack and not suffix.startswith(stack[-1][0]):
-            prefix, count = stack.pop()
-            yield len(stack) + 1, prefix, count
-            if stack:
-                stack[-1][1] += count
-        at = len(stack[-1][0]) if stack else 0
+        while not suffix.startswith(open_[-1]):
+            prefix, count = open_.pop(), counts.pop()
+            counts[-1] += count
+            if count >= least:
+                yield prefix, count
+        at, words = len(open_[-1]), len(open_) - 1
         while at < len(suffix):
-            at = suffix.index(b" ", at) + 1
-            stack.append([suffix[:at], 0])
-        stack[-1][1] += n
-    while stack:
-        prefix, count = stack.pop()
-        yield len(stack) + 1, prefix, count
-        if stack:
-            stack[-1][1] += count
-
-
-def _count_prefixes(least: int):
-    """Function of a task over rows sorted by (lang, first, place): counts of at least `least`; those of a lone word in one of its
-    places are passed on whatever they are."""
+            at, words = suffix.index(b" ", at) + 1, words + 1
+            if words == longest:
+                if n >= least:
+                    yield suffix, n
+            else:
+                open_.append(suffix[:at])
+                counts.append(0)
+        counts[-1] += n
+    while len(open_) > 1:
+        prefix, count = open_.pop(), counts.pop()
+        counts[-1] += count
+        if count >= least:
+            yield prefix, count
+    yield b"", counts[0]
+
+
+def _count_prefixes(max_n: int, least: int):
+    """Function of a task over rows sorted by (lang, first, place): phrases of at least `least` occurrences; those of a lone word in
+    one of its places are passed on whatever they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -153,24 +164,25 @@ def _count_prefixes(least: int):
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "words", "f"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
 
         for (lang, first, place), mine in by_key(batches, 3):
             total, sums = 0, {}
-            for rest, n in mine:
+            for rest, packed in mine:
+                n = np.frombuffer(packed, "<i8").tolist()
                 total += sum(n)
                 if sums:
                     had = sums.get
-                    for r, k in zip(rest, n, strict=True):
+                    for r, k in zip(rest.split(b"\n"), n, strict=True):
                         sums[r] = had(r, 0) + k
                 else:
-                    sums = dict(zip(rest, n, strict=True))
+                    sums = dict(zip(rest.split(b"\n"), n, strict=True))
             if total < least and place == 0:
                 continue
-            head = first + b" "
-            for words, phrase, f in prefix_counts((head + r, sums[r]) for r in sorted(sums, reverse=True)):
-                if f >= least or words == 1:
-                    out.append((lang, phrase[:-1], words, f))
+            # each row came sorted, so that this merges them
+            order = sorted(sums, reverse=True)
+            for prefix, f in prefix_counts(zip(order, map(sums.__getitem__, order), strict=True), max_n - 1, least):
+                out.append((lang, (first + b" " + prefix)[:-1], f))
             if len(out) >= 10_000:
                 yield batch()
         if out:
@@ -195,12 +207,13 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, lang: str =
     every = totals.agg(F.sum("n")).first()[0] or 0
     share = max(SHARE, every // MOST_HOT + 1)
     hot = {(r.lang, bytes(r.first)): -(-r.n // share) for r in words.filter(F.col("n") > share).toLocalIterator()}
-    sent = texts.mapInArrow(_suffixes(hot, max_n), "lang string, first binary, place int, rest array<binary>, n array<long>")
+    sent = texts.mapInArrow(_suffixes(hot, max_n), "lang string, first binary, place int, rest binary, n binary")
     key = ["lang", "first", "place"]
     met = sent.repartition(*key).sortWithinPartitions(*(F.col(c).desc() for c in key))
-    parts = met.mapInArrow(_count_prefixes(least), "lang string, phrase binary, words int, f long")
-    summed = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return materialize(summed.withColumn("phrase", F.col("phrase").cast("string")), "phrases"), totals
+    parts = met.mapInArrow(_count_prefixes(max_n, least), "lang string, phrase binary, f long")
+    summed = parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    phrase = F.col("phrase").cast("string")
+    return materialize(summed.select("lang", phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("words"), "f"), "phrases"), totals
 
 
 def cohesion(a: Column, left: Column, right: Column) -> Column:
