@@ -107,7 +107,7 @@ def _runs(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                 counts.append(n)
                 ids += [i] * len(d)
             if found:
-                yield pd.DataFrame({"digest": np.concatenate(found), "id": ids, "n": np.concatenate(counts)})
+                yield pd.DataFrame({"digest": np.concatenate(found), "id": pd.Series(ids, dtype=object), "n": np.concatenate(counts)})
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInPandas(run, f"digest long, id {kind}, n int")
@@ -132,8 +132,8 @@ def dedup(docs: DataFrame, min_words: int = 16, key: str = "doc_id", text: str =
     small_batches(docs.sparkSession)
     marks = materialize(repeats(docs, key, text, min_words), "marks")
     rest = [c for c in docs.columns if c not in (text, "n_words", "removed_words", "spans")]
-    put = {"__t": F.col(text), "__later": F.col("later"), "__own": F.col("own")}
-    joined = docs.join(marks.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left").select(*rest, *[c.alias(n) for n, c in put.items()])
+    put = {"__t": F.col(text), "__later": F.col("__repeated"), "__own": F.col("__first")}
+    joined = docs.join(marks.toDF("__id", "__repeated", "__first"), F.col(key) == F.col("__id"), "left").select(*rest, *[c.alias(n) for n, c in put.items()])
 
     def clean(t: str | None, later: np.ndarray | None, own: np.ndarray | None) -> tuple[str | None, int, int, list[tuple[int, int]]]:
         raw = _bytes(t)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import small_batches
 
@@ -110,7 +111,7 @@ class WordIds:
 
 @dataclass
 class Piece:
-    doc: int | None
+    doc: int | str | None
     start: int
     ids: bytes
     doc_tokens: int
@@ -187,9 +188,9 @@ class Packer:
         if self.room[k, 0] == 0 or self.room[k, 1] == 0:
             self._close(k)
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self, key: str = "Int64") -> pd.DataFrame:
         out, self.out = self.out, []
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": key})
 
     def finish(self) -> None:
         rest = [p for b in self.bins for p in b][::-1]
@@ -222,9 +223,11 @@ def pack(df: DataFrame, tokenizer: str, limits: Limits = Limits(), key: str = "d
     prompt: a column of text that comes before text and bears no loss, as in instruction data; the limit on loss-bearing
     ids then closes sequences that the limit on tokens would leave open. tokenizer: path of the vocabulary file on every
     machine. Null and empty texts have the closing id only; repeated rows are packed each; a null key stays null; an empty
-    table gives no row. Only key, text and prompt are read.
+    table gives no row. Keys that are not whole numbers are given as strings. Only key, text and prompt are read.
     """
     small_batches(df.sparkSession)
+    whole = isinstance(df.schema[key].dataType, IntegralType)
+    kind = "Int64" if whole else "object"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _ids.setdefault(tokenizer, None) or _ids.update({tokenizer: WordIds(tokenizer)}) or _ids[tokenizer]
@@ -233,10 +236,10 @@ def pack(df: DataFrame, tokenizer: str, limits: Limits = Limits(), key: str = "d
         for b in batches:
             before = [x[:-4] for x in encode(b["p"])] if prompt else [b""] * len(b)
             for doc, first, raw in zip(b["k"], before, encode(b["t"]), strict=True):
-                packer.add(Piece(None if pd.isna(doc) else int(doc), 0, first + raw, (len(first) + len(raw)) // 4, len(first) // 4))
-            yield packer.rows()
+                packer.add(Piece(None if pd.isna(doc) else int(doc) if whole else doc, 0, first + raw, (len(first) + len(raw)) // 4, len(first) // 4))
+            yield packer.rows(kind)
         packer.finish()
-        yield packer.rows()
+        yield packer.rows(kind)
 
-    columns = [F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *([F.col(prompt).alias("p")] if prompt else [])]
-    return df.select(*columns).mapInPandas(run, PIECES)
+    columns = [F.col(key).cast("long" if whole else "string").alias("k"), F.col(text).alias("t"), *([F.col(prompt).alias("p")] if prompt else [])]
+    return df.select(*columns).mapInPandas(run, PIECES if whole else PIECES.replace("doc_id long", "doc_id string"))
