@@ -44,6 +44,6 @@ def test_query_names():
 
     names = entry.queries()
     assert [n for n in names if n.startswith("op") and n[2].isdigit()] and "pipeline" in names
-    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "packing"]
     assert set(entry.oracle_sql()) <= set(names)
