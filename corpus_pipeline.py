@@ -23,24 +23,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).filter("kept").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, written: keys may be null or repeated, and what a stage decides holds for a row."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 over 5-word shingles, the one with the smallest id."""
-    groups = ngram_join.jaccard_components(docs, k=5, percent=80)
-    others = materialize(groups.filter("component_id <> doc_id").select("doc_id"), "others")
-    return docs.join(broadcast_if_small(others), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents linked by a Jaccard similarity of 0.8 over 5-word shingles, the first row; also where keys are null
+    or repeated."""
+    rows = numbered(docs)
+    groups = ngram_join.jaccard_components(rows, k=5, percent=80, key="row")
+    others = materialize(groups.filter("component_id <> row").select("row"), "others")
+    return rows.join(broadcast_if_small(others), "row", "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that another one has first; those of which nothing is left go."""
-    left = chunk_dedup.dedup(docs).filter((F.col("removed_words") == 0) | (F.col("removed_words") < F.col("n_words")))
+    """Documents without the passages that an earlier row has; those of which nothing is left go."""
+    left = chunk_dedup.dedup(numbered(docs), key="row").filter((F.col("removed_words") == 0) | (F.col("removed_words") < F.col("n_words")))
     return left.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at most a twentieth lies in 13-word windows of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.filter("contaminated").select("doc_id"), "contaminated")
-    return docs.join(broadcast_if_small(bad), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents of which at most a twentieth lies in 13-word windows of the benchmark. A row is judged by its text alone, so that
+    the digest of the text says which rows go, whatever their keys."""
+    named = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = decontaminate.contamination(named, table(spark, sf_dir, "benchmark"), key="digest")
+    bad = materialize(found.filter("contaminated").select("digest").distinct(), "contaminated")
+    return named.join(broadcast_if_small(bad), "digest", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
