@@ -188,18 +188,40 @@ def origins(resources: DataFrame, facts: DataFrame) -> DataFrame:
     return joined.groupBy("origin").agg(F.count("*").alias("resources"), F.count_if(F.col("status") == "active").alias("active_resources"), F.coalesce(F.sum("n"), F.lit(0)).alias("tx_count"), total("a").alias("total_amount"))
 
 
-def conversion_flags(impressions: DataFrame, events: DataFrame, hours: int) -> DataFrame:
+def _slot(t: Column, seconds: int) -> Column:
+    """Number of the span of `seconds` that a local timestamp falls in; independent of the session's time zone."""
+    of_day = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    return F.floor((F.date_diff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + of_day) / seconds)
+
+
+def conversion_flags(impressions: DataFrame, events: DataFrame, hours: int, slots: int = 60) -> DataFrame:
     """impressions with booleans verified and settled: an event of the resource within `hours` after it, both ends included.
 
-    The next event of each stage is found by one ordered pass over each resource's impressions and events together, so a
-    resource with many of both gives no pairs. A resource's rows are ordered in one task.
+    Time is cut into spans of `hours`, and these into `slots` of a whole number of seconds, a divisor of hours * 3600. The next
+    event of an impression stands in its own slot, in a later one of its span, or first in the span after it; what comes
+    later is too late. Firsts by slot are small after their partial sums, and give each slot the first event behind it by an
+    ordered pass over the at most `slots` + 1 rows of a span. Then one pass over each resource's rows of one slot finds the
+    next events: a resource with most of all events is dealt to tasks by its slots, and no pairs are made. Impressions
+    without a time, and those of a null resource, have no event.
     """
+    width = hours * 3600 // slots
+    if width * slots != hours * 3600:
+        raise ValueError(f"{slots} slots do not divide {hours} hours")
     marks = [F.when(F.col("stage") == s, F.col("occurred_at")) for s in ("verified", "settled")]
-    both = impressions.select("resource_id", F.col("created_at").alias("t"), F.lit(None).cast("timestamp_ntz").alias("v"), F.lit(None).cast("timestamp_ntz").alias("s"), F.struct("*").alias("row")).unionByName(
-        events.select("resource_id", F.col("occurred_at").alias("t"), marks[0].alias("v"), marks[1].alias("s")), allowMissingColumns=True
-    )
-    ahead = Window.partitionBy("resource_id").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    nexts = both.withColumns({"v": F.min("v").over(ahead), "s": F.min("s").over(ahead)}).filter(F.col("row").isNotNull())
+    found = events.filter(F.col("resource_id").isNotNull()).select("resource_id", F.col("occurred_at").alias("t"), marks[0].alias("v"), marks[1].alias("s"))
+    shown = impressions.select("resource_id", F.col("created_at").alias("t"), F.lit(None).cast("timestamp_ntz").alias("v"), F.lit(None).cast("timestamp_ntz").alias("s"), F.struct("*").alias("row"))
+    both = shown.unionByName(found, allowMissingColumns=True).withColumn("slot", _slot(F.col("t"), width))
+    least = [F.min(c).alias(c) for c in ("v", "s")]
+    # rows of impressions alone keep their slots here, as these have to learn what follows; columns but the times are not read
+    firsts = shown.select("resource_id", "t", "v", "s").unionByName(found).withColumn("slot", _slot(F.col("t"), width)).groupBy("resource_id", "slot").agg(*least)
+    spans = firsts.withColumn("span", F.floor(F.col("slot") / slots))
+    # the first event of a span is also the last row of the span before it
+    behind = spans.groupBy("resource_id", "span").agg(*least).select("resource_id", F.lit(None).cast("long").alias("slot"), "v", "s", (F.col("span") - 1).alias("span"))
+    later = Window.partitionBy("resource_id", "span").orderBy(F.asc_nulls_last("slot")).rowsBetween(1, Window.unboundedFollowing)
+    carried = spans.unionByName(behind).withColumns({c: F.min(c).over(later) for c in ("v", "s")}).filter("slot is not null and (v is not null or s is not null)")
+    whole = both.unionByName(carried.select("resource_id", "slot", "v", "s"), allowMissingColumns=True)
+    ahead = Window.partitionBy("resource_id", "slot").orderBy(F.asc_nulls_last("t")).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    nexts = whole.withColumns({"v": F.min("v").over(ahead), "s": F.min("s").over(ahead)}).filter(F.col("row").isNotNull())
     soon = lambda c: F.coalesce(F.col(c) <= F.col("t") + F.expr(f"interval {int(hours)} hours"), F.lit(False))
     return nexts.select("row.*", soon("v").alias("verified"), soon("s").alias("settled"))
 

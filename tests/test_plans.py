@@ -37,7 +37,11 @@ def test_latest_version_needs_no_window(spark):
 
 def test_interval_existence_has_no_join(spark):
     flags = analytics.conversion_flags(views.impressions(spark, SF), views.conversions(spark, SF), 24)
-    assert "Join" not in plan(flags)
+    text = plan(flags)
+    assert "Join" not in text and "CartesianProduct" not in text
+    # every window is over a resource and a span or a slot of time, so a hot resource is dealt out
+    windows = [line for line in text.splitlines() if "- Window [" in line]
+    assert windows and all("[resource_id#" in w and ("slot#" in w.split("], [")[-2] or "span#" in w.split("], [")[-2]) for w in windows), windows
 
 
 def test_no_query_multiplies_tables_out(spark):
