@@ -38,8 +38,8 @@ def tokens(text: str | None) -> list[bytes]:
     return [t for t in text.encode().lower().translate(_ENDS).replace(b"\n", b" \n ").split(b" ") if t]
 
 
-def _slices(batches: Iterable[pa.RecordBatch], ahead: int) -> Iterator[tuple[str, dict[bytes, int], np.ndarray, int]]:
-    """(lang, number of each word, numbers, own) for parts of at most SLICE tokens and the `ahead` tokens after them; the first
+def _slices(batches: Iterable[pa.RecordBatch], ahead: int, most: int) -> Iterator[tuple[str, dict[bytes, int], np.ndarray, int]]:
+    """(lang, number of each word, numbers, own) for parts of at most `most` tokens and the `ahead` tokens after them; the first
     `own` tokens belong to the part. Number 0 is the end of a piece; texts end with one."""
     held: dict[str, list[bytes]] = {}
 
@@ -53,29 +53,32 @@ def _slices(batches: Iterable[pa.RecordBatch], ahead: int) -> Iterator[tuple[str
             words = held.setdefault(lang, [])
             words += tokens(text)
             words.append(_END)
-            if len(words) > SLICE:
+            if len(words) > most:
                 at = 0
-                while len(words) - at > SLICE:
-                    yield part(lang, words[at : at + SLICE + ahead], SLICE)
-                    at += SLICE
+                while len(words) - at > most:
+                    yield part(lang, words[at : at + most + ahead], most)
+                    at += most
                 held[lang] = words[at:]
     for lang, words in held.items():
         yield part(lang, words, len(words))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, number, ids, own in _slices(batches, 0):
-        n = np.bincount(ids[:own], minlength=len(number))[1:]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(number)[1:], pa.binary()), pa.array(n, pa.int64())], ["lang", "first", "n"])
+def _count_words(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, number, ids, own in _slices(batches, 0, most):
+            n = np.bincount(ids[:own], minlength=len(number))[1:]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(number)[1:], pa.binary()), pa.array(n, pa.int64())], ["lang", "first", "n"])
+
+    return run
 
 
-def _suffixes(hot: dict[tuple[str, bytes], int], max_n: int):
+def _suffixes(hot: dict[tuple[str, bytes], int], max_n: int, most: int):
     """Function of a task: (lang, first, place, rest, n) with all different suffixes of one first word; place is 0 for a word that is
     not dealt out. rest has the suffixes without it in reverse order, a line each, and n their counts. Each word of a suffix is
     followed by a blank, so that a prefix in words is a prefix in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, number, ids, own in _slices(batches, max_n - 1):
+        for lang, number, ids, own in _slices(batches, max_n - 1, most):
             # numbers in reverse order of the words; 0 stays the end of a piece
             known = sorted((w + b" " for w in number if w != _END), reverse=True)
             size = len(known) + 1
@@ -191,7 +194,7 @@ def _count_prefixes(max_n: int, least: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, lang: str = "lang", text: str = "text", held: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f), (lang, n)): all phrases of 1 to max_n words that occur at least `least` times within pieces, and
     the word occurrences of each language. Both are written tables.
 
@@ -201,13 +204,13 @@ def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, lang: str =
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counted = texts.mapInArrow(_count_words, "lang string, first binary, n long").groupBy("lang", "first").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_count_words(held), "lang string, first binary, n long").groupBy("lang", "first").agg(F.sum("n").alias("n"))
     words = materialize(counted, "words")
     totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     every = totals.agg(F.sum("n")).first()[0] or 0
     share = max(SHARE, every // MOST_HOT + 1)
     hot = {(r.lang, bytes(r.first)): -(-r.n // share) for r in words.filter(F.col("n") > share).toLocalIterator()}
-    sent = texts.mapInArrow(_suffixes(hot, max_n), "lang string, first binary, place int, rest binary, n binary")
+    sent = texts.mapInArrow(_suffixes(hot, max_n, held), "lang string, first binary, place int, rest binary, n binary")
     key = ["lang", "first", "place"]
     met = sent.repartition(*key).sortWithinPartitions(*(F.col(c).desc() for c in key))
     parts = met.mapInArrow(_count_prefixes(max_n, least), "lang string, phrase binary, f long")
@@ -222,14 +225,14 @@ def cohesion(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide[0] * wide[0] * F.lit(1_000_000).cast("decimal(7,0)"), wide[1] * wide[2])
 
 
-def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000, lang: str = "lang", text: str = "text", held: int = SLICE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of 2 to max_n words by score.
 
     a counts the phrase, l and r the two parts of its worst cut, n all words of the language. A phrase goes if it lies inside a
     longer one that occurs at least inside_percent of 100 times as often. Languages without a phrase have no row; an empty
-    table gives none. See phrase_counts() for nulls.
+    table gives none. See phrase_counts() for nulls. held: tokens that a task sums up before it sends them.
     """
-    counts, totals = phrase_counts(docs, max_n, least, lang, text)
+    counts, totals = phrase_counts(docs, max_n, least, lang, text, held)
     found = counts.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
     # every place inside a longer phrase, by its most frequent one

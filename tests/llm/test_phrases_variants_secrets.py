@@ -35,7 +35,6 @@ def brute_collocations(rows, max_n=3, least=10, percent=50, top=2000):
 
 @pytest.mark.parametrize(("slice_", "share", "parts", "max_n"), [(1_500_000, 200_000, 1, 3), (50, 40, 5, 3), (7, 5, 3, 4)])
 def test_collocations(spark, monkeypatch, slice_, share, parts, max_n):
-    monkeypatch.setattr(collocations, "SLICE", slice_)
     monkeypatch.setattr(collocations, "SHARE", share)
     rng = random.Random(5)
     words = ["The", "of", "naïve", "É", "a\x01", "a", "\x02b", "x-y", "日本", "ß", *(f"w{i}" for i in range(12))]
@@ -43,7 +42,7 @@ def test_collocations(spark, monkeypatch, slice_, share, parts, max_n):
     rows = [(rng.choice(["en", "de", None, "und", ""]), text(rng.randint(0, 120))) for _ in range(150)]
     rows += [("en", None), (None, ""), ("en", "..!?"), ("en", "the of " * 400)] * 2 + [("de", "new york city " * 30)]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(parts).selectExpr("*", "1 as n", "2 as phrase", "3 as f")
-    got = collocations.collocations(docs, max_n=max_n).collect()
+    got = collocations.collocations(docs, max_n=max_n, held=slice_).collect()
     assert sorted(map(tuple, got)) == brute_collocations(rows, max_n)
 
 
