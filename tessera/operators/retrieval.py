@@ -21,9 +21,8 @@ def postings(docs: DataFrame, key: str, text: str, pattern: str = BM25_TOKEN) ->
     return docs.select(key, F.posexplode(tokens(F.col(text), pattern)).alias("pos", "term"))
 
 
-#: Query terms, places of a matrix of terms and queries, and numbers of query vectors that a task holds at once; larger query sets
-#: are taken in blocks, a pass each.
-HELD_TERMS, HELD_PLACES, HELD_NUMBERS = 50_000, 20_000_000, 4_000_000
+#: Numbers of query vectors that a task holds at once; larger query sets are taken in blocks, a pass each.
+HELD_NUMBERS = 4_000_000
 
 
 def _query_blocks(rows: DataFrame, query_key: str, blocks: int) -> Iterator[pd.DataFrame]:
@@ -32,114 +31,6 @@ def _query_blocks(rows: DataFrame, query_key: str, blocks: int) -> Iterator[pd.D
         yield rows.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).toPandas()
 
 
-def _term_scores(sized: DataFrame, asked: pd.DataFrame, weights: dict[str, float], gain, k: int, doc_key: str, query_key: str, query_type: str) -> DataFrame:
-    """(query, doc, score): sums over a query's terms of weight times gain(tf, dl), where a document's terms still stand
-    together: nothing is shuffled, and each block of documents gives about its k best per query only.
-
-    sized: (doc_key, dl, __t: tokens); asked: (query, term), distinct.
-    """
-    terms = sorted(set(asked["term"]) & set(weights))
-    place = {t: i for i, t in enumerate(terms)}
-    queries = list(dict.fromkeys(asked[query_key]))
-    number = {q: i for i, q in enumerate(queries)}
-    matrix = np.zeros((len(terms), len(queries)))
-    for q, t in zip(asked[query_key], asked["term"], strict=True):
-        if t in place:
-            matrix[place[t], number[q]] = weights[t]
-    spark = sized.sparkSession
-    shared = spark.sparkContext.broadcast((matrix, queries))
-    known = spark.createDataFrame(pd.DataFrame({"term": terms, "i": range(len(terms))}), "term string, i int")
-    numbered = sized.select(F.monotonically_increasing_id().alias("row"), F.col(doc_key).alias("key"), "dl", "__t")
-    each = numbered.select("row", "key", "dl", F.explode("__t").alias("term"))
-    each = each.join(F.broadcast(known), "term").select("row", "key", "dl", "i")
-    kind = sized.schema[doc_key].dataType.simpleString()
-
-    def best(rows: np.ndarray, keys: pa.Array, dl: np.ndarray, i: np.ndarray) -> Iterator[pa.RecordBatch]:
-        matrix, queries = shared.value
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
-        cell, tf = np.unique(doc * len(matrix) + i, return_counts=True)
-        d, t = np.divmod(cell, len(matrix))
-        x = np.zeros((len(starts), len(matrix)))
-        x[d, t] = gain(tf, dl[starts][d])
-        score = x @ matrix
-        least = np.partition(score, -k, axis=0)[-k] if len(score) > k else np.zeros(score.shape[1])
-        # slack, as scores are rounded and ties broken later
-        q, at = np.nonzero(((score > 0) & (score >= least - 1e-5)).T)
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array([queries[n] for n in q.tolist()], asked_type), keys.take(pa.array(starts[at])), pa.array(score[at, q])], ["q", "key", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            rows = now["row"].to_numpy()
-            cut = int(np.searchsorted(rows, rows[-1]))  # the last document may go on in the next batch
-            for at in _document_cuts(rows[:cut], 512):
-                part = now.slice(at[0], at[1] - at[0]).combine_chunks()
-                yield from best(part["row"].to_numpy(), part["key"].combine_chunks(), part["dl"].to_numpy(), part["i"].to_numpy())
-            held = now.slice(cut)
-        if held is not None:
-            held = held.combine_chunks()
-            yield from best(held["row"].to_numpy(), held["key"].combine_chunks(), held["dl"].to_numpy(), held["i"].to_numpy())
-
-    asked_type = pa.array(queries[:1]).type
-    return each.mapInArrow(run, f"q {query_type}, key {kind}, score double").toDF(query_key, doc_key, "score")
-
-
-def _document_cuts(rows: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Spans of at most `most` whole documents in sorted row numbers."""
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-    edges = [*starts[::most].tolist(), len(rows)]
-    return list(zip(edges[:-1], edges[1:], strict=True))
-
-
-def _best_documents(docs: DataFrame, asked: DataFrame, weigh, gain, k: int, digits: int, doc_key: str, query_key: str, text: str) -> DataFrame:
-    sized = docs.select(doc_key, tokens(F.col(text)).alias("__t")).withColumn("dl", F.size("__t"))
-    query_type = asked.schema[query_key].dataType.simpleString()
-    parts = []
-    size = asked.agg(F.count("*").alias("rows"), F.count_distinct(query_key).alias("queries")).first()
-    # a block's terms and its queries both shrink with the number of blocks
-    blocks = max(1, math.ceil(size["rows"] / HELD_TERMS), math.ceil(math.sqrt(size["rows"] * size["queries"] / HELD_PLACES)))
-    for block in _query_blocks(asked, query_key, blocks):
-        if len(block):
-            weights, with_corpus = weigh(sized, sorted(set(block["term"])))
-            parts.append(_term_scores(sized, block, weights, gain(*with_corpus), k, doc_key, query_key, query_type))
-    if not parts:
-        return asked.join(docs.select(doc_key), F.lit(False)).select(query_key, doc_key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    scored = reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", digits)).filter("score > 0")
-    return top_k(scored, query_key, k, F.desc("score"), F.asc(doc_key))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """(query, doc, score, rank) of the k best documents per query; equal scores go to the smaller document key.
-
-    Query terms are distinct. queries is a stated query set; its terms are held by the tasks in blocks of counted size.
-    """
-
-    def weigh(sized: DataFrame, terms: list[str]) -> tuple[dict[str, float], tuple[float]]:
-        # one pass: the empty term stands for the document itself, as no token is empty
-        known = sized.sparkSession.createDataFrame(pd.DataFrame({"term": [*terms, ""]}), "term string")
-        each = sized.select("dl", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "__t"))).alias("term")).join(F.broadcast(known), "term")
-        counts = {r["term"]: (r["df"], r["dl"]) for r in each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")).collect()}
-        n, total = counts.pop("", (0, 0))
-        return {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, (df, _) in counts.items()}, (total / n if n else 1.0,)
-
-    def gain(avgdl: float):
-        return lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-
-    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    return _best_documents(docs, asked, weigh, gain, k, digits, doc_key, query_key, text)
-
-
-def shared_terms(docs: DataFrame, queries: DataFrame, k: int = 20, least_chars: int = 1, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text") -> DataFrame:
-    """(query, doc, score, rank) of the k documents per query with most of its distinct terms of least_chars or more characters."""
-    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).filter(F.length("term") >= least_chars)
-    return _best_documents(docs, asked, lambda sized, terms: (dict.fromkeys(terms, 1.0), ()), lambda: lambda tf, dl: np.minimum(tf, 1), k, 0, doc_key, query_key, text)
-
-
 def top_k(scored: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import evaluation as E
+from tessera.operators import lexical as L
 from tessera.operators import retrieval as R
 from tessera.sources import views as V
 
@@ -32,7 +33,7 @@ _BM25 = f"""dt AS (SELECT doc_id, {_TOK} AS t FROM documents), dl AS (SELECT doc
 
 
 def lexical(spark, d):
-    return R.bm25(V.read(spark, d, "documents"), V.read(spark, d, "benchmark"))
+    return L.bm25(V.read(spark, d, "documents"), V.read(spark, d, "benchmark"))
 
 
 @register("r18_bm25", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lex")
@@ -89,7 +90,7 @@ _BRANCHES = f"""{_BM25}, a AS (SELECT item_id AS query_id, doc_id, rank FROM lex
 
 def branches(spark, d):
     a = lexical(spark, d).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
-    b = R.shared_terms(V.read(spark, d, "documents"), V.read(spark, d, "benchmark"), 20, 4)
+    b = L.shared_terms(V.read(spark, d, "documents"), V.read(spark, d, "benchmark"), 20, 4)
     return a, b.select(F.col("item_id").alias("query_id"), "doc_id", "rank")
 
 
