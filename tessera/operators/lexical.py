@@ -21,7 +21,7 @@ from tessera.functions.text import BM25_TOKEN, tokens
 from tessera.sources.scratch import written
 
 #: Documents of a block, tokens at which it is closed before, and query terms of a block of queries: what a task holds at once.
-BLOCK_DOCUMENTS, BLOCK_TOKENS, QUERY_TERMS = 8_192, 4_000_000, 50_000
+BLOCK_DOCUMENTS, BLOCK_TOKENS, QUERY_TERMS = 2_048, 4_000_000, 50_000
 #: Scores are rounded and ties broken later, so what is this close to the k-th score is passed on.
 SLACK = 1e-5
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -21,16 +18,6 @@ def postings(docs: DataFrame, key: str, text: str, pattern: str = BM25_TOKEN) ->
     return docs.select(key, F.posexplode(tokens(F.col(text), pattern)).alias("pos", "term"))
 
 
-#: Numbers of query vectors that a task holds at once; larger query sets are taken in blocks, a pass each.
-HELD_NUMBERS = 4_000_000
-
-
-def _query_blocks(rows: DataFrame, query_key: str, blocks: int) -> Iterator[pd.DataFrame]:
-    """Rows of a query set as so many local frames of about equal size, whole queries together."""
-    for n in range(blocks):
-        yield rows.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).toPandas()
-
-
 def top_k(scored: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
@@ -108,47 +95,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", vector: str = "embedding", digits: int = 6, max_distance: float | None = None) -> DataFrame:
-    """(query, key, distance, rank): exact cosine distance of a stated set of queries to every vector, nearest first, larger key first on ties.
-
-    Queries are taken in blocks of counted size, a pass over the vectors each; a block of vectors meets a block of queries in
-    one matrix product and gives about its k nearest per query. Vectors that are null or of length 0 have no distance.
-    """
-    asked = queries.select(query, vector).filter(F.col(vector).isNotNull())
-    kinds = f"q {asked.schema[query].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, distance double"
-    width = asked.select(F.max(F.size(vector))).first()[0] or 1
-    parts = []
-    for block in _query_blocks(asked, query, max(1, math.ceil(asked.count() * width / HELD_NUMBERS))):
-        if not len(block):
-            continue
-        matrix = np.stack([np.asarray(v, float) for v in block[vector]])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            shared = vectors.sparkSession.sparkContext.broadcast((block[query].to_numpy(), matrix / np.linalg.norm(matrix, axis=1)[:, None]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, unit = shared.value
-            for b in batches:
-                for at in range(0, len(b), 1024):
-                    part = b.iloc[at : at + 1024]
-                    m = np.stack([np.asarray(v, float) for v in part["v"]])
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        distance = 1 - (m @ unit.T) / np.linalg.norm(m, axis=1)[:, None]
-                    ok = np.isfinite(distance)
-                    distance[~ok] = np.inf
-                    # slack, as distances are rounded and ties broken later
-                    most = np.partition(distance, k - 1, axis=0)[k - 1] + 1e-5 if len(part) > k else np.full(len(names), np.inf)
-                    q, row = np.nonzero((ok & (distance <= most)).T)
-                    yield pd.DataFrame({"q": names[q], "key": part["key"].to_numpy()[row], "distance": distance[row, q]})
-
-        parts.append(vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(run, kinds).toDF(query, key, "distance"))
-    if not parts:
-        parts = [vectors.sparkSession.createDataFrame([], kinds).toDF(query, key, "distance")]
-    scored = reduce(DataFrame.unionByName, parts).withColumn("distance", F.round("distance", digits) + 0.0)
-    if max_distance is not None:
-        scored = scored.filter(F.col("distance") <= max_distance)
-    return top_k(scored, query, k, F.asc("distance"), F.desc(key))
-
-
 def valid_vector(vector: Column, dimension: int) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce((F.size(vector) == dimension) & ~bad, F.lit(False))

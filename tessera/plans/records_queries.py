@@ -10,9 +10,10 @@ from tessera.functions import urls as U
 from tessera.operators import catalog as C
 from tessera.operators import evaluation as E
 from tessera.operators import records as R
-from tessera.operators import retrieval
+from tessera.operators import lexical, neighbours, retrieval
 from tessera.plans.retrieval_queries import _BM25
 from tessera.sources import views as V
+from tessera.sources.scratch import written
 from tessera.streaming import folds as S
 
 QUERIES: dict = {}
@@ -101,11 +102,11 @@ def r16_hash_embedding(spark, d):
 def r19_dense_and_lexical(spark, d):
     """Equal-weight fusion of an exact dense run over hash vectors with BM25, for all benchmark items; equal scores by smaller id."""
     docs, items = V.read(spark, d, "documents"), V.read(spark, d, "benchmark")
-    vectors = docs.select("doc_id", R.embedded(F.col("text")).alias("embedding"))
+    vectors = written(docs.select("doc_id", R.embedded(F.col("text")).alias("embedding")), "vectors")
     asked = items.select(F.col("item_id").alias("query_id"), R.embedded(F.col("text")).alias("embedding"))
-    dense = retrieval.knn(vectors, asked, 20, "doc_id").select("query_id", "doc_id", "rank")
-    lexical = retrieval.bm25(docs, items).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
-    return retrieval.fuse([(dense, 1.0), (lexical, 1.0)], "query_id", "doc_id", smaller_first=True)
+    dense = neighbours.knn(vectors, asked, 20, "doc_id").select("query_id", "doc_id", "rank")
+    ranked = lexical.bm25(docs, items).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
+    return retrieval.fuse([(dense, 1.0), (ranked, 1.0)], "query_id", "doc_id", smaller_first=True)
 
 
 #: A stated query set of fixed size for the overlap scorer.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import evaluation as E
 from tessera.operators import lexical as L
+from tessera.operators import neighbours as N
 from tessera.operators import retrieval as R
 from tessera.sources import views as V
 
@@ -48,7 +49,7 @@ _KNN = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE
 
 def nearest(spark, d):
     vectors = V.read(spark, d, "embeddings")
-    return R.knn(vectors, vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20)
+    return N.knn(vectors, vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20)
 
 
 @register("r9_exact_knn", f"WITH {_KNN} SELECT query_id, vec_id, distance, rank FROM nn")

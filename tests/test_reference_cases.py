@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import catalog, evaluation, lifecycle, records, reports, retrieval
+from tessera.operators import catalog, evaluation, lifecycle, records, reports, lexical, neighbours, retrieval
 from tessera.streaming import folds
 
 
@@ -148,24 +148,25 @@ def test_nearest_vectors_in_blocks_of_queries(spark, monkeypatch):
     rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(300)] + [(300, None), (301, [0.0] * 4)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
-    want = {(r.query_id, r.vec_id, r.distance, r["rank"]) for r in retrieval.knn(vectors, asked, 7).collect()}
+    want = {(r.query_id, r.vec_id, r.distance, r["rank"]) for r in neighbours.knn(vectors, asked, 7).collect()}
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
     for q in (0, 100, 200):
         best = sorted(unit, key=lambda i: (round(1 - float(unit[q] @ unit[i]), 6), -i))[:7]
         assert [v for _, v, _, r in sorted((x for x in want if x[0] == q), key=lambda x: x[3])] == best
-    monkeypatch.setattr(retrieval, "HELD_NUMBERS", 4)
-    assert {(r.query_id, r.vec_id, r.distance, r["rank"]) for r in retrieval.knn(vectors, asked, 7).collect()} == want
+    monkeypatch.setattr(neighbours, "HELD_QUERIES", 1)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 5)
+    assert {(r.query_id, r.vec_id, r.distance, r["rank"]) for r in neighbours.knn(vectors, asked, 7).collect()} == want
 
 
 def test_bm25_in_blocks_of_query_terms(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 12))) for i in range(200)] + [(7, "w1 w1 again"), (200, None), (None, "w2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3"), (3, "unheard"), (4, None), (5, "w1 w1 w4 w5")], "item_id long, text string")
-    want = sorted(map(tuple, retrieval.bm25(docs, asked, 9).collect()), key=str)
+    want = sorted(map(tuple, lexical.bm25(docs, asked, 9).collect()), key=str)
     assert {r[0] for r in want} == {1, 2, 5}
-    monkeypatch.setattr(retrieval, "HELD_TERMS", 1)
-    assert sorted(map(tuple, retrieval.bm25(docs, asked, 9).collect()), key=str) == want
-    assert retrieval.bm25(docs, asked.filter("item_id = 4"), 9).collect() == []
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 1)
+    assert sorted(map(tuple, lexical.bm25(docs, asked, 9).collect()), key=str) == want
+    assert lexical.bm25(docs, asked.filter("item_id = 4"), 9).collect() == []
 
 
 def test_providers_are_asked_in_batches(spark):
