@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from tessera.functions import urls as U
 from tessera.operators import catalog as C
 from tessera.operators import evaluation as E
 from tessera.sources import views as V
+from tessera.sources.scratch import shared_folder, written
 from tessera.sources.views import OPTIONS, RESOURCES, VERSIONS
 from tessera.streaming import folds as S
+from tessera.streaming.sink import UpsertSink, in_parts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -274,6 +278,21 @@ def x1_retractions(spark, d):
     return S.retractions(rows, ["l_orderkey", "l_linenumber"], "seq", ["dim"], "amount")
 
 
+@register("x1_stream_upserts", f"WITH o AS ({_ORDERED}), l AS (SELECT l_orderkey, l_linenumber, arg_max(dim, seq) AS dim, arg_max(amount, seq) AS amount FROM o GROUP BY 1, 2), d AS (SELECT DISTINCT dim FROM o) SELECT d.dim, count(l.dim) AS transactions, CAST(coalesce(sum(amount), 0) AS BIGINT) AS amount FROM d LEFT JOIN l ON d.dim = l.dim GROUP BY 1")
+def x1_stream_upserts(spark, d):
+    """The rollup that a stream of the line items leaves behind, read from the table's files in three micro-batches dealt by line."""
+    source = V.read(spark, d, "lineitem")
+    where = f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    order = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern, as one file is no folder
+    rows = stream.select("l_orderkey", "l_linenumber", F.struct(*order).alias("seq"), F.col("l_returnflag").alias("dim"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"))
+    sink = UpsertSink(spark, f"{where}/sink", ["l_orderkey", "l_linenumber"], "seq", ["dim"], "amount", buckets=8)
+    # writes of one line come in several batches
+    write = in_parts(sink.write, 3, ["l_orderkey", "l_linenumber", "seq"])
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return written(sink.rollup(), "rollup")
+
+
 @register("x5_stale", "SELECT user_id, CASE WHEN max(ts) < TIMESTAMP '2024-01-31' - INTERVAL '48' HOUR THEN 'stale' ELSE 'active' END AS status FROM events GROUP BY 1")
 def x5_stale(spark, d):
     seen = V.read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("seen")).withColumn("status", F.lit("active"))
