@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -9,7 +12,9 @@ from tessera.operators import evaluation as E
 from tessera.operators import lexical as L
 from tessera.operators import neighbours as N
 from tessera.operators import retrieval as R
+from tessera.operators.generations import Generations, Identity
 from tessera.sources import views as V
+from tessera.sources.scratch import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +62,25 @@ def r9_exact_knn(spark, d):
     return nearest(spark, d)
 
 
+@register("r25_generations", """WITH v AS (SELECT vec_id AS key, embedding FROM embeddings), g AS (SELECT 1 AS generation, 'retired' AS status, key, embedding AS e FROM v UNION ALL SELECT 2, 'active', key, embedding[1:32] FROM v)
+ SELECT generation, status, key, len(e) AS dimension, round(list_sum(list_transform(e, lambda x: x::DOUBLE)), 6) + 0.0 AS total FROM g""")
+def r25_generations(spark, d):
+    """Vectors of two generations: the first one's by a reader that pinned it before the switch to the second."""
+    g = Generations(spark, f"{shared_folder(spark)}/tessera-generations-{uuid.uuid4().hex}")
+    rows = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.lit("h").alias("source_hash"), "embedding")
+    whole, half = (Identity("table", "given", "1", n) for n in (64, 32))
+    day = datetime(2024, 1, 1)
+    first = g.activate(whole, day)
+    g.store(first.id, rows)
+    pinned = g.state()
+    second = g.create(half)
+    g.store(second.id, rows.withColumn("embedding", F.slice("embedding", 1, 32)))
+    g.activate(half, day + timedelta(days=1))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6) + 0.0
+    of = lambda df, x: df.select(F.lit(x.id).alias("generation"), F.lit(g.get(x.id).status).alias("status"), "key", F.size("embedding").alias("dimension"), total.alias("total"))
+    return of(g.vectors(state=pinned), first).unionByName(of(g.vectors(), second))
+
+
 @register("r5_any_term", f"WITH p AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), q(qid, term) AS (VALUES (1, 'license'), (1, 'public'), (2, 'apache')) SELECT DISTINCT qid, doc_id FROM q JOIN p USING (term)")
 def r5_any_term(spark, d):
     asked = spark.createDataFrame([(1, "license"), (1, "public"), (2, "apache")], "qid int, term string")
