@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import numpy as np
@@ -279,13 +280,31 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules])
 
 
+#: What every declaration has to be, whatever its own schema says; words and names are fixed values.
+DECLARATION = {
+    "type": "object", "required": ["info"],
+    "properties": {
+        "info": {"type": "object", "required": ["input"], "properties": {
+            "input": {"type": "object", "required": ["type"], "properties": {
+                "type": {"enum": ["http", "mcp"]}, "method": {"enum": ["GET", "HEAD", "DELETE", "POST", "PUT", "PATCH"]}, "bodyType": {"enum": ["json", "form-data", "text"]},
+                "toolName": {"type": "string"}, "inputSchema": {"type": "object"},
+            }},
+            "output": {"type": "object"},
+        }},
+        "schema": {"type": "object"},
+    },
+}
+
+
 def extraction(body: Column, limits: dict[str, int]) -> Column:
     """struct(code, dropped) of a candidate's JSON: the first reject code, and optional fields that are dropped without rejecting.
 
-    Codes in order: absent, not_an_object, metadata_too_large, metadata_too_deep, no_input, schema_invalid, schema_too_large, example_too_large,
+    Codes in order: absent, not_an_object, metadata_too_large, metadata_too_deep, spec_invalid, schema_invalid, schema_too_large, example_too_large,
     url_missing, url_malformed, url_scheme, url_credentials, url_private_host, tool_missing. limits: metadata, depth, schema, example (bytes and
-    levels), description, tag and tags. The object is under $.extension, the URL in $.resource.url.
+    levels), description, tag and tags. The object is under $.extension, the URL in $.resource.url. spec_invalid is what DECLARATION does
+    not allow; schema_invalid is an info that the declaration's own schema, if there is one, does not allow, to limits["depth"] levels.
     """
+    from tessera.functions.json_schema import violations
     from tessera.functions.urls import rejection
 
     at = lambda p: F.get_json_object(body, f"$.{p}")
@@ -298,7 +317,7 @@ def extraction(body: Column, limits: dict[str, int]) -> Column:
     url_code = rejection(url)
     rules = [
         ("absent", ext.isNull()), ("not_an_object", ~F.startswith(F.trim(ext), F.lit("{"))), ("metadata_too_large", size(ext, limits["metadata"])), ("metadata_too_deep", depth > limits["depth"]),
-        ("no_input", at("extension.info.input").isNull()), ("schema_invalid", at("extension.schema").isNotNull() & ~F.startswith(F.trim(at("extension.schema")), F.lit("{"))), ("schema_too_large", size(at("extension.schema"), limits["schema"])),
+        ("spec_invalid", F.size(violations(F.lit(json.dumps(DECLARATION)), ext, limits["depth"])) > 0), ("schema_invalid", F.size(violations(at("extension.schema"), at("extension.info"), limits["depth"])) > 0), ("schema_too_large", size(at("extension.schema"), limits["schema"])),
         ("example_too_large", size(at("extension.info.input.example"), limits["example"]) | size(at("extension.info.output.example"), limits["example"])),
         ("url_missing", F.coalesce(url, F.lit("")) == ""), *[(f"url_{c}", url_code == c) for c in ("malformed", "scheme", "credentials", "private_host")],
         ("tool_missing", (kind == "mcp") & at("extension.info.input.toolName").isNull()),

@@ -259,19 +259,22 @@ def d23_cohort_queries(spark, d):
     return P.cohort_queries(rows, "item_id", rename={"price_category": "price"}).select("item_id", "query_id", "query_class", shown.alias("filters"))
 
 
-_CODES = ("absent", "not_an_object", "metadata_too_large", "metadata_too_deep", "no_input", "schema_invalid", "schema_too_large", "example_too_large", "url_missing", "url_malformed", "url_scheme", "url_credentials", "url_private_host", "tool_missing")
+_CODES = ("absent", "not_an_object", "metadata_too_large", "metadata_too_deep", "spec_invalid", "schema_invalid", "schema_too_large", "example_too_large", "url_missing", "url_malformed", "url_scheme", "url_credentials", "url_private_host", "tool_missing")
 
 
-@register("d1_extraction", "SELECT page_id, CASE WHEN page_id % 16 < 14 THEN (" + str(list(_CODES)) + ")[page_id % 16 + 1] END AS code, CASE page_id % 16 WHEN 15 THEN 'routeTemplate,description,mimeType,tags' ELSE '' END AS dropped FROM pages")
+@register("d1_extraction", "SELECT page_id, CASE WHEN page_id % 16 IN (5, 14) THEN CASE WHEN length(url) BETWEEN 24 AND 48 AND substr(url, 1, 5) IN ('https', 'http:') THEN NULL ELSE 'schema_invalid' END WHEN page_id % 16 < 14 THEN (" + str(list(_CODES)) + ")[page_id % 16 + 1] END AS code, CASE page_id % 16 WHEN 15 THEN 'routeTemplate,description,mimeType,tags' ELSE '' END AS dropped FROM pages")
 def d1_extraction(spark, d):
     k = F.col("page_id")
     m = k % 16
     pick = lambda n, bad, good: F.when(m == n, F.lit(bad)).otherwise(F.lit(good))
     url = F.when(m == 8, "").when(m == 9, "nothing like it").when(m == 10, "ftp://h.example/x").when(m == 11, "https://u:p@h.example/x").when(m == 12, "https://127.0.0.1/x").otherwise(F.concat(F.lit("https://h"), k.cast("string"), F.lit(".example/x")))
-    schema = F.when(m == 5, "[1]").when(m == 6, '{"s":"' + "s" * 300 + '"}').otherwise("{}")
+    # the declared schema bounds values of the table: the length of its URL, and how it starts
+    bounds = '{"required":["input"],"properties":{"input":{"required":["n"],"properties":{"n":{"type":"integer","minimum":24,"maximum":48},"parts":{"items":{"enum":["https","http:"]}}}}}}'
+    values = F.when(m.isin(5, 14), F.concat(F.lit(',"n":'), F.length("url").cast("string"), F.lit(',"parts":['), F.lit('"'), F.substring("url", 1, 5), F.lit('"'), F.lit("]"))).otherwise("")
+    schema = F.when(m.isin(5, 14), bounds).when(m == 6, '{"s":"' + "s" * 300 + '"}').otherwise("{}")
     example = F.when(m == 7, '"' + "e" * 120 + '"').otherwise('"e"')
     kind = F.when(m == 13, '"type":"mcp"').otherwise('"type":"http"')
-    info = F.when(m == 4, '"info":{}').otherwise(F.concat(F.lit('"info":{"input":{'), kind, F.lit(',"example":'), example, F.lit("}}")))
+    info = F.when(m == 4, '"info":{}').otherwise(F.concat(F.lit('"info":{"input":{'), kind, F.lit(',"example":'), example, values, F.lit("}}")))
     pad = F.concat(F.lit('"pad":"'), pick(2, "p" * 900, "p"), F.lit('","deep":'), pick(3, "[" * 12 + "]" * 12, "[]"))
     ext = F.when(m == 1, "[]").otherwise(F.concat(F.lit("{"), info, F.lit(',"schema":'), schema, F.lit(","), pad, F.when(m == 15, ',"routeTemplate":"/a/../b"').otherwise(',"routeTemplate":"/a/:id"'), F.lit("}")))
     soft = F.when(m == 15, ',"description":"  ","mimeType":"x","tags":"no list"').otherwise(',"description":"d","mimeType":"a/b","tags":["t"]')
