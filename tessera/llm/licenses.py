@@ -1,8 +1,10 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
 
-Units are lines and blocks of lines. A multinomial logistic regression over hashed words and word pairs names a family or
-`unknown`; its probabilities are calibrated by a temperature and a bound fitted on examples it was not trained on. A named
-family counts only if the unit also shares enough word pairs with one of the family's templates.
+Units are lines, blocks of lines, and windows of words of several sizes over every block, so that a notice is found wherever it
+stands in a line or paragraph. A multinomial logistic regression over hashed words and word pairs names a family or `unknown`;
+its probabilities are calibrated by a temperature and a bound fitted on examples it was not trained on. A named family counts
+only if the unit also shares enough word pairs with one of the family's templates; of units that overlap, the one nearest to
+its template counts.
 """
 
 from __future__ import annotations
@@ -96,8 +98,10 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 UNKNOWN = "unknown"
-#: Buckets of hashed words and pairs; words of a block that is a unit besides its lines.
-BUCKETS, BLOCK_WORDS = 1 << 16, 250
+#: Buckets of hashed words and pairs.
+BUCKETS = 1 << 16
+#: Words of the windows: each size is about a quarter over the one before, from the shortest sentence of a template to beyond the longest.
+WINDOWS = (5, 6, 7, 9, 11, 14, 18, 23, 29, 36, 45, 56)
 #: Least share of a template's pairs in the unit, or of the unit's pairs in a template.
 CONFIRM = 0.6
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -245,23 +249,25 @@ def train(seed: int = 3, per_template: int = 36, unknown: int = 2400, epochs: in
     return c
 
 
-def confirmation(unit: np.ndarray, templates: list[set[int]]) -> float:
-    """Largest share of a template's word pairs in the unit or, for units of five words or more, of the unit's in a template."""
+def confirmation(unit: np.ndarray, templates: list[set[int]]) -> tuple[float, float]:
+    """Largest share of a template's word pairs in the unit or, for units of five words or more, of the unit's in a template; and
+    the largest share of common pairs in those of both."""
     own = _pairs(unit)
-    best = 0.0
+    best = near = 0.0
     for t in templates:
         both = len(own & t)
         best = max(best, both / len(t), both / len(own) if len(own) >= 4 else 0.0)
-    return best
+        near = max(near, both / (len(own) + len(t) - both))
+    return best, near
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: Classifier | None = None) -> DataFrame:
     """(key, families, n_units, spans) per row of docs: the sorted families found, the number of units that name one, and
-    (family, start, stop, probability, confirmation) of each, in characters of the whole text.
+    (family, start, stop, probability, confirmation, source) of each, in characters of the whole text.
 
-    A block that names a family counts only where none of its lines does; a long block is covered by overlapping windows of its
-    lines. SPDX identifiers are confirmed by how they start, and each names a family whatever the classifier says. Null, empty and blank texts have none. Repeated rows
-    give equal results. Only key and text are read.
+    source is paragraph for what the classifier names and the templates confirm, and identifier for SPDX lines, which are read by
+    how their identifiers start and are listed apart with a confirmation of 1. Lines and blocks may be of any length. Null, empty
+    and blank texts have none. Repeated rows give equal results. Only key and text are read.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier or train())
@@ -271,15 +277,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", classifier: C
         c, memo = shared.value, _Memo()
         lead = c.lead()
         templates = {f: [_pairs(_hashes(memo, t.encode().lower().split())) for t in ts] for f, ts in TEMPLATES.items()}
+        known = np.array(sorted(set().union(*(t for ts in templates.values() for t in ts))), np.uint64)
         for b in batches:
             rows = []
             for t in b["t"]:
                 raw = (t or "").encode("utf-8", "replace")
-                rows.append(_scan_one(raw, c, lead, memo, templates))
+                rows.append(_scan_one(raw, c, lead, memo, templates, known))
             out = pd.DataFrame({"k": b["k"], "families": [sorted({s["family"] for s in r}) for r in rows], "n": [len(r) for r in rows], "spans": rows})
             yield out.astype({"families": object, "spans": object})
 
-    schema = f"k {kind}, families array<string>, n long, spans array<struct<family: string, start: long, stop: long, probability: double, confirmation: double>>"
+    schema = f"k {kind}, families array<string>, n long, spans array<struct<family: string, start: long, stop: long, probability: double, confirmation: double, source: string>>"
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
     return found.select(F.col("k").alias(key), "families", F.col("n").alias("n_units"), "spans")
 
@@ -301,20 +308,16 @@ def spdx_families(line: bytes) -> list[str]:
     return sorted({_STARTS[max(f, key=len)] for f in fits if f})
 
 
-def _windows(at: np.ndarray, i: int, j: int) -> Iterator[tuple[int, int, int, int]]:
-    """Windows of lines that cover the block of lines i to j, of several sizes in words, each half over the one before."""
-    for words in (BLOCK_WORDS // 8, BLOCK_WORDS // 4, BLOCK_WORDS // 2, BLOCK_WORDS):
-        lo = i
-        while lo < j:
-            hi = min(j, max(lo + 1, int(np.searchsorted(at, at[lo] + words, "right")) - 1))
-            if hi - lo > 1 and at[hi] > at[lo]:
-                yield at[lo], at[hi], lo, hi
-            if hi == j:
-                break
-            lo = min(hi, max(lo + 1, int(np.searchsorted(at, at[lo] + words // 2, "right")) - 1))
+def _windows(a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows (from, to) of a block of words: of every size that is less than the block, a sixth of it apart, the last at its end."""
+    for size in WINDOWS:
+        if size >= z - a:
+            break
+        start = np.r_[np.arange(a, z - size, max(1, size // 6)), z - size]
+        yield start, start + size
 
 
-def _scan_one(raw: bytes, c: Classifier, lead: tuple[np.ndarray, float], memo: _Memo, templates: dict[str, list[set[int]]]) -> list[dict]:
+def _scan_one(raw: bytes, c: Classifier, lead: tuple[np.ndarray, float], memo: _Memo, templates: dict[str, list[set[int]]], known: np.ndarray) -> list[dict]:
     lines = raw.split(b"\n")
     hashed = [_hashes(memo, x.lower().split()) if x else np.zeros(0, np.uint64) for x in lines]
     size = np.array([len(h) for h in hashed])
@@ -322,40 +325,51 @@ def _scan_one(raw: bytes, c: Classifier, lead: tuple[np.ndarray, float], memo: _
         return []
     words = np.concatenate(hashed)
     at = np.r_[0, np.cumsum(size)]
-    units = [(at[i], at[i + 1], i, i + 1) for i in np.flatnonzero(size)]
-    full = np.flatnonzero(np.diff(np.r_[0, [bool(re.search(rb"\S", x)) for x in lines], 0]))
-    for i, j in zip(full[::2].tolist(), full[1::2].tolist(), strict=True):
-        if at[j] - at[i] > BLOCK_WORDS:
-            units += dict.fromkeys(_windows(at, i, j))
-        elif j - i > 1 and at[j] > at[i]:
-            units.append((at[i], at[j], i, j))
+    # a unit that is confirmed has a word pair of some template
+    pairs = words[:-1] * _MUL + words[1:]
+    near = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
     named = {i: f for i, x in enumerate(lines) if b":" in x and (f := spdx_families(x))}
+    if not near.any() and not named:
+        return []
+    full = np.flatnonzero(np.diff(np.r_[0, [bool(x.strip()) for x in lines], 0]))
+    blocks = [(at[i], at[j]) for i, j in zip(full[::2].tolist(), full[1::2].tolist(), strict=True) if at[j] > at[i]]
+    found = [(at[:-1][size > 0], at[1:][size > 0]), tuple(np.array(blocks).T), *(w for b in blocks for w in _windows(*b))]
+    a, z = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+    hits = np.r_[0, np.cumsum(near), near.sum()]
+    some = hits[z - 1] > hits[a]
+    a, z = a[some], z[some]
     # units that cannot be anything but unknown go by a bound, which needs one running sum instead of one for each family
     one, two = _features(words)
-    gain, bias = np.r_[0, np.cumsum(lead[0][one])], lead[1]
-    pair = np.r_[0, np.cumsum(lead[0][two])]
-    spans = np.array([u[:2] for u in units])
-    a, z = spans.T
-    most = (gain[z] - gain[a] + pair[z - 1] - pair[a]) / np.sqrt(2 * (z - a) - 1) + bias
-    units = [u for u, m in zip(units, most.tolist(), strict=True) if m > -1e-6 or (u[3] - u[2] == 1 and u[2] in named)]
-    if not units:
+    gain, pair = np.r_[0, np.cumsum(lead[0][one])], np.r_[0, np.cumsum(lead[0][two])]
+    most = (gain[z] - gain[a] + pair[z - 1] - pair[a]) / np.sqrt(2 * (z - a) - 1) + lead[1]
+    spans = np.unique(np.c_[a, z][most > -1e-6], axis=0)
+    lines_named = np.array([(at[i], at[i + 1]) for i in named]).reshape(-1, 2)
+    if not len(spans) and not len(lines_named):
         return []
-    p = c.probabilities(words, np.array([u[:2] for u in units]))
+    p = c.probabilities(words, np.concatenate([lines_named, spans]).astype(int))
+    bounds = [m.span() for m in re.finditer(rb"\S+", raw) if memo[m[0].lower()]]
+    taken = np.zeros(len(words), bool)
+    out: list[dict] = []
+
+    def add(family: str, i: int, j: int, probability: float, confirmed: float, source: str) -> None:
+        taken[i:j] = True
+        start, stop = bounds[i][0], bounds[j - 1][1]
+        first = len(raw[:start].decode("utf-8", "replace"))
+        out.append({"family": family, "start": first, "stop": first + len(raw[start:stop].decode("utf-8", "replace")), "probability": float(probability), "confirmation": float(confirmed), "source": source})
+
+    for k, (i, fs) in enumerate(named.items()):
+        for f in fs:
+            add(f, int(at[i]), int(at[i + 1]), p[k, c.families.index(f)], 1.0, "identifier")
+    p = p[len(lines_named) :]
     best = p[:, :-1].argmax(axis=1)
     sure = p[np.arange(len(p)), best]
-    out: list[dict] = []
-    taken: set[int] = set(named)
-    for k, (_, _, i, j) in enumerate(units):
-        if j - i == 1 and i in named:
-            start = len(raw[: sum(len(x) + 1 for x in lines[:i])].decode())
-            out += [{"family": f, "start": start, "stop": start + len(lines[i].decode()), "probability": float(p[k, c.families.index(f)]), "confirmation": 1.0} for f in named[i]]
-    for k in np.flatnonzero((sure >= c.bound) & (p.argmax(axis=1) != p.shape[1] - 1)):
-        a, z, i, j = units[k]
-        family = c.families[best[k]]
-        if taken & set(range(i, j)):
-            continue
-        if (confirmed := confirmation(words[a:z], templates[family])) >= CONFIRM:
-            taken |= set(range(i, j))
-            start = len(raw[: sum(len(x) + 1 for x in lines[:i])].decode())
-            out.append({"family": family, "start": start, "stop": start + len(b"\n".join(lines[i:j]).decode()), "probability": float(sure[k]), "confirmation": float(confirmed)})
-    return sorted(out, key=lambda s: s["start"])
+    likely = []
+    for k in np.flatnonzero((sure >= c.bound) & (p.argmax(axis=1) != p.shape[1] - 1)).tolist():
+        i, j = spans[k].tolist()
+        confirmed, close = confirmation(words[i:j], templates[c.families[best[k]]])
+        if confirmed >= CONFIRM:
+            likely.append((-close, -confirmed, i, j, k))
+    for _, confirmed, i, j, k in sorted(likely):
+        if not taken[i:j].any():
+            add(c.families[best[k]], i, j, sure[k], -confirmed, "paragraph")
+    return sorted(out, key=lambda s: (s["start"], s["family"]))
