@@ -12,64 +12,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.json_schema import kind
 from tessera.functions.text import ATOMIC_TOKEN, WORD_TOKEN, seeded, tokens
 
 
-def flatten_json(value, depth: int = 8, most: int = 50) -> list[str]:
-    """`path: value` lines of a JSON value in key order, at most `depth` levels and `most` lines."""
-    out: list[str] = []
+_NODES = "array<struct<order:array<struct<place:int,name:string>>,path:string,v:variant>>"
 
-    def walk(x, path: str, left: int) -> None:
-        if len(out) >= most or left < 0:
-            return
-        if isinstance(x, dict):
-            for k in sorted(x):
-                walk(x[k], f"{path}.{k}" if path else k, left - 1)
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                walk(v, f"{path}[{i}]", left - 1)
-        elif x is not None:
-            out.append(f"{path}: {str(x).lower() if isinstance(x, bool) else x}")
 
-    walk(value, "", depth)
-    return out
+def _json_levels(text: Column, depth: int, start, collect, finish) -> Column:
+    """A walk over a JSON text, a level of nesting at a time, in built-in functions: collect(state, nodes) at each of `depth` + 1 levels,
+    then finish(state, nodes) with the nodes that lie deeper. A node knows its path and its place in the order of keys; its last
+    name is its key, null for items and for the top."""
+    v = F.try_parse_json(text)
+    root = F.array(F.struct(F.array().cast("array<struct<place:int,name:string>>").alias("order"), F.lit("").alias("path"), v.alias("v"))).cast(_NODES)
+    first = F.struct(F.when(v.isNotNull(), root).otherwise(F.array().cast(_NODES)).alias("now"), start.alias("found"))
 
+    def below(n: Column) -> Column:
+        what = kind(n["v"])
+        members = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
+        node = lambda place, name, path, x: F.struct(F.concat(n["order"], F.array(F.struct(place.alias("place"), name.alias("name")))).alias("order"), path.alias("path"), x.alias("v"))
+        by_name = F.transform(members, lambda e: node(F.lit(0), e["key"], F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])), e["value"]))
+        by_place = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda x, i: node(i, F.lit(None).cast("string"), F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), x))
+        return F.coalesce(F.when(what == "object", by_name.cast(_NODES)), F.when(what == "array", by_place.cast(_NODES)), F.array().cast(_NODES))
 
-def flattened(text: Column) -> Column:
-    """flatten_json of a JSON text; null and malformed texts give an empty array."""
+    def level(state: Column, _: Column) -> Column:
+        return F.struct(F.flatten(F.transform(state["now"], below)).alias("now"), collect(state["found"], state["now"]).alias("found"))
 
-    @F.pandas_udf("array<string>")
-    def lines(s: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return flatten_json(json.loads(t)) if t else []
-            except ValueError:
-                return []
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), first, level, lambda state: finish(state["found"], state["now"]))
 
-        return pd.Series([one(t) for t in s], dtype=object)
 
-    return lines(text)
+def _shown(v: Column) -> Column:
+    """A value as a text: whole numbers without a point, however they are written."""
+    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+    whole = (kind(v) == "number") & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, F.try_variant_get(v, "$", "decimal(38,0)").cast("string")).otherwise(text)
 
 
-def forbidden_keys(text: Column, names: set[str]) -> Column:
-    """Keys of a JSON text, at any depth, that are among names; sorted. Null and malformed texts have none."""
+def flattened(text: Column, depth: int = 8, most: int = 50) -> Column:
+    """`path: value` lines of a JSON text in key order, at most `depth` levels below the top and `most` lines; nulls have none. Null and
+    malformed texts, and those with a repeated key, give an empty array."""
+    lines = "array<struct<order:array<struct<place:int,name:string>>,line:string>>"
 
-    @F.pandas_udf("array<string>")
-    def found(s: pd.Series) -> pd.Series:
-        def keys(x) -> set[str]:
-            if isinstance(x, dict):
-                return set(x) | set().union(*map(keys, x.values())) if x else set()
-            return set().union(*map(keys, x)) if isinstance(x, list) and x else set()
+    def collect(found: Column, nodes: Column) -> Column:
+        leaves = F.filter(nodes, lambda n: ~kind(n["v"]).isin("object", "array", "null"))
+        return F.concat(found, F.transform(leaves, lambda n: F.struct(n["order"].alias("order"), F.concat(n["path"], F.lit(": "), _shown(n["v"])).alias("line"))).cast(lines))
 
-        def one(t) -> list[str]:
-            try:
-                return sorted(keys(json.loads(t)) & names) if t else []
-            except ValueError:
-                return []
+    return F.slice(_json_levels(text, depth, F.array().cast(lines), collect, lambda found, _: F.transform(F.array_sort(found), lambda x: x["line"])), 1, most)
 
-        return pd.Series([one(t) for t in s], dtype=object)
 
-    return found(text)
+def forbidden_keys(text: Column, names: set[str], depth: int = 64) -> Column:
+    """Keys of a JSON text, at any depth, that are among names; sorted. Null and malformed texts, and those with a repeated key, have
+    none; a text that is nested deeper than `depth` has the entry `(deeper)` besides, as it is not known to be clean."""
+    wanted = F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
+
+    def collect(found: Column, nodes: Column) -> Column:
+        keys = F.transform(nodes, lambda n: F.get(n["order"], F.size(n["order"]) - 1)["name"])
+        return F.array_union(found, F.array_intersect(keys, wanted))
+
+    deeper = lambda found, nodes: F.array_sort(F.when(F.size(nodes) > 0, F.array_union(found, F.array(F.lit("(deeper)")))).otherwise(found))
+    return _json_levels(text, depth, F.array().cast("array<string>"), collect, deeper)
 
 
 def compile_document(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:

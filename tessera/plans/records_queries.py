@@ -174,6 +174,20 @@ def d5_flattened(spark, d):
     return V.read(spark, d, "events").select("event_id", R.flattened(F.col("props")).alias("lines"))
 
 
+@register("d5_nested", """SELECT l_orderkey, l_linenumber, l_partkey, ['deep.list[0].q: ' || CAST(l_quantity AS BIGINT), 'deep.list[1]: ' || l_returnflag, 'deep.zero: false', 'flag: true', 'part: ' || l_partkey] AS lines FROM lineitem""")
+def d5_nested(spark, d):
+    items = F.concat(F.lit('{"part":'), F.col("l_partkey").cast("string"), F.lit(',"none":null,"empty":{},"flag":true,"deep":{"zero":false,"list":[{"q":'), F.col("l_quantity").cast("double").cast("string"), F.lit('},"'), "l_returnflag", F.lit('",[]]}}'))
+    return V.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R.flattened(items).alias("lines"))
+
+
+@register("d19_forbidden_keys", """SELECT event_id, list_sort(list_distinct(list_filter([event_type, CASE WHEN event_id % 3 = 0 THEN 'payTo' END, CASE WHEN event_id % 5 = 0 THEN 'label' END], lambda x: x IN ('click', 'payTo', 'label')))) AS keys FROM events""")
+def d19_forbidden_keys(spark, d):
+    k = F.col("event_id")
+    inner = F.when(k % 3 == 0, '"payTo"').otherwise('"other"')
+    text = F.concat(F.lit('{"a":[{"'), "event_type", F.lit('":{'), inner, F.lit(':"label"}}],"b":["click",{'), F.when(k % 5 == 0, '"label":[]').otherwise('"labels":0'), F.lit("}]}"))
+    return V.read(spark, d, "events").select("event_id", R.forbidden_keys(text, {"click", "payTo", "label"}).alias("keys"))
+
+
 @register("d8_probes", "SELECT l.doc_id, CASE WHEN l.toxic = 1 OR e.label = 0 THEN 'unsafe' WHEN e.label IS NULL THEN 'active' ELSE 'probed' END AS status FROM labels l LEFT JOIN embeddings e ON vec_id = doc_id")
 def d8_probes(spark, d):
     recs = V.read(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "unsafe").otherwise("active").alias("status"))

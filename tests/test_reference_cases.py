@@ -175,3 +175,14 @@ def test_providers_are_asked_in_batches(spark):
     assert {r.id: r.embedding for r in vectors.collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: None}
     scored = retrieval.rerank_with(df, "q", "d", lambda pairs: [float(len(a) - len(b)) for a, b in pairs])
     assert {r.id: r.score for r in scored.collect()} == {1: 1.0, 2: -3.0, 3: 0.0}
+
+
+def test_json_walks(spark):
+    deep = "[" * 70 + "1" + "]" * 70
+    texts = ['{"b":[{"c":1},[2.0,"x"]],"a":{"z":1.5,"y":null,"ä":1e3,"e":{}},"n":-0.25}', '"top"', "7", "[]", "null", "", None, '{"a":1,"a":2}', '{"":{"":5}}', deep, "[" + ",".join(["1"] * 60) + "]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.f for r in df.select("i", records.flattened(F.col("t")).alias("f")).collect()}
+    assert got[0] == ["a.z: 1.5", "a.ä: 1000", "b[0].c: 1", "b[1][0]: 2", "b[1][1]: x", "n: -0.25"]
+    assert [got[i] for i in range(1, 9)] == [[": top"], [": 7"], [], [], [], [], [], [": 5"]] and got[9] == [] and got[10] == [f"[{i}]: 1" for i in range(50)]
+    found = {r.i: r.f for r in df.select("i", records.forbidden_keys(F.col("t"), {"c", "ä", "", "x", "top"}).alias("f")).collect()}
+    assert found[0] == ["c", "ä"] and found[8] == [""] and found[9] == ["(deeper)"] and [found[i] for i in (1, 2, 3, 4, 5, 6, 7, 10)] == [[]] * 8
