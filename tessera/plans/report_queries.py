@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import audit
 from tessera.operators import catalog as C
 from tessera.operators import evaluation as E
 from tessera.operators import records as R
@@ -147,6 +148,76 @@ def e13_checks(spark, d):
     return P.verdicts(facts, limits).withColumn("value", F.round("value", 4))
 
 
+_SIDECARS = """s AS (SELECT p_partkey AS id, p_brand AS provider, p_partkey % 5 <> 0 AS is_distractor, CASE WHEN p_size % 7 = 0 AND (p_partkey % 5 = 0 OR p_partkey % 400 = 1) THEN 'mcp' ELSE 'http' END AS resource_type, split_part(p_name, ' ', 2) AS family, p_brand AS slot, p_size % 10 AS price_tier, CASE p_partkey % 3 WHEN 0 THEN 'testnet_only' WHEN 1 THEN 'pubnet_only' ELSE 'both' END AS network,
+ CASE WHEN p_size % 10 < 7 THEN 'exact_only' WHEN p_size % 10 < 9 THEN 'exact_and_upto' ELSE 'upto_only' END AS scheme_set, p_size % 6 = 0 AS adversarial, p_type = 'SMALL' AS sparse FROM part WHERE p_partkey % 97 <> 0),
+ c AS (SELECT p_partkey AS id, p_partkey % 200 = 3 AS upto, p_size <> 13 AS agrees FROM part WHERE p_partkey % 89 <> 0)"""
+_AUDIT_POLICY = {"providers": 25, "families": 8, "slot_share": 0.06, "upto_price_tier_share": 0.5}
+
+
+def _audit_sql() -> str:
+    """The checks and associations of e13_distribution_audit, each from the rows of its own."""
+    n = lambda x, where="true": f"(SELECT {x} FROM s WHERE {where})"
+    lab = "NOT is_distractor"
+    group = {"mcp": f"{lab} AND resource_type = 'mcp'", "upto": f"{lab} AND scheme_set <> 'exact_only'", "adversarial": f"{lab} AND adversarial", "sparse": f"{lab} AND sparse"}
+    count, fixed = lambda w: n("count(*)", w), lambda x: f"printf('%.6f', {x}::DOUBLE)"
+    most = lambda a, w: f"(SELECT max(k) FROM (SELECT count(*) AS k FROM s WHERE {w} GROUP BY {a}))"
+    tiers, families = lambda w: n("count(DISTINCT price_tier)", w), lambda w: n("count(DISTINCT family)", w)
+    share = lambda w, v, a="network": f"({count(f'{w} AND {a} = {chr(39)}{v}{chr(39)}')} / {count(w)})"
+    drift = {g: "greatest(" + ", ".join(f"abs({share(w, v)} - {share(lab, v)})" for v in ("testnet_only", "pubnet_only", "both")) + ")" for g, w in group.items()}
+    errors = "(SELECT count(*) FROM s FULL JOIN c USING (id) WHERE s.provider IS NULL OR c.agrees IS NULL OR NOT c.agrees)"
+    up = "(SELECT count(*) FROM s JOIN c USING (id) WHERE is_distractor AND upto)"
+    upto, mcp_upto = f"({count(group['upto'])} / {count(lab)})", f"({count(group['mcp'] + f' AND scheme_set <> {chr(39)}exact_only{chr(39)}')} / {count(group['mcp'])})"
+    text = lambda x: f"({x})::VARCHAR"
+    is_ = lambda a, v: f"{lab} AND {a} = '{v}'"
+    p = audit.POLICY | _AUDIT_POLICY
+    rows = {
+        "corpus-counts": (f"(SELECT count(*) FROM c) = 500 AND {count('true')} = 500 AND {count(lab)} = 100 AND {count('is_distractor')} = 400", f"'catalog=' || (SELECT count(*) FROM c) || ', sidecars=' || {count('true')} || ', labeled=' || {count(lab)} || ', distractors=' || {count('is_distractor')}"),
+        "provider-count": (f"{n('count(DISTINCT provider)')} = 25", f"{n('count(DISTINCT provider)')} || '/25'"), "catalog-sidecar-wire": (f"{errors} = 0", f"{errors} || ' error(s)'"), "distractor-scheme-budget": (f"{up} <= 4", f"{up} || '/' || {count('is_distractor')}"),
+        "distractor-resource-type-target": (f"{count(f'is_distractor AND resource_type = {chr(39)}mcp{chr(39)}')} = 0", f"'http=' || {count(f'is_distractor AND resource_type = {chr(39)}http{chr(39)}')} || ', mcp=' || {count(f'is_distractor AND resource_type = {chr(39)}mcp{chr(39)}')}"),
+        "resource-type-target": (f"{count(is_('resource_type', 'http'))} = 85 AND {count(group['mcp'])} = 15", f"'http=' || {count(is_('resource_type', 'http'))} || ', mcp=' || {count(group['mcp'])}"),
+        "scheme-target": (f"{count(is_('scheme_set', 'exact_only'))} = 70 AND {count(is_('scheme_set', 'exact_and_upto'))} = 22 AND {count(is_('scheme_set', 'upto_only'))} = 8", f"'exact_only=' || {count(is_('scheme_set', 'exact_only'))} || ', exact_and_upto=' || {count(is_('scheme_set', 'exact_and_upto'))} || ', upto_only=' || {count(is_('scheme_set', 'upto_only'))}"),
+        "adversarial-target": (f"{count(group['adversarial'])} = 15", text(count(group["adversarial"]))), "sparse-target": (f"{count(group['sparse'])} = 10", text(count(group["sparse"]))),
+        "upto-family-spread": (f"{families(group['upto'])} = 8", f"{families(group['upto'])} || '/8'"), "upto-price-spread": (f"{tiers(group['upto'])} >= 8", text(tiers(group["upto"]))), "upto-http-method-spread": ("m", "m"), "upto-resource-type-spread": ("t", "t"),
+        "mcp-upto-share": (f"abs({mcp_upto} - {upto}) <= 0.05", f"'overall=' || {fixed(upto)} || ', mcp=' || {fixed(mcp_upto)} || ', drift=' || {fixed(f'abs({mcp_upto} - {upto})')}"), "mcp-family-spread": (f"{families(group['mcp'])} >= 8", f"{families(group['mcp'])} || '/8'"),
+        "upto-price-concentration": (f"{most('price_tier', group['upto'])} / {count(group['upto'])} <= 0.5", fixed(f"{most('price_tier', group['upto'])} / {count(group['upto'])}")),
+    }
+    for i, a, vs in (("upto-http-method-spread", "input_method", ("GET", "POST")), ("upto-resource-type-spread", "resource_type", ("http", "mcp"))):
+        here = [f"{count(group['upto'] + f' AND {a} = {chr(39)}{v}{chr(39)}')} > 0" for v in vs]
+        rows[i] = (" AND ".join(here), "coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {h} THEN '{v}' END" for h, v in zip(here, vs, strict=True)) + "), ''), 'none')")
+    for g, w in group.items():
+        rows[f"{g}-network-drift"] = (f"{drift[g]} <= 0.15", fixed(drift[g]))
+        slot = f"{most('slot', w)} / {count(w)}"
+        rows[f"{g}-slot-concentration"] = (f"{slot} <= 0.06", fixed(slot))
+        if g != "upto":
+            rows[f"{g}-price-spread"] = (f"{tiers(w)} >= {p[f'{g}_min_price_tiers']}", text(tiers(w)))
+            rows[f"{g}-price-concentration"] = (f"{most('price_tier', w)} <= 2", text(most("price_tier", w)))
+    parts = [f"SELECT '{i}' AS id, {seen} AS observed, {ok} AS passed" for i, (ok, seen) in rows.items()]
+    left = {"upto": "scheme_set <> 'exact_only'", "mcp": "resource_type", "network": "network"}
+    right = {"family": "family", "price-tier": "price_tier", "input-method": "input_method"}
+    for i in audit.ASSOCIATIONS:
+        a, b = i.split("-", 1)
+        v = f"(WITH t AS (SELECT {left[a]} AS x, {right[b]} AS y, count(*) AS o FROM s WHERE {lab} GROUP BY 1, 2), e AS (SELECT a.x, b.y, a.k * b.k / (SELECT sum(o) FROM t) AS e FROM (SELECT x, sum(o) AS k FROM t GROUP BY 1) a, (SELECT y, sum(o) AS k FROM t GROUP BY 1) b) SELECT sqrt(sum((coalesce(o, 0) - e) ** 2 / e) / ((SELECT sum(o) FROM t) * (SELECT least(count(DISTINCT x), count(DISTINCT y)) - 1 FROM t))) FROM e LEFT JOIN t ON e.x = t.x AND e.y = t.y)"
+        parts.append(f"SELECT '{i}', {fixed(v)}, {v} <= 0.30")
+    return f"WITH {_SIDECARS.replace('END AS resource_type,', 'END AS resource_type, ' + _METHOD + ' AS input_method,')} " + " UNION ALL ".join(parts)
+
+
+_METHOD = "CASE WHEN p_size % 7 = 0 AND (p_partkey % 5 = 0 OR p_partkey % 400 = 1) THEN 'not_applicable' WHEN p_partkey % 2 = 0 THEN 'GET' ELSE 'POST' END"
+
+
+@register("e13_distribution_audit", _audit_sql())
+def e13_distribution_audit(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    part = V.read(spark, d, "part")
+    mcp = (size % 7 == 0) & ((k % 5 == 0) | (k % 400 == 1))
+    sidecars = part.filter(k % 97 != 0).select(
+        k.alias("id"), F.col("p_brand").alias("provider"), (k % 5 != 0).alias("is_distractor"), F.when(mcp, "mcp").otherwise("http").alias("resource_type"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("family"), F.col("p_brand").alias("slot"), (size % 10).alias("price_tier"),
+        F.when(mcp, "not_applicable").when(k % 2 == 0, "GET").otherwise("POST").alias("input_method"), F.when(k % 3 == 0, "testnet_only").when(k % 3 == 1, "pubnet_only").otherwise("both").alias("network"),
+        F.when(size % 10 < 7, "exact_only").when(size % 10 < 9, "exact_and_upto").otherwise("upto_only").alias("scheme_set"), (size % 6 == 0).alias("adversarial"), (F.col("p_type") == "SMALL").alias("sparse"),
+    )
+    catalog = part.filter(k % 89 != 0).select(k.alias("id"), (k % 200 == 3).alias("upto"), (size != 13).alias("agrees"))
+    return audit.distribution_audit(sidecars, catalog, _AUDIT_POLICY)
+
+
 @register("e14_gates", """WITH p AS (SELECT o_orderstatus AS s, avg(o_totalprice) AS ndcg, avg(o_custkey) AS recall, max(o_totalprice) / 1000 AS p95 FROM orders GROUP BY 1), l AS (SELECT * FROM p WHERE s = 'F'), h AS (SELECT * FROM p WHERE s = 'O'), r AS (SELECT * FROM p WHERE s = 'P')
  SELECT unnest(['hard_violations_zero', 'soft_violations_zero', 'fallbacks_zero', 'hybrid_beats_lexical_ndcg', 'hybrid_beats_lexical_recall', 'reranker_executed', 'reranker_matches_hybrid_ndcg', 'reranker_matches_hybrid_recall', 'hybrid_no_result_accuracy_perfect', 'reranked_no_result_accuracy_perfect', 'hybrid_top1_rate_zero', 'reranked_top1_rate_zero', 'hybrid_p95_within_limit', 'reranked_p95_within_limit', 'queries_curated', 'calibration_passed', 'index_complete']) AS gate,
  unnest([TRUE, FALSE, TRUE, h.ndcg > l.ndcg, h.recall > l.recall, TRUE, r.ndcg >= h.ndcg, r.recall >= h.recall, TRUE, TRUE, TRUE, TRUE, h.p95 <= 1e9, r.p95 <= 1, TRUE, FALSE, TRUE]) AS passed FROM l, h, r""")
