@@ -6,7 +6,11 @@ import base64
 import hashlib
 import hmac
 import json
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +57,45 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+#: Stores that tasks open as streams themselves; files of others are read by Spark as a whole, up to its 2 GB a value.
+STREAMED = ("file", "hdfs", "s3", "gs")
+#: Bytes of a file that a task holds.
+PIECE = 8 << 20
+
+
+def opened(name: str):
+    """A file as a stream; name is as Spark lists it, without escapes."""
+    if name.startswith("file:"):
+        return open("/" + name.removeprefix("file:").lstrip("/"), "rb")
+    store, inner = fs.FileSystem.from_uri(quote(name, safe=":/"))
+    return store.open_input_stream(inner)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file; contents are hashed where they are read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of every file below a path; Spark lists no empty ones.
+
+    Spark lists the files and deals them to tasks; a task reads its files as streams, a piece after the other, so that files of
+    any size need little memory. A file's bytes are in order, so a file is one task.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme not in STREAMED:
+        return listed.select("path", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name in b.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with opened(name) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "sha256"])
+
+    # the contents are not read by the listing; large files are dealt out, not packed together
+    return listed.select("path").repartition("path").mapInArrow(run, "path string, sha256 string")
 
 
 def drift(pinned: DataFrame, actual: DataFrame) -> DataFrame:
