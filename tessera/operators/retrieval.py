@@ -37,32 +37,34 @@ def phrase(post: DataFrame, asked: DataFrame, key: str, query: str) -> DataFrame
     return shifted.groupBy(query, key, "start").agg(F.count("*").alias("got")).join(size, query).filter("got = n").select(query, key).distinct()
 
 
-def cover_density(positions: list[list[int]], weights: list[list[float]]) -> float:
-    """Cover density of one document: for each minimal span with all terms, its weights' share of its length; r / (r + 1).
+def cover_density(lists: Column) -> Column:
+    """Cover density of a document: for each minimal span with all terms, its weights' share of its length; r / (r + 1).
 
-    positions and weights by term. A span's score is the harmonic mean of its weights over the words that are not terms.
+    lists: array, by term, of the term's (pos, w). A span's score is the harmonic mean of its weights over the words that are not
+    terms; a weight of 0 counts as 0.1. A term without a place gives 0. One fold over all places in order: the last place of each
+    term is held, and a span ends where the earliest of these moves on.
     """
-    places = sorted((p, t, w) for t, (ps, ws) in enumerate(zip(positions, weights, strict=True)) for p, w in zip(ps, ws, strict=True))
-    total, start = 0.0, 0
-    while start < len(places):
-        seen: set[int] = set()
-        end = start
-        while end < len(places) and len(seen) < len(positions):
-            seen.add(places[end][1])
-            end += 1
-        if len(seen) < len(positions):
-            break
-        first, seen = end - 1, set()
-        while len(seen) < len(positions):
-            seen.add(places[first][1])
-            first -= 1
-        first += 1
-        cover = places[first:end]
-        inverse = sum(1 / w if w > 0 else 10.0 for _, _, w in cover)
-        noise = max(0, (cover[-1][0] - cover[0][0]) - (len(cover) - 1))
-        total += len(cover) / inverse / (1 + noise)
-        start = first + 1
-    return total / (total + 1)
+    places = F.array_sort(F.flatten(F.transform(lists, lambda l, t: F.transform(l, lambda x: F.struct(x["pos"].cast("long").alias("pos"), t.alias("t"), x["w"].cast("double").alias("w"))))))
+    place = "struct<i:long,pos:long,before:double>"
+    unseen = F.struct(F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("before")).cast(place)
+    start = F.struct(F.transform(lists, lambda _: unseen).alias("last"), F.lit(-1).cast("long").alias("i"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("first"), F.lit(0.0).alias("total"))
+
+    def seen(state: Column, x: Column) -> Column:
+        i = state["i"] + 1
+        here = F.struct(i.alias("i"), x["pos"].alias("pos"), state["sum"].alias("before")).cast(place)
+        return F.struct(F.transform(state["last"], lambda l, t: F.when(t == x["t"], here).otherwise(l)).alias("last"), i.alias("i"), (state["sum"] + F.when(x["w"] > 0, 1 / x["w"]).otherwise(10.0)).alias("sum"), state["first"].alias("first"), state["total"].alias("total"))
+
+    def covered(now: Column, x: Column) -> Column:
+        low = F.array_min(now["last"])
+        length = now["i"] - low["i"] + 1
+        noise = F.greatest(F.lit(0), x["pos"] - low["pos"] - (length - 1))
+        score = length / (now["sum"] - low["before"]) / (1 + noise)
+        new = low["i"] > now["first"]
+        return F.struct(now["last"].alias("last"), now["i"].alias("i"), now["sum"].alias("sum"), F.when(new, low["i"]).otherwise(now["first"]).alias("first"), (now["total"] + F.when(new, score).otherwise(0.0)).alias("total"))
+
+    # the state with the place is taken up once and looked at twice
+    step = lambda state, x: F.element_at(F.transform(F.array(seen(state, x)), lambda now: covered(now, x)), 1)
+    return F.aggregate(places, start, step, lambda state: state["total"] / (state["total"] + 1))
 
 
 #: Weights by the field's meaning; the compatible set gives them by the inverted labels that an array order implies.
@@ -77,14 +79,7 @@ def rank_cover_density(post: DataFrame, asked: DataFrame, key: str, query: str,
     size = asked.select(query, "term").distinct().groupBy(query).agg(F.count("*").alias("n"))
     lists = asked.select(query, "term").distinct().join(post.withColumn("w", weight), "term").groupBy(query, key, "term").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("l"))
     whole = lists.groupBy(query, key).agg(F.sort_array(F.collect_list(F.struct("term", "l"))).alias("ls"), F.count("*").alias("got")).join(size, query).filter("got = n")
-    kinds = {f.name: f.dataType.simpleString() for f in whole.schema}
-
-    def run(batches):
-        for b in batches:
-            scores = [cover_density([[x["pos"] for x in t["l"]] for t in ls], [[x["w"] for x in t["l"]] for t in ls]) for ls in b["ls"]]
-            yield b[[query, key]].assign(score=scores)
-
-    return whole.select(query, key, "ls").mapInPandas(run, f"{query} {kinds[query]}, {key} {kinds[key]}, score double")
+    return whole.select(query, key, cover_density(F.transform("ls", lambda t: t["l"])).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -94,7 +94,12 @@ def r7_phrase(spark, d):
     return R.phrase(R.postings(V.read(spark, d, "documents"), "doc_id", "text"), asked, "doc_id", "qid")
 
 
-@register("r6_cover_density")
+@register("r6_cover_density", f"""WITH q(qid, term, t) AS (VALUES (1, 'license', 0), (1, 'version', 1), (2, 'license', 0), (2, 'mit', 1)), d AS (SELECT doc_id, {_TOK} AS w FROM documents), w AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+ p AS (SELECT qid, doc_id, t, pos, row_number() OVER (PARTITION BY qid, doc_id ORDER BY pos) AS i FROM w JOIN q USING (term)),
+ l AS (SELECT qid, doc_id, i, pos, least(max(i) FILTER (t = 0) OVER s, max(i) FILTER (t = 1) OVER s) AS low, max(i) FILTER (t = 0) OVER s AS a, max(i) FILTER (t = 1) OVER s AS b FROM p WINDOW s AS (PARTITION BY qid, doc_id ORDER BY i)),
+ c AS (SELECT l.qid, l.doc_id, l.i, l.pos, l.low, lag(l.low) OVER (PARTITION BY l.qid, l.doc_id ORDER BY l.i) AS before FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+ s AS (SELECT c.qid, c.doc_id, sum(0.45::DOUBLE / (1 + greatest(0, c.pos - f.pos - (c.i - c.low)))) AS r FROM c JOIN p f ON f.qid = c.qid AND f.doc_id = c.doc_id AND f.i = c.low WHERE before IS NULL OR low > before GROUP BY 1, 2)
+ SELECT qid, doc_id, round(r / (r + 1), 9) AS score FROM s""")
 def r6_cover_density(spark, d):
     asked = spark.createDataFrame([(1, "license"), (1, "version"), (2, "mit"), (2, "license")], "qid int, term string")
     post = R.postings(V.read(spark, d, "documents"), "doc_id", "text").withColumn("field", F.lit("medium"))

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -118,10 +119,35 @@ def test_diversity_demotes(spark):
     assert got == [1, 2, 4, 5, 3]
 
 
-def test_cover_density_prefers_close_terms():
-    near, far = retrieval.cover_density([[1], [2]], [[1.0], [1.0]]), retrieval.cover_density([[1], [9]], [[1.0], [1.0]])
-    assert near == pytest.approx(0.5) and far < near
-    assert retrieval.cover_density([[1], []], [[1.0], []]) == 0
+def cover(positions, weights):
+    """Cover density by looking for each minimal span anew."""
+    places = sorted((p, t, w) for t, (ps, ws) in enumerate(zip(positions, weights)) for p, w in zip(ps, ws))
+    total, start = 0.0, 0
+    while True:
+        end = next((e for e in range(start, len(places)) if {t for _, t, _ in places[start : e + 1]} == set(range(len(positions)))), None)
+        if end is None:
+            return total / (total + 1)
+        first = max(f for f in range(start, end + 1) if {t for _, t, _ in places[f : end + 1]} == set(range(len(positions))))
+        span = places[first : end + 1]
+        noise = max(0, span[-1][0] - span[0][0] - (len(span) - 1))
+        total += len(span) / sum(1 / w if w > 0 else 10.0 for _, _, w in span) / (1 + noise)
+        start = first + 1
+
+
+def test_cover_density_prefers_close_terms(spark):
+    rng = random.Random(31)
+    cases = [([[1], [2]], [[1.0], [1.0]]), ([[1], [9]], [[1.0], [1.0]]), ([[1], []], [[1.0], []]), ([[3, 1]], [[0.0, 0.5]]), ([[1, 5, 6], [2, 9], [4]], [[0.1, 1.0, 0.45], [0.18, 1.0], [0.0]])]
+    for _ in range(150):
+        places, n = rng.sample(range(60), rng.randint(1, 30)), rng.randint(1, 4)
+        positions = [[] for _ in range(n)]
+        for p in places:
+            positions[rng.randrange(n)].append(p)
+        cases.append((positions, [[rng.choice([0.0, 0.18, 0.45, 1.0]) for _ in ps] for ps in positions]))
+    rows = [(i, [[(p, w) for p, w in zip(ps, ws)] for ps, ws in zip(*c)]) for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, l array<array<struct<pos:int,w:double>>>")
+    got = {r.i: r.s for r in df.select("i", retrieval.cover_density(F.col("l")).alias("s")).collect()}
+    assert got[0] == pytest.approx(0.5) and got[1] < got[0] and got[2] == 0
+    assert [got[i] for i in range(len(cases))] == pytest.approx([cover(*c) for c in cases])
 
 
 def test_modes():
