@@ -158,6 +158,52 @@ def filters_met(filters: Column, option: Column, fields: dict[str, str]) -> Colu
     return reduce(Column.__and__, tests)
 
 
+#: Filters of a query and the fields of a payment option that they ask for.
+OPTION_FILTERS = {"network": "network", "scheme": "scheme", "asset": "asset", "payTo": "pay_to"}
+
+
+def resource_eligibility(filters: Column) -> Column:
+    """Why a resource does not fit a query, or eligible: unsafe, unreachable, stale, incompatible, in this order. filters is a map of
+    texts; the resource's columns are status, safety, liveness, transport, categories and accepts (array of options)."""
+    c, has = F.col, lambda n: F.coalesce(filters[n], F.lit("")) != ""
+    own = F.exists(F.coalesce("categories", F.array().cast("array<string>")), lambda x: F.lower(x) == F.lower(filters["category"]))
+    asked = reduce(Column.__or__, [filters[n].isNotNull() for n in OPTION_FILTERS])
+    fits = F.exists("accepts", lambda o: reduce(Column.__and__, [filters[n].isNull() | F.coalesce(o[f] == filters[n], F.lit(False)) for n, f in OPTION_FILTERS.items()]))
+    bad = lambda x: F.coalesce(x, F.lit(False))
+    return (
+        F.when(bad(c("status") == "unsafe") | bad(c("safety") == "fail"), "unsafe").when(bad(c("status") == "unreachable") | bad(c("liveness") == "fail"), "unreachable").when(bad(c("status") == "stale"), "stale")
+        .when(has("type") & ~c("transport").eqNullSafe(filters["type"]), "incompatible").when(has("category") & ~bad(own), "incompatible").when(bad(asked) & ~bad(fits), "incompatible").otherwise("eligible")
+    )
+
+
+#: Queries that meet all resources at once; larger sets are taken in blocks.
+RANKED_QUERIES = 1_000
+
+
+def ranked_resources(resources: DataFrame, queries: DataFrame, limit: int = 100) -> DataFrame:
+    """(query_id, resource_id, eligibility, score, rank): the first `limit` resources of each query of a stated set, eligible ones first, then
+    by score, then by id in byte order.
+
+    resources: resource_id, service_name, description, resource, tags, categories, accepts, status, safety, liveness, transport;
+    queries: query_id, text, filters. Null texts have no tokens, null filters ask for nothing. A block of counted size of
+    queries is broadcast; each task keeps its first `limit` of a query before anything is shuffled.
+    """
+    c = F.col
+    options = F.flatten(F.transform(F.coalesce("accepts", F.array().cast(resources.schema["accepts"].dataType)), lambda o: F.array(o["scheme"], o["network"], o["asset"])))
+    lists = [F.coalesce(x, F.array().cast("array<string>")) for x in (c("tags"), c("categories"), options)]
+    rows = resources.withColumn("__text", F.concat_ws(" ", "service_name", "description", "resource", *lists))
+    blocks = -(-queries.count() // RANKED_QUERIES) or 1
+    asked = queries.select("query_id", "text", F.coalesce("filters", F.create_map().cast("map<string,string>")).alias("filters"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(c("eligibility") == "eligible"), F.desc("score"), "resource_id")
+    parts = []
+    for n in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        met = rows.join(F.broadcast(block.withColumnRenamed("text", "__query")))
+        scored = met.select("query_id", "resource_id", resource_eligibility(c("filters")).alias("eligibility"), overlap_score(c("__query"), c("service_name"), c("__text"), c("categories")).cast("long").alias("score"))
+        parts.append(scored.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= limit))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def judgment_pool(candidates: DataFrame, query: str, key: str, size: int, seed: str) -> DataFrame:
     """Per query the best candidate of each source first, then the best of the rest up to size; in seeded order.
 

@@ -122,6 +122,25 @@ def r20_overlap_score(spark, d):
     return both.select("q", "p_partkey", score.cast("bigint").alias("score"))
 
 
+@register("r20_ranked_resources", r"""WITH r AS (SELECT p_partkey AS id, p_name AS name, lower(p_type) AS cat, CASE p_size % 6 WHEN 0 THEN 'mcp' ELSE 'http' END AS transport, CASE p_size % 4 WHEN 0 THEN 'testnet' ELSE 'pubnet' END AS network, CASE WHEN p_partkey % 11 = 0 THEN 'unsafe' WHEN p_partkey % 13 = 0 THEN 'stale' ELSE 'active' END AS status, CASE WHEN p_partkey % 17 = 0 THEN 'fail' ELSE 'pass' END AS live,
+ regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type || ' exact ' || CASE p_size % 4 WHEN 0 THEN 'testnet' ELSE 'pubnet' END || ' USD'), '[\p{L}\p{N}]{2,}') AS h FROM part),
+ q AS (SELECT n_nationkey AS q, CASE n_nationkey % 4 WHEN 0 THEN 'Red red RING' WHEN 1 THEN 'economy widget exact' WHEN 2 THEN 'blue bolt ' || n_name ELSE 'pubnet s' END AS text, CASE WHEN n_nationkey % 3 = 0 THEN 'mcp' END AS ft, CASE WHEN n_nationkey % 5 = 0 THEN 'economy' END AS fc, CASE WHEN n_nationkey % 2 = 0 THEN 'testnet' END AS fn FROM nation),
+ w AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}') AS qt FROM q),
+ s AS (SELECT q, id, CASE WHEN status = 'unsafe' THEN 'unsafe' WHEN live = 'fail' THEN 'unreachable' WHEN status = 'stale' THEN 'stale' WHEN ft IS NOT NULL AND transport <> ft THEN 'incompatible' WHEN fc IS NOT NULL AND cat <> fc THEN 'incompatible' WHEN fn IS NOT NULL AND network <> fn THEN 'incompatible' ELSE 'eligible' END AS eligibility,
+ CAST(len(list_filter(qt, lambda x: list_contains(h, x))) + CASE WHEN list_contains(qt, cat) THEN 2 ELSE 0 END + CASE WHEN len(list_filter(qt, lambda x: contains(lower(name), x))) > 0 THEN 1 ELSE 0 END AS BIGINT) AS score FROM w, r)
+ SELECT * FROM (SELECT q AS query_id, id AS resource_id, eligibility, score, row_number() OVER (PARTITION BY q ORDER BY eligibility = 'eligible' DESC, score DESC, id) AS rank FROM s) WHERE rank <= 100""".replace("\\p", "\p"))
+def r20_ranked_resources(spark, d):
+    k, size, n = F.col("p_partkey"), F.col("p_size"), F.col("n_nationkey")
+    option = F.struct(F.lit("exact").alias("scheme"), F.when(size % 4 == 0, "testnet").otherwise("pubnet").alias("network"), F.lit("USD").alias("asset"), F.col("p_brand").alias("pay_to"))
+    rows = V.read(spark, d, "part").select(
+        k.alias("resource_id"), F.col("p_name").alias("service_name"), F.col("p_brand").alias("description"), F.lit(None).cast("string").alias("resource"), F.array().cast("array<string>").alias("tags"), F.array("p_type").alias("categories"), F.array(option).alias("accepts"),
+        F.when(k % 11 == 0, "unsafe").when(k % 13 == 0, "stale").otherwise("active").alias("status"), F.lit("pass").alias("safety"), F.when(k % 17 == 0, "fail").otherwise("pass").alias("liveness"), F.when(size % 6 == 0, "mcp").otherwise("http").alias("transport"),
+    )
+    text = F.when(n % 4 == 0, "Red red RING").when(n % 4 == 1, "economy widget exact").when(n % 4 == 2, F.concat(F.lit("blue bolt "), "n_name")).otherwise("pubnet s")
+    filters = F.map_from_entries(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(a).alias("key"), F.lit(b).alias("value"))) for c, a, b in ((n % 3 == 0, "type", "mcp"), (n % 5 == 0, "category", "Economy"), (n % 2 == 0, "network", "testnet"))])))
+    return R.ranked_resources(rows, V.read(spark, d, "nation").select(n.alias("query_id"), text.alias("text"), filters.alias("filters")))
+
+
 @register("r21_judgment_pool", """WITH c AS (SELECT l_partkey AS q, l_orderkey * 8 + l_linenumber AS k, l_returnflag AS source, l_quantity AS score FROM (SELECT l_partkey, l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2, 3)),
  s AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, k) AS s FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s > 1, score DESC, k) AS f FROM s)
  SELECT q, k, source, score, row_number() OVER (PARTITION BY q ORDER BY sha256('p' || chr(0) || q || '|' || k), k) AS place FROM f WHERE f <= 6""")
