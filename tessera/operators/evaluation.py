@@ -288,13 +288,29 @@ def checks(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows of a table whose hashes are put together in 4096 groups; each further level of groups takes 4096 times as many.
+HASHED_ROWS = 40_000_000
+
+
 def artifact_hash(rows: DataFrame, order: list[str]) -> DataFrame:
-    """A hash of a table that does not depend on the order of its rows: rows are hashed apart, then the sorted hashes together
-    in two levels, so that no task holds all rows."""
+    """A hash of a table that does not depend on the order of its rows.
+
+    The digest is that of a tree: rows are hashed by their canonical JSON, keys in byte order, and the hashes are grouped by
+    their first hex digits, three for each level. A group of the lowest level is the SHA-256 of its sorted row hashes, one
+    above that of its sorted children, each after its digits, and the root that of the highest groups. The number of levels
+    follows from the number of rows, so that a task holds about ten thousand hashes, or 4096 groups, however large the table is;
+    exact copies of one row all fall into one group, which has no bound but their number.
+    """
     line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256)
-    hashed = rows.select(line.alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("p", "h"))), ""), 256).alias("sha256"))
+    levels, most = 1, HASHED_ROWS
+    n = rows.count()
+    while n > most:
+        levels, most = levels + 1, most * 4096
+    joined = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
+    parts = rows.select(line.alias("h")).groupBy(F.substring("h", 1, 3 * levels).alias("p")).agg(joined("h").alias("h"))
+    for level in range(levels - 1, 0, -1):
+        parts = parts.groupBy(F.substring("p", 1, 3 * level).alias("up")).agg(joined(F.concat("p", "h")).alias("h")).withColumnRenamed("up", "p")
+    return parts.agg(joined(F.concat("p", "h")).alias("sha256"))
 
 
 def gates(facts: dict[str, bool]) -> dict[str, object]:

@@ -15,7 +15,7 @@ from tessera.sources import views as V
 from tessera.sources.scratch import shared_folder, written
 from tessera.sources.views import OPTIONS, RESOURCES, VERSIONS
 from tessera.streaming import folds as S
-from tessera.streaming.sink import UpsertSink, in_parts
+from tessera.streaming.sink import AppendSink, UpsertSink, in_parts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -293,6 +293,17 @@ def x1_stream_upserts(spark, d):
     return written(sink.rollup(), "rollup")
 
 
+@register("x18_append_once", "SELECT event_id, ts, user_id, event_type FROM events")
+def x18_append_once(spark, d):
+    """The log of all events, sent in two batches that share a third of them, and the second of them twice."""
+    rows = V.read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    log = AppendSink(spark, f"{shared_folder(spark)}/tessera-log-{uuid.uuid4().hex}", ["event_id"], buckets=8)
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for n, part in enumerate((rows.filter(third < 2), rows.filter(third > 0), rows.filter(third > 0))):
+        log.write(part, n)
+    return log.events()
+
+
 @register("x5_stale", "SELECT user_id, CASE WHEN max(ts) < TIMESTAMP '2024-01-31' - INTERVAL '48' HOUR THEN 'stale' ELSE 'active' END AS status FROM events GROUP BY 1")
 def x5_stale(spark, d):
     seen = V.read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("seen")).withColumn("status", F.lit("active"))

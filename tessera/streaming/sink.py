@@ -7,11 +7,13 @@ committed already changes nothing. Readers take the rollup and the rows as of an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.sources.commits import Commits
 from tessera.sources.scratch import remove
@@ -50,7 +52,7 @@ class UpsertSink:
         # dimensions of writes that were replaced within the batch or fell away have rows too
         seen = batch.select(*self.dimensions).distinct().withColumns({"transactions": F.lit(0).cast("long"), "amount": F.lit(0).cast("long")})
         self._placed(self._summed(steps.unionByName(seen)), f"rollup/version={version}")
-        self.commits.commit(version)
+        self.commits.commit(version, new.schema.json())
 
     def watermark(self) -> int:
         """The last version: every version up to it is committed and none of them can change."""
@@ -110,7 +112,10 @@ class UpsertSink:
         return [*([f"{self.path}/{name}/merged={base}"] if base else []), *(f"{self.path}/{name}/version={n}" for n in range(base + 1, version + 1))]
 
     def _read(self, name: str, version: int) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self._paths(name, version)])
+        # a version of an empty batch has no facts and so no files, so their schema comes with the commits
+        schema = StructType.fromJson(json.loads(self.commits.read(version))) if name == "facts" else None
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reduce(DataFrame.unionByName, [reader.parquet(p) for p in self._paths(name, version)])
 
     def _state(self, version: int, fields: list[str], schema, buckets: list[int]) -> DataFrame:
         """The last write of each key of these buckets; other buckets are not read."""
@@ -121,6 +126,44 @@ class UpsertSink:
         return rows.groupBy("bucket", *self.key).agg(F.max("now").alias("now"))
 
 
+class AppendSink:
+    """A log of events that each stand in it once, whatever is sent again: observations, audit entries.
+
+    Batches are versions as those of UpsertSink; of a batch only events whose key is not in the log yet are added, of
+    repeated ones in a batch the smallest row. What is in the log never changes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+        self.commits = Commits(spark, f"{self.path}/commits")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """For foreachBatch: batch number n is version n + 1."""
+        version = batch_id + 1
+        last = self.commits.latest()
+        if version <= last:
+            return
+        rest = [c for c in batch.columns if c not in self.key]
+        once = batch.groupBy(*self.key).agg(F.min(F.struct(*rest)).alias("row")).withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        if last:
+            touched = [r.bucket for r in once.select("bucket").distinct().collect()]
+            old = self._all(last).filter(F.col("bucket").isin(touched)).select("bucket", *self.key)
+            same = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ["bucket", *self.key]])
+            once = once.alias("n").join(old.alias("o"), same, "left_anti")
+        once.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        self.commits.commit(version, once.schema.json())
+
+    def events(self, version: int | None = None) -> DataFrame | None:
+        """The log as of a version; null before the first."""
+        v = self.commits.latest() if version is None else version
+        return self._all(v).select(*self.key, "row.*") if v else None
+
+    def _all(self, version: int) -> DataFrame:
+        # a version without new events has no files, so the schema comes with the commits
+        schema = StructType.fromJson(json.loads(self.commits.read(1)))
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/version={n}") for n in range(1, version + 1)])
+
+
 def in_parts(write: Callable[[DataFrame, int], None], parts: int, by: list[str]) -> Callable[[DataFrame, int], None]:
     """A writer for foreachBatch that passes each batch on as `parts` smaller ones, dealt by a hash of columns."""
 

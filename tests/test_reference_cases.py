@@ -186,3 +186,24 @@ def test_json_walks(spark):
     assert [got[i] for i in range(1, 9)] == [[": top"], [": 7"], [], [], [], [], [], [": 5"]] and got[9] == [] and got[10] == [f"[{i}]: 1" for i in range(50)]
     found = {r.i: r.f for r in df.select("i", records.forbidden_keys(F.col("t"), {"c", "ä", "", "x", "top"}).alias("f")).collect()}
     assert found[0] == ["c", "ä"] and found[8] == [""] and found[9] == ["(deeper)"] and [found[i] for i in (1, 2, 3, 4, 5, 6, 7, 10)] == [[]] * 8
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_artifact_hash_is_that_of_its_tree(spark, monkeypatch, levels):
+    monkeypatch.setattr(evaluation, "HASHED_ROWS", {1: 10**6, 2: 100, 3: 0}[levels])
+    rows = [(i % 150, f"x{i}") for i in range(200)] + [(1, "x1")]
+    df = spark.createDataFrame(rows, "b int, a string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    nodes = {}
+    for b, a in rows:
+        h = sha(f'{{"a":"{a}","b":{b}}}')
+        nodes.setdefault(h[: 3 * levels], []).append(h)
+    nodes = {p: sha("".join(sorted(hs))) for p, hs in nodes.items()}
+    for level in range(levels - 1, -1, -1):
+        up = {}
+        for p, h in nodes.items():
+            up.setdefault(p[: 3 * level], []).append(p + h)
+        nodes = {p: sha("".join(sorted(hs))) for p, hs in up.items()}
+    if levels == 3:
+        monkeypatch.setattr(evaluation, "HASHED_ROWS", 0.02)
+    assert evaluation.artifact_hash(df, ["a"]).first()[0] == evaluation.artifact_hash(df.orderBy("a").repartition(3), ["a"]).first()[0] == nodes[""]

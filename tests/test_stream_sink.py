@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.commits import Commits
 from tessera.streaming import folds
-from tessera.streaming.sink import UpsertSink
+from tessera.streaming.sink import AppendSink, UpsertSink
 
 SCHEMA = "id long, stage string, seq long, dim string, amount long"
 
@@ -99,6 +99,9 @@ def test_late_and_equal_writes(spark, tmp_path):
     assert rows(sink.rollup()) == [("x", 0, 0), ("y", 1, 0)]
     sink.write(spark.createDataFrame([], SCHEMA), 4)
     assert sink.watermark() == 5 and rows(sink.rollup()) == [("x", 0, 0), ("y", 1, 0)]
+    assert rows(sink.facts()) == [(1, "a", 11, "y", None)]
+    sink.merge()
+    assert rows(sink.facts()) == [(1, "a", 11, "y", None)] and rows(sink.rollup()) == [("x", 0, 0), ("y", 1, 0)]
 
 
 def test_untouched_buckets_are_not_read(spark, tmp_path):
@@ -118,3 +121,29 @@ def test_a_number_is_committed_once(spark, tmp_path):
     with pytest.raises(FileExistsError):
         log.commit(1, "other")
     assert log.read(1) == "é"
+
+
+def test_a_log_has_each_event_once(spark, tmp_path):
+    log = AppendSink(spark, f"file://{tmp_path}/log", ["id"], buckets=3)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, kind string, at long")
+    assert log.events() is None
+    empty = AppendSink(spark, f"file://{tmp_path}/empty", ["id"])
+    empty.write(frame([]), 0)
+    empty.write(frame([(1, "a", 1)]), 1)
+    assert rows(empty.events()) == [(1, "a", 1)] and rows(empty.events(1)) == []
+    log.write(frame([(1, "a", 5), (1, "a", 4), (2, "b", 6), (None, "c", 7)]), 0)
+    first = [(1, "a", 4), (2, "b", 6), (None, "c", 7)]
+    assert rows(log.events()) == sorted(first, key=str)
+    log.write(frame([(2, "changed", 9), (3, "d", 8), (None, "c", 7)]), 1)
+    log.write(frame([(1, "a", 5)]), 2)
+    log.write(frame([(9, "late", 1)]), 1)
+    assert rows(log.events()) == sorted([*first, (3, "d", 8)], key=str) and rows(log.events(1)) == sorted(first, key=str)
+    # a batch that failed before its commit is written anew
+    whole = log.commits.commit
+    log.commits.commit = lambda *a: (_ for _ in ()).throw(Broken())
+    with pytest.raises(Broken):
+        log.write(frame([(4, "e", 1), (5, "f", 1)]), 3)
+    log.commits.commit = whole
+    assert log.events().count() == 4
+    log.write(frame([(4, "e", 1)]), 3)
+    assert log.events().count() == 5
