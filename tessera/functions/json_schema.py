@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,18 @@ _PAIRS = "array<struct<path:string,s:variant,v:variant>>"
 _NO_TEXT = "array<string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it: plans stay small where columns are built from columns."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_KINDS = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array"}
+
+
 def kind(v: Column) -> Column:
     """object, array, string, boolean, null or number; of a variant."""
-    name = F.schema_of_variant(v)
-    plain = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
-    known = F.coalesce(*[F.when(name == n, F.lit(k)) for n, k in plain.items()], *[F.when(F.startswith(name, F.lit(n)), F.lit(k)) for n, k in (("OBJECT", "object"), ("ARRAY", "array"))])
-    return F.coalesce(known, F.lit("number"))
+    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.regexp_extract(F.schema_of_variant(v), f"^({'|'.join(_KINDS)})", 1)), F.lit("number"))
 
 
 def _get(v: Column, name: str, as_: str) -> Column:
@@ -23,17 +31,18 @@ def _get(v: Column, name: str, as_: str) -> Column:
 
 def _text(v: Column, name: str) -> Column:
     """A keyword's value if it is a text; variants would give numbers as texts too."""
-    inner = _get(v, name, "variant")
-    return F.when(inner.isNotNull() & (kind(inner) == "string"), _get(v, name, "string"))
+    return let(_get(v, name, "variant"), lambda x: F.when(x.isNotNull() & (kind(x) == "string"), F.try_variant_get(x, "$", "string")))
 
 
 def _fails(p: Column) -> Column:
     """Names of the keywords that a value breaks on its own level."""
-    s, v = p["s"], p["v"]
-    k, own = kind(v), kind(s)
+    return let(kind(p["v"]), lambda k: let(kind(p["s"]), lambda own: _broken(p["path"], p["s"], p["v"], k, own)))
+
+
+def _broken(path: Column, s: Column, v: Column, k: Column, own: Column) -> Column:
     number, text = _get(v, "", "double"), _get(v, "", "string")
     whole = (k == "number") & (number == F.floor(number))
-    wanted = F.coalesce(F.when(_text(s, "type").isNotNull(), F.array(_text(s, "type"))), _get(s, "type", "array<string>"))
+    wanted = F.coalesce(let(_text(s, "type"), lambda t: F.when(t.isNotNull(), F.array(t))), _get(s, "type", "array<string>"))
     typed = F.exists(wanted, lambda t: (t == k) | ((t == "integer") & whole))
     allowed = F.transform(_get(s, "enum", "array<variant>"), lambda x: F.to_json(x))
     const = _get(s, "const", "variant")
@@ -52,9 +61,9 @@ def _fails(p: Column) -> Column:
         "minItems": (k == "array") & (F.size(listed) < limit("minItems")), "maxItems": (k == "array") & (F.size(listed) > limit("maxItems")),
     }
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
-    named = F.transform(broken, lambda n: F.concat(p["path"], F.lit(" "), n))
+    named = F.transform(broken, lambda n: F.concat(path, F.lit(" "), n))
     none = F.array().cast(_NO_TEXT)
-    simple = F.when((own == "boolean") & _get(s, "", "boolean"), none).otherwise(F.array(F.concat(p["path"], F.lit(" schema"))))
+    simple = F.when((own == "boolean") & _get(s, "", "boolean"), none).otherwise(F.array(F.concat(path, F.lit(" schema"))))
     return F.when(own == "object", named).otherwise(simple)
 
 
@@ -80,14 +89,16 @@ def violations(schema: Column, value: Column, depth: int = 8) -> Column:
     a text that is no JSON breaks `json`, a schema that is neither an object nor true breaks `schema`, and what lies deeper
     than `depth` levels breaks `depth`.
     """
-    s, v = F.try_parse_json(schema), F.try_parse_json(value)
-    first = F.array(F.struct(F.lit("$").alias("path"), s.alias("s"), v.alias("v"))).cast(_PAIRS)
-    start = F.struct(first.alias("now"), F.array().cast(_NO_TEXT).alias("found"))
+    def whole(s: Column, v: Column) -> Column:
+        first = F.array(F.struct(F.lit("$").alias("path"), s.alias("s"), v.alias("v"))).cast(_PAIRS)
+        start = F.struct(first.alias("now"), F.array().cast(_NO_TEXT).alias("found"))
+
+        def level(state: Column, _: Column) -> Column:
+            return F.struct(F.flatten(F.transform(state["now"], _children)).alias("now"), F.concat(state["found"], F.flatten(F.transform(state["now"], _fails))).alias("found"))
 
-    def level(state: Column, _: Column) -> Column:
-        return F.struct(F.flatten(F.transform(state["now"], _children)).alias("now"), F.concat(state["found"], F.flatten(F.transform(state["now"], _fails))).alias("found"))
+        deep = lambda state: F.concat(state["found"], F.transform(state["now"], lambda p: F.concat(p["path"], F.lit(" depth"))))
+        found = F.array_sort(F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, level, deep)))
+        return F.when(v.isNull(), F.array(F.lit("$ json"))).when(s.isNull(), F.array(F.lit("$ schema"))).otherwise(found)
 
-    deep = lambda state: F.concat(state["found"], F.transform(state["now"], lambda p: F.concat(p["path"], F.lit(" depth"))))
-    found = F.array_sort(F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, level, deep)))
-    broken = F.when(v.isNull(), F.array(F.lit("$ json"))).when(s.isNull(), F.array(F.lit("$ schema"))).otherwise(found)
-    return F.when(schema.isNotNull() & value.isNotNull(), broken)
+    parsed = F.struct(F.try_parse_json(schema).alias("s"), F.try_parse_json(value).alias("v"))
+    return F.when(schema.isNotNull() & value.isNotNull(), let(parsed, lambda x: whole(x["s"], x["v"])))

@@ -356,6 +356,67 @@ def external_record(body: Column, fields: dict[str, tuple[str, ...]] | None = No
     return F.struct(url.alias("url"), F.concat(transport, F.lit(":"), url).alias("key"), F.substring(picked["name"], 1, 512).alias("name"), F.substring(picked["description"], 1, 8000).alias("description"), picked["updated"].alias("updated"), live.alias("liveness"), safe.alias("safety"), status.alias("status"))
 
 
+def external_details(body: Column) -> Column:
+    """struct of what an external record tells of itself: tags and categories (texts that are not blank, once each, the first 100), accepts
+    (payment options with an amount, a scheme, a network and an asset, the first 20), payment (pass, fail, unknown), response_valid,
+    latency_ms, failure_reason, and of its quality calls, buyers, last_called (UTC), completeness (0, 0.5 or 1), provider_score,
+    trust_score and grade.
+
+    Of several names for a thing the first that is there counts, also where its value is of no use; where a text is asked for, the first
+    that is a text and not blank. Numbers in quotes are no numbers, but for timeouts. Malformed bodies have nothing.
+    """
+    from tessera.functions.json_schema import let
+
+    return let(F.try_parse_json(body), _details)
+
+
+def _details(v: Column) -> Column:
+    from tessera.functions.json_schema import kind, let
+
+    at = lambda path, of=v: F.try_variant_get(of, f"$.{path}", "variant")
+    there = lambda x: F.when(x.isNotNull() & (kind(x) != "null"), x)
+    given = lambda *paths, of=v: F.coalesce(*[let(at(p, of), there) for p in paths])
+    plain = lambda x: F.trim(F.try_variant_get(x, "$", "string"))
+    text = lambda x: F.when(kind(x) == "string", F.nullif(plain(x), F.lit("")))
+    texts = lambda *paths, of=v: F.coalesce(*[let(at(p, of), text) for p in paths])
+    number = lambda x: F.when(kind(x) == "number", F.try_variant_get(x, "$", "double"))
+    numbers = lambda *paths: let(given(*paths), number)
+    whole = lambda *paths: let(numbers(*paths), lambda n: F.when((n >= 0) & (n == F.floor(n)), n.cast("long")))
+    none = F.array().cast("array<string>")
+
+    def strings(x: Column) -> Column:
+        many = F.slice(F.array_distinct(F.array_compact(F.transform(F.try_variant_get(x, "$", "array<variant>"), text))), 1, 100)
+        return F.coalesce(F.when(kind(x) == "string", let(text(x), lambda t: F.when(t.isNotNull(), F.array(t)))).when(kind(x) == "array", many), none)
+
+    def date(x: Column) -> Column:
+        stamp = F.to_utc_timestamp(F.when(kind(x) == "string", F.try_variant_get(x, "$", "string")).try_cast("timestamp"), F.current_timezone())
+        return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+    def option(o: Column) -> Column:
+        seconds = let(given("maxTimeoutSeconds", "max_timeout_seconds", of=o), lambda t: F.coalesce(number(t), text(t).try_cast("double")))
+        found = F.struct(
+            texts("scheme", of=o).alias("scheme"), texts("network", "chain", of=o).alias("network"), texts("asset", "currency", of=o).alias("asset"), texts("amount", "maxAmountRequired", "max_amount_required", of=o).alias("amount"),
+            texts("payTo", "pay_to", of=o).alias("pay_to"), let(seconds, lambda n: F.when((n > 0) & (n == F.floor(n)) & (n < 2.0**53), n.cast("long"))).alias("max_timeout_seconds"),
+        )
+        return let(found, lambda f: F.when(F.concat(*[f[n] for n in ("scheme", "network", "asset", "amount")]).isNotNull(), f))
+
+    listed = lambda x: F.when(kind(x) == "array", F.try_variant_get(x, "$", "array<variant>"))
+    lists = [let(at(n), listed) for n in ("accepts", "paymentOptions", "payment_options", "metadata.accepts")]
+    options = F.slice(F.array_compact(F.transform(F.coalesce(*lists), option)), 1, 20)
+    payment = let(F.to_json(given("payment", "onChainDemand", "on_chain_demand")), lambda x: F.when(x.isin("true", '"pass"'), "pass").when(x.isin("false", '"fail"'), "fail").otherwise("unknown"))
+    valid = F.coalesce(*[let(at(n), lambda x: F.when(kind(x) == "boolean", F.try_variant_get(x, "$", "boolean"))) for n in ("responseValid", "response_valid")])
+    schema = given("metadata.input", "metadata.output", "inputSchema", "outputSchema", "schema").isNotNull()
+    complete = F.when(texts("description", "metadata.description").isNotNull(), 0.5).otherwise(0.0) + F.when(schema, 0.5).otherwise(0.0)
+    kinds = "array<struct<scheme:string,network:string,asset:string,amount:string,pay_to:string,max_timeout_seconds:bigint>>"
+    return F.struct(
+        let(given("tags", "metadata.tags"), strings).alias("tags"), let(given("categories", "category", "metadata.category"), strings).alias("categories"), F.coalesce(options, F.array().cast(kinds)).alias("accepts"), payment.alias("payment"), valid.alias("response_valid"),
+        numbers("latencyMs", "latency_ms", "health.latencyMs").alias("latency_ms"), F.substring(texts("failureReason", "failure_reason", "health.error"), 1, 1000).alias("failure_reason"),
+        whole("quality.l30DaysTotalCalls", "quality.totalCalls30d", "stats.calls24h", "calls24h").alias("calls"), whole("quality.l30DaysUniquePayers", "quality.uniquePayers30d", "stats.uniqueBuyers30d").alias("buyers"),
+        let(given("quality.lastCalledAt", "quality.last_called_at", "lastCalledAt"), date).alias("last_called"), complete.alias("completeness"), numbers("score", "toolGradeScore", "quality.score").alias("provider_score"),
+        numbers("trustScore", "trust_score", "quality.trustScore").alias("trust_score"), texts("grade", "quality.grade").alias("grade"),
+    )
+
+
 #: Statuses from worst to best.
 STATUS_RANK = ("unsafe", "unreachable", "stale", "unknown", "active")
 

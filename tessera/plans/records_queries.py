@@ -128,7 +128,7 @@ def r20_overlap_score(spark, d):
  w AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}') AS qt FROM q),
  s AS (SELECT q, id, CASE WHEN status = 'unsafe' THEN 'unsafe' WHEN live = 'fail' THEN 'unreachable' WHEN status = 'stale' THEN 'stale' WHEN ft IS NOT NULL AND transport <> ft THEN 'incompatible' WHEN fc IS NOT NULL AND cat <> fc THEN 'incompatible' WHEN fn IS NOT NULL AND network <> fn THEN 'incompatible' ELSE 'eligible' END AS eligibility,
  CAST(len(list_filter(qt, lambda x: list_contains(h, x))) + CASE WHEN list_contains(qt, cat) THEN 2 ELSE 0 END + CASE WHEN len(list_filter(qt, lambda x: contains(lower(name), x))) > 0 THEN 1 ELSE 0 END AS BIGINT) AS score FROM w, r)
- SELECT * FROM (SELECT q AS query_id, id AS resource_id, eligibility, score, row_number() OVER (PARTITION BY q ORDER BY eligibility = 'eligible' DESC, score DESC, id) AS rank FROM s) WHERE rank <= 100""".replace("\\p", "\p"))
+ SELECT * FROM (SELECT q AS query_id, id AS resource_id, eligibility, score, row_number() OVER (PARTITION BY q ORDER BY eligibility = 'eligible' DESC, score DESC, id) AS rank FROM s) WHERE rank <= 100""")
 def r20_ranked_resources(spark, d):
     k, size, n = F.col("p_partkey"), F.col("p_size"), F.col("n_nationkey")
     option = F.struct(F.lit("exact").alias("scheme"), F.when(size % 4 == 0, "testnet").otherwise("pubnet").alias("network"), F.lit("USD").alias("asset"), F.col("p_brand").alias("pay_to"))

@@ -350,12 +350,15 @@ def d1_extraction(spark, d):
     ext = F.when(m == 1, "[]").otherwise(F.concat(F.lit("{"), info, F.lit(',"schema":'), schema, F.lit(","), pad, F.when(m == 15, ',"routeTemplate":"/a/../b"').otherwise(',"routeTemplate":"/a/:id"'), F.lit("}")))
     soft = F.when(m == 15, ',"description":"  ","mimeType":"x","tags":"no list"').otherwise(',"description":"d","mimeType":"a/b","tags":["t"]')
     body = F.concat(F.lit('{"resource":{"url":"'), url, F.lit('"'), soft, F.lit("}"), F.when(m == 0, "").otherwise(F.concat(F.lit(',"extension":'), ext)), F.lit("}"))
-    found = P.extraction(body, {"metadata": 800, "depth": 8, "schema": 200, "example": 100})
-    return V.read(spark, d, "pages").select("page_id", found.alias("f")).select("page_id", F.col("f.code").alias("code"), F.array_join("f.dropped", ",").alias("dropped"))
+    found = P.extraction(F.col("body"), {"metadata": 800, "depth": 8, "schema": 200, "example": 100})
+    return V.read(spark, d, "pages").select("page_id", body.alias("body")).select("page_id", found.alias("f")).select("page_id", F.col("f.code").alias("code"), F.array_join("f.dropped", ",").alias("dropped"))
 
 
 @register("d6_external_records", """SELECT p_partkey, 'https://h' || p_partkey || '.example/a' AS url, CASE p_partkey % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'mcp' WHEN 2 THEN 'a2a' ELSE 'http' END || ':https://h' || p_partkey || '.example/a' AS key, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'meta' ELSE 'own' END AS description, CASE WHEN p_partkey % 5 = 0 THEN '2024' END AS updated,
- CASE p_size % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'unknown' END AS liveness, CASE WHEN p_size % 10 = 0 THEN 'fail' WHEN p_size % 10 = 1 THEN 'pass' ELSE 'unknown' END AS safety, CASE WHEN p_size % 10 = 0 THEN 'unsafe' WHEN p_size % 3 = 1 THEN 'unreachable' WHEN p_partkey % 7 = 0 THEN 'stale' WHEN p_size % 3 = 0 THEN 'active' ELSE 'unknown' END AS status FROM part""")
+ CASE p_size % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'unknown' END AS liveness, CASE WHEN p_size % 10 = 0 THEN 'fail' WHEN p_size % 10 = 1 THEN 'pass' ELSE 'unknown' END AS safety, CASE WHEN p_size % 10 = 0 THEN 'unsafe' WHEN p_size % 3 = 1 THEN 'unreachable' WHEN p_partkey % 7 = 0 THEN 'stale' WHEN p_size % 3 = 0 THEN 'active' ELSE 'unknown' END AS status,
+ list_distinct_ordered AS tags, [p_type] AS categories, p_brand || '|USD|' || p_size AS accepts, CASE WHEN p_size % 4 = 0 THEN 'pass' WHEN p_size % 4 = 1 THEN 'fail' ELSE 'unknown' END AS payment, CASE WHEN p_size % 2 = 0 THEN p_size % 4 = 0 END AS response_valid, CASE WHEN p_size % 3 = 1 THEN p_retailprice END AS latency_ms,
+ CASE WHEN p_size % 5 <> 0 THEN p_size::BIGINT END AS calls, p_partkey AS buyers, CASE WHEN p_size % 6 = 0 THEN '2024-02-0' || (1 + p_size % 7) || 'T03:04:05.000Z' END AS last_called, CASE WHEN p_size % 2 = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS completeness, p_size + 0.5::DOUBLE AS provider_score, CASE WHEN p_size % 2 = 0 THEN 0.25::DOUBLE END AS trust_score, 'A' || p_size AS grade
+ FROM (SELECT *, CASE WHEN p_name = p_brand THEN [p_name] ELSE [p_name, p_brand] END AS list_distinct_ordered FROM part)""")
 def d6_external_records(spark, d):
     k, z, text = F.col("p_partkey"), F.col("p_size"), F.lit
     field = lambda name, c: F.concat(text(f'"{name}":"'), c, text('",'))
@@ -363,9 +366,22 @@ def d6_external_records(spark, d):
         text("{"), F.when(k % 3 == 1, field("resource", text(" "))).otherwise(""), field("endpoint", F.concat(text("HTTPS://H"), k.cast("string"), text(".example:443/a/?q=1#f"))),
         F.when(k % 2 == 0, field("service_name", F.col("p_name"))).otherwise(field("title", F.col("p_brand"))), F.when(k % 4 == 1, field("type", text("my-MCP-server"))).when(k % 4 == 2, field("transport", text("agent"))).when(k % 4 == 0, field("type", text("http"))).otherwise(""),
         F.when(k % 3 == 0, text('"description":"","metadata":{"description":"meta"},')).otherwise(field("description", text("own"))), F.when(k % 5 == 0, field("updatedAt", text("2024"))).otherwise(""),
-        F.when(z % 3 == 0, text('"healthy":true,')).when(z % 3 == 1, text('"health":{"status":"unhealthy"},')).otherwise(""), F.when(z % 10 == 0, field("safetyStatus", text("unsafe"))).when(z % 10 == 1, text('"safety":true,')).otherwise(""), F.when(k % 7 == 0, text('"stale":true,')).otherwise(""), text('"end":0}'),
+        F.when(z % 3 == 0, text('"healthy":true,')).when(z % 3 == 1, text('"health":{"status":"unhealthy"},')).otherwise(""), F.when(z % 10 == 0, field("safetyStatus", text("unsafe"))).when(z % 10 == 1, text('"safety":true,')).otherwise(""), F.when(k % 7 == 0, text('"stale":true,')).otherwise(""), _details(k, z), text('"end":0}'),
+    )
+    bodies = V.read(spark, d, "part").select("p_partkey", body.alias("body"))
+    found = bodies.select("p_partkey", P.external_record(F.col("body")).alias("r"), P.external_details(F.col("body")).alias("q")).select("p_partkey", "r.*", "q.*").drop("failure_reason")
+    shown = F.array_join(F.transform("accepts", lambda o: F.concat_ws("|", o["network"], o["asset"], o["max_timeout_seconds"].cast("string"))), ";")
+    return found.withColumn("accepts", shown)
+
+
+def _details(k, z):
+    """Members of an external record, some of them of no use, made of a part's values."""
+    text, own = F.lit, lambda c: c.cast("string")
+    return F.concat(
+        text('"tags":["'), F.col("p_name"), text('"," ",7,"'), F.col("p_brand"), text('"," '), F.col("p_name"), text('"],"category":"'), F.col("p_type"), text('","accepts":[{"scheme":"exact"},{"scheme":"exact","chain":"'), F.col("p_brand"), text('","currency":"USD","maxAmountRequired":"5","max_timeout_seconds":"'), own(z), text('"},3],'),
+        F.when(z % 4 == 0, '"payment":true,').when(z % 4 == 1, '"onChainDemand":"fail",').otherwise('"payment":null,"on_chain_demand":1,'), F.when(z % 4 == 0, '"responseValid":true,').when(z % 4 == 2, '"responseValid":"no","response_valid":false,').otherwise(""), F.when(z % 3 == 1, F.concat(text('"latency_ms":'), own(F.col("p_retailprice")), text(","))).otherwise('"latencyMs":"9",'),
+        text('"quality":{"l30DaysTotalCalls":'), F.when(z % 5 == 0, text('"5"')).otherwise(own(z)), text(',"uniquePayers30d":'), own(k), F.when(z % 6 == 0, F.concat(text(',"last_called_at":"2024-02-0'), own(1 + z % 7), text('T05:04:05+02:00"'))).otherwise(',"lastCalledAt":"soon"'), F.when(z % 2 == 0, ',"trustScore":0.25').otherwise(""), text(',"grade":"A'), own(z), text('"},"score":'), own(z), text(".5,"), F.when(z % 2 == 1, '"outputSchema":{},').otherwise('"schema":null,'),
     )
-    return V.read(spark, d, "part").select("p_partkey", P.external_record(body).alias("r")).select("p_partkey", "r.*")
 
 
 @register("d7_merge_records", """WITH r AS (SELECT o_custkey AS key, o_orderkey AS ord, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS name, repeat('d', (o_orderkey % 7)::INT) || o_orderkey % 2 AS description, o_totalprice AS metric, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'stale' ELSE 'unsafe' END AS status, CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'O' THEN 3 ELSE 1 END AS rank, o_orderdate AS observed_at, 's' || o_orderkey % 5 AS source FROM orders),

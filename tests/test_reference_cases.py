@@ -207,3 +207,21 @@ def test_artifact_hash_is_that_of_its_tree(spark, monkeypatch, levels):
     if levels == 3:
         monkeypatch.setattr(evaluation, "HASHED_ROWS", 0.02)
     assert evaluation.artifact_hash(df, ["a"]).first()[0] == evaluation.artifact_hash(df.orderBy("a").repartition(3), ["a"]).first()[0] == nodes[""]
+
+
+def test_external_details(spark):
+    import json
+
+    full = {
+        "tags": [" a ", "b", "a", "", 4, None, *map(str, range(200))], "metadata": {"tags": ["no"], "category": "m", "input": {}, "accepts": [{"scheme": "s"}]}, "categories": None, "paymentOptions": [{"amount": "1", "scheme": "exact", "network": "n", "asset": "x", "payTo": " p ", "maxTimeoutSeconds": 60}, "junk", {"amount": 1, "scheme": "exact", "network": "n", "asset": "x"}],
+        "payment": False, "responseValid": 1, "response_valid": True, "health": {"latencyMs": 2.5, "error": " down "}, "quality": {"l30DaysTotalCalls": -1, "totalCalls30d": 7, "l30DaysUniquePayers": 2.0, "lastCalledAt": "2024-01-02T03:04:05Z", "score": 3, "trustScore": None, "grade": " "}, "description": "d", "trust_score": "1",
+    }
+    bodies = [json.dumps(full), "{}", "[1]", "{bad", None, '{"tags":"one","category":["x","x"],"score":0,"payment":"pass","accepts":[{"amount":"1","scheme":"s","network":"n","asset":"a","maxTimeoutSeconds":"1.5"}]}']
+    got = [r[0] for r in spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").orderBy("i").select(reports.external_details(F.col("b"))).collect()]
+    a = got[0]
+    assert a.tags[:3] == ["a", "b", "0"] and len(a.tags) == 100 and a.categories == ["m"] and [tuple(o) for o in a.accepts] == [("exact", "n", "x", "1", "p", 60)]
+    assert (a.payment, a.response_valid, a.latency_ms, a.failure_reason, a.calls, a.buyers, a.last_called, a.completeness, a.provider_score, a.trust_score, a.grade) == ("fail", True, 2.5, "down", None, 2, "2024-01-02T03:04:05.000Z", 1.0, 3.0, None, None)
+    for x in got[1:5]:
+        assert (x.tags, x.categories, x.accepts, x.payment, x.completeness, x.grade) == ([], [], [], "unknown", 0.0, None)
+    b = got[5]
+    assert (b.tags, b.categories, b.provider_score, b.payment) == (["one"], ["x"], 0.0, "pass") and b.accepts[0].max_timeout_seconds is None
