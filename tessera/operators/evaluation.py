@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,10 +158,11 @@ def exact_sign_test(d: np.ndarray) -> float:
     return float(np.mean(np.abs(sums) / len(d) >= abs(d.sum() / len(d)) - 1e-12))
 
 
-def mulberry32(seed: int, n: int) -> np.ndarray:
-    """n numbers in [0, 1) of a 32-bit generator that other engines share; each number needs the count of steps only."""
+def mulberry32(seed: int, n: int, skip: int = 0) -> np.ndarray:
+    """Numbers skip to skip + n in [0, 1) of a 32-bit generator that other engines share; each needs the count of steps only."""
     mask = np.uint64(0xFFFFFFFF)
-    state = (np.uint64(seed) + np.uint64(0x6D2B79F5) * np.arange(1, n + 1, dtype=np.uint64)) & mask
+    first = (seed + 0x6D2B79F5 * skip) & 0xFFFFFFFF
+    state = (np.uint64(first) + np.uint64(0x6D2B79F5) * np.arange(1, n + 1, dtype=np.uint64)) & mask
     t = ((state ^ (state >> np.uint64(15))) * (state | np.uint64(1))) & mask
     more = ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask
     t = t ^ ((t + more) & mask)
@@ -180,7 +182,7 @@ def monte_carlo_permutation(d: np.ndarray, iterations: int = 100_000, seed: int
     done = 0
     while done < iterations:
         m = min(block, iterations - done)
-        u = mulberry32((seed + 0x6D2B79F5 * done * len(d)) & 0xFFFFFFFF, m * len(d)).reshape(m, len(d))
+        u = mulberry32(seed, m * len(d), done * len(d)).reshape(m, len(d))
         extreme += int((np.abs(np.where(u < 0.5, d, -d).mean(axis=1)) >= observed - 1e-12).sum())
         done += m
     return (extreme + 1) / (iterations + 1)
@@ -192,13 +194,28 @@ def permutation_p(d: np.ndarray, iterations: int = 100_000, seed: int = PERMUTAT
     return exact_sign_test(d) if 0 < len(d) <= EXACT and d.any() else monte_carlo_permutation(d, iterations, seed)
 
 
-def lcg(seed: int, n: int) -> np.ndarray:
-    """n numbers in [0, 1) of the linear congruential generator of release reports."""
-    out, state = np.empty(n), seed & 0xFFFFFFFF
-    for i in range(n):
-        state = (1664525 * state + 1013904223) & 0xFFFFFFFF
-        out[i] = state / 4294967296.0
-    return out
+#: Factor and addend of the congruential generator of release reports.
+LCG = (1664525, 1013904223)
+
+
+def lcg_steps(n: int) -> tuple[int, int]:
+    """(factor, addend) of n steps of the generator at once, by halving."""
+    factor, addend, a, c = 1, 0, *LCG
+    while n:
+        if n & 1:
+            factor, addend = factor * a & 0xFFFFFFFF, (addend * a + c) & 0xFFFFFFFF
+        a, c, n = a * a & 0xFFFFFFFF, (a + 1) * c & 0xFFFFFFFF, n >> 1
+    return factor, addend
+
+
+def lcg(seed: int, n: int, skip: int = 0) -> np.ndarray:
+    """Numbers skip to skip + n in [0, 1) of the generator of release reports: it jumps to the first, and powers of its factor, which
+    wrap as its states do, give the others at once."""
+    factor, addend = lcg_steps(skip)
+    start = np.uint64((seed * factor + addend) & 0xFFFFFFFF)
+    powers = np.cumprod(np.full(n, LCG[0], np.uint64))
+    sums = np.cumsum(np.concatenate([[np.uint64(1)], powers[:-1]])) if n else powers
+    return ((powers * start + np.uint64(LCG[1]) * sums) & np.uint64(0xFFFFFFFF)) / 4294967296.0
 
 
 def bootstrap_interval(d: np.ndarray, iterations: int = 10_000, seed: int = COMPARISON_SEED, level: float = 0.95, generator=mulberry32) -> dict[str, float]:
@@ -213,22 +230,74 @@ def bootstrap_interval(d: np.ndarray, iterations: int = 10_000, seed: int = COMP
     return {"low": rank(alpha), "high": rank(1 - alpha), "bias": float(means.mean() - d.mean()), "se": float(means.std(ddof=1)) if iterations > 1 else 0.0}
 
 
+#: Numbers that a task draws at once: a block of iterations has so many, or one iteration.
+DRAWN = 2_000_000
+
+
+def dealt_iterations(groups: DataFrame, iterations: Column, draw, out: str) -> DataFrame:
+    """(key, first, out) for blocks of iterations of each group, dealt over the cluster; groups: (key, xs: the group's values in
+    order), draw(xs, first, m) gives a list of what a block of m iterations from the first on comes to, as `out` names it."""
+    size = F.greatest(F.lit(1), F.floor(F.lit(DRAWN) / F.greatest(F.lit(1), F.size("xs")))).cast("int")
+    starts = F.when(iterations > 0, F.sequence(F.lit(0), iterations - 1, size)).otherwise(F.array().cast("array<int>"))
+    blocks = groups.select("key", "xs", iterations.alias("all"), size.alias("size"), F.explode(starts).alias("first"))
+    dealt = blocks.repartition("key", "first")
+    kind = groups.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                xs, first = b.column(1)[i].values.to_numpy(), b.column(4)[i].as_py()
+                got = draw(xs, first, min(b.column(3)[i].as_py(), b.column(2)[i].as_py() - first))
+                n = len(got[0])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * n)), pa.array([first] * n, pa.int32()), *map(pa.array, got)], ["key", "first", *[c.split()[0] for c in out.split(", ")]])
+
+    return dealt.mapInArrow(run, f"key {kind}, first int, {out}")
+
+
+def resampled_means(xs: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Means of as many drawn samples as u has rows."""
+    return xs[(u * len(xs)).astype(int)].mean(axis=1)
+
+
 def compare_runs(metrics: DataFrame, metric: str, alpha: float = 0.05, iterations: int | None = None, query: str = "query_id", seed: int = COMPARISON_SEED) -> DataFrame:
     """(comparison, n, diff, p, low, high, significant): significant where p is below alpha and the interval excludes 0.
 
     metrics: (comparison, query, base, cand). Pairs with an undefined side are left out. The values of a comparison are one per
-    query, in order of the query, and are resampled in one task; comparisons are dealt out.
+    query, in order of the query. Iterations are dealt in blocks, each of which starts its generators where it stands in the
+    whole, so that a task draws a bounded number; results do not depend on the blocks. A comparison's means, one for each
+    iteration, are sorted together.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(query)
-        d = (pdf["cand"] - pdf["base"]).to_numpy(float)
-        p, ci = permutation_p(d, iterations or 100_000, seed), bootstrap_interval(d, iterations or 10_000, seed)
-        significant = bool(p < alpha and (ci["low"] > 0 or ci["high"] < 0))
-        return pd.DataFrame([{"comparison": pdf["comparison"].iloc[0], "n": len(d), "diff": d.mean(), "p": p, "low": ci["low"], "high": ci["high"], "significant": significant}])
-
-    both = metrics.filter("base is not null and cand is not null")
-    return both.groupBy("comparison").applyInPandas(run, "comparison string, n long, diff double, p double, low double, high double, significant boolean")
+    both = metrics.filter("base is not null and cand is not null").withColumn("d", F.col("cand").cast("double") - F.col("base").cast("double"))
+    groups = both.groupBy(F.col("comparison").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(query), "d"))), lambda x: x["d"]).alias("xs"))
+    n = F.size("xs")
+    few = (n <= EXACT) & F.exists("xs", lambda x: x != 0)
+    signs, draws = iterations or 100_000, iterations or 10_000
+
+    def extreme(xs: np.ndarray, first: int, m: int) -> list:
+        u = mulberry32(seed, m * len(xs), first * len(xs)).reshape(m, len(xs))
+        return [[int((np.abs(np.where(u < 0.5, xs, -xs).mean(axis=1)) >= abs(xs.mean()) - 1e-12).sum())]]
+
+    def means(xs: np.ndarray, first: int, m: int) -> list:
+        return [np.arange(first, first + m, dtype=np.int32), resampled_means(xs, mulberry32(seed, m * len(xs), first * len(xs)).reshape(m, len(xs)))]
+
+    drawn = F.when(few | ~F.exists("xs", lambda x: x != 0), 0).otherwise(signs)
+    extremes = dealt_iterations(groups, drawn, extreme, "extreme long").groupBy("key").agg(F.sum("extreme").alias("extreme"))
+    sampled = dealt_iterations(groups, F.lit(draws), means, "i int, mean double").groupBy("key").agg(F.sort_array(F.collect_list("mean")).alias("means"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs = [b.column(1)[i].values.to_numpy() for i in range(b.num_rows)]
+            p = [exact_sign_test(x) if len(x) <= EXACT and x.any() else None if x.any() else 1.0 for x in xs]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in xs]), pa.array([float(x.mean()) for x in xs]), pa.array(p, pa.float64())], ["key", "n", "diff", "exact"])
+
+    known = groups.mapInArrow(exact, f"comparison {groups.schema['key'].dataType.simpleString()}, n long, diff double, exact double")
+    rank = lambda q: F.get("means", F.lit(min(draws - 1, max(0, math.ceil(q * draws) - 1))))
+    tail = (1 - 0.95) / 2
+    for part in (sampled.withColumnRenamed("key", "__s"), extremes.withColumnRenamed("key", "__s")):
+        known = known.join(part, F.col("comparison").eqNullSafe(F.col("__s")), "left").drop("__s")
+    p = F.coalesce("exact", (F.coalesce("extreme", F.lit(0)) + 1) / (signs + 1))
+    out = known.select("comparison", "n", "diff", p.alias("p"), rank(tail).alias("low"), rank(1 - tail).alias("high"))
+    return out.withColumn("significant", (F.col("p") < alpha) & ((F.col("low") > 0) | (F.col("high") < 0)))
 
 
 def stratified(rows: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:

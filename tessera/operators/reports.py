@@ -6,12 +6,11 @@ import json
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ATOMIC_TOKEN, seeded, tokens
-from tessera.operators.evaluation import lcg
+from tessera.operators.evaluation import dealt_iterations, lcg
 
 #: Fixed value: the seed of release intervals.
 RELEASE_SEED = 0x5EED1234
@@ -100,16 +99,19 @@ def boundary(pairs: DataFrame) -> DataFrame:
 
 def release_intervals(values: DataFrame, by: str, value: str, order: str, samples: int = 1000, seed: int = RELEASE_SEED) -> DataFrame:
     """(by, n, mean, low, high): the interval of a mean by the report's own generator. A group has one value per query, in order of
-    the query, and is resampled in one task; null values are left out."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        picks = (lcg(seed, samples * len(x)) * len(x)).astype(int).reshape(samples, len(x))
-        means = np.sort(x[picks].sum(axis=1) / len(x))
-        return pd.DataFrame([{by: pdf[by].iloc[0], "n": len(x), "mean": x.sum() / len(x), "low": means[int(samples * 0.025)], "high": means[int(samples * 0.975)]}])
-
-    kind = values.schema[by].dataType.simpleString()
-    return values.filter(F.col(value).isNotNull()).select(by, value, order).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, mean double, low double, high double")
+    the query; null values are left out. Samples are dealt in blocks, each of which starts the generator where it stands in
+    the whole; a group's means, one a sample, are sorted together."""
+    given = values.filter(F.col(value).isNotNull())
+    groups = given.groupBy(F.col(by).alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("x")))), lambda v: v["x"]).alias("xs"))
+
+    def draw(xs: np.ndarray, first: int, m: int) -> list:
+        picks = (lcg(seed, m * len(xs), first * len(xs)) * len(xs)).astype(int).reshape(m, len(xs))
+        return [xs[picks].sum(axis=1) / len(xs)]
+
+    means = dealt_iterations(groups, F.lit(samples), draw, "mean double").groupBy("key").agg(F.sort_array(F.collect_list("mean")).alias("means"))
+    facts = groups.select(F.col("key").alias("k"), F.size("xs").cast("long").alias("n"), (F.aggregate("xs", F.lit(0.0), lambda a, x: a + x) / F.size("xs")).alias("mean"))
+    joined = facts.join(means.withColumnRenamed("key", "__m"), F.col("k").eqNullSafe(F.col("__m")))
+    return joined.select(F.col("k").alias(by), "n", "mean", F.get("means", F.lit(int(samples * 0.025))).alias("low"), F.get("means", F.lit(int(samples * 0.975))).alias("high"))
 
 
 def profile_facts(results: DataFrame, records: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame:

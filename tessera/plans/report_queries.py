@@ -99,9 +99,21 @@ def e6_boundary(spark, d):
     return rounded(P.boundary(graded(spark, d)), "disagreement_rate")
 
 
-@register("e9_release_intervals")
+def _lcg_sql(doublings: int = 18) -> str:
+    """States 0 to 2^doublings of the release report's generator: each step appends all states so far, moved on by as many steps."""
+    a, c = E.LCG
+    parts = [f"l0 AS (SELECT 0::BIGINT AS i, {(P.RELEASE_SEED * a + c) % 2**32}::HUGEINT AS s)"]
+    for j in range(doublings):
+        a, c = E.lcg_steps(2**j)
+        parts.append(f"l{j + 1} AS (SELECT * FROM l{j} UNION ALL SELECT i + {2**j}, (s * {a} + {c}) % 4294967296 FROM l{j})")
+    return ", ".join(parts)
+
+
+@register("e9_release_intervals", f"""WITH {_lcg_sql()}, m AS ({Q._metrics_sql('NULL')}), x AS (SELECT query_id % 3 AS class, ndcg AS v, row_number() OVER (PARTITION BY query_id % 3 ORDER BY query_id) - 1 AS i FROM m WHERE k = 5 AND ndcg IS NOT NULL), n AS (SELECT class, count(*) AS n, avg(v) AS mean FROM x GROUP BY 1),
+ d AS (SELECT class, n, l.i // n AS sample, CAST(floor(l.s::DOUBLE / 4294967296 * n) AS BIGINT) AS pick FROM l18 l, n WHERE l.i < 1000 * n), s AS (SELECT d.class, sample, sum(v) / any_value(n) AS mean FROM d JOIN x ON x.class = d.class AND x.i = d.pick GROUP BY 1, 2), o AS (SELECT class, list(mean ORDER BY mean) AS means FROM s GROUP BY 1)
+ SELECT n.class, n, round(mean, 6) AS mean, round(means[26], 6) AS low, round(means[976], 6) AS high FROM n JOIN o USING (class)""")
 def e9_release_intervals(spark, d):
-    return P.release_intervals(scores(spark, d, False).filter("k = 5"), "class", "ndcg", "query_id")
+    return rounded(P.release_intervals(scores(spark, d, False).filter("k = 5"), "class", "ndcg", "query_id"), "mean", "low", "high")
 
 
 _MULBERRY = "(xor(t3, t3 >> 14) / 4294967296.0)"

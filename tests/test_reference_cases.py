@@ -225,3 +225,36 @@ def test_external_details(spark):
         assert (x.tags, x.categories, x.accepts, x.payment, x.completeness, x.grade) == ([], [], [], "unknown", 0.0, None)
     b = got[5]
     assert (b.tags, b.categories, b.provider_score, b.payment) == (["one"], ["x"], 0.0, "pass") and b.accepts[0].max_timeout_seconds is None
+
+
+def test_generators_start_anywhere():
+    state, steps = 0x5EED1234, []
+    for _ in range(500):
+        state = (1664525 * state + 1013904223) % 2**32
+        steps.append(state / 2**32)
+    assert evaluation.lcg(0x5EED1234, 500).tolist() == steps
+    for skip, n in ((0, 0), (1, 7), (123, 377), (499, 1)):
+        assert evaluation.lcg(0x5EED1234, n, skip).tolist() == steps[skip : skip + n]
+        assert evaluation.mulberry32(7, n, skip).tolist() == evaluation.mulberry32(7, 500)[skip : skip + n].tolist()
+    a, c = evaluation.lcg_steps(10**15)
+    b, e = evaluation.lcg_steps(10**15 - 1)
+    assert (a, c) == (b * 1664525 % 2**32, (e * 1664525 + 1013904223) % 2**32)
+
+
+@pytest.mark.parametrize("drawn", [2_000_000, 100])
+def test_resampling_does_not_depend_on_its_blocks(spark, monkeypatch, drawn):
+    monkeypatch.setattr(evaluation, "DRAWN", drawn)
+    rng = np.random.default_rng(4)
+    long, short, flat = rng.standard_normal(30) + 0.3, rng.standard_normal(6), np.zeros(25)
+    rows = [(c, i, 0.0, float(x)) for c, xs in (("long", long), ("short", short), ("flat", flat), (None, long[:22])) for i, x in enumerate(xs)] + [("long", 99, None, 1.0)]
+    got = {r.comparison: r for r in evaluation.compare_runs(spark.createDataFrame(rows, "comparison string, query_id long, base double, cand double"), "m", iterations=400).collect()}
+    for name, xs in (("long", long), ("short", short), ("flat", flat), (None, long[:22])):
+        ci = evaluation.bootstrap_interval(xs, 400)
+        r = got[name]
+        assert (r.n, r.diff, r.p, r.low, r.high) == (len(xs), xs.mean(), evaluation.permutation_p(xs, 400, evaluation.COMPARISON_SEED), ci["low"], ci["high"])
+    values = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(long)], "g string, q int, v double")
+    picks = (evaluation.lcg(reports.RELEASE_SEED, 1000 * 30) * 30).astype(int).reshape(1000, 30)
+    means = np.sort(long[picks].sum(axis=1) / 30)
+    r = reports.release_intervals(values, "g", "v", "q").first()
+    assert (r.low, r.high) == (means[25], means[975])
+    assert evaluation.compare_runs(spark.createDataFrame([], "comparison string, query_id long, base double, cand double"), "m").count() == 0
