@@ -15,6 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import materialize, small_batches
 from .shingles import mix
@@ -96,6 +97,7 @@ def _bytes(text: str | None) -> bytes:
 
 def _runs(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     """(digest, id, n): each different run of a document and how often it has it."""
+    whole = isinstance(docs.schema[key].dataType, IntegralType)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,7 +109,7 @@ def _runs(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                 counts.append(n)
                 ids += [i] * len(d)
             if found:
-                yield pd.DataFrame({"digest": np.concatenate(found), "id": pd.Series(ids, dtype=object), "n": np.concatenate(counts)})
+                yield pd.DataFrame({"digest": np.concatenate(found), "id": ids if whole else pd.Series(ids, dtype=object), "n": np.concatenate(counts)})
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInPandas(run, f"digest long, id {kind}, n int")
