@@ -224,6 +224,51 @@ def recommendation_facts(top: DataFrame, records: DataFrame, judgments: DataFram
     return facts.crossJoin(most).select("shown", "violations", "unsafe", "unjudged", share("cold").alias("cold_share"), share("most").alias("concentration"))
 
 
+def _rate(flag: Column) -> Column:
+    """Share of true where a flag is known; 0 where it is nowhere."""
+    return F.coalesce(F.avg(flag.cast("int")), F.lit(0.0))
+
+
+def operational_metrics(outcomes: DataFrame) -> DataFrame:
+    """One row over the outcomes that were attempted: rates, mean and 95th percentile of latency, mean cost; selected counts all outcomes.
+
+    outcomes: attempted, selected, payment_verification, settlement, invocation (texts), response_valid, task_success (null:
+    unknown), latency_ms, total_cost_usd. A verification, settlement or invocation that is not known has not passed. What is
+    asked of nothing is 0. The percentile is the nearest rank.
+    """
+    c = F.col
+    tried = outcomes.filter("attempted")
+    passed = lambda n: _rate(F.coalesce(c(n) == "pass", F.lit(False)))
+    facts = tried.agg(
+        F.count("*").alias("attempted"), passed("payment_verification").alias("payment_verification_rate"), passed("settlement").alias("settlement_rate"), passed("invocation").alias("invocation_rate"), _rate(c("response_valid")).alias("response_valid_rate"), _rate(c("task_success")).alias("task_success_rate"),
+        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("mean_latency_ms"), F.coalesce(F.expr("percentile_disc(0.95) within group (order by latency_ms)").cast("double"), F.lit(0.0)).alias("p95_latency_ms"), F.coalesce(F.avg("total_cost_usd"), F.lit(0.0)).alias("mean_cost_usd"),
+    )
+    return facts.crossJoin(outcomes.agg(F.count_if("selected").alias("selected")))
+
+
+def failure_reasons(outcomes: DataFrame) -> DataFrame:
+    """(failure_reason, n) of the outcomes that were attempted and tell one."""
+    return outcomes.filter(F.col("attempted") & (F.coalesce("failure_reason", F.lit("")) != "")).groupBy("failure_reason").agg(F.count("*").alias("n"))
+
+
+def class_metrics(queries: DataFrame, metrics: DataFrame, runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(class, queries, evaluable, ndcg_at_5, task_success_rate) by class of query.
+
+    queries: (query, class); metrics: (query, relevant, ndcg) at a cutoff of 5; runs: (query, key, rank, selected: null or
+    whether it was taken); outcomes: (query, key, seq, task_success). A query is evaluable if a relevant result is judged; nDCG is
+    the mean over these, an undefined one as 0. A query's outcome is the first, by seq, of its selected result, or of the first
+    result where none was selected; success is the share of true among known outcomes. Means and rates of nothing are 0.
+    """
+    taken = runs.groupBy("query").agg(F.min_by("key", F.struct(~F.coalesce("selected", F.lit(False)), "rank")).alias("key"))
+    first = outcomes.groupBy("query", "key").agg(F.min_by(F.struct("task_success"), "seq").alias("o"))
+    told = taken.join(first, ["query", "key"]).select("query", F.col("o.task_success").alias("success"))
+    rows = queries.select("query", "class").join(metrics.select("query", "relevant", "ndcg"), "query", "left").join(told, "query", "left")
+    evaluable = F.coalesce(F.col("relevant") > 0, F.lit(False))
+    return rows.groupBy("class").agg(
+        F.count("*").alias("queries"), F.count_if(evaluable).alias("evaluable"), F.coalesce(F.avg(F.when(evaluable, F.coalesce("ndcg", F.lit(0.0)))), F.lit(0.0)).alias("ndcg_at_5"), _rate(F.col("success")).alias("task_success_rate")
+    )
+
+
 def family_gates(members: DataFrame, family: str, capability: str, size: int) -> DataFrame:
     """(family, n, capabilities, passed): families must have `size` members of as many different capabilities."""
     per = members.groupBy(family).agg(F.count("*").alias("n"), F.count_distinct(capability).alias("capabilities"))

@@ -13,6 +13,7 @@ from tessera.operators import records as R
 from tessera.operators import reports as P
 from tessera.plans import retrieval_queries as Q
 from tessera.sources import views as V
+from tessera.sources.scratch import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -279,6 +280,32 @@ def e18_recommendations(spark, d):
     return rounded(P.recommendation_facts(results, catalog, judged), "cold_share", "concentration")
 
 
+@register("e18_by_class", f"""WITH {Q._BM25}, m AS ({Q._metrics_sql('NULL')}), t AS (SELECT item_id AS query, arg_min(doc_id, rank + CASE WHEN doc_id % 4 = 1 THEN 0 ELSE 1000 END) AS key FROM lex GROUP BY 1), x AS (SELECT item_id AS query, item_id % 3 AS class, relevant, ndcg, CASE key % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS success FROM benchmark LEFT JOIN m ON m.query_id = item_id AND k = 5 LEFT JOIN t ON t.query = item_id)
+ SELECT class, count(*) AS queries, count(*) FILTER (WHERE relevant > 0) AS evaluable, round(coalesce(avg(coalesce(ndcg, 0)) FILTER (WHERE relevant > 0), 0), 6) AS ndcg_at_5, round(coalesce(avg(success), 0), 6) AS task_success_rate FROM x GROUP BY 1""")
+def e18_by_class(spark, d):
+    k = F.col("doc_id")
+    ranked = written(Q.lexical(spark, d), "run")
+    run = ranked.select(F.col("item_id").alias("query"), k.alias("key"), "rank", F.when(k % 4 == 1, True).alias("selected"))
+    told = F.when(k % 3 == 0, True).when(k % 3 == 1, False)
+    outcomes = ranked.select(F.col("item_id").alias("query"), k.alias("key"), F.lit(1).alias("seq"), told.alias("task_success")).unionByName(ranked.select(F.col("item_id").alias("query"), k.alias("key"), F.lit(2).alias("seq"), F.lit(True).alias("task_success")))
+    queries = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") % 3).alias("class"))
+    metrics = Q._shown(Q.metrics(spark, d, False)).filter("k = 5").select(F.col("query_id").alias("query"), "relevant", "ndcg")
+    return rounded(P.class_metrics(queries, metrics, run, outcomes), "ndcg_at_5", "task_success_rate")
+
+
+@register("e18_operational", """WITH o AS (SELECT *, l_returnflag <> 'R' AS attempted FROM lineitem), a AS (SELECT * FROM o WHERE attempted)
+ SELECT count(*) AS attempted, round(avg((l_linestatus = 'O')::INT), 6) AS payment_verification_rate, round(avg((l_quantity > 10)::INT), 6) AS settlement_rate, round(avg((l_linenumber > 1)::INT), 6) AS invocation_rate, round(avg(CASE WHEN l_linenumber <> 2 THEN (l_suppkey % 3 = 0)::INT END), 6) AS response_valid_rate, round(avg(CASE WHEN l_linenumber <> 3 THEN (l_partkey % 4 = 0)::INT END), 6) AS task_success_rate,
+ round(avg(CASE WHEN l_linenumber <> 4 THEN l_quantity END), 6) AS mean_latency_ms, quantile_disc(CASE WHEN l_linenumber <> 4 THEN l_quantity END, 0.95)::DOUBLE AS p95_latency_ms, round(avg(l_discount), 6) AS mean_cost_usd, (SELECT count(*) FROM o WHERE l_tax > 0.04) AS selected FROM a""")
+def e18_operational(spark, d):
+    c, n = F.col, F.col("l_linenumber")
+    word = lambda x: F.when(x, "pass").otherwise("fail")
+    outcomes = V.read(spark, d, "lineitem").select(
+        (c("l_returnflag") != "R").alias("attempted"), (c("l_tax") > 0.04).alias("selected"), word(c("l_linestatus") == "O").alias("payment_verification"), word(c("l_quantity") > 10).alias("settlement"), F.when(n > 1, "pass").alias("invocation"),
+        F.when(n != 2, c("l_suppkey") % 3 == 0).alias("response_valid"), F.when(n != 3, c("l_partkey") % 4 == 0).alias("task_success"), F.when(n != 4, c("l_quantity")).alias("latency_ms"), c("l_discount").alias("total_cost_usd"),
+    )
+    return rounded(P.operational_metrics(outcomes), "payment_verification_rate", "settlement_rate", "invocation_rate", "response_valid_rate", "task_success_rate", "mean_latency_ms", "mean_cost_usd")
+
+
 @register("e26_input_issues", """WITH q AS (SELECT item_id AS query FROM benchmark), r AS (SELECT 's' || doc_id % 3 AS system, doc_id % 45 AS query, doc_id % 100 AS key, doc_id % 10 AS rank FROM documents), sq AS (SELECT DISTINCT system, query FROM r), g AS (SELECT DISTINCT system, q.query FROM r, q)
  SELECT 'missing_query' AS issue, count(*) AS n FROM g WHERE (system, query) NOT IN (SELECT (system, query) FROM sq) UNION ALL SELECT 'unknown_query', count(*) FROM sq WHERE query NOT IN (SELECT query FROM q) UNION ALL SELECT 'repeated_rank', count(*) FROM (SELECT 1 FROM r GROUP BY system, query, rank HAVING count(*) > 1) UNION ALL
  SELECT 'repeated_result', count(*) FROM (SELECT 1 FROM r GROUP BY system, query, key HAVING count(*) > 1) UNION ALL SELECT 'repeated_judgment', count(*) FROM (SELECT 1 FROM labels GROUP BY doc_id % 5, doc_id % 70 HAVING count(*) > 1)""")

@@ -258,3 +258,23 @@ def test_resampling_does_not_depend_on_its_blocks(spark, monkeypatch, drawn):
     r = reports.release_intervals(values, "g", "v", "q").first()
     assert (r.low, r.high) == (means[25], means[975])
     assert evaluation.compare_runs(spark.createDataFrame([], "comparison string, query_id long, base double, cand double"), "m").count() == 0
+
+
+def test_recommendation_report_by_class_and_operation(spark):
+    schema = "query int, key string, seq int, attempted boolean, selected boolean, payment_verification string, settlement string, invocation string, response_valid boolean, task_success boolean, latency_ms double, total_cost_usd double, failure_reason string"
+    rows = [
+        (1, "a", 1, True, True, "pass", "pass", "pass", True, True, 10.0, 0.5, None), (1, "a", 2, True, False, "pass", "fail", None, None, False, 30.0, None, "late"), (2, "b", 1, True, False, "fail", None, "fail", False, None, None, 0.1, "late"),
+        (3, "c", 1, False, True, "pass", "pass", "pass", True, True, 99.0, 9.0, "unseen"), (4, "d", 1, True, False, "pass", "pass", "pass", True, False, 20.0, 0.0, ""),
+    ]
+    o = spark.createDataFrame(rows, schema)
+    got = reports.operational_metrics(o).first()
+    assert (got.attempted, got.selected, got.payment_verification_rate, got.settlement_rate, got.invocation_rate) == (4, 2, 0.75, 0.5, 0.5)
+    assert (got.response_valid_rate, got.task_success_rate, got.mean_latency_ms, got.p95_latency_ms, got.mean_cost_usd) == (pytest.approx(2 / 3), pytest.approx(1 / 3), 20.0, 30.0, pytest.approx(0.2))
+    assert [tuple(r) for r in reports.failure_reasons(o).collect()] == [("late", 2)]
+    nothing = reports.operational_metrics(o.limit(0)).first()
+    assert list(nothing) == [0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0]
+    queries = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "z")], "query int, class string")
+    metrics = spark.createDataFrame([(1, 2, 0.5), (2, 1, None), (3, 0, None), (4, 1, 1.0)], "query int, relevant int, ndcg double")
+    runs = spark.createDataFrame([(1, "a", 1, None), (2, "q", 1, None), (2, "b", 2, True), (3, "c", 1, False), (4, "d", 1, None), (4, "e", 2, None)], "query int, key string, rank int, selected boolean")
+    by = {r["class"]: tuple(r)[1:] for r in reports.class_metrics(queries, metrics, runs, o).collect()}
+    assert by == {"x": (2, 2, 0.25, 1.0), "y": (2, 1, 1.0, 0.5), "z": (1, 0, 0.0, 0.0)}
