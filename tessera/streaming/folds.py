@@ -133,9 +133,11 @@ def catalog_observation() -> Fold:
 
 
 def last_write(facts: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last state of each key: repeated and out-of-date writes fall away."""
+    """The last state of each key: repeated and out-of-date writes fall away; of writes of one order the greatest row counts, column by
+    column, so that the result does not depend on how rows are dealt out."""
     rest = [c for c in facts.columns if c not in key]
-    return facts.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("l")).select(*key, "l.*")
+    latest = F.max(F.struct(F.col(order).alias("order"), F.struct(*rest).alias("row"))).alias("l")
+    return facts.groupBy(*key).agg(latest).select(*key, "l.row.*")
 
 
 def retractions(facts: DataFrame, key: list[str], order: str, dimensions: list[str], amount: str) -> DataFrame:

@@ -278,3 +278,12 @@ def test_recommendation_report_by_class_and_operation(spark):
     runs = spark.createDataFrame([(1, "a", 1, None), (2, "q", 1, None), (2, "b", 2, True), (3, "c", 1, False), (4, "d", 1, None), (4, "e", 2, None)], "query int, key string, rank int, selected boolean")
     by = {r["class"]: tuple(r)[1:] for r in reports.class_metrics(queries, metrics, runs, o).collect()}
     assert by == {"x": (2, 2, 0.25, 1.0), "y": (2, 1, 1.0, 0.5), "z": (1, 0, 0.0, 0.0)}
+
+
+def test_last_write_of_equal_orders(spark):
+    rows = [(1, 5, "b", 2), (1, 5, "c", 1), (1, 4, "z", 9), (2, None, "n", 1), (None, 1, "k", 3)]
+    df = spark.createDataFrame(rows, "id int, at int, name string, v int")
+    want = {(1, 5, "c", 1), (2, None, "n", 1), (None, 1, "k", 3)}
+    for parts in (1, 4):
+        got = folds.last_write(df.repartition(parts), ["id"], "at")
+        assert got.columns == df.columns and {tuple(r) for r in got.collect()} == want
