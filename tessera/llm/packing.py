@@ -102,16 +102,11 @@ class WordIds:
         if len(self.memo) > MEMO_WORDS:
             self.old, self.memo = self.memo, {}
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        # each word is looked up once; only those that are new are looked up again
-        found = [list(map(self.memo.get, ws)) for ws in split]
-        gaps = [[j for j, x in enumerate(f) if x is None] for f in found]
-        if new := {ws[j] for ws, js in zip(split, gaps, strict=True) for j in js}:
+        new = set().union(*split).difference(self.memo)
+        if new:
             self._learn(new)
         get, end = self.memo.__getitem__, END_ID.to_bytes(4, "little")
-        for ws, f, js in zip(split, found, gaps, strict=True):
-            for j in js:
-                f[j] = get(ws[j])
-        return [b"".join(f) + end for f in found]
+        return [b"".join(map(get, ws)) + end for ws in split]
 
 
 @dataclass
