@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -310,9 +309,8 @@ def x13_reservations(spark, d):
     kind = F.when(F.col("l_returnflag") == "R", "reserve").when(F.col("l_returnflag") == "A", "settle").otherwise("release")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "payment", "l_quantity", "l_returnflag"]
     rows = V.read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("agent"), F.col("l_partkey").alias("payment"), kind.alias("kind"), F.col("l_quantity").cast("bigint").alias("amount"), "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    numbered = rows.withColumn("id", F.row_number().over(Window.partitionBy("agent").orderBy(*order)).cast("long") * 50 + F.col("agent"))
-    folded = S.fold_batch(numbered, "agent", order, S.reservations(), "id long, reserved long, settled long")
-    return folded.groupBy((F.col("id") % 50).alias("agent")).agg(F.max_by("reserved", "id").alias("reserved"), F.max_by("settled", "id").alias("settled"))
+    changes = S.reservation_changes(rows, "agent", order)
+    return changes.groupBy("agent").agg(F.sum("reserved").alias("reserved"), F.sum("settled").alias("settled"))
 
 
 @register("d12_site_events", """WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'impression' ELSE event_type END AS kind, 'visitor-' || repeat('0', (event_id % 20)::INT) || user_id AS visitor, CASE WHEN event_id % 7 = 0 THEN 'x/' || event_type WHEN event_id % 7 = 1 THEN '/a b' ELSE '/' || event_type || '/' || user_id END AS path, CASE event_id % 5 WHEN 0 THEN 'Bad Key' WHEN 1 THEN 'key-1' END AS element FROM events)

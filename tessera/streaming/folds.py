@@ -97,23 +97,42 @@ def period_budget(limit: int, period: int) -> Fold:
 
 
 def reservations() -> Fold:
-    """reserve, settle, release, unknown by payment id; repeats change nothing. Gives the reserved and settled sums of the key."""
+    """reserve, settle, release, unknown by payment id; repeats change nothing. Gives the reserved and settled sums of the key; each
+    event changes the sums by its own payment, so that its time does not depend on how many are open."""
 
     def step(state: dict | None, e: dict) -> tuple[dict, dict]:
         s = state or {"held": {}, "done": {}, "settled": 0}
+        # a state that was kept without the sum of the open payments gets it once
+        if "reserved" not in s:
+            s["reserved"] = sum(s["held"].values())
         p, kind, amount = str(e["payment"]), e["kind"], int(e["amount"])
         if kind == "reserve" and p not in s["held"] and p not in s["done"]:
             s["held"][p] = amount
+            s["reserved"] += amount
         elif kind in ("settle", "release") and p in s["held"]:
-            s["held"].pop(p)
+            s["reserved"] -= s["held"].pop(p)
             s["done"][p] = kind
             s["settled"] += amount if kind == "settle" else 0
         # an unknown outcome keeps its reservation
-        return s, {"id": int(e["id"]), "reserved": sum(s["held"].values()), "settled": s["settled"]}
+        return s, {"id": int(e["id"]), "reserved": s["reserved"], "settled": s["settled"]}
 
     return step
 
 
+def reservation_changes(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """events (key, payment, kind, amount) with what each adds to its key's reserved and settled sums, which are the sums of these
+    columns over the key's events so far; as reservations(). Payments of a key do not touch each other, so that each is a window of
+    its own and a key with most of all events is dealt to tasks."""
+    so_far = Window.partitionBy(key, "payment").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    kind, amount = F.col("kind"), F.col("amount")
+    reserves = events.withColumn("__reserves", F.count_if(kind == "reserve").over(so_far))
+    closing = kind.isin("settle", "release") & (F.col("__reserves") > 0)
+    seen = reserves.withColumns({"__closings": F.count_if(closing).over(so_far), "__held": F.first(F.when(kind == "reserve", amount), ignorenulls=True).over(so_far)})
+    opens, closes = (kind == "reserve") & (F.col("__reserves") == 1), closing & (F.col("__closings") == 1)
+    reserved = F.when(opens, amount).when(closes, -F.col("__held")).otherwise(0)
+    return seen.withColumns({"reserved": reserved, "settled": F.when(closes & (kind == "settle"), amount).otherwise(0)}).drop("__reserves", "__closings", "__held")
+
+
 def catalog_observation() -> Fold:
     """create, refresh, version or quarantine: the first owner keeps a resource; another owner's declaration is quarantined; the
     same declaration refreshes; a changed one of the owner appends a version."""
