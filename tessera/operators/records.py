@@ -145,8 +145,11 @@ def first_category(text: Column, keywords: dict[str, list[str]], default: str =
 
 def overlap_score(query: Column, name: Column, text: Column, categories: Column) -> Column:
     """Query tokens (repeats count) that the text has, 2 where a category is a query token, 1 where a query token is part of the name."""
-    q = tokens(query, WORD_TOKEN)
-    have = tokens(text, WORD_TOKEN)
+    return token_overlap(tokens(query, WORD_TOKEN), name, tokens(text, WORD_TOKEN), categories)
+
+
+def token_overlap(q: Column, name: Column, have: Column, categories: Column) -> Column:
+    """overlap_score() of tokens that are there already."""
     in_category = F.exists(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.array_contains(q, F.lower(c)))
     in_name = F.exists(q, lambda w: F.contains(F.lower(F.coalesce(name, F.lit(""))), w))
     return F.size(F.filter(q, lambda w: F.array_contains(have, w))) + F.when(in_category, 2).otherwise(0) + F.when(in_name, 1).otherwise(0)
@@ -176,8 +179,8 @@ def resource_eligibility(filters: Column) -> Column:
     )
 
 
-#: Queries that meet all resources at once; larger sets are taken in blocks.
-RANKED_QUERIES = 1_000
+#: Queries that meet all resources at once, larger sets are taken in blocks; and pairs of both that a task scores and sorts, about.
+RANKED_QUERIES, RANKED_PAIRS = 1_000, 500_000
 
 
 def ranked_resources(resources: DataFrame, queries: DataFrame, limit: int = 100) -> DataFrame:
@@ -186,20 +189,24 @@ def ranked_resources(resources: DataFrame, queries: DataFrame, limit: int = 100)
 
     resources: resource_id, service_name, description, resource, tags, categories, accepts, status, safety, liveness, transport;
     queries: query_id, text, filters. Null texts have no tokens, null filters ask for nothing. A block of counted size of
-    queries is broadcast; each task keeps its first `limit` of a query before anything is shuffled.
+    queries is broadcast; each task keeps its first `limit` of a query before anything is shuffled. Resources are dealt by their counted
+    number, so that a task has about RANKED_PAIRS pairs to sort; tokens are taken once a resource and once a query.
     """
     c = F.col
     options = F.flatten(F.transform(F.coalesce("accepts", F.array().cast(resources.schema["accepts"].dataType)), lambda o: F.array(o["scheme"], o["network"], o["asset"])))
     lists = [F.coalesce(x, F.array().cast("array<string>")) for x in (c("tags"), c("categories"), options)]
-    rows = resources.withColumn("__text", F.concat_ws(" ", "service_name", "description", "resource", *lists))
-    blocks = -(-queries.count() // RANKED_QUERIES) or 1
-    asked = queries.select("query_id", "text", F.coalesce("filters", F.create_map().cast("map<string,string>")).alias("filters"))
+    have = tokens(F.concat_ws(" ", "service_name", "description", "resource", *lists), WORD_TOKEN)
+    n_queries, n_resources = queries.count(), resources.count()
+    blocks = -(-n_queries // RANKED_QUERIES) or 1
+    tasks = -(-n_resources * -(-n_queries // blocks) // RANKED_PAIRS) or 1
+    rows = resources.repartition(tasks, F.xxhash64("resource_id", "service_name")).withColumn("__have", have)
+    asked = queries.select("query_id", tokens(c("text"), WORD_TOKEN).alias("__asked"), F.coalesce("filters", F.create_map().cast("map<string,string>")).alias("filters"))
     order = Window.partitionBy("query_id").orderBy(F.desc(c("eligibility") == "eligible"), F.desc("score"), "resource_id")
     parts = []
     for n in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        met = rows.join(F.broadcast(block.withColumnRenamed("text", "__query")))
-        scored = met.select("query_id", "resource_id", resource_eligibility(c("filters")).alias("eligibility"), overlap_score(c("__query"), c("service_name"), c("__text"), c("categories")).cast("long").alias("score"))
+        met = rows.join(F.broadcast(block))
+        scored = met.select("query_id", "resource_id", resource_eligibility(c("filters")).alias("eligibility"), token_overlap(c("__asked"), c("service_name"), c("__have"), c("categories")).cast("long").alias("score"))
         parts.append(scored.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= limit))
     return reduce(DataFrame.unionByName, parts)
 

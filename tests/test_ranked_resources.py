@@ -32,3 +32,17 @@ def test_order_and_reasons(spark, monkeypatch, block):
     assert reasons("null")["r7"] == "eligible" and all(s == 0 for *_, s in got["null"])
     assert records.ranked_resources(resources, queries, 2).count() == 2 * len(QUERIES)
     assert records.ranked_resources(resources.limit(0), queries).count() == 0 and records.ranked_resources(resources, queries.limit(0)).count() == 0
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(records, "RANKED_PAIRS", 60, raising=False)
+    many = [(f"x{i:03}", f"weather {i % 3}", None, None, [], [], OPTION, "active", None, None, "http") for i in range(120)]
+    resources, queries = spark.createDataFrame(many, RESOURCES).coalesce(1), spark.createDataFrame(QUERIES, "query_id string, text string, filters map<string,string>")
+    spark.sparkContext.setJobGroup("ranked", "ranked")
+    got = records.ranked_resources(resources, queries, 3)
+    assert sorted(r.resource_id for r in got.filter("query_id = 'all'").collect()) == ["x000", "x001", "x002"]
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("ranked") for s in status.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 720 pairs are sorted by 12 tasks
+    assert max(s.numTasks for s in stages if s) == 12
