@@ -390,17 +390,28 @@ EXTERNAL_FIELDS = {
 def external_record(body: Column, fields: dict[str, tuple[str, ...]] | None = None) -> Column:
     """struct of an external record's fields, each the first of its names that holds a value that is not blank; url is normalised and null
     where it is no URL; key is its transport and URL; liveness, safety and status follow from the record's flags."""
+    from tessera.functions.json_schema import let
     from tessera.functions.urls import normalize
 
-    at = lambda n: F.nullif(F.trim(F.get_json_object(body, f"$.{n}")), F.lit(""))
-    picked = {k: F.coalesce(*map(at, names)) for k, names in (fields or EXTERNAL_FIELDS).items()}
-    told = F.lower(F.coalesce(*map(at, ("type", "transport", "metadata.type", "metadata.transport"))))
-    transport = F.when(told.isin("http", "mcp", "a2a"), told).when(F.contains(told, F.lit("mcp")), "mcp").when(F.contains(told, F.lit("a2a")) | F.contains(told, F.lit("agent")), "a2a").otherwise("http")
-    flag = lambda names, good, bad: F.when(F.coalesce(*map(at, names)).isin("true", "pass", *good), "pass").when(F.coalesce(*map(at, names)).isin("false", "fail", *bad), "fail").otherwise("unknown")
-    live, safe = flag(("liveness", "healthy", "health.status", "health.healthy"), ["healthy"], ["unhealthy"]), flag(("safety", "safetyStatus", "safety_status"), ["safe"], ["unsafe"])
-    status = F.when(safe == "fail", "unsafe").when(live == "fail", "unreachable").when((at("stale") == "true") | (at("status") == "stale"), "stale").when(live == "pass", "active").otherwise("unknown")
-    url = normalize(picked["url"])
-    return F.struct(url.alias("url"), F.concat(transport, F.lit(":"), url).alias("key"), F.substring(picked["name"], 1, 512).alias("name"), F.substring(picked["description"], 1, 8000).alias("description"), picked["updated"].alias("updated"), live.alias("liveness"), safe.alias("safety"), status.alias("status"))
+    # a name is looked up once at most: each look-up reads the body anew
+    at = lambda n: let(F.trim(F.get_json_object(body, f"$.{n}")), lambda t: F.when(t != "", t))
+    first = lambda names: F.coalesce(*map(at, names))
+    given = {k: first(names) for k, names in (fields or EXTERNAL_FIELDS).items()}
+    given |= {"__told": F.lower(first(("type", "transport", "metadata.type", "metadata.transport")))}
+    given |= {"__live": first(("liveness", "healthy", "health.status", "health.healthy")), "__safe": first(("safety", "safetyStatus", "safety_status"))}
+    flag = lambda x, good, bad: F.when(x.isin("true", "pass", good), "pass").when(x.isin("false", "fail", bad), "fail").otherwise("unknown")
+
+    def judged(f: Column) -> Column:
+        told = f["__told"]
+        transport = F.when(told.isin("http", "mcp", "a2a"), told).when(F.contains(told, F.lit("mcp")), "mcp").when(F.contains(told, F.lit("a2a")) | F.contains(told, F.lit("agent")), "a2a").otherwise("http")
+        seen = F.struct(normalize(f["url"]).alias("url"), flag(f["__live"], "healthy", "unhealthy").alias("live"), flag(f["__safe"], "safe", "unsafe").alias("safe"))
+        return let(seen, lambda s: record(f, transport, s["url"], s["live"], s["safe"]))
+
+    def record(f: Column, transport: Column, url: Column, live: Column, safe: Column) -> Column:
+        status = F.when(safe == "fail", "unsafe").when(live == "fail", "unreachable").when((at("stale") == "true") | (at("status") == "stale"), "stale").when(live == "pass", "active").otherwise("unknown")
+        return F.struct(url.alias("url"), F.concat(transport, F.lit(":"), url).alias("key"), F.substring(f["name"], 1, 512).alias("name"), F.substring(f["description"], 1, 8000).alias("description"), f["updated"].alias("updated"), live.alias("liveness"), safe.alias("safety"), status.alias("status"))
+
+    return let(F.struct(*[c.alias(k) for k, c in given.items()]), judged)
 
 
 def external_details(body: Column) -> Column:

@@ -407,7 +407,7 @@ def d6_external_records(spark, d):
         F.when(k % 3 == 0, text('"description":"","metadata":{"description":"meta"},')).otherwise(field("description", text("own"))), F.when(k % 5 == 0, field("updatedAt", text("2024"))).otherwise(""),
         F.when(z % 3 == 0, text('"healthy":true,')).when(z % 3 == 1, text('"health":{"status":"unhealthy"},')).otherwise(""), F.when(z % 10 == 0, field("safetyStatus", text("unsafe"))).when(z % 10 == 1, text('"safety":true,')).otherwise(""), F.when(k % 7 == 0, text('"stale":true,')).otherwise(""), _details(k, z), text('"end":0}'),
     )
-    bodies = V.read(spark, d, "part").select("p_partkey", body.alias("body"))
+    bodies = V.dealt(V.read(spark, d, "part"), 20_000, "p_partkey").select("p_partkey", body.alias("body"))
     found = bodies.select("p_partkey", P.external_record(F.col("body")).alias("r"), P.external_details(F.col("body")).alias("q")).select("p_partkey", "r.*", "q.*").drop("failure_reason")
     shown = F.array_join(F.transform("accepts", lambda o: F.concat_ws("|", o["network"], o["asset"], o["max_timeout_seconds"].cast("string"))), ";")
     return found.withColumn("accepts", shown)

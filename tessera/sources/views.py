@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, each: int, *keys: str) -> DataFrame:
+    """rows by a hash of keys in tasks of about `each` by their counted number: for small files whose rows are much work."""
+    return rows.repartition(-(-rows.count() // each) or 1, *keys)
+
+
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payment fact table: one row per settlement or verification."""
     orders, customer, nation, region = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
