@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.json_schema import kind
+from tessera.functions.json_schema import let
 from tessera.functions.text import ATOMIC_TOKEN, WORD_TOKEN, seeded, tokens
 
 
@@ -21,31 +21,36 @@ _NODES = "array<struct<order:array<struct<place:int,name:string>>,path:string,v:
 
 def _json_levels(text: Column, depth: int, start, collect, finish) -> Column:
     """A walk over a JSON text, a level of nesting at a time, in built-in functions: collect(state, nodes) at each of `depth` + 1 levels,
-    then finish(state, nodes) with the nodes that lie deeper. A node knows its path and its place in the order of keys; its last
+    of nodes n with their members or items, then finish(state, nodes) with those that lie deeper. A node knows its path and its place in the order of keys; its last
     name is its key, null for items and for the top."""
-    v = F.try_parse_json(text)
-    root = F.array(F.struct(F.array().cast("array<struct<place:int,name:string>>").alias("order"), F.lit("").alias("path"), v.alias("v"))).cast(_NODES)
-    first = F.struct(F.when(v.isNotNull(), root).otherwise(F.array().cast(_NODES)).alias("now"), start.alias("found"))
-
-    def below(n: Column) -> Column:
-        what = kind(n["v"])
-        members = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
-        node = lambda place, name, path, x: F.struct(F.concat(n["order"], F.array(F.struct(place.alias("place"), name.alias("name")))).alias("order"), path.alias("path"), x.alias("v"))
-        by_name = F.transform(members, lambda e: node(F.lit(0), e["key"], F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])), e["value"]))
-        by_place = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), lambda x, i: node(i, F.lit(None).cast("string"), F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), x))
-        return F.coalesce(F.when(what == "object", by_name.cast(_NODES)), F.when(what == "array", by_place.cast(_NODES)), F.array().cast(_NODES))
+    node = lambda n, place, name, path, x: F.struct(F.concat(n["order"], F.array(F.struct(place.alias("place"), name.alias("name")))).alias("order"), path.alias("path"), x.alias("v"))
+
+    # types differ in what may be null only, which needs no cast: the first state allows it everywhere
+    def below(x: Column) -> Column:
+        n = x["n"]
+        by_name = F.transform(x["members"], lambda e: node(n, F.lit(0), e["key"], F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])), e["value"]))
+        by_place = F.transform(x["items"], lambda y, i: node(n, i, F.lit(None).cast("string"), F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), y))
+        return F.coalesce(by_name, by_place, F.array().cast(_NODES))
 
     def level(state: Column, _: Column) -> Column:
-        return F.struct(F.flatten(F.transform(state["now"], below)).alias("now"), collect(state["found"], state["now"]).alias("found"))
+        # a node is opened once: only an object has members, only an array has items
+        taken = lambda n: F.struct(n.alias("n"), F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>")).alias("members"), F.try_variant_get(n["v"], "$", "array<variant>").alias("items"))
+        deeper = lambda nodes: F.struct(F.flatten(F.transform(nodes, below)).alias("now"), collect(state["found"], nodes).alias("found"))
+        return F.when(F.size(state["now"]) > 0, let(F.transform(state["now"], taken), deeper)).otherwise(state)
+
+    def walk(v: Column) -> Column:
+        root = F.array(F.struct(F.array().cast("array<struct<place:int,name:string>>").alias("order"), F.lit("").alias("path"), v.alias("v"))).cast(_NODES)
+        first = F.struct(F.when(v.isNotNull(), root).otherwise(F.array().cast(_NODES)).alias("now"), start.alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), first, level, lambda state: finish(state["found"], state["now"]))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), first, level, lambda state: finish(state["found"], state["now"]))
+    return let(F.try_parse_json(text), walk)
 
 
 def _shown(v: Column) -> Column:
-    """A value as a text: whole numbers without a point, however they are written."""
-    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
-    whole = (kind(v) == "number") & (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, F.try_variant_get(v, "$", "decimal(38,0)").cast("string")).otherwise(text)
+    """A value that is no object and no array as a text: whole numbers without a point, however they are written."""
+    text = F.try_variant_get(v, "$", "string")
+    number = lambda n: F.when((n == F.floor(n)) & (F.abs(n) < 1e15), F.try_variant_get(v, "$", "decimal(38,0)").cast("string")).otherwise(text)
+    return F.when(F.schema_of_variant(v).isin("STRING", "BOOLEAN"), text).otherwise(let(F.try_variant_get(v, "$", "double"), number))
 
 
 def flattened(text: Column, depth: int = 8, most: int = 50) -> Column:
@@ -54,8 +59,8 @@ def flattened(text: Column, depth: int = 8, most: int = 50) -> Column:
     lines = "array<struct<order:array<struct<place:int,name:string>>,line:string>>"
 
     def collect(found: Column, nodes: Column) -> Column:
-        leaves = F.filter(nodes, lambda n: ~kind(n["v"]).isin("object", "array", "null"))
-        return F.concat(found, F.transform(leaves, lambda n: F.struct(n["order"].alias("order"), F.concat(n["path"], F.lit(": "), _shown(n["v"])).alias("line"))).cast(lines))
+        leaves = F.filter(nodes, lambda n: n["members"].isNull() & n["items"].isNull() & ~F.is_variant_null(n["n"]["v"]))
+        return F.concat(found, F.transform(leaves, lambda n: F.struct(n["n"]["order"].alias("order"), F.concat(n["n"]["path"], F.lit(": "), _shown(n["n"]["v"])).alias("line"))))
 
     return F.slice(_json_levels(text, depth, F.array().cast(lines), collect, lambda found, _: F.transform(F.array_sort(found), lambda x: x["line"])), 1, most)
 
@@ -66,7 +71,7 @@ def forbidden_keys(text: Column, names: set[str], depth: int = 64) -> Column:
     wanted = F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>")
 
     def collect(found: Column, nodes: Column) -> Column:
-        keys = F.transform(nodes, lambda n: F.get(n["order"], F.size(n["order"]) - 1)["name"])
+        keys = F.transform(nodes, lambda n: F.get(n["n"]["order"], F.size(n["n"]["order"]) - 1)["name"])
         return F.array_union(found, F.array_intersect(keys, wanted))
 
     deeper = lambda found, nodes: F.array_sort(F.when(F.size(nodes) > 0, F.array_union(found, F.array(F.lit("(deeper)")))).otherwise(found))
