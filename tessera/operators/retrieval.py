@@ -18,13 +18,23 @@ def postings(docs: DataFrame, key: str, text: str, pattern: str = BM25_TOKEN) ->
     return docs.select(key, F.posexplode(tokens(F.col(text), pattern)).alias("pos", "term"))
 
 
+#: Asked terms up to which they are sent to the postings; beyond, both are shuffled by term.
+SENT_TERMS = 100_000
+
+
+def asked_postings(asked: DataFrame, post: DataFrame) -> DataFrame:
+    """asked joined to the postings of its terms. Asked terms of a counted size go to the postings, so that a common term's postings
+    stay where their documents are instead of meeting in one task."""
+    return post.join(F.broadcast(asked) if asked.count() <= SENT_TERMS else asked, "term")
+
+
 def top_k(scored: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def any_term(post: DataFrame, asked: DataFrame, key: str, query: str) -> DataFrame:
     """(query, key) where a document has at least one of the query's terms."""
-    return asked.select(query, "term").distinct().join(post.select(key, "term").distinct(), "term").select(query, key).distinct()
+    return asked_postings(asked.select(query, "term").distinct(), post).select(query, key).distinct()
 
 
 def phrase(post: DataFrame, asked: DataFrame, key: str, query: str) -> DataFrame:
@@ -33,7 +43,7 @@ def phrase(post: DataFrame, asked: DataFrame, key: str, query: str) -> DataFrame
     asked: (query, i, term) with i from 0.
     """
     size = asked.groupBy(query).agg(F.count("*").alias("n"))
-    shifted = asked.join(post, "term").select(query, key, (F.col("pos") - F.col("i")).alias("start"))
+    shifted = asked_postings(asked, post).select(query, key, (F.col("pos") - F.col("i")).alias("start"))
     return shifted.groupBy(query, key, "start").agg(F.count("*").alias("got")).join(size, query).filter("got = n").select(query, key).distinct()
 
 
@@ -77,7 +87,7 @@ def rank_cover_density(post: DataFrame, asked: DataFrame, key: str, query: str,
     named = weights or FIELD_WEIGHTS
     weight = F.coalesce(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), F.lit(v))])[F.col("field")], F.lit(0.0))
     size = asked.select(query, "term").distinct().groupBy(query).agg(F.count("*").alias("n"))
-    lists = asked.select(query, "term").distinct().join(post.withColumn("w", weight), "term").groupBy(query, key, "term").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("l"))
+    lists = asked_postings(asked.select(query, "term").distinct(), post.withColumn("w", weight)).groupBy(query, key, "term").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("l"))
     whole = lists.groupBy(query, key).agg(F.sort_array(F.collect_list(F.struct("term", "l"))).alias("ls"), F.count("*").alias("got")).join(size, query).filter("got = n")
     return whole.select(query, key, cover_density(F.transform("ls", lambda t: t["l"])).alias("score"))
 
