@@ -36,10 +36,11 @@ def _scores_sql(undefined: str) -> str:
 
 
 def scores(spark, d, as_one):
-    run = Q.lexical(spark, d).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
+    ranked = written(Q.lexical(spark, d), "run")
+    run = ranked.select(F.col("item_id").alias("query_id"), "doc_id", "rank")
     planted = run.filter("doc_id % 5 = 0").select("query_id", "doc_id")
     found = P.violations(run, planted, Q._KS)
-    m = Q._shown(Q.metrics(spark, d, as_one)).join(found, ["query_id", "k"], "left")
+    m = Q._shown(Q.metrics(spark, d, as_one, ranked)).join(found, ["query_id", "k"], "left")
     return m.withColumns({"violations": F.coalesce("violations", F.lit(0)), "expects_none": F.col("query_id") % 7 == 0, "class": F.col("query_id") % 3})
 
 
@@ -289,7 +290,7 @@ def e18_by_class(spark, d):
     told = F.when(k % 3 == 0, True).when(k % 3 == 1, False)
     outcomes = ranked.select(F.col("item_id").alias("query"), k.alias("key"), F.lit(1).alias("seq"), told.alias("task_success")).unionByName(ranked.select(F.col("item_id").alias("query"), k.alias("key"), F.lit(2).alias("seq"), F.lit(True).alias("task_success")))
     queries = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") % 3).alias("class"))
-    metrics = Q._shown(Q.metrics(spark, d, False)).filter("k = 5").select(F.col("query_id").alias("query"), "relevant", "ndcg")
+    metrics = Q._shown(Q.metrics(spark, d, False, ranked)).filter("k = 5").select(F.col("query_id").alias("query"), "relevant", "ndcg")
     return rounded(P.class_metrics(queries, metrics, run, outcomes), "ndcg_at_5", "task_success_rate")
 
 

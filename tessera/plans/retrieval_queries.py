@@ -205,8 +205,9 @@ def _metrics_sql(undefined: str) -> str:
  FROM benchmark b CROSS JOIN ks LEFT JOIN t ON t.query_id = b.item_id AND t.k = ks.k LEFT JOIN s ON s.query_id = b.item_id AND s.k = ks.k LEFT JOIN bp ON bp.query_id = b.item_id"""
 
 
-def metrics(spark, d, as_one):
-    run = lexical(spark, d).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
+def metrics(spark, d, as_one, ranked=None):
+    """Metrics of the lexical run; ranked: that run where it is written already."""
+    run = (lexical(spark, d) if ranked is None else ranked).select(F.col("item_id").alias("query_id"), "doc_id", "rank")
     queries = V.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     return E.query_metrics(run, qrels(spark, d), queries, _KS, as_one)
 
