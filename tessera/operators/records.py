@@ -6,9 +6,11 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,11 +260,53 @@ def hash_embedding(text: str, dimension: int = 64, memo: dict | None = None) ->
     return [x / length for x in out] if length else out
 
 
+#: Words whose hashes a task of hash vectors holds at most, and texts that it cuts into words at once.
+EMBEDDED_WORDS, EMBEDDED_TEXTS = 65_536, 256
+
+
+class _Places(dict):
+    """What a word adds to a hash vector, as one number: place and sign of its own hash, then of that with #2 behind it."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        code = 0
+        for h in (hashlib.sha256(x.encode()).digest() for x in (word, f"{word}#2")):
+            code = code * 2 * self.dimension + int.from_bytes(h[:4], "big") % self.dimension * 2 + h[4] % 2
+        if len(self) >= EMBEDDED_WORDS:
+            self.clear()
+        self[word] = code
+        return code
+
+
+def hash_embeddings(texts: pa.Array, dimension: int, places: _Places) -> pa.Array:
+    """hash_embedding of each text; sums of halves are exact in any order. Only a few texts are cut into words at once."""
+    out = np.zeros((len(texts), dimension))
+    for a in range(0, len(texts), EMBEDDED_TEXTS):
+        part = texts.slice(a, EMBEDDED_TEXTS).to_pylist()
+        sums = np.zeros(len(part) * dimension)
+        for i, t in enumerate(part):
+            words = re.findall("[a-z0-9]+", (t or "").lower())
+            own, twice = np.divmod(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), 2 * dimension)
+            row = sums[i * dimension : (i + 1) * dimension]
+            for code, x in ((own, 1.0), (twice, 0.5)):
+                row += x * np.bincount(code >> 1, 1.0 - 2.0 * (code & 1), dimension)
+        m = sums.reshape(len(part), dimension)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        np.divide(m, length, out=out[a : a + len(part)], where=length > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dimension, pa.int32()), pa.array(out.ravel()))
+
+
 def embedded(text: Column, dimension: int = 64) -> Column:
-    @F.pandas_udf("array<double>")
-    def vectors(s: pd.Series) -> pd.Series:
-        memo: dict = {}
-        return pd.Series([hash_embedding(t, dimension, memo) for t in s], dtype=object)
+    """Hash vectors of texts, null ones as empty; a task holds the words of some texts and EMBEDDED_WORDS hashes besides the batch."""
+
+    @F.arrow_udf("array<double>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places = _Places(dimension)
+        for texts in batches:
+            yield hash_embeddings(texts, dimension, places)
 
     return vectors(text)
 
