@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import BM25_TOKEN, tokens
-from tessera.sources.scratch import written
+from tessera.sources.scratch import arrow_rows, written
 
 #: Documents of a block, tokens at which it is closed before, and query terms of a block of queries: what a task holds at once.
 BLOCK_DOCUMENTS, BLOCK_TOKENS, QUERY_TERMS = 2_048, 4_000_000, 50_000
@@ -45,18 +45,32 @@ def build_index(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", pa
             held.clear()
             size[:] = [0, 0]
             lists = table["t"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.string()))
+            keys = table["key"].combine_chunks()
             dl = np.diff(lists.offsets.to_numpy()).astype(np.int32)
             coded = lists.flatten().dictionary_encode()
-            doc = np.repeat(np.arange(len(dl)), dl)
-            cell, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(dl) + doc, return_counts=True)
-            term, place = np.divmod(cell, max(1, len(dl)))
+            del table, lists
+            # sorted in place: a full block has millions of tokens, and each array of them is many MB
+            cell = coded.indices.to_numpy().astype(np.int64)
+            dictionary = coded.dictionary
+            del coded
+            cell *= len(dl)
+            cell += np.repeat(np.arange(len(dl), dtype=np.int32), dl)
+            cell.sort()
+            first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+            tf = np.diff(np.r_[first, len(cell)]).astype(np.int32)
+            cell = cell[first]
+            del first
+            term = (cell // max(1, len(dl))).astype(np.int32)
+            cell -= term.astype(np.int64) * len(dl)
+            place = cell.astype(np.int32)
+            del cell
             starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
             offsets = pa.array(np.r_[starts, len(term)], pa.int32())
             fields = ["block", "term", "places", "tf", "keys", "dl"]
-            keys_type, dl_type = pa.list_(table.schema.field("key").type), pa.list_(pa.int32())
+            keys_type, dl_type = pa.list_(keys.type), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([
                 pa.array([number]), pa.array([""]), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int32())),
-                pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), table["key"].combine_chunks()).cast(keys_type), pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), pa.array(dl)),
+                pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), keys).cast(keys_type), pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), pa.array(dl)),
             ], fields)
             for a in range(0, len(starts), 20_000):
                 z = min(a + 20_000, len(starts))
@@ -64,8 +78,8 @@ def build_index(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", pa
                 own = pa.array(part.to_numpy() - part[0].as_py(), pa.int32())
                 span = slice(part[0].as_py(), part[-1].as_py())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(z - a, number)), coded.dictionary.take(pa.array(term[starts[a:z]])),
-                    pa.ListArray.from_arrays(own, pa.array(place[span].astype(np.int32))), pa.ListArray.from_arrays(own, pa.array(tf[span].astype(np.int32))),
+                    pa.array(np.full(z - a, number)), dictionary.take(pa.array(term[starts[a:z]])),
+                    pa.ListArray.from_arrays(own, pa.array(place[span])), pa.ListArray.from_arrays(own, pa.array(tf[span])),
                     pa.nulls(z - a, keys_type), pa.nulls(z - a, dl_type),
                 ], fields)
             number += 1
@@ -213,6 +227,12 @@ def only(index: DataFrame, asked: DataFrame) -> DataFrame:
     return index.join(terms, "term", "left_semi").select(*index.columns)
 
 
+def _asked_index(docs: DataFrame, asked: DataFrame, doc_key: str, text: str) -> DataFrame:
+    """The written index of the asked terms; the words of one block's documents at most come to a task at once."""
+    with arrow_rows(docs.sparkSession, BLOCK_DOCUMENTS):
+        return written(only(build_index(docs, doc_key, text), asked), "index")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6, index: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank) of the k best documents per query; equal scores go to the smaller document key.
 
@@ -220,7 +240,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, doc_key: str = "doc_i
     written for this search.
     """
     asked = written(asked_terms(queries, query_key, text), "asked")
-    index = index if index is not None else written(only(build_index(docs, doc_key, text), asked), "index")
+    index = index if index is not None else _asked_index(docs, asked, doc_key, text)
     n, avgdl = statistics(index)
     weighted = written(idf(index, asked, n), "weights")
     return search(index, weighted, k, bm25_gain(avgdl, k1, b), query_key, doc_key, digits)
@@ -229,5 +249,5 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, doc_key: str = "doc_i
 def shared_terms(docs: DataFrame, queries: DataFrame, k: int = 20, least_chars: int = 1, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank) of the k documents per query with most of its distinct terms of least_chars or more characters."""
     asked = written(asked_terms(queries, query_key, text, least_chars).withColumn("weight", F.lit(1.0)), "asked")
-    index = index if index is not None else written(only(build_index(docs, doc_key, text), asked), "index")
+    index = index if index is not None else _asked_index(docs, asked, doc_key, text)
     return search(index, asked, k, lambda tf, dl: np.minimum(tf, 1), query_key, doc_key, 0)

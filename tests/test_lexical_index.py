@@ -4,8 +4,10 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,38 @@ def test_best_of_a_block_is_exact():
         assert np.allclose(scores, whole[docs])
         least = np.sort(whole)[-k] if size >= k else 0
         assert set(np.flatnonzero((whole > 0) & (whole >= least))) <= set(docs.tolist())
+
+
+def _peak_of_a_block(monkeypatch, tokens, texts=200):
+    """Bytes of numpy arrays that a task takes for a block of so many tokens, at most."""
+    frame = type("Frame", (), {"schema": {"key": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}, "mapInArrow": lambda self, run, schema: run})
+    monkeypatch.setattr(lexical.TaskContext, "get", lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)}))
+    run = lexical.build_index(type("Docs", (), {"select": lambda self, *c: frame()})())
+    lists = pa.array([[f"w{(i * 31 + j) % 997}" for j in range(tokens // texts)] for i in range(texts)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(texts)), lists], ["key", "t"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 998
+    return most
+
+
+def test_a_full_block_is_sorted_in_place(spark, monkeypatch):
+    # 8 bytes a token for its cell, some more while cells are compared; 37 before
+    assert _peak_of_a_block(monkeypatch, 400_000) < 28 * 400_000
+
+
+def test_index_comes_in_batches_of_a_block(spark, monkeypatch):
+    seen, real = [], lexical.written
+
+    def looked(df, name):
+        seen.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return real(df, name)
+
+    monkeypatch.setattr(lexical, "written", looked)
+    d, q = spark.createDataFrame([(1, "alpha")], "doc_id long, text string"), spark.createDataFrame([(1, "alpha")], "item_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert lexical.bm25(d, q).count() == lexical.shared_terms(d, q).count() == 1
+    assert [n for name, n in seen if name == "index"] == [str(min(int(before), lexical.BLOCK_DOCUMENTS))] * 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
