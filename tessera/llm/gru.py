@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -162,8 +162,13 @@ def _run(p: dict[str, np.ndarray], x: np.ndarray, keep: np.ndarray, h: np.ndarra
     return e, before, z, c, after
 
 
+@cache
+def _ones(n: int, kind: np.dtype) -> np.ndarray:
+    return np.ones(n, kind)
+
+
 def _sums(q: np.ndarray) -> np.ndarray:
-    return q @ np.ones(q.shape[1], q.dtype)
+    return q @ _ones(q.shape[1], q.dtype)
 
 
 def _sorted_by_class(shape: Shape, s: np.ndarray, c: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
@@ -305,8 +310,11 @@ class Trainer:
         de = dz @ p["Wz"].T
         de += dn @ p["Wn"].T
         inputs = x.ravel()
-        order = np.argsort(inputs, kind="stable")
-        used, first = np.unique(inputs[order], return_index=True)
+        # numbers of 16 bits are sorted by radix
+        order = np.argsort(inputs.astype(np.uint16) if self.shape.inputs <= 1 << 16 else inputs, kind="stable")
+        sorted_ = inputs[order]
+        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        used = sorted_[first]
         g = np.add.reduceat(np.take(de, order, axis=0), first)
         self.seen_in[used] += np.einsum("ij,ij->i", g, g) / self.shape.embed
         p["E"][used] -= (self.word_rate / np.sqrt(self.seen_in[used]))[:, None] * g

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -54,23 +55,26 @@ def words_of(text: str | None) -> list[bytes]:
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(hash, word, c) over all tokens of docs; the end's word is empty. Null texts have an end only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
 
-        def rows() -> pd.DataFrame:
-            out = pd.DataFrame({"hash": [word_hash(w) for w in counts], "word": list(counts), "c": list(counts.values())})
+        def rows() -> Iterator[pa.RecordBatch]:
+            words = list(counts)
+            for a in range(0, len(words), 50_000):
+                part = words[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(word_hash, part)), pa.int64()), pa.array(part, pa.binary()), pa.array(list(map(counts.__getitem__, part)), pa.int64())], ["hash", "word", "c"])
             counts.clear()
-            return out.astype({"word": object})
 
         for b in batches:
-            for t in b["t"]:
+            for t in b.column(0).to_pylist():
                 counts.update(words_of(t))
-            counts[END] += len(b)
+            if b.num_rows:
+                counts[END] += b.num_rows
             if len(counts) > 400_000:
-                yield rows()
-        yield rows()
+                yield from rows()
+        yield from rows()
 
-    each = docs.select(F.col(text).alias("t")).mapInPandas(run, "hash long, word binary, c long")
+    each = docs.select(F.col(text).alias("t")).mapInArrow(run, "hash long, word binary, c long")
     return each.groupBy("hash", "word").agg(F.sum("c").alias("c"))
 
 
